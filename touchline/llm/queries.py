@@ -7,6 +7,27 @@ from pyspark.sql import DataFrame, SparkSession
 from .base import table
 
 
+def vocabulary(name: str) -> str:
+    """Path of an installed public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC, normalised to one gzip member per record, and read back by the index."""
+    from .warc import warc_round_trip
+
+    return warc_round_trip(table(spark, sf_dir, "pages")).drop("payload")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    from .packing import best_fit_packing
+
+    return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, base rule and robust outlier verdict of every document."""
     from .quality_rules import quality_rules
@@ -14,5 +35,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("lang", "source")
 
 
-QUERIES = {"op6_quality_rules": op6_quality_rules}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op3_warc": op3_warc, "op4_best_fit_packing": op4_best_fit_packing, "op6_quality_rules": op6_quality_rules}
+
+ORACLES: dict[str, str] = {
+    "op3_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p
+)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS INT), 5) AS INT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31), 1)), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM m
+""",
+}
