@@ -35,7 +35,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents")).drop("lang", "source")
 
 
-QUERIES = {"op3_warc": op3_warc, "op4_best_fit_packing": op4_best_fit_packing, "op6_quality_rules": op6_quality_rules}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded by merge rounds and decoded again, as digests."""
+    from .bpe import round_trip_digests
+
+    return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+QUERIES = {
+    "op3_warc": op3_warc,
+    "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_quality_rules": op6_quality_rules,
+    "op10_bpe": op10_bpe,
+}
 
 ORACLES: dict[str, str] = {
     "op3_warc": """
