@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_dedup
 from .base import table
 
 
@@ -14,6 +15,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the multi-line chunks that occur earlier."""
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as WARC, normalised to one gzip member per record, and read back by the index."""
     from .warc import warc_round_trip
@@ -43,6 +49,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_quality_rules": op6_quality_rules,
@@ -50,6 +57,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_line_dedup": line_dedup.ORACLE,
     "op3_warc": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
