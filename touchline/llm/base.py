@@ -82,8 +82,8 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps; each is two shuffles with map-side ``min``, so a hub with
     very many neighbours is pre-aggregated.  Every round is written to the shared folder.  Links stay distributed.
     """
-    spark = edges.sparkSession
     cur = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    mark = _fingerprint(cur)
     for _ in range(rounds):
         both = cur.unionAll(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -94,10 +94,10 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
             F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")
         )
         nxt = stored(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
-        same = nxt.exceptAll(cur).isEmpty() and cur.exceptAll(nxt).isEmpty()
         unstore(cur)
-        cur = nxt
-        if same:
+        cur, before = nxt, mark
+        mark = _fingerprint(cur)
+        if mark == before:
             break
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
@@ -106,6 +106,11 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return members.unionAll(roots.withColumn("comp", F.col("id")))
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    """Number of distinct edges and two order-free sums of their hashes."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
 def crc32_mod(column: Column, n: int) -> Column:
     """crc32 of a value's decimal text, modulo ``n``."""
     return F.crc32(column.cast("string").cast("binary")) % n

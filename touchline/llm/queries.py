@@ -34,6 +34,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: 4-word shingles, Jaccard 0.85."""
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts, base rule and robust outlier verdict of every document."""
     from .quality_rules import quality_rules
@@ -52,6 +59,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op10_bpe": op10_bpe,
 }
