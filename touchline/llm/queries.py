@@ -15,6 +15,13 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under a language model of trusted text, with its language's threshold and verdict."""
+    from .ngram_quality import quality_classifier
+
+    return quality_classifier(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the multi-line chunks that occur earlier."""
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -55,6 +62,14 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False).drop("text")
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector."""
+    from .ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded by merge rounds and decoded again, as digests."""
     from .bpe import round_trip_digests
@@ -63,12 +78,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
     "op3_warc": op3_warc,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_nearest_neighbours": op8_nearest_neighbours,
     "op10_bpe": op10_bpe,
 }
 
