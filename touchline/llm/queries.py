@@ -70,6 +70,13 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and recurrent-model scores of all documents."""
+    from .gru_lm import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded by merge rounds and decoded again, as digests."""
     from .bpe import round_trip_digests
@@ -86,6 +93,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_nearest_neighbours": op8_nearest_neighbours,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,
 }
 
