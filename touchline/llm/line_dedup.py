@@ -68,7 +68,7 @@ def removed_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     keys = stored(_exploded(docs, False, divisor), "chunk-keys")
     again = keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     wanted = keys.join(again, "h", "left_semi").groupBy("d", "th").agg(F.collect_set("k").alias("ks"))
-    met = docs.join(wanted, ["d", "th"])
+    met = docs.join(wanted.hint("merge"), ["d", "th"])
     chunks = met.select("d", "th", "ks", F.posexplode(chunks_of(F.col("text"), divisor)).alias("k", "lines")).where(F.array_contains("ks", F.col("k")))
     chunks = stored(chunks.select("d", "th", "k", F.array_join("lines", "\n").alias("chunk")).withColumn("h", F.xxhash64("chunk")), "chunk-texts")
     place = F.struct("d", "th", "k")
@@ -82,7 +82,7 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     passed = [c for c in docs.columns if c not in COUNTS]
     keyed = docs.select(*passed, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"))
     gone = stored(removed_chunks(keyed.select("d", "th", "text"), divisor), "chunks-gone")
-    joined = keyed.join(gone, ["d", "th"], "left")
+    joined = keyed.join(gone.hint("merge"), ["d", "th"], "left")
     numbered = let(chunks_of(F.col("text"), divisor), lambda cs: F.transform(cs, lambda c, k: F.struct(c.alias("lines"), F.array_contains("gone", k).alias("out"))))
     cut = let(
         numbered,
