@@ -7,10 +7,11 @@ indexed in its band under the hash of each segment's subset, and, in the band's
 one shingle taken out.  It probes its own band (for partners not larger) and the next lower one, with allowances -1 (skip),
 0 or 1 chosen by cost: empty and tiny subsets, which many sets share, are skipped and paid for by a deletable segment.
 
-Pairs that meet under a key are verified on their whole sets.  Equal sets are first collapsed to one representative.
-Within a key all members are verified against one hub, then, over a few rounds, those left apart against a new hub, and at
-last every pair whose members still lie in different components; pairs inside a component need no check.  So every link
-between different sets is found or implied, and a group of thousands of copies costs thousands of checks, not millions.
+Sets that meet under a key are tied to the key's smallest indexed member; what is tied together is a family, and every
+candidate pair lies in one.  Families are verified exactly, in blocks of bounded size: a prefix filter by the family's own
+rarest shingles proposes pairs, whole sets decide, and a union-find skips pairs that are already linked, so a block emits
+at most one link for each of its members.  Equal sets are first collapsed to one representative.  Thus every link between
+different sets is found or implied, and a group of thousands of copies emits thousands of rows, not millions.
 
 Scale: keys per set are about a third of its shingles, packed in binary until copies are collapsed, then shuffled once
 by key; sets are rebuilt from text only for documents that met another.  Nothing is broadcast by hand or collected.
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_bytes, connected, stored, unstore
+from .base import as_bytes, connected, release, stored, unstore
 
 WIDTH = 4
 PERCENT = 85
@@ -39,8 +40,8 @@ PERCENT = 85
 BAND = 1.5
 #: One segment in so many is deletable, three at least.
 DELETABLE = 16
-#: Rounds of hubs before all remaining pairs are verified.
-HUB_ROUNDS = 2
+#: Sets in a block of a family.
+BLOCK = 4096
 #: Keys in a partition of the key shuffle.
 KEYS_PER_PARTITION = 1_500_000
 INDEX, PROBE = 1, 2
@@ -165,8 +166,8 @@ def _exploded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array((packed >> np.uint64(2)).astype(np.int64)), pa.array(rep), pa.array((packed & np.uint64(3)).astype(np.int8))], names=["key", "rep", "role"])
 
 
-def _members(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of keys under which a probe meets another set's index entry; ``hub``: the key's smallest indexed member."""
+def _ties(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ties (member, smallest indexed member) under keys where a probe meets another set's index entry."""
     parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in it]
     if not parts:
         return
@@ -180,18 +181,14 @@ def _members(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, rep, role = key[order], rep[order], role[order]
     if not len(key):
         return
-    order = np.lexsort((rep, key))
-    key, rep, role = key[order], rep[order], role[order]
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
-    indexed = np.where(role & INDEX, rep, np.iinfo(np.int64).max)
-    hub = np.minimum.reduceat(indexed, start)
+    none = np.iinfo(np.int64).max
+    hub = np.minimum.reduceat(np.where(role & INDEX, rep, none), start)
     probes = np.add.reduceat((role & PROBE > 0).astype(np.int64), start)
-    good = np.repeat((hub != np.iinfo(np.int64).max) & (probes > 0) & (np.minimum.reduceat(rep, start) != np.maximum.reduceat(rep, start)), size)
-    hub = np.repeat(hub, size)
-    for at in range(0, len(key), 200_000):
-        g = np.flatnonzero(good[at : at + 200_000]) + at
-        yield pa.RecordBatch.from_arrays([pa.array(key[g]), pa.array(rep[g]), pa.array(role[g]), pa.array(hub[g])], names=["key", "rep", "role", "hub"])
+    good = np.repeat((hub != none) & (probes > 0), size) & (rep != np.repeat(hub, size))
+    pairs = np.unique(np.c_[rep[good], np.repeat(hub, size)[good]], axis=0)
+    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
 
 
 def _sets(width: int):
@@ -204,88 +201,102 @@ def _sets(width: int):
     return run
 
 
-def _verified(percent: int):
+def links_within(sets: list[np.ndarray], block: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links that join all linked sets of a group (a spanning forest); sets of one block meet only if there is one block."""
+    token, rank = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(np.bincount(rank), kind="stable")
+    place = np.empty(len(token), np.int32)
+    place[order] = np.arange(len(token), dtype=np.int32)
+    ranks = np.split(place[rank], np.cumsum([len(s) for s in sets])[:-1])
+    ranks = [np.sort(r) for r in ranks]  # rarest shingles of the family first
+    parent = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    found, across = [], len(set(block)) > 1
+    index: dict[int, list[int]] = {}
+    for x in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        rx, n = ranks[x], len(ranks[x])
+        least = -(-percent * n // 100)
+        prefix = rx[: n - least + 1].tolist()
+        for y in {y for t in prefix for y in index.get(t, ())}:
+            if len(ranks[y]) < least or (across and block[x] == block[y]) or root(x) == root(y):
+                continue
+            both = np.concatenate([rx, ranks[y]])
+            both.sort()
+            common = int((both[1:] == both[:-1]).sum())
+            if 100 * common >= percent * (len(both) - common):
+                parent[root(x)] = root(y)
+                found.append((x, y))
+        for t in prefix:
+            index.setdefault(t, []).append(x)
+    return found
+
+
+def _family_links(percent: int):
+    def settle(ids: list[int], blocks: list[int], raw: list[bytes]) -> Iterator[pa.RecordBatch]:
+        pairs = links_within([np.frombuffer(r, np.uint64) for r in raw], blocks, percent) if len(ids) > 1 else []
+        if pairs:
+            a, b = (np.array([ids[k] for k in side], np.int64) for side in zip(*pairs))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, blocks, raw = None, [], [], []
         for b in it:
-            linked = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                linked.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+            for key, i, k, tokens in zip(zip(*(b.column(c).to_pylist() for c in range(3))), *(b.column(c).to_pylist() for c in (3, 4, 5))):
+                if key != held:
+                    yield from settle(ids, blocks, raw)
+                    held, ids, blocks, raw = key, [], [], []
+                ids.append(i)
+                blocks.append(k)
+                raw.append(tokens)
+        yield from settle(ids, blocks, raw)
 
     return run
 
 
-def _pairs_of(members: DataFrame) -> DataFrame:
-    return members.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-
-
-def verify(pairs: DataFrame, rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """``a, b, linked`` for every pair, from the whole sets of both; ``rows``: doc_id, text."""
-    pairs = stored(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    sets = stored(rows.join(ids, "doc_id", "left_semi").distinct().select("doc_id", "text").mapInArrow(_sets(width), "id long, tokens binary"), "sets")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
-    checked = both.mapInArrow(_verified(percent), "a long, b long, linked boolean")
-    out = stored(checked.groupBy("a", "b").agg(F.bool_or("linked").alias("linked")), "checked")
-    unstore(pairs, sets)
-    return out
+def family_links(families: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """``a, b``: links of ``families(id, comp)`` over ``sets(id, tokens)``, block by block."""
+    sized = families.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
+    placed = families.join(sized, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
+    placed = placed.select("comp", "id", "block", other).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block")
+    rows = placed.join(sets, "id").select("comp", "i", "j", "id", "block", "tokens")
+    return rows.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_family_links(percent), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every document row."""
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(rows.mapInArrow(lambda it: _signed(it, width, percent), "doc_id long, n_shingles long, digest binary, keys binary"), "signatures")
-    sig = signed.select("doc_id", "n_shingles", "digest")
     able = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL")
+    total = able.agg(F.sum(F.octet_length("keys").cast("long"))).first()[0] or 0
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // 8 // KEYS_PER_PARTITION))
     reps = able.groupBy("digest").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("rep"))
-    classes = able.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
-    total = able.agg(F.sum(F.octet_length("keys"))).first()[0] or 0
-    parts = max(1, -(-total // 8 // KEYS_PER_PARTITION))
     keys = reps.select("rep", "keys").mapInArrow(_exploded, "key long, rep long, role byte")
-    members = stored(keys.repartition(max(parts, rows.sparkSession.sparkContext.defaultParallelism), "key").mapInArrow(_members, "key long, rep long, role byte, hub long"), "members")
-
-    texts = rows.where("doc_id IS NOT NULL")
-    checked = [verify(_pairs_of(members.where("role >= 2")), texts, width, percent)]
+    ties = stored(keys.repartition(parts, "key").mapInArrow(_ties, "a long, b long").distinct(), "ties")
+    sig = stored(signed.select("doc_id", "n_shingles", "digest"), "set-digests")
+    unstore(signed)
+    release(spark)
+
+    families = stored(connected(ties), "families")
+    wanted = rows.join(families.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").distinct()
+    sets = stored(wanted.mapInArrow(_sets(width), "id long, tokens binary"), "sets")
+    release(spark)
+    links = stored(family_links(families, sets, percent, parts), "links")
+    unstore(ties, families, sets)
+
+    able = sig.where("doc_id IS NOT NULL AND digest IS NOT NULL")
+    classes = able.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     shared = able.groupBy("doc_id").agg(F.count_distinct("digest").alias("n")).where("n > 1").select("doc_id")
     same_id = able.join(shared, "doc_id", "left_semi").join(classes, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    same_id = stored(same_id.where("a <> b").distinct(), "same-id")
-
-    def components() -> DataFrame:
-        edges = same_id
-        for c in checked:
-            edges = edges.unionAll(c.where("linked").select("a", "b"))
-        return stored(connected(edges), "components")
-
-    comp = components()
-    for k in range(HUB_ROUNDS + 1):
-        of_rep = comp.select(F.col("id").alias("rep"), F.col("comp").alias("rep_comp"))
-        of_hub = comp.select(F.col("id").alias("hub"), F.col("comp").alias("hub_comp"))
-        known = members.join(of_rep, "rep", "left").join(of_hub, "hub", "left")
-        known = known.select("key", "rep", "role", F.coalesce("rep_comp", "rep").alias("rep_comp"), F.coalesce("hub_comp", "hub").alias("hub_comp"))
-        apart = known.where("rep_comp <> hub_comp")
-        if k < HUB_ROUNDS:
-            hubs = apart.groupBy("key").agg(F.min("rep").alias("hub"))
-            pairs = _pairs_of(apart.select("key", "rep").join(hubs, "key"))
-        else:
-            o = apart.select("key", F.col("rep").alias("a"), F.col("role").alias("ra"), F.col("rep_comp").alias("ca"))
-            every = known.join(apart.select("key").distinct(), "key", "left_semi").select("key", F.col("rep").alias("b"), F.col("role").alias("rb"), F.col("rep_comp").alias("cb"))
-            met = o.join(every, "key").where("ca <> cb AND ((ra >= 2 AND rb % 2 = 1) OR (ra % 2 = 1 AND rb >= 2))")
-            pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for c in checked:
-            pairs = pairs.join(c, ["a", "b"], "left_anti")
-        fresh = verify(pairs, texts, width, percent)
-        if not fresh.where("linked").isEmpty():
-            checked.append(fresh)
-            comp = components()
-        else:
-            checked.append(fresh)
-    rep_of = classes.select("digest", "rep")
-    placed = sig.where("doc_id IS NOT NULL AND digest IS NOT NULL").join(rep_of, "digest").join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
+    comp = stored(connected(links.unionAll(same_id.where("a <> b"))), "components")
+    placed = able.join(classes, "digest").join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     placed = placed.select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
     alone = sig.where("doc_id IS NULL OR digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return placed.unionAll(alone)
