@@ -1,0 +1,3 @@
+"""Registered queries, by theme."""
+
+from . import aggregates, columns, features, joins, selection, scores, text  # noqa: F401
