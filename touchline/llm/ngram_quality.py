@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 
 from .base import as_bytes, release, stored, unstore
 
-ORDER = 5
+ORDER = 4
 FOLDS = 5
 QUANTILE = 0.99
 MARGIN = 0.05
 PRIOR_BYTES = 200.0
 MIN_HELD_OUT = 10
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 32 << 20
+#: Documents of a chunk whose n-grams are expanded at once.
+DOCS_AT_ONCE = 1000
 START, END = 2, 3
 
 PRE = "chunk int, lang string, code long, trusted long"
@@ -50,6 +52,16 @@ def codes_of(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.nda
     return code[keep], n
 
 
+def distinct_codes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of some texts and their counts, a block of texts at a time."""
+    code, count = np.empty(0, np.int64), np.empty(0, np.int64)
+    for at in range(0, len(texts), DOCS_AT_ONCE):
+        found, n = np.unique(codes_of(texts[at : at + DOCS_AT_ONCE])[0], return_counts=True)
+        code, back = np.unique(np.concatenate([code, found]), return_inverse=True)
+        count = np.bincount(back, weights=np.concatenate([count, n]), minlength=len(code)).astype(np.int64)
+    return code, count
+
+
 def chunked(docs: DataFrame, labels: DataFrame, chunk_bytes: int) -> tuple[DataFrame, DataFrame]:
     """Documents and the ids of trusted training documents, both with the chunk of their id."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
@@ -79,10 +91,9 @@ def _report(docs: pa.Table, trusted: pa.Table) -> pa.Table:
     out = [schema.empty_table()]
     chunk = docs.column("chunk")[0].as_py() if docs.num_rows else 0
     for lang, ids, texts in _by_language(docs):
-        train = [t for i, t in zip(ids, texts) if i in good]
-        other = [t for i, t in zip(ids, texts) if i not in good]
-        seen, count = np.unique(codes_of(train)[0], return_counts=True)
-        more = np.setdiff1d(np.unique(codes_of(other)[0]), seen, assume_unique=True)
+        seen, count = distinct_codes([t for i, t in zip(ids, texts) if i in good])
+        other, _ = distinct_codes([t for i, t in zip(ids, texts) if i not in good])
+        more = np.setdiff1d(other, seen, assume_unique=True)
         code = np.concatenate([seen, more])
         n = np.concatenate([count, np.zeros(len(more), np.int64)])
         out.append(pa.table([pa.array(np.full(len(code), chunk, np.int32)), pa.array([lang] * len(code)), pa.array(code), pa.array(n)], schema=schema))
@@ -179,10 +190,12 @@ def scored(docs: DataFrame, labels: DataFrame, chunk_bytes: int = CHUNK_BYTES) -
     counts = pre.where("trusted > 0").groupBy("lang", "code").agg(F.sum("trusted").alias("c"))
     asked = stored(pre.select("lang", "code").distinct(), "asked")
     p = probabilities(asked, count_tables(counts))
-    answers = pre.select("chunk", "lang", "code").join(p, ["lang", "code"]).select("chunk", "lang", "code", F.log10("p").alias("log10_p"))
+    answers = stored(pre.select("chunk", "lang", "code").join(p, ["lang", "code"]).select("chunk", "lang", "code", F.log10("p").alias("log10_p")), "answers")
+    unstore(pre, asked)
+    release(spark)
     out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score, SCORES)
     out = stored(out, "scores")
-    unstore(pre, asked)
+    unstore(answers)
     release(spark)
     return out
 
