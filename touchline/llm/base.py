@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -46,9 +47,14 @@ def unstore(*tables: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Let the driver forget finished plans now, so that their shuffle files leave the disks."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let the driver forget finished plans now, so that their shuffle files leave the disks.
+
+    Two rounds: plans that the first one frees are noticed, and their files deleted, after the second.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.6)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
