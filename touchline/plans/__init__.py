@@ -1,3 +1,3 @@
 """Registered queries, by theme."""
 
-from . import aggregates, columns, features, joins, selection, scores, text  # noqa: F401
+from . import aggregates, columns, features, joins, scores, selection, streams, text  # noqa: F401
