@@ -27,8 +27,8 @@ def query(name: str, oracle: str | None = None, tables: tuple[str, ...] = ()):
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Settlement of all bets by market."""
-    return QUERIES["settlement_by_market"](spark, sf_dir)
+    """Value bets: fixtures priced, gated, ranked and staked."""
+    return QUERIES["value_bets"](spark, sf_dir)
 
 
 from . import plans  # noqa: E402,F401  registers the queries
