@@ -274,15 +274,17 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = stored(rows.mapInArrow(lambda it: _signed(it, width, percent), "doc_id long, n_shingles long, digest binary, keys binary"), "signatures")
-    able = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL")
-    total = able.agg(F.sum(F.octet_length("keys").cast("long"))).first()[0] or 0
+    total = signed.agg(F.sum(F.octet_length("keys").cast("long"))).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-total // 8 // KEYS_PER_PARTITION))
-    reps = able.groupBy("digest").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("rep"))
-    keys = reps.select("rep", "keys").mapInArrow(_exploded, "key long, rep long, role byte")
-    ties = stored(keys.repartition(parts, "key").mapInArrow(_ties, "a long, b long").distinct(), "ties")
     sig = stored(signed.select("doc_id", "n_shingles", "digest"), "set-digests")
+    first = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("rep"))
+    reps = stored(first.select("rep", "keys"), "representatives")
     unstore(signed)
     release(spark)
+    keys = reps.mapInArrow(_exploded, "key long, rep long, role byte")
+    ties = stored(keys.repartition(parts, "key").mapInArrow(_ties, "a long, b long").distinct(), "ties")
+    unstore(reps)
+    release(spark)
 
     families = stored(connected(ties), "families")
     wanted = rows.join(families.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").distinct()
