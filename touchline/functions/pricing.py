@@ -165,3 +165,17 @@ def xg_proxy(shots: Column, on_target: Column) -> Column:
 def xg_strict(shots: Column, on_target: Column) -> Column:
     """The same, null if either is missing."""
     return shots * 0.1 + on_target * 0.3
+
+
+def settlement_kelly(win: Column, half_win: Column, half_loss: Column, lose: Column, odds: Column, steps: int = 50) -> Column:
+    """Fraction of greatest expected log growth over the five settlements, by bisection on the slope; zero without an edge."""
+    b = odds - 1.0
+    outcomes = F.array(F.struct(win.alias("m"), b.alias("x")), F.struct(half_win.alias("m"), (b / 2.0).alias("x")), F.struct(half_loss.alias("m"), F.lit(-0.5).alias("x")), F.struct(lose.alias("m"), F.lit(-1.0).alias("x")))
+    slope = lambda o, f: F.aggregate(o, F.lit(0.0), lambda a, e: a + e["m"] * e["x"] / (1.0 + f * e["x"]))
+    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0 - 1e-9).alias("hi"))
+
+    def halve(o: Column, s: Column) -> Column:
+        return let((s["lo"] + s["hi"]) / 2.0, lambda mid: let(slope(o, mid) > 0, lambda up: F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"))))
+
+    solved = lambda o: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda s, _: halve(o, s), lambda s: (s["lo"] + s["hi"]) / 2.0)
+    return F.when(valid_price(odds), F.when(settlement_ev(win, half_win, half_loss, lose, odds) > 0, let(outcomes, solved)).otherwise(0.0))

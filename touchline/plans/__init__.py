@@ -1,3 +1,3 @@
 """Registered queries, by theme."""
 
-from . import aggregates, columns, features, joins, scores, selection, streams, text, value  # noqa: F401
+from . import aggregates, columns, features, joins, ledger, scores, selection, streams, text, value  # noqa: F401
