@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_bytes, stored
+from .base import as_bytes, release, stored, unstore
 
 MIN_MATCH = 100
 GRAM = 40
@@ -326,10 +326,14 @@ def repeated_spans(rows: DataFrame, total_bytes: int, least: int = MIN_MATCH) ->
     n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-int(total_bytes) // PARTITION_BYTES))
     runs = rows.mapInArrow(_anchored(least), "h long, d long, th long, place long").repartition(n, "h")
     marked = stored(runs.mapInArrow(_repeated, "h long, d long, th long, place long"), "repeated-grams")
+    release(rows.sparkSession)
     per_doc = marked.groupBy("d", "th").agg(F.collect_list(F.struct("h", "place")).alias("runs")).select("d", "th", F.col("runs.h").alias("hs"), F.col("runs.place").alias("places"))
     around = rows.join(per_doc, ["d", "th"]).select("d", "th", "text", "hs", "places").mapInArrow(_surroundings(least), "h long, d long, th long, place long, bytes binary")
     spans = around.repartition(n, "h").mapInArrow(_shard(least, gram), "d long, th long, s long, e long")
-    return stored(spans.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    spans = stored(spans.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
+    unstore(marked)
+    release(rows.sparkSession)
+    return spans
 
 
 def _finished(least: int, with_text: bool):
