@@ -83,12 +83,6 @@ def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 20_000) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), schema.types)], schema=schema)
 
 
-def n_chunks(df: DataFrame, column: str, target: int) -> int:
-    """How many chunks of about ``target`` characters a text column needs, from its whole length."""
-    total = df.agg(F.sum(F.length(column).cast("long"))).first()[0] or 0
-    return max(1, -(-int(total) // target))
-
-
 def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Label every vertex of ``edges(a, b)`` with the smallest vertex it can reach: columns ``id, comp``.
 

@@ -303,8 +303,8 @@ def cut(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with d (id, null first), th (a text hash where the id occurs in several rows, else 0) and ``copy``."""
+def keyed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` with d (id, null first), th (a text hash where the id occurs in several rows, else 0) and ``copy``; all bytes."""
     ids = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
     ids = stored(ids, "text-ids")
     shared = stored(ids.groupBy("d").agg(F.count("*").alias("n")).where("n > 1").select("d", F.lit(True).alias("shared")), "shared-ids")
