@@ -23,13 +23,14 @@ results; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import as_bytes, connected, release, stored, unstore
@@ -260,12 +261,30 @@ def _family_links(percent: int):
 
 
 def family_links(families: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """``a, b``: links of ``families(id, comp)`` over ``sets(id, tokens)``, block by block."""
-    sized = families.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
-    placed = families.join(sized, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("other")
-    placed = placed.select("comp", "id", "block", other).select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block")
-    rows = placed.join(sets, "id").select("comp", "i", "j", "id", "block", "tokens")
+    """``a, b``: links of ``families(id, comp)`` over ``sets(id, tokens)``, block by block.
+
+    Sets link only if the smaller has ``percent`` of the larger's size, so in a family of several blocks a block holds sets
+    of one size range, whose ratio is a little over 100 / ``percent``, and meets the blocks of its own range and the next ones.
+    """
+    sets = sets.withColumn("n", F.octet_length("tokens") / 8)
+    span = F.floor(F.log("n") / (math.log(100 / percent) + 0.001))
+    placed = families.join(sets.select("id", "n").distinct(), "id").withColumn("span", span)
+    counts = placed.groupBy("comp", "span").agg(F.count("*").alias("k"))
+    cuts = F.map_from_entries(F.collect_list(F.struct("span", F.ceil(F.col("k") / BLOCK))))  # an entry for each size range
+    placed = placed.join(counts.groupBy("comp").agg(F.sum("k").alias("size"), cuts.alias("cuts")), "comp")
+
+    def blocks(of: Column) -> Column:
+        first = F.shiftleft(of, 32)
+        n = F.try_element_at("cuts", of)
+        return F.when(n.isNull(), F.array().cast("array<bigint>")).otherwise(F.sequence(first, first + n - 1))
+
+    several = F.col("size") > BLOCK
+    own = F.shiftleft("span", 32) + F.pmod(F.xxhash64("id", "n"), F.try_element_at("cuts", F.col("span")))
+    met = F.concat(*(blocks(F.col("span") + k) for k in (-1, 0, 1)))
+    zero = F.lit(0).cast("long")
+    placed = placed.withColumn("block", F.when(several, own).otherwise(zero)).withColumn("other", F.explode(F.when(several, met).otherwise(F.array(zero))))
+    placed = placed.select("comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "n", "block")
+    rows = placed.join(sets, ["id", "n"]).select("comp", "i", "j", "id", "block", "tokens")
     return rows.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_family_links(percent), "a long, b long")
 
 
