@@ -265,6 +265,34 @@ def test_jaccard_on_edited_families(spark, width, percent, monkeypatch):
     assert got == brute_components({k: v.encode() for k, v in rows.items()}, width, percent)
 
 
+@pytest.mark.parametrize("block", [8, 4096])
+def test_family_of_many_sizes(spark, monkeypatch, block):
+    """A family whose sets differ widely in size keeps every link, in one block or in many."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    pool = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    sets = {i: pool[: int(rng.integers(1, 200))] for i in range(120)}
+    rows = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in sets.items()], "id long, tokens binary")
+    got = jaccard_join.family_links(rows.select("id", F.lit(0).cast("long").alias("comp")), rows, 80, 4).collect()
+    assert all(100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b])) for a, b in got)
+
+    def groups(pairs):
+        root = {i: i for i in sets}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in pairs:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        return {i: find(i) for i in sets}
+
+    every = [(a, b) for a in sets for b in sets if a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))]
+    assert groups((r.a, r.b) for r in got) == groups(every)
+
+
 def test_pigeonhole_never_misses():
     """Whatever few shingles two sets differ in, a probe of the larger meets an index entry of the smaller."""
     rng = np.random.default_rng(4)
