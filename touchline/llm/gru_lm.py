@@ -10,9 +10,8 @@ Scoring carries the state through all windows of a document, so the likelihood i
 
 Scale: documents are dealt into chunks by a hash of the id; a chunk reports its distinct word hashes, so shuffles grow with
 distinct words; counts return by an equi-join.  Texts become two bytes a token in a written table that training and
-scoring read.  Weights (about 40,000 numbers) and tables of fixed size are all that reaches the driver.  One training
-document in ``TRAIN_ONE_IN`` (by a hash of the id) is used for gradient steps, a share of the corpus at every size; counts
-and scores cover everything.
+scoring read.  Weights (about 40,000 numbers) and tables of fixed size are all that reaches the driver.  Gradient steps take every
+training document once, in one of ``ROUNDS`` rounds (by a hash of the id); counts and scores cover everything.
 
 Defined results: null text is empty (one token, its end); a null id counts as the empty text in the fold rule; repeated rows
 are counted and scored each; with no training documents N is 0 and the model untrained; empty tables give empty results;
@@ -46,7 +45,6 @@ CLASSES = HEAD_CLASSES + TAIL + 1
 WINDOW = 16
 STREAMS = 64
 SCORE_STREAMS = 768
-TRAIN_ONE_IN = 6
 ROUNDS = 2
 RATE = 0.01
 CHUNK_BYTES = 12 << 20
@@ -214,44 +212,66 @@ class Model:
     def gradient(self, x: np.ndarray, target: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(gradient vector, last state) of a window: arrays (steps, streams); dead places don't count."""
         g = Model(np.zeros_like(self.weights))
-        kept = []
-        for t in range(len(x)):
-            new, z, r, n, hn = self.step(x[t], h)
-            kept.append((h, z, r, n, hn))
-            h = np.where(live[t][:, None], new, h)
         steps, streams = x.shape
-        states = np.concatenate([*(k[0] for k in kept[1:]), h]) if steps > 1 else h
+        kind = self.weights.dtype
+        befores, zs, rs, ns, hns, states = (np.empty((steps, streams, HIDDEN), kind) for _ in range(6))
+        for t in range(steps):
+            befores[t] = h
+            new, zs[t], rs[t], ns[t], hns[t] = self.step(x[t], h)
+            h = new if live[t].all() else np.where(live[t][:, None], new, h)
+            states[t] = h
         flat, ok = target.ravel(), live.ravel()
-        logit = states @ self.wc + self.bc
-        p = np.exp(logit - logit.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
+        by_row = states.reshape(-1, HIDDEN)
+        p = self.wc.T @ by_row.T + self.bc[:, None]  # classes by rows
+        p -= p.max(0)
+        np.exp(p, out=p)
+        p /= p.sum(0)
         k = _CLASS_OF[flat]
-        p[np.arange(len(flat)), k] -= 1
-        p[~ok] = 0
-        g.wc += states.T @ p
-        g.bc += p.sum(0)
-        d_state = p @ self.wc.T
-        for c, at in _by_head_class(np.where(ok, k, CLASSES)):
-            inner = states[at] @ self.wh[c] + self.bh[c]
-            q = np.exp(inner - inner.max(1, keepdims=True))
+        p[k, np.arange(len(flat))] -= 1
+        p[:, ~ok] = 0
+        g.wc[:] = by_row.T @ p.T
+        g.bc[:] = p.sum(1)
+        d_state = np.ascontiguousarray((self.wc @ p).T)
+        parts = list(_by_head_class(np.where(ok, k, CLASSES)))
+        if parts:
+            order = np.concatenate([at for _, at in parts])
+            stop = np.cumsum([len(at) for _, at in parts]).tolist()
+            cuts = [(c, b - len(at), b) for (c, at), b in zip(parts, stop)]
+            mine = by_row[order]
+            q, back = np.empty((len(order), CLASS_WORDS), kind), np.empty((len(order), HIDDEN), kind)
+            for c, a, b in cuts:
+                np.matmul(mine[a:b], self.wh[c], out=q[a:b])
+            q += self.bh[k[order]]
+            q -= q.max(1, keepdims=True)
+            np.exp(q, out=q)
             q /= q.sum(1, keepdims=True)
-            q[np.arange(len(at)), flat[at] % CLASS_WORDS] -= 1
-            g.wh[c] += states[at].T @ q
-            g.bh[c] += q.sum(0)
-            d_state[at] += q @ self.wh[c].T
+            q[np.arange(len(order)), flat[order] % CLASS_WORDS] -= 1
+            for c, a, b in cuts:
+                np.matmul(mine[a:b].T, q[a:b], out=g.wh[c])
+                np.matmul(q[a:b], self.wh[c].T, out=back[a:b])
+                g.bh[c] = q[a:b].sum(0)
+            d_state[order] += back
         d_state = d_state.reshape(steps, streams, HIDDEN)
+        on = live[:, :, None]
+        by_n = (1 - zs) * (1 - ns * ns) * on
+        by_z = (befores - ns) * zs * (1 - zs) * on
+        by_r = hns * rs * (1 - rs)
+        carry = np.where(on, zs, kind.type(1))
+        pre, d_n = np.empty((steps, streams, 3 * HIDDEN), kind), np.empty((steps, streams, HIDDEN), kind)
         dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
-            before, z, r, n, hn = kept[t]
-            dh = np.where(live[t][:, None], dh + d_state[t], dh)
-            on = dh * live[t][:, None]
-            dn = on * (1 - z) * (1 - n * n)
-            dz = on * (before - n) * z * (1 - z)
-            dr = dn * hn * r * (1 - r)
-            pre = np.concatenate([dz, dr, dn * r], 1)
-            np.add.at(g.gx, x[t], np.concatenate([dz, dr, dn], 1))
-            g.u += before.T @ pre
-            dh = np.where(live[t][:, None], on * z + pre @ self.u.T, dh)
+            dh = dh + d_state[t]
+            np.multiply(dh, by_n[t], out=d_n[t])
+            np.multiply(dh, by_z[t], out=pre[t, :, :HIDDEN])
+            np.multiply(d_n[t], by_r[t], out=pre[t, :, HIDDEN : 2 * HIDDEN])
+            np.multiply(d_n[t], rs[t], out=pre[t, :, 2 * HIDDEN :])
+            dh = dh * carry[t] + pre[t] @ self.u.T
+        g.u[:] = befores.reshape(-1, HIDDEN).T @ pre.reshape(-1, 3 * HIDDEN)
+        pre[:, :, 2 * HIDDEN :] = d_n
+        order = np.argsort(x.ravel(), kind="stable")
+        ids = x.ravel()[order]
+        begin = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        g.gx[ids[begin]] = np.add.reduceat(pre.reshape(-1, 3 * HIDDEN)[order], begin, axis=0)
         return g.weights, h
 
 
@@ -268,19 +288,20 @@ def train(model: Model, docs: list[np.ndarray]) -> Model:
     w = model.weights.copy()
     model = Model(w)
     first, second, n = np.zeros_like(w), np.zeros_like(w), 0
-    waiting = iter(docs)
-    slots: list[np.ndarray | None] = [next(waiting, None) for _ in range(STREAMS)]
-    place = np.zeros(STREAMS, np.int64)
-    h = np.zeros((STREAMS, HIDDEN), np.float32)
-    while any(s is not None for s in slots):
-        x, y, live = np.full((WINDOW, STREAMS), START_ID), np.full((WINDOW, STREAMS), END_ID), np.zeros((WINDOW, STREAMS), bool)
-        for i, s in enumerate(slots):
-            if s is None:
-                continue
-            part = s[place[i] : place[i] + WINDOW + 1]
-            m = len(part) - 1
-            x[:m, i], y[:m, i], live[:m, i] = part[:-1], part[1:], True
-        grad, h = model.gradient(x, y, live, h)
+    if not docs:
+        return model
+    flat = np.concatenate(docs)
+    stops = np.cumsum(np.fromiter(map(len, docs), np.int64, len(docs)))
+    starts = np.r_[0, stops[:-1]]
+    taken = min(STREAMS, len(docs))
+    place, end = starts[:taken].copy(), stops[:taken].copy()
+    h = np.zeros((taken, HIDDEN), w.dtype)
+    ahead = np.arange(WINDOW + 1)[:, None]
+    while len(place):
+        at = place + ahead
+        ids = flat[np.minimum(at, len(flat) - 1)]
+        live = at[1:] < end
+        grad, h = model.gradient(ids[:-1], np.where(live, ids[1:], END_ID), live, h)
         grad /= max(1, live.sum())
         grad *= min(1.0, 1.0 / (np.sqrt(float(grad @ grad)) + 1e-9))
         n += 1
@@ -288,10 +309,14 @@ def train(model: Model, docs: list[np.ndarray]) -> Model:
         second += 0.01 * (grad * grad - second)
         w -= RATE * (first / (1 - 0.9**n)) / (np.sqrt(second / (1 - 0.99**n)) + 1e-6)
         place += WINDOW
-        for i, s in enumerate(slots):
-            if s is not None and place[i] >= len(s) - 1:
-                slots[i], place[i] = next(waiting, None), 0
-                h[i] = 0
+        done = np.flatnonzero(place >= end - 1)
+        if len(done):
+            more = done[: len(docs) - taken]
+            place[more], end[more] = starts[taken : taken + len(more)], stops[taken : taken + len(more)]
+            h[more] = 0
+            taken += len(more)
+            if len(more) < len(done):
+                place, end, h = (np.delete(v, done[len(more) :], 0) for v in (place, end, h))
     return model
 
 
@@ -322,13 +347,16 @@ def _averaged(rows: pa.Table) -> pa.Table:
     return pa.table([pa.array([int(n.sum())]), pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=["tokens", "weights"])
 
 
-def trained(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, one_in: int = TRAIN_ONE_IN) -> Model:
-    """Weights after ``rounds`` rounds; each takes its own part of the chosen training documents."""
+def of_round(encoded: DataFrame, k: int, rounds: int = ROUNDS) -> DataFrame:
+    """Training documents of round ``k``; every training document is in exactly one round."""
+    return encoded.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rounds)) == k))
+
+
+def trained(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
+    """Weights after ``rounds`` rounds; the rounds share all training documents out between them."""
     model = Model.fresh(vocabulary)
-    pick = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(one_in * rounds))
     for k in range(rounds):
-        rows = encoded.where(~F.col("held_out") & (pick == k)).select("ids")
-        parts = rows.mapInArrow(_trainer(model.weights), "part int, tokens long, weights binary")
+        parts = of_round(encoded, k, rounds).select("ids").mapInArrow(_trainer(model.weights), "part int, tokens long, weights binary")
         means = parts.groupBy("part").applyInArrow(_averaged, "tokens long, weights binary").collect()  # at most PARTS_AVERAGED rows
         if means:
             total = sum(r["tokens"] for r in means)
@@ -382,7 +410,7 @@ def _scorer(weights: np.ndarray, train_tokens: int):
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def lm_scores(docs: DataFrame, rounds: int = ROUNDS, one_in: int = TRAIN_ONE_IN) -> DataFrame:
+def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every document row."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -411,6 +439,6 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS, one_in: int = TRAIN_ONE_IN)
     encoded = stored(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_encoder(vocabulary), ENCODED), "encoded")
     unstore(pre, counts)
     release(spark)
-    model = trained(encoded, vocabulary, rounds, one_in)
+    model = trained(encoded, vocabulary, rounds)
     columns = encoded.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "tail_score", "ids")
     return columns.mapInArrow(_scorer(model.weights, tokens), SCORES)
