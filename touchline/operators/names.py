@@ -1,4 +1,4 @@
-"""Names to known entities: by folded key, by unique alias, then by similarity within a block of the key's first letter."""
+"""Names to known entities: by folded key, by unique alias, then by similarity to every known key."""
 
 from __future__ import annotations
 
@@ -23,15 +23,16 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 def resolve(names: DataFrame, entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``name, entity, score, step`` for distinct names; ``entities``: entity, alias.  Unmatched names keep their best score.
 
-    Keys that several entities share match none.  Only names left over are compared, and only within their first letter.
+    Keys that several entities share match none.  Names left over are compared with every key, so best scores are exact.
     """
     known = entities.select("entity", folded_key(F.col("alias")).alias("key")).distinct()
     unique = known.groupBy("key").agg(F.count("*").alias("n"), F.min("entity").alias("entity")).where("n = 1").drop("n")
     asked = names.select("name").distinct().withColumn("key", folded_key(F.col("name")))
     exact = asked.join(unique, "key").select("name", "entity", F.lit(1.0).alias("score"), F.lit("key").alias("step"))
-    left = asked.join(unique, "key", "left_anti").withColumn("block", F.substring("key", 1, 1))
-    pairs = left.join(known.withColumnRenamed("key", "other").withColumn("block", F.substring("other", 1, 1)), "block", "left")
-    scored = pairs.withColumn("score", F.when(F.col("other").isNotNull(), similarity("key", "other")).otherwise(0.0))
+    left = asked.join(unique, "key", "left_anti")
+    pairs = left.where("key IS NOT NULL").crossJoin(known.where("key IS NOT NULL").withColumnRenamed("key", "other"))
+    scored = pairs.select("name", "entity", similarity("key", "other").alias("score"))
+    scored = scored.unionByName(left.select("name", F.lit(0.0).alias("score")), allowMissingColumns=True)  # names that meet no key
     best = scored.groupBy("name").agg(F.max_by(F.struct("entity", "score"), F.struct(F.col("score"), -F.col("entity"))).alias("b"))
     fuzzy = best.select("name", F.when(F.col("b.score") >= threshold, F.col("b.entity")).alias("entity"), "b.score", F.when(F.col("b.score") >= threshold, "fuzzy").otherwise("staged").alias("step"))
     return exact.unionByName(fuzzy)
