@@ -23,3 +23,26 @@ def test_names_are_compared_across_first_letters(spark):
     assert got["rsenl"].step == "staged" and abs(got["rsenl"].score - best) < 1e-9
     assert got[None].step == "staged" and got[None].score == 0
     assert [r.step for r in N.resolve(asked, known.limit(0)).collect()] == ["staged"] * 4
+
+
+def test_every_match_asks_for_a_result_and_its_rest(spark):
+    rows = domain(spark, SMALL, "matches").select("match_id", "home", "away", "match_date").collect()
+    near, rest = {}, {}
+    for r in rows:
+        day = r.match_date + dt.timedelta(r.match_id % 3 - 1)
+        found = [(m.match_id % 6 == 0, abs((m.match_date - day).days), m.match_id) for m in rows if (m.home, m.away) == (r.home, r.away) and abs((m.match_date - day).days) <= 1]
+        if found:
+            near[r.match_id] = min(found)[2]
+        rest[r.match_id] = min(((r.match_date - m.match_date).days for m in rows if r.home in (m.home, m.away) and m.match_date < r.match_date), default=None)
+    assert {r.bet_id: r.match_id for r in QUERIES["nearest_result_of_every_match"](spark, SMALL).collect()} == near and len(near) == len(rows)
+    assert {r.match_id: r.rest for r in QUERIES["rest_lookup_of_every_match"](spark, SMALL).collect()} == rest
+
+
+def test_every_quote_opens_a_window(spark):
+    rows = domain(spark, SMALL, "quotes").select("quote_id", "match_id", "observed_at").collect()
+    at = [(r.quote_id, r.match_id, int((r.observed_at - dt.datetime(1970, 1, 1)).total_seconds() // 1)) for r in rows]
+    by_match = {}
+    for _, m, t in at:
+        by_match.setdefault(m, []).append(t)
+    want = {q: sum(t <= u < t + 7200 for u in by_match[m]) for q, m, t in at}
+    assert {r.w_id: r.n for r in QUERIES["range_join_windows_of_every_quote"](spark, SMALL).collect()} == want

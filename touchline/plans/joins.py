@@ -34,9 +34,21 @@ SELECT bet_id, match_id FROM r WHERE k = 1""",
     ("matches",),
 )
 def nearest_result_within_a_day(spark, sf_dir):
-    """Rows with a result win over nearer rows without; one match in six stands for those without."""
+    """The asking side of the SQL is one match in four; ``nearest_result_of_every_match`` asks for all."""
+    m = domain(spark, sf_dir, "matches")
+    return _nearest_results(m, m.where("match_id % 4 = 0"))
+
+
+@query("nearest_result_of_every_match")
+def nearest_result_of_every_match(spark, sf_dir):
+    """Tested by brute force."""
     m = domain(spark, sf_dir, "matches")
-    bets = m.where("match_id % 4 = 0").select(F.col("match_id").alias("bet_id"), "home", "away", F.date_add("match_date", (F.col("match_id") % 3 - 1).cast("int")).alias("day"))
+    return _nearest_results(m, m)
+
+
+def _nearest_results(m, asked):
+    """Rows with a result win over nearer rows without; one match in six stands for those without."""
+    bets = asked.select(F.col("match_id").alias("bet_id"), "home", "away", F.date_add("match_date", (F.col("match_id") % 3 - 1).cast("int")).alias("day"))
     gap = F.abs(F.date_diff("match_date", "day"))
     order = [F.when(F.col("match_id") % 6 == 0, 1).otherwise(0), gap, F.col("match_id")]
     return J.nearest_within(bets, m.select("match_id", "home", "away", "match_date"), ["home", "away"], gap, gap <= 1, "bet_id", order).where("match_id IS NOT NULL").select("bet_id", "match_id")
@@ -63,9 +75,20 @@ SELECT w_id, count(*) AS n FROM p JOIN w ON p.match_id = w.match_id AND moment >
     ("quotes",),
 )
 def range_join_windows(spark, sf_dir):
-    """Quotes within the two hours from every fifth quote of their match."""
+    """The SQL opens a window at every fifth quote; ``range_join_windows_of_every_quote`` at each."""
+    return _two_hours(spark, sf_dir, F.col("quote_id") % 5 == 0)
+
+
+@query("range_join_windows_of_every_quote")
+def range_join_windows_of_every_quote(spark, sf_dir):
+    """Tested by brute force."""
+    return _two_hours(spark, sf_dir, F.lit(True))
+
+
+def _two_hours(spark, sf_dir, opens):
+    """Quotes within the two hours from each quote of their match that opens a window."""
     p = domain(spark, sf_dir, "quotes").select("quote_id", "match_id", F.unix_seconds(F.col("observed_at").cast("timestamp")).alias("at"))
-    w = p.where("quote_id % 5 = 0").select("match_id", F.col("at").alias("low"), (F.col("at") + 7200).alias("high"), F.col("quote_id").alias("w_id"))
+    w = p.where(opens).select("match_id", F.col("at").alias("low"), (F.col("at") + 7200).alias("high"), F.col("quote_id").alias("w_id"))
     return J.within_bands(p, w, "match_id", "at", "low", "high", 7200).groupBy("w_id").agg(F.count("*").alias("n"))
 
 
@@ -125,10 +148,20 @@ SELECT f.match_id, CAST(date_diff('day', max(a.match_date), any_value(day)) AS I
     ("matches",),
 )
 def rest_lookup_as_of(spark, sf_dir):
-    """Days since the home side's last earlier match, for chosen fixtures."""
-    m = domain(spark, sf_dir, "matches")
+    """The SQL asks for one match in nine; ``rest_lookup_of_every_match`` for all."""
+    return _rest(domain(spark, sf_dir, "matches"), F.col("match_id") % 9 == 0)
+
+
+@query("rest_lookup_of_every_match")
+def rest_lookup_of_every_match(spark, sf_dir):
+    """Tested by brute force."""
+    return _rest(domain(spark, sf_dir, "matches"), F.lit(True))
+
+
+def _rest(m, asks):
+    """Days since the home side's last earlier match, for the matches that ask."""
     played = m.select(F.explode(F.array("home", "away")).alias("team"), F.date_add("match_date", 1).alias("from"), F.col("match_date").alias("last"), F.unix_date("match_date").alias("n")).distinct()
-    asked = m.where("match_id % 9 = 0").select("match_id", F.col("home").alias("team"), F.col("match_date").alias("day"))
+    asked = m.where(asks).select("match_id", F.col("home").alias("team"), F.col("match_date").alias("day"))
     return J.as_of(asked, played, "team", "day", "from", ["last"], "n").select("match_id", F.date_diff("day", "last").alias("rest"))
 
 
