@@ -46,3 +46,11 @@ def test_every_quote_opens_a_window(spark):
         by_match.setdefault(m, []).append(t)
     want = {q: sum(t <= u < t + 7200 for u in by_match[m]) for q, m, t in at}
     assert {r.w_id: r.n for r in QUERIES["range_join_windows_of_every_quote"](spark, SMALL).collect()} == want
+
+
+def test_folds_follow_the_dates_of_the_matches(spark):
+    day = lambda *d: spark.createDataFrame([(x,) for x in d], "match_date date")
+    got = B.folds_of(day(dt.date(1995, 1, 1), dt.date(2001, 8, 1)), 1, 6)
+    assert got[0] == (dt.date(1996, 1, 1), dt.date(1996, 7, 1)) and got[-1] == (dt.date(2001, 7, 1), dt.date(2002, 1, 1)) and len(got) == 12
+    assert B.folds_of(day(dt.date(2020, 1, 1), dt.date(2021, 1, 1)), 1, 6) == [(dt.date(2021, 1, 1), dt.date(2021, 7, 1))]
+    assert B.folds_of(day(), 1, 6) == [(dt.date.max, dt.date.max)]

@@ -1,6 +1,6 @@
 """Walk-forward backtest: strengths fitted before each fold, fixtures priced, gated, staked by day and settled.
 
-Folds are few and known in advance, so each is one branch of the plan; inside a fold everything is joins and aggregations.
+Folds are few and known from the first and last date, so each is one branch of the plan; inside a fold everything is joins and aggregations.
 Stakes of a day are shares of the bankroll at its opening, so the bankroll is a running product over days.
 """
 
@@ -19,14 +19,15 @@ EV_BAND = (0.05, 0.50)
 SLOTS = 5
 
 
-def folds(first: dt.date, last: dt.date, train_years: int = 2, months: int = 6) -> list[tuple[dt.date, dt.date]]:
-    """Half-open test windows; a fold trains on all before it."""
+def plus(d: dt.date, m: int) -> dt.date:
+    """``m`` months later, at most the month's last day."""
+    y, mo = divmod(d.year * 12 + d.month - 1 + m, 12)
+    days = (dt.date(y + (mo == 11), (mo + 1) % 12 + 1, 1) - dt.timedelta(1)).day
+    return dt.date(y, mo + 1, min(d.day, days))
 
-    def plus(d: dt.date, m: int) -> dt.date:
-        y, mo = divmod(d.year * 12 + d.month - 1 + m, 12)
-        days = (dt.date(y + (mo == 11), (mo + 1) % 12 + 1, 1) - dt.timedelta(1)).day
-        return dt.date(y, mo + 1, min(d.day, days))
 
+def folds(first: dt.date, last: dt.date, train_years: int = 2, months: int = 6) -> list[tuple[dt.date, dt.date]]:
+    """Half-open test windows; a fold trains on all before it."""
     out, k = [], 0
     while (b := plus(first, 12 * train_years + months * (k + 1))) <= last:
         out.append((plus(first, 12 * train_years + months * k), b))
@@ -34,6 +35,16 @@ def folds(first: dt.date, last: dt.date, train_years: int = 2, months: int = 6)
     return out
 
 
+def folds_of(matches: DataFrame, train_years: int = 2, months: int = 6) -> list[tuple[dt.date, dt.date]]:
+    """Test windows that hold every match after the first training span; the last may reach beyond the last match."""
+    first, last = matches.agg(F.min("match_date"), F.max("match_date")).first()
+    if first is None or last < plus(first, 12 * train_years):
+        return [(dt.date.max, dt.date.max)]  # nothing to test: one empty window
+    windows = folds(first, last, train_years, months)
+    begin = windows[-1][1] if windows else plus(first, 12 * train_years)
+    return windows + ([(begin, plus(first, 12 * train_years + months * (len(windows) + 1)))] if last >= begin else [])
+
+
 def priced_fold(matches: DataFrame, begin: dt.date, end: dt.date) -> DataFrame:
     """Outcome probabilities of a fold's matches by strengths of the matches before it."""
     fit = models.fit_strengths(matches.where(F.col("match_date") < F.lit(begin)))

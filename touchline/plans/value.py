@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -45,10 +43,11 @@ def value_bets(spark, sf_dir):
 
 @query("walk_forward_backtest")
 def walk_forward_backtest(spark, sf_dir):
-    """Bankroll by day over folds of half a year; strengths are refitted for each fold, so there is no SQL."""
+    """Bankroll by day over folds of half a year from a year after the first match to the last; strengths are refitted for each
+    fold, so there is no SQL."""
     matches = domain(spark, sf_dir, "matches")
     odds = domain(spark, sf_dir, "odds").select("match_id", first_family().alias("o")).select("match_id", "o.h", "o.d", "o.a")
-    return B.ledger(B.walk_forward(matches, odds, B.folds(dt.date(1999, 1, 1), dt.date(2001, 7, 1), 1, 6)))
+    return B.ledger(B.walk_forward(matches, odds, B.folds_of(matches, 1, 6)))
 
 
 @query("name_resolution")
