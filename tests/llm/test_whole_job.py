@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from touchline.llm import gru_lm
+from touchline.llm import gru_lm, ngram_quality, quality_rules
 
 
 def test_gru_rounds_share_out_all_training_documents(spark):
@@ -18,3 +18,13 @@ def test_gru_training_takes_every_document(spark, monkeypatch):
     monkeypatch.setattr(gru_lm, "of_round", lambda encoded, k, rounds=gru_lm.ROUNDS: taken.append(real(encoded, k, rounds).count()) or real(encoded, k, rounds))
     rows = gru_lm.lm_scores(docs).collect()
     assert len(rows) == 200 and sum(taken) == sum(not r.held_out for r in rows)
+
+
+def test_few_trusted_documents_take_the_pooled_threshold(spark):
+    assert ngram_quality.ORDER == 5
+    rows = [(i, f"plain words number {i} of the usual kind", "aa" if i < 200 else "bb") for i in range(203)] + [(900, "plain words number 5 of the usual kind", "bb")]
+    docs = spark.createDataFrame([*rows, (901, "\x01\x02 zq#%& 0x7f~~" * 60, "aa")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(203)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in ngram_quality.quality_classifier(docs, labels).collect()}
+    assert len(got) == 205 and all(r.perplexity is not None and r.threshold is not None for r in got.values())
+    assert not got[901].kept and got[5].kept

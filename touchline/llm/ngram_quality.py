@@ -10,8 +10,9 @@ with their trusted counts, so what is shuffled grows with distinct n-grams, not
 context totals and discounts are DataFrame aggregations; probabilities are equi-joins of the n-grams that occur with
 count tables sharded by language and n-gram.  They go back to the chunks that asked.  Nothing is broadcast or collected.
 
-Defined results: null text is empty (its end is scored); null language is a language of its own; without enough trusted
-text a language has no threshold and keeps all, its perplexities being null; null ids are untrusted; repeated rows score
+Defined results: null text is empty (its end is scored); null language is a language of its own; a language with too little
+trusted held-out text has its median plus the pooled excess of all such text over its languages' medians as threshold; with
+too little altogether there are no thresholds, all are kept and perplexities are null; null ids are untrusted; repeated rows score
 alike; empty tables give empty results; extra columns are ignored.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .base import as_bytes, release, stored, unstore
 
-ORDER = 4
+ORDER = 5
 FOLDS = 5
 QUANTILE = 0.99
 MARGIN = 0.05
@@ -206,9 +207,13 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUA
     per_byte = -F.col("log10_prob") / F.col("n_bytes")
     middle = stored(scores.groupBy(F.col("lang").alias("m_lang")).agg(F.percentile_approx(per_byte, 0.5, 10_000).alias("middle")), "medians")
     drawn = scores.join(middle, F.col("lang") == F.col("m_lang")).drop("m_lang")
-    drawn = drawn.withColumn("bits", (-F.col("log10_prob") + PRIOR_BYTES * F.col("middle")) / (F.col("n_bytes") + PRIOR_BYTES)).drop("middle")
-    limits = drawn.join(trusted_ids(labels).where("held_out"), "doc_id", "left_semi").groupBy(F.col("lang").alias("t_lang"))
-    limits = limits.agg((F.percentile_approx("bits", quantile, 10_000) + F.lit(margin)).alias("limit"), F.count("*").alias("n")).where(F.col("n") >= MIN_HELD_OUT).drop("n")
-    out = drawn.join(stored(limits, "thresholds"), F.col("lang") == F.col("t_lang"), "left")
+    drawn = drawn.withColumn("bits", (-F.col("log10_prob") + PRIOR_BYTES * F.col("middle")) / (F.col("n_bytes") + PRIOR_BYTES))
+    held = drawn.join(trusted_ids(labels).where("held_out"), "doc_id", "left_semi")
+    limit = lambda c: F.when(F.count("*") >= MIN_HELD_OUT, F.percentile_approx(c, quantile, 10_000) + F.lit(margin))
+    own = held.groupBy(F.col("lang").alias("t_lang")).agg(limit("bits").alias("own"))
+    pooled = held.agg(limit(F.col("bits") - F.col("middle")).alias("excess"))
+    limits = middle.crossJoin(F.broadcast(pooled)).join(own, F.col("m_lang") == F.col("t_lang"), "left")  # one row is broadcast
+    limits = limits.select(F.col("m_lang").alias("t_lang"), F.coalesce("own", F.col("middle") + F.col("excess")).alias("limit"))
+    out = drawn.drop("middle").join(stored(limits, "thresholds"), F.col("lang") == F.col("t_lang"), "left")
     perplexity = F.when(F.col("limit").isNotNull(), F.pow(F.lit(10.0), F.col("bits")))
     return out.select("doc_id", "lang", "n_bytes", "log10_prob", perplexity.alias("perplexity"), F.pow(F.lit(10.0), F.col("limit")).alias("threshold"), (F.col("limit").isNull() | (F.col("bits") <= F.col("limit"))).alias("kept"))
