@@ -20,6 +20,15 @@ def test_gru_training_takes_every_document(spark, monkeypatch):
     assert len(rows) == 200 and sum(taken) == sum(not r.held_out for r in rows)
 
 
+def test_good_rows_keep_their_own_verdict(spark):
+    good = " ".join(f"word{i}" for i in range(40))
+    bad = "too short"
+    rows = [(None, good, "en", "s"), (None, bad, "en", "s"), (7, good, "en", "s"), (7, bad, "en", "s"), (8, good, None, None), (9, None, None, "s")]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, lang string, source string, n_words int")
+    kept = [(r.doc_id, r.text) for r in quality_rules.keep_good(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(None, good), (7, good), (8, good)], key=str)
+
+
 def test_few_trusted_documents_take_the_pooled_threshold(spark):
     assert ngram_quality.ORDER == 5
     rows = [(i, f"plain words number {i} of the usual kind", "aa" if i < 200 else "bb") for i in range(203)] + [(900, "plain words number 5 of the usual kind", "bb")]

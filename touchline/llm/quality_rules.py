@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import as_bytes, stored, unstore
@@ -55,9 +55,9 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x2
 
 STATS = pa.schema(
     [("doc_id", pa.int64()), ("lang", pa.string()), ("source", pa.string())]
-    + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks")]
+    + [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_marks", "text_key")]
 )
-STATS_DDL = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long"
+STATS_DDL = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_upper long, n_marks long, text_key long"
 
 
 def repeated_window_words(words: list[bytes], width: int = WINDOW) -> int:
@@ -96,12 +96,16 @@ def _stats(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         rows = [text_counts(t) for t in as_bytes(b.column(3))]
         cols = list(zip(*rows)) if rows else [[]] * 7
-        yield pa.RecordBatch.from_arrays([*(b.column(i).cast(t) for i, t in enumerate(STATS.types[:3])), *(pa.array(c, pa.int64()) for c in cols)], schema=STATS)
+        yield pa.RecordBatch.from_arrays([*(b.column(i).cast(t) for i, t in enumerate(STATS.types[:3])), *(pa.array(c, pa.int64()) for c in cols), b.column(4)], schema=STATS)
+
+
+def _text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
-    """One row of counts per document."""
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text")]
+    """One row of counts per document, with a hash of its text."""
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"), _text_key().alias("text_key")]
     return docs.select(*cols).mapInArrow(_stats, STATS_DDL)
 
 
@@ -200,8 +204,8 @@ def mcd(rows: DataFrame, h_share: float = H_SHARE, steps: int = STEPS) -> DataFr
     return best.join(scale, "grp")
 
 
-def outlier_verdicts(stats: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
-    """``stats`` with ``base_failed``, ``distance`` (null where no group is large enough) and ``kept``."""
+def outlier_verdicts(stats: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, also: tuple[str, ...] = ()) -> DataFrame:
+    """``stats`` with ``base_failed``, ``distance`` (null where no group is large enough), ``kept`` and the columns ``also``."""
     stats = with_features(with_base_rule(stats))
     fit_rows = _grouped(stats.where("NOT base_failed"), min_group)
     fit_rows = stored(fit_rows.select("doc_id", "lang", "source", "grp", *FEATURES), "features")
@@ -216,7 +220,7 @@ def outlier_verdicts(stats: DataFrame, cutoff: float = CUTOFF, min_group: int =
     terms = [d[i] * d[j] * F.col(f"q{i}_{j}") * (1.0 if i == j else 2.0) for i in range(P) for j in range(i, P)]
     judged = joined.withColumn("distance", sum(terms[1:], terms[0]) / F.col("scale"))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept"
+        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept", *also
     )
 
 
@@ -226,6 +230,12 @@ def quality_rules(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_
 
 
 def keep_good(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
-    """The documents that ``quality_rules`` keeps, with the columns they came with.  Null ids can't be looked up and go."""
-    kept = quality_rules(docs, cutoff, min_group).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    """The documents that ``quality_rules`` keeps, with the columns they came with.
+
+    A verdict follows from language, source and text, so these find a row's own verdict also if its id is null or shared.
+    """
+    kept = outlier_verdicts(stored(document_stats(docs), "doc-stats"), cutoff, min_group, ("text_key",)).where("kept")
+    kept = kept.select(*(F.col(c).alias(f"_kept_{c}") for c in ("doc_id", "lang", "source", "text_key"))).distinct()
+    own = {"doc_id": F.col("doc_id").cast("long"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string"), "text_key": _text_key()}
+    same = [v.eqNullSafe(F.col(f"_kept_{c}")) for c, v in own.items()]
+    return docs.join(kept, same, "left_semi")
