@@ -54,3 +54,13 @@ def test_folds_follow_the_dates_of_the_matches(spark):
     assert got[0] == (dt.date(1996, 1, 1), dt.date(1996, 7, 1)) and got[-1] == (dt.date(2001, 7, 1), dt.date(2002, 1, 1)) and len(got) == 12
     assert B.folds_of(day(dt.date(2020, 1, 1), dt.date(2021, 1, 1)), 1, 6) == [(dt.date(2021, 1, 1), dt.date(2021, 7, 1))]
     assert B.folds_of(day(), 1, 6) == [(dt.date.max, dt.date.max)]
+
+
+def test_signals_of_many_files_out_of_order(spark, tmp_path):
+    order = list(range(30))
+    random.Random(3).shuffle(order)
+    assert order[0] < 27
+    for k, d in enumerate([29, *[x for x in order if x != 29]]):
+        row = {"event_id": [399], "ts": [pd.Timestamp(2024, 1, 1 + d, 12)], "user_id": [d], "event_type": ["view"], "value": [1.0], "props": ["{}"]}
+        pd.DataFrame(row).astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / f"events-{k:02d}.parquet")
+    assert QUERIES["stream_signals_once"](spark, str(tmp_path)).count() == 30

@@ -26,7 +26,8 @@ def stream_price_windows(spark, sf_dir):
     ("quotes",),
 )
 def stream_signals_once(spark, sf_dir):
-    table = jobs.run_to_table(jobs.signals_once(jobs.quote_stream(spark, f"{sf_dir}/events*.parquet")), "signals")
+    """A replay of all files in one batch: files come in no order of time, and later batches would drop late rows."""
+    table = jobs.run_to_table(jobs.signals_once(jobs.quote_stream(spark, f"{sf_dir}/events*.parquet", None)), "signals")
     return table.select("match_id", "book", F.col("day").cast("timestamp_ntz").alias("day"))
 
 

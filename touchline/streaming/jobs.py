@@ -15,9 +15,10 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 WATERMARK = "3 days"
 
 
-def quote_stream(spark: SparkSession, path: str, files_a_batch: int = 10) -> DataFrame:
-    """Quotes from a growing folder of event files."""
-    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_a_batch).parquet(path)
+def quote_stream(spark: SparkSession, path: str, files_a_batch: int | None = 10) -> DataFrame:
+    """Quotes from a growing folder of event files; ``None`` reads all that is there in one batch, whatever its order in time."""
+    reader = spark.readStream.schema(EVENTS)
+    raw = (reader if files_a_batch is None else reader.option("maxFilesPerTrigger", files_a_batch)).parquet(path)
     return raw.select(F.col("event_id").alias("quote_id"), (F.col("user_id") % 50).alias("match_id"), F.col("ts").cast("timestamp").alias("observed_at"), F.col("event_type").alias("book"), (1.0 + F.col("event_id") % 400 * 1e-2).alias("price"))
 
 
