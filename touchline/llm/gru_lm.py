@@ -5,13 +5,15 @@ add-half unigram ``base_score`` and the model's vocabulary: the ``HEAD`` commone
 frequency, whose probability within the class depends on the state; and tail classes by word ending and count, within
 which a word's probability comes from the counts (unseen words share the class of words seen once, by Good-Turing).  The
 recurrent state predicts the class.  Untrained, the model is the class unigram; training is truncated backpropagation
-(``WINDOW`` steps, state carried on) by Adam on every partition, with weighted averages of the weights after each round.
+(``WINDOW`` steps, state carried on) by Adam on every chunk, with weighted averages of the weights after each round.
 Scoring carries the state through all windows of a document, so the likelihood is that of the complete text.
 
-Scale: documents are dealt into chunks by a hash of the id; a chunk reports its distinct word hashes, so shuffles grow with
-distinct words; counts return by an equi-join.  Texts become two bytes a token in a written table that training and
-scoring read.  Weights (about 40,000 numbers) and tables of fixed size are all that reaches the driver.  Gradient steps take every
-training document once, in one of ``ROUNDS`` rounds (by a hash of the id); counts and scores cover everything.
+Scale: documents are dealt into chunks by a hash of id and text; a chunk reports its distinct word hashes, so shuffles grow
+with distinct words; counts return by an equi-join.  Texts become two bytes a token in a written table that training and
+scoring read.  Weights (about 40,000 numbers) are averaged in a tree; a few of them and tables of fixed size are all that
+reaches the driver.  Gradient steps take every training document once, in one of ``ROUNDS`` rounds (by a hash of the id);
+counts and scores cover everything.  Chunks depend on the rows alone, and a chunk trains in the order of its ids, so scores
+do not depend on partitions or on the size of the cluster.
 
 Defined results: null text is empty (one token, its end); a null id counts as the empty text in the fold rule; repeated rows
 are counted and scored each; with no training documents N is 0 and the model untrained; empty tables give empty results;
@@ -45,28 +47,55 @@ CLASSES = HEAD_CLASSES + TAIL + 1
 WINDOW = 16
 STREAMS = 64
 SCORE_STREAMS = 768
-ROUNDS = 2
+ROUNDS = 4
 RATE = 0.01
 CHUNK_BYTES = 12 << 20
-PARTS_AVERAGED = 32
+#: Weights averaged by one task.
+FAN_IN = 32
+#: Letters of a word that are hashed for all words at once.
+SHORT = 64
 
 _CLASS_OF = np.concatenate([np.arange(HEAD) // CLASS_WORDS, HEAD_CLASSES + np.arange(TAIL + 1)]).astype(np.int64)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_LETTER = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)[_LOWER]
+_ODD, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def hashes_and_endings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, ending groups, words per text) of lower-cased texts."""
-    cut = [words_of(t) for t in texts]
-    n = np.fromiter(map(len, cut), np.int64, len(cut))
-    h = np.fromiter((x for words in cut for x in map(xxhash.xxh64_intdigest, words)), np.uint64, int(n.sum())).view(np.int64)
-    raw = np.frombuffer(b" " + b" ".join(t.lower() for t in texts) + b" ", np.uint8)
+    """(word hashes, ending groups, words per text) of lower-cased texts.
+
+    Words are hashed letter by letter, all words at once, longest first; words beyond ``SHORT`` letters one by one.
+    """
+    raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    last = np.flatnonzero(~space[:-1] & space[1:])
-    ending = ((raw[last].astype(np.int64) * 31 + raw[last - 1]) * 2654435761 >> 16) % ENDINGS
-    return h, ending, n
+    begin = (np.flatnonzero(space[:-1] & ~space[1:]) + 1).astype(np.int32 if len(raw) < 1 << 31 else np.int64)
+    last = np.flatnonzero(~space[:-1] & space[1:]).astype(begin.dtype)
+    length = last - begin + 1
+    text_end = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    n = np.diff(np.searchsorted(begin, text_end, "right"), prepend=0)
+    short = np.minimum(length, SHORT + 1).astype(np.uint8)
+    order = np.argsort(short, kind="stable")[::-1]
+    first, many = begin[order], len(order) - np.cumsum(np.bincount(short, minlength=SHORT + 2))
+    h = np.zeros(len(order), np.uint64)
+    for i in range(SHORT):
+        m = int(many[i])  # words of more than i letters
+        if not m:
+            break
+        h[:m] ^= _LETTER[raw[first[:m] + i]]
+        h[:m] *= _ODD
+        h[:m] ^= h[:m] >> np.uint64(29)
+    h *= _END
+    h ^= h >> np.uint64(32)
+    out = np.empty(len(order), np.uint64)
+    out[order] = h
+    for k in order[: int(many[SHORT])].tolist():
+        out[k] = xxhash.xxh64_intdigest(raw[begin[k] : last[k] + 1].tobytes().lower())
+    lower = _LOWER[raw[last]].astype(np.int64)
+    ending = ((lower * 31 + np.where(length > 1, _LOWER[raw[last - 1]], 32)) * 2654435761 >> 16) % ENDINGS
+    return out.view(np.int64), ending, n
 
 
 PRE = "chunk int, h long, ending int, n long, docs long"
@@ -121,11 +150,11 @@ class Vocabulary:
         return np.log10((c + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
 
-ENCODED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, tail_score double, ids binary"
+ENCODED = "chunk int, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, tail_score double, ids binary"
 
 
 def _encoder(v: Vocabulary):
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "tail_score", "ids"]
+    names = ["chunk", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "tail_score", "ids"]
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         h, c, ending = (answers.column(k).to_numpy() for k in ("h", "c", "ending"))
@@ -136,6 +165,7 @@ def _encoder(v: Vocabulary):
         out = []
         texts, doc_ids, held = as_bytes(docs.column("text")), docs.column("doc_id").to_pylist(), docs.column("held_out").to_pylist()
         known = (c > 0).astype(np.float64)
+        chunk = docs.column("chunk")[0].as_py() if len(texts) else None
         for at in range(0, len(texts), 500):
             part = texts[at : at + 500]
             wh, _, n = hashes_and_endings(part)
@@ -144,9 +174,9 @@ def _encoder(v: Vocabulary):
             sums = [_segment_sums(x[place] if len(place) else np.empty(0), n) for x in (base, tail, known)]
             coded = ids[place] if len(place) else np.empty(0, np.int16)
             for k, (a, b) in enumerate(zip((stop - n).tolist(), stop.tolist())):
-                out.append((doc_ids[at + k], held[at + k], int(n[k]) + 1, int(sums[2][k]) + (v.docs > 0), float(sums[0][k]) + end_base, float(sums[1][k]), coded[a:b].tobytes()))
-        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 7, types)], names=names)
+                out.append((chunk, doc_ids[at + k], held[at + k], int(n[k]) + 1, int(sums[2][k]) + (v.docs > 0), float(sums[0][k]) + end_base, float(sums[1][k]), coded[a:b].tobytes()))
+        types = (pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
+        return pa.table([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 8, types)], names=names)
 
     return run
 
@@ -189,20 +219,40 @@ class Model:
         return m
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        a, pre = self.gx[x], h @ self.u
-        zr = 1 / (1 + np.exp(-(a[:, : 2 * HIDDEN] + pre[:, : 2 * HIDDEN])))
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        hn = pre[:, 2 * HIDDEN :]
-        n = np.tanh(a[:, 2 * HIDDEN :] + r * hn)
-        return n + z * (h - n), z, r, n, hn
+        """(new state, gates) of one token for each stream; states are rows."""
+        new, gates, _, _ = self._step(np.ascontiguousarray(self.gx[x].T), np.ascontiguousarray(self.u.T), np.ascontiguousarray(h.T))
+        return new.T, gates
+
+    @staticmethod
+    def _step(a: np.ndarray, ut: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(new state, gates z and r, candidate, its recurrent part) with a column for each stream."""
+        pre = ut @ h
+        gates = pre[: 2 * HIDDEN] + a[: 2 * HIDDEN]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        hn = pre[2 * HIDDEN :]
+        n = gates[HIDDEN:] * hn
+        n += a[2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= gates[:HIDDEN]
+        new += n
+        return new, gates, n, hn
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """Input parts of a window's gates: (steps, 3 * hidden, streams)."""
+        return np.ascontiguousarray(np.take(self.gx, x, axis=0).transpose(0, 2, 1))
 
     def log_probs(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target's class and, for head words, of the word in it."""
-        logit = states @ self.wc + self.bc
-        top = logit.max(1, keepdims=True)
+        logit = self.wc.T @ states.T  # classes by places
+        logit += self.bc[:, None]
+        logit -= logit.max(0)
         k = _CLASS_OF[target]
-        rows = np.arange(len(target))
-        out = logit[rows, k] - top[:, 0] - np.log(np.exp(logit - top).sum(1))
+        out = logit[k, np.arange(len(target))]
+        out -= np.log(np.exp(logit, out=logit).sum(0))
         for c, at in _by_head_class(k):
             inner = states[at] @ self.wh[c] + self.bh[c]
             peak = inner.max(1, keepdims=True)
@@ -214,65 +264,78 @@ class Model:
         g = Model(np.zeros_like(self.weights))
         steps, streams = x.shape
         kind = self.weights.dtype
-        befores, zs, rs, ns, hns, states = (np.empty((steps, streams, HIDDEN), kind) for _ in range(6))
+        befores, ns, hns, states = (np.empty((steps, HIDDEN, streams), kind) for _ in range(4))
+        gates = np.empty((steps, 2 * HIDDEN, streams), kind)
+        a, ut, h = self.inputs(x), np.ascontiguousarray(self.u.T), np.ascontiguousarray(h.T)
+        whole = live.all(1)
         for t in range(steps):
             befores[t] = h
-            new, zs[t], rs[t], ns[t], hns[t] = self.step(x[t], h)
-            h = new if live[t].all() else np.where(live[t][:, None], new, h)
+            new, gates[t], ns[t], hns[t] = self._step(a[t], ut, h)
+            h = new if whole[t] else np.where(live[t], new, h)
             states[t] = h
         flat, ok = target.ravel(), live.ravel()
-        by_row = states.reshape(-1, HIDDEN)
-        p = self.wc.T @ by_row.T + self.bc[:, None]  # classes by rows
+        by_column = np.ascontiguousarray(states.transpose(1, 0, 2)).reshape(HIDDEN, -1)
+        p = self.wc.T @ by_column  # classes by places
+        p += self.bc[:, None]
         p -= p.max(0)
         np.exp(p, out=p)
         p /= p.sum(0)
         k = _CLASS_OF[flat]
         p[k, np.arange(len(flat))] -= 1
-        p[:, ~ok] = 0
-        g.wc[:] = by_row.T @ p.T
+        if not whole.all():
+            p *= ok
+        g.wc[:] = by_column @ p.T
         g.bc[:] = p.sum(1)
-        d_state = np.ascontiguousarray((self.wc @ p).T)
-        parts = list(_by_head_class(np.where(ok, k, CLASSES)))
-        if parts:
-            order = np.concatenate([at for _, at in parts])
-            stop = np.cumsum([len(at) for _, at in parts]).tolist()
-            cuts = [(c, b - len(at), b) for (c, at), b in zip(parts, stop)]
-            mine = by_row[order]
+        d_state = self.wc @ p
+        head = np.flatnonzero(ok & (k < HEAD_CLASSES))
+        if len(head):
+            order = head[np.argsort(k[head].astype(np.uint8), kind="stable")]
+            kind_of = k[order]
+            begin = np.flatnonzero(np.r_[True, kind_of[1:] != kind_of[:-1]])
+            cuts = list(zip(kind_of[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)]))
+            mine = by_column.T[order]
             q, back = np.empty((len(order), CLASS_WORDS), kind), np.empty((len(order), HIDDEN), kind)
-            for c, a, b in cuts:
-                np.matmul(mine[a:b], self.wh[c], out=q[a:b])
-            q += self.bh[k[order]]
+            for c, i, j in cuts:
+                np.matmul(mine[i:j], self.wh[c], out=q[i:j])
+            q += self.bh[kind_of]
             q -= q.max(1, keepdims=True)
             np.exp(q, out=q)
             q /= q.sum(1, keepdims=True)
             q[np.arange(len(order)), flat[order] % CLASS_WORDS] -= 1
-            for c, a, b in cuts:
-                np.matmul(mine[a:b].T, q[a:b], out=g.wh[c])
-                np.matmul(q[a:b], self.wh[c].T, out=back[a:b])
-                g.bh[c] = q[a:b].sum(0)
-            d_state[order] += back
-        d_state = d_state.reshape(steps, streams, HIDDEN)
-        on = live[:, :, None]
-        by_n = (1 - zs) * (1 - ns * ns) * on
-        by_z = (befores - ns) * zs * (1 - zs) * on
+            for c, i, j in cuts:
+                np.matmul(mine[i:j].T, q[i:j], out=g.wh[c])
+                np.matmul(q[i:j], self.wh[c].T, out=back[i:j])
+            g.bh[kind_of[begin]] = np.add.reduceat(q, begin, axis=0)
+            d_state[:, order] += back.T
+        d_state = np.ascontiguousarray(d_state.reshape(HIDDEN, steps, streams).transpose(1, 0, 2))
+        zs, rs = gates[:, :HIDDEN], gates[:, HIDDEN:]
+        on = 1 - zs
+        by_n = on * (1 - ns * ns)
+        by_z = (befores - ns) * zs * on
         by_r = hns * rs * (1 - rs)
-        carry = np.where(on, zs, kind.type(1))
-        pre, d_n = np.empty((steps, streams, 3 * HIDDEN), kind), np.empty((steps, streams, HIDDEN), kind)
+        carry = zs
+        if not whole.all():
+            dead = ~live[:, None, :]
+            by_n, by_z, carry = np.where(dead, kind.type(0), by_n), np.where(dead, kind.type(0), by_z), np.where(dead, kind.type(1), zs)
+        pre, d_n = np.empty((steps, 3 * HIDDEN, streams), kind), np.empty((steps, HIDDEN, streams), kind)
         dh = np.zeros_like(h)
         for t in range(steps - 1, -1, -1):
-            dh = dh + d_state[t]
+            dh += d_state[t]
             np.multiply(dh, by_n[t], out=d_n[t])
-            np.multiply(dh, by_z[t], out=pre[t, :, :HIDDEN])
-            np.multiply(d_n[t], by_r[t], out=pre[t, :, HIDDEN : 2 * HIDDEN])
-            np.multiply(d_n[t], rs[t], out=pre[t, :, 2 * HIDDEN :])
-            dh = dh * carry[t] + pre[t] @ self.u.T
-        g.u[:] = befores.reshape(-1, HIDDEN).T @ pre.reshape(-1, 3 * HIDDEN)
-        pre[:, :, 2 * HIDDEN :] = d_n
-        order = np.argsort(x.ravel(), kind="stable")
+            np.multiply(dh, by_z[t], out=pre[t, :HIDDEN])
+            np.multiply(d_n[t], by_r[t], out=pre[t, HIDDEN : 2 * HIDDEN])
+            np.multiply(d_n[t], rs[t], out=pre[t, 2 * HIDDEN :])
+            dh *= carry[t]
+            dh += self.u @ pre[t]
+        before = np.ascontiguousarray(befores.transpose(1, 0, 2)).reshape(HIDDEN, -1)
+        by_token = np.ascontiguousarray(pre.transpose(0, 2, 1)).reshape(-1, 3 * HIDDEN)
+        g.u[:] = before @ by_token
+        by_token[:, 2 * HIDDEN :] = d_n.transpose(0, 2, 1).reshape(-1, HIDDEN)
+        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
         ids = x.ravel()[order]
         begin = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        g.gx[ids[begin]] = np.add.reduceat(pre.reshape(-1, 3 * HIDDEN)[order], begin, axis=0)
-        return g.weights, h
+        g.gx[ids[begin]] = np.add.reduceat(by_token[order], begin, axis=0)
+        return g.weights, h.T
 
 
 def _by_head_class(k: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -287,7 +350,7 @@ def train(model: Model, docs: list[np.ndarray]) -> Model:
     """One pass of truncated backpropagation: ``STREAMS`` documents side by side, each slot taking the next when done."""
     w = model.weights.copy()
     model = Model(w)
-    first, second, n = np.zeros_like(w), np.zeros_like(w), 0
+    first, second, own, n = np.zeros_like(w), np.zeros_like(w), np.empty_like(w), 0
     if not docs:
         return model
     flat = np.concatenate(docs)
@@ -305,9 +368,18 @@ def train(model: Model, docs: list[np.ndarray]) -> Model:
         grad /= max(1, live.sum())
         grad *= min(1.0, 1.0 / (np.sqrt(float(grad @ grad)) + 1e-9))
         n += 1
-        first += 0.1 * (grad - first)
-        second += 0.01 * (grad * grad - second)
-        w -= RATE * (first / (1 - 0.9**n)) / (np.sqrt(second / (1 - 0.99**n)) + 1e-6)
+        first *= 0.9
+        first += np.multiply(grad, 0.1, out=own)
+        second *= 0.99
+        np.multiply(grad, grad, out=own)
+        own *= 0.01
+        second += own
+        np.sqrt(second, out=own)
+        own *= 1 / np.sqrt(1 - 0.99**n)
+        own += 1e-6
+        np.divide(first, own, out=own)
+        own *= RATE / (1 - 0.9**n)
+        w -= own
         place += WINDOW
         done = np.flatnonzero(place >= end - 1)
         if len(done):
@@ -324,27 +396,37 @@ def _sequence(ids: bytes) -> np.ndarray:
     return np.r_[START_ID, np.frombuffer(ids, np.int16), END_ID].astype(np.int64)
 
 
-def _trainer(weights: np.ndarray):
-    schema = pa.schema([("part", pa.int32()), ("tokens", pa.int64()), ("weights", pa.binary())])
+WEIGHTS = "chunk int, tokens long, weights binary"
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        model, tokens = Model(weights), 0
-        for b in it:
-            docs = [_sequence(x) for x in b.column(0).to_pylist()]
-            model = train(model, docs)
-            tokens += sum(len(d) - 1 for d in docs)
-        if tokens:
-            yield pa.RecordBatch.from_pylist([{"part": TaskContext.get().partitionId() % PARTS_AVERAGED, "tokens": tokens, "weights": model.weights.tobytes()}], schema=schema)
+def _weights(chunk: int, tokens: int, weights: np.ndarray) -> pa.Table:
+    return pa.table([pa.array([chunk], pa.int32()), pa.array([tokens]), pa.array([weights.tobytes()], pa.binary())], names=["chunk", "tokens", "weights"])
+
+
+def _trainer(weights: np.ndarray):
+    def run(rows: pa.Table) -> pa.Table:
+        """Weights after one pass over a chunk's documents, in the order of their ids and contents."""
+        keyed = zip((c is not None for c in rows.column("doc_id").to_pylist()), (c or 0 for c in rows.column("doc_id").to_pylist()), rows.column("ids").to_pylist())
+        docs = [_sequence(x) for _, _, x in sorted(keyed)]
+        return _weights(rows.column("chunk")[0].as_py(), sum(len(d) - 1 for d in docs), train(Model(weights), docs).weights)
 
     return run
 
 
-def _averaged(rows: pa.Table) -> pa.Table:
-    n = rows.column("tokens").to_numpy().astype(np.float64)
-    w = sum(k * np.frombuffer(x, np.float32).astype(np.float64) for k, x in zip(n, rows.column("weights").to_pylist())) / n.sum()
-    return pa.table([pa.array([int(n.sum())]), pa.array([w.astype(np.float32).tobytes()], pa.binary())], names=["tokens", "weights"])
+def _mean(chunks: list[int], tokens: list[int], weights: list[bytes]) -> np.ndarray:
+    """Mean of weights by tokens, summed in the order of the chunks."""
+    w = np.zeros(len(weights[0]) // 4)
+    for _, k, x in sorted(zip(chunks, tokens, weights)):
+        w += k * np.frombuffer(x, np.float32).astype(np.float64)
+    return (w / sum(tokens)).astype(np.float32)
+
+
+def _averaged(of: int):
+    def run(rows: pa.Table) -> pa.Table:
+        cols = [rows.column(c).to_pylist() for c in ("chunk", "tokens", "weights")]
+        return _weights(cols[0][0] % of, sum(cols[1]), _mean(*cols))
+
+    return run
 
 
 def of_round(encoded: DataFrame, k: int, rounds: int = ROUNDS) -> DataFrame:
@@ -352,45 +434,49 @@ def of_round(encoded: DataFrame, k: int, rounds: int = ROUNDS) -> DataFrame:
     return encoded.where(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(rounds)) == k))
 
 
-def trained(encoded: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> Model:
-    """Weights after ``rounds`` rounds; the rounds share all training documents out between them."""
+def trained(encoded: DataFrame, vocabulary: Vocabulary, chunks: int, rounds: int = ROUNDS) -> Model:
+    """Weights after ``rounds`` rounds; the rounds share all training documents out between them.
+
+    A round trains every chunk from the same weights and averages the results in a tree of fan-in ``FAN_IN``.
+    """
     model = Model.fresh(vocabulary)
     for k in range(rounds):
-        parts = of_round(encoded, k, rounds).select("ids").mapInArrow(_trainer(model.weights), "part int, tokens long, weights binary")
-        means = parts.groupBy("part").applyInArrow(_averaged, "tokens long, weights binary").collect()  # at most PARTS_AVERAGED rows
+        mine = of_round(encoded, k, rounds).select("chunk", "doc_id", "ids").repartitionById(chunks, F.col("chunk"))
+        level, n = mine.groupBy("chunk").applyInArrow(_trainer(model.weights), WEIGHTS), chunks
+        while n > FAN_IN:
+            n = -(-n // FAN_IN)
+            level = level.repartition(n, F.col("chunk") % n).groupBy((F.col("chunk") % n).alias("part")).applyInArrow(_averaged(n), WEIGHTS)
+        means = [r for r in level.collect() if r["tokens"]]  # at most FAN_IN rows
         if means:
-            total = sum(r["tokens"] for r in means)
-            model = Model(sum(r["tokens"] / total * np.frombuffer(r["weights"], np.float32) for r in means).astype(np.float32))
+            model = Model(_mean(*([r[c] for r in means] for c in ("chunk", "tokens", "weights"))))
     return model
 
 
 def log10_of(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     """Sum of log10-probabilities of each document's classes and head words, state carried through the whole document."""
+    length = np.fromiter((len(d) - 1 for d in docs), np.int64, len(docs))
+    order = np.argsort(-length, kind="stable")
     out = np.zeros(len(docs))
-    order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+    ut, ahead = np.ascontiguousarray(model.u.T), np.arange(WINDOW + 1)[:, None]
     for at in range(0, len(order), SCORE_STREAMS):
         mine = order[at : at + SCORE_STREAMS]
-        length = np.array([len(docs[i]) - 1 for i in mine])
-        h = np.zeros((len(mine), HIDDEN), np.float32)
+        flat = np.concatenate([docs[i] for i in mine])
+        left = length[mine]  # falling
+        place = np.cumsum(left + 1) - left - 1
+        h = np.zeros((HIDDEN, len(mine)), model.weights.dtype)
         total = np.zeros(len(mine))
-        for begin in range(0, int(length[0]), WINDOW):
-            n = int((length > begin).sum())
-            block = np.full((n, WINDOW + 1), END_ID)
-            for i in range(n):
-                part = docs[mine[i]][begin : begin + WINDOW + 1]
-                block[i, : len(part)] = part
-            states, targets, who = [], [], []
-            h = h[:n]
-            for t in range(WINDOW):
-                m = int(np.searchsorted(-length, -(begin + t), side="left"))
-                if not m:
-                    break
-                h[:m] = model.step(block[:m, t], h[:m])[0]
-                states.append(h[:m].copy())
-                targets.append(block[:m, t + 1])
-                who.append(np.arange(m))
-            got = model.log_probs(np.concatenate(states), np.concatenate(targets))
-            total[:n] += np.bincount(np.concatenate(who), weights=got, minlength=n)
+        while (n := int(np.searchsorted(-left, 0))) > 0:
+            h, place, left = h[:, :n], place[:n], left[:n]
+            steps = min(WINDOW, int(left[0]))
+            ids = flat[np.minimum(place + ahead[: steps + 1], len(flat) - 1)]
+            a, states = model.inputs(ids[:-1]), np.empty((steps, HIDDEN, n), h.dtype)
+            for t in range(steps):
+                h = model._step(a[t], ut, h)[0]
+                states[t] = h
+            live = ahead[:steps] < left
+            got = model.log_probs(states.transpose(0, 2, 1)[live], ids[1:][live])
+            total[:n] += np.bincount(np.nonzero(live)[1], weights=got, minlength=n)
+            place, left = place + WINDOW, left - WINDOW
         out[mine] = total / np.log(10.0)
     return out
 
@@ -415,11 +501,11 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n = max(spark.sparkContext.defaultParallelism, -(-int(total) // CHUNK_BYTES))
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk")
+    n = max(1, -(-int(total) // CHUNK_BYTES))  # of the data alone, so that scores are the same on any cluster
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("chunk")
     held = (crc32_mod(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), FOLDS) == HELD_OUT).alias("held_out")
-    chunks = rows.select(chunk, "doc_id", held, "text").repartition(n, "chunk")
-    pre = stored(chunks.groupBy("chunk").applyInArrow(_report, PRE), "chunk-words")
+    placed = rows.select(chunk, "doc_id", held, "text")
+    pre = stored(placed.repartitionById(n, F.col("chunk")).groupBy("chunk").applyInArrow(_report, PRE), "chunk-words")
     release(spark)
 
     totals = pre.agg(F.sum("n").alias("words"), F.sum("docs").alias("docs")).first()
@@ -436,9 +522,9 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     asked = pre.where("ending >= 0").select("chunk", "h", "ending")
     answers = asked.join(counts.select("h", "c"), "h", "left").select("chunk", "h", F.coalesce("c", F.lit(0)).alias("c"), "ending")
-    encoded = stored(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_encoder(vocabulary), ENCODED), "encoded")
+    encoded = stored(placed.repartition(2 * n, "chunk").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_encoder(vocabulary), ENCODED), "encoded")
     unstore(pre, counts)
     release(spark)
-    model = trained(encoded, vocabulary, rounds)
+    model = trained(encoded, vocabulary, n, rounds)
     columns = encoded.select("doc_id", "held_out", "n_tokens", "n_known", "base_score", "tail_score", "ids")
     return columns.mapInArrow(_scorer(model.weights, tokens), SCORES)
