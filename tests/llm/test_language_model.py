@@ -27,7 +27,7 @@ def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
     monkeypatch.setattr(gru_lm, "FAN_IN", 3)  # a tree of several levels
     docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit("w"), (F.col("id") * k % 17).cast("string")) for k in range(1, 25))).alias("text"))
     got = [{r.doc_id: r.score for r in gru_lm.lm_scores(d).collect()} for d in (docs.repartition(7, "text"), docs.coalesce(1).orderBy(F.desc("doc_id")))]
-    assert got[0] == got[1] and len(got[0]) == 300
+    assert len(got[0]) == 300 and all(abs(got[0][k] - got[1][k]) < 1e-5 for k in got[0]), max(abs(got[0][k] - got[1][k]) for k in got[0])  # widths of batches round apart
 
 
 def test_training_by_hand(spark, monkeypatch):
