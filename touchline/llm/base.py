@@ -37,13 +37,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _hadoop(spark: SparkSession, path: str):
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()), jpath
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that Spark wrote."""
+    fs, jpath = _hadoop(spark, path)
+    fs.delete(jpath, True)
+
+
+def renamed(spark: SparkSession, path: str, to: str) -> None:
+    """Move a folder that is complete to its final name."""
+    fs, jpath = _hadoop(spark, path)
+    if not fs.rename(jpath, _hadoop(spark, to)[1]):
+        raise OSError(f"{path} can't be moved to {to}")
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder, without those begun but not complete (a leading dot)."""
+    fs, jpath = _hadoop(spark, path)
+    if not fs.exists(jpath):
+        return []
+    return [n for f in fs.listStatus(jpath) if f.isDirectory() and not (n := f.getPath().getName()).startswith(".")]
+
+
 def unstore(*tables: DataFrame) -> None:
     """Delete tables made by ``stored`` that no later plan reads."""
     for table in tables:
         spark = table.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+            remove(spark, path)
 
 
 def release(spark: SparkSession) -> None:
