@@ -8,7 +8,9 @@ import time
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +98,48 @@ def as_text(column: pa.Array) -> list[str]:
     return [s or "" for s in column.to_pylist()]
 
 
+#: Letters of a word that are hashed for all words at once.
+SHORT = 64
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+_LETTER = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)[LOWER]
+_ODD, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+def words_in(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, first and last place of each word, words per text); words are runs without ASCII white space."""
+    raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    kind = np.int32 if len(raw) < 1 << 31 else np.int64
+    begin = (np.flatnonzero(space[:-1] & ~space[1:]) + 1).astype(kind)
+    last = np.flatnonzero(~space[:-1] & space[1:]).astype(kind)
+    text_end = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return raw, begin, last, np.diff(np.searchsorted(begin, text_end, "right"), prepend=0)
+
+
+def word_hashes(raw: np.ndarray, begin: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, A-Z lower-cased: letter by letter, all words at once, longest first; words beyond ``SHORT``
+    letters one by one."""
+    short = np.minimum(last - begin + 1, SHORT + 1).astype(np.uint8)
+    order = np.argsort(short, kind="stable")[::-1]
+    first, many = begin[order], len(order) - np.cumsum(np.bincount(short, minlength=SHORT + 2))
+    h = np.zeros(len(order), np.uint64)
+    for i in range(SHORT):
+        m = int(many[i])  # words of more than i letters
+        if not m:
+            break
+        h[:m] ^= _LETTER[raw[first[:m] + i]]
+        h[:m] *= _ODD
+        h[:m] ^= h[:m] >> np.uint64(29)
+    h *= _END
+    h ^= h >> np.uint64(32)
+    out = np.empty(len(order), np.uint64)
+    out[order] = h
+    for k in order[: int(many[SHORT])].tolist():
+        out[k] = xxhash.xxh64_intdigest(raw[begin[k] : last[k] + 1].tobytes().lower())
+    return out
+
+
 def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Record batches from an iterator of tuples."""
     held: list[tuple] = []

@@ -26,11 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_bytes, crc32_mod, release, stored, unstore
+from .base import LOWER, as_bytes, crc32_mod, release, stored, unstore, word_hashes, words_in
 from .ngram_quality import Lookup
 
 FOLDS, HELD_OUT = 5, 1
@@ -52,50 +51,16 @@ RATE = 0.01
 CHUNK_BYTES = 12 << 20
 #: Weights averaged by one task.
 FAN_IN = 32
-#: Letters of a word that are hashed for all words at once.
-SHORT = 64
 
 _CLASS_OF = np.concatenate([np.arange(HEAD) // CLASS_WORDS, HEAD_CLASSES + np.arange(TAIL + 1)]).astype(np.int64)
 
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_LETTER = np.random.default_rng(11).integers(0, 1 << 63, 256, dtype=np.uint64)[_LOWER]
-_ODD, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-
-
 def hashes_and_endings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, ending groups, words per text) of lower-cased texts.
-
-    Words are hashed letter by letter, all words at once, longest first; words beyond ``SHORT`` letters one by one.
-    """
-    raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    begin = (np.flatnonzero(space[:-1] & ~space[1:]) + 1).astype(np.int32 if len(raw) < 1 << 31 else np.int64)
-    last = np.flatnonzero(~space[:-1] & space[1:]).astype(begin.dtype)
-    length = last - begin + 1
-    text_end = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
-    n = np.diff(np.searchsorted(begin, text_end, "right"), prepend=0)
-    short = np.minimum(length, SHORT + 1).astype(np.uint8)
-    order = np.argsort(short, kind="stable")[::-1]
-    first, many = begin[order], len(order) - np.cumsum(np.bincount(short, minlength=SHORT + 2))
-    h = np.zeros(len(order), np.uint64)
-    for i in range(SHORT):
-        m = int(many[i])  # words of more than i letters
-        if not m:
-            break
-        h[:m] ^= _LETTER[raw[first[:m] + i]]
-        h[:m] *= _ODD
-        h[:m] ^= h[:m] >> np.uint64(29)
-    h *= _END
-    h ^= h >> np.uint64(32)
-    out = np.empty(len(order), np.uint64)
-    out[order] = h
-    for k in order[: int(many[SHORT])].tolist():
-        out[k] = xxhash.xxh64_intdigest(raw[begin[k] : last[k] + 1].tobytes().lower())
-    lower = _LOWER[raw[last]].astype(np.int64)
-    ending = ((lower * 31 + np.where(length > 1, _LOWER[raw[last - 1]], 32)) * 2654435761 >> 16) % ENDINGS
-    return out.view(np.int64), ending, n
+    """(word hashes, ending groups, words per text) of lower-cased texts."""
+    raw, begin, last, n = words_in(texts)
+    lower = LOWER[raw[last]].astype(np.int64)
+    ending = ((lower * 31 + np.where(last > begin, LOWER[raw[last - 1]], 32)) * 2654435761 >> 16) % ENDINGS
+    return word_hashes(raw, begin, last).view(np.int64), ending, n
 
 
 PRE = "chunk int, h long, ending int, n long, docs long"

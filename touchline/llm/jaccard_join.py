@@ -4,17 +4,20 @@ A document's set holds its distinct ``WIDTH``-word shingles as 64-bit hashes.  S
 ``PERCENT`` differ in at most H shingles, so if the universe is cut into segments and segment i is allowed e_i differences
 with sum(e_i + 1) > H, some segment agrees within its allowance.  Every size band has its own number of segments.  A set is
 indexed in its band under the hash of each segment's subset, and, in the band's deletable segments, under the subsets with
-one shingle taken out.  It probes its own band (for partners not larger) and the next lower one, with allowances -1 (skip),
-0 or 1 chosen by cost: empty and tiny subsets, which many sets share, are skipped and paid for by a deletable segment.
+one shingle taken out.  It probes its own band (for partners not larger) and lower ones that hold possible partners, with
+allowances -1 (skip), 0 or 1 by cost: index entries are counted over all sets, and a set pays for its sum by the probes that
+meet fewest entries, so subsets that many sets share are skipped wherever others suffice.
 
-Sets that meet under a key are tied to the key's smallest indexed member; what is tied together is a family, and every
-candidate pair lies in one.  Families are verified exactly, in blocks of bounded size: a prefix filter by the family's own
-rarest shingles proposes pairs, whole sets decide, and a union-find skips pairs that are already linked, so a block emits
-at most one link for each of its members.  Equal sets are first collapsed to one representative.  Thus every link between
-different sets is found or implied, and a group of thousands of copies emits thousands of rows, not millions.
+Sets that meet under a chosen key are tied to the key's smallest indexed member; what is tied together is a family, and
+every candidate pair lies in one.  Since popular keys are skipped, families are little more than the groups of similar sets.
+They are verified exactly, in blocks of bounded size: a prefix filter by the family's own rarest shingles proposes pairs,
+whole sets decide, and a union-find skips pairs that are already linked, so a block emits at most one link for each of its
+members.  Equal sets are first collapsed to one representative.  Thus every link between different sets is found or implied,
+and a group of thousands of copies emits thousands of rows, not millions.
 
-Scale: keys per set are about a third of its shingles, packed in binary until copies are collapsed, then shuffled once
-by key; sets are rebuilt from text only for documents that met another.  Nothing is broadcast by hand or collected.
+Scale: keys are counted with map-side sums and come back by a plain join, which adaptive execution splits where a key is
+hot; only keys that two sets share travel further.  Keys are packed in binary until copies are collapsed; sets are rebuilt
+from text only for documents that met another.  Nothing is broadcast by hand or collected.
 
 Defined results: documents without words have empty sets, link with nothing and are their own component; null ids take no
 part (component null); rows with an equal id are one node that has the links of all its rows; empty tables give empty
@@ -33,23 +36,22 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import as_bytes, connected, release, stored, unstore
+from .base import as_bytes, connected, release, stored, unstore, word_hashes, words_in
 
 WIDTH = 4
 PERCENT = 85
 #: Ratio of a size band's bounds.
 BAND = 1.5
 #: One segment in so many is deletable, three at least.
-DELETABLE = 16
+DELETABLE = 8
 #: Sets in a block of a family.
 BLOCK = 4096
-#: Keys in a partition of the key shuffle.
+#: Keys in a partition of the key shuffles.
 KEYS_PER_PARTITION = 1_500_000
+#: Texts hashed together.
+TEXTS_AT_ONCE = 200
 INDEX, PROBE = 1, 2
 
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -57,13 +59,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct 64-bit shingle hashes of a UTF-8 text; fewer words than a shingle count as one."""
-    words = text.lower().split()
-    n = len(words)
+def shingle_sets(texts: list[bytes], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each UTF-8 text; fewer words than a shingle count as one."""
+    for at in range(0, len(texts), TEXTS_AT_ONCE):
+        raw, begin, last, n = words_in(texts[at : at + TEXTS_AT_ONCE])
+        words = word_hashes(raw, begin, last)
+        stop = np.cumsum(n)
+        for a, b in zip((stop - n).tolist(), stop.tolist()):
+            yield _shingles(words[a:b], width)
+
+
+def _shingles(h: np.ndarray, width: int) -> np.ndarray:
+    n = len(h)
     if not n:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, n)
     k = min(n, width)
     odd = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1) + 0xC2B2AE3D27D4EB4E * k) % (1 << 64) | 1) for i in range(k)]
     out = h[: n - k + 1] * odd[0]
@@ -72,6 +81,10 @@ def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(mix(out))
 
 
+def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
+    return next(shingle_sets([text], width))
+
+
 @lru_cache(None)
 def bands(upto: int, ratio: float = BAND) -> list[int]:
     """Lower bounds of size bands from 1 to beyond ``upto``."""
@@ -92,56 +105,84 @@ def n_segments(low: int, high: int, percent: int) -> int:
     return differences(top, top * 100 // percent, percent) + 1
 
 
-def _scheme_keys(tokens: np.ndarray, band: int, m: int, need: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and roles of a set under one band's segments; ``need``: sum of (e_i + 1) that its probes must reach."""
-    segment = ((tokens >> np.uint64(9)) % np.uint64(m)).astype(np.int64)
-    order = np.argsort(segment, kind="stable")
-    count = np.bincount(segment, minlength=m)
-    stop = np.cumsum(count)
-    mixed = mix(tokens)[order]
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
-    sums = total[stop] - total[stop - count]
-    salt = mix(np.arange(m, dtype=np.uint64) + np.uint64((band + 1) << 32))
-    first_deletable = m - max(min(m, 3), m // DELETABLE)
-    probe = np.zeros(m, bool)
-    probe[np.argsort(-np.minimum(count, 6), kind="stable")[:need]] = True
-    loose = np.zeros(m, bool)  # allowance of one
-    poor = np.flatnonzero(probe & (count <= 1))
-    if len(poor):
-        able = np.flatnonzero(probe & (count >= 3) & (np.arange(m) >= first_deletable))[: len(poor)]
-        loose[able] = True
-        probe[poor[np.argsort(count[poor], kind="stable")][: len(able)]] = False
-    full = mix(sums + salt)
-    seg_of = segment[order]
-    out_keys, out_roles = [], []
-    if own:
-        out_keys.append(full)
-        out_roles.append(np.where(probe, INDEX | PROBE, INDEX))
-        cut = seg_of >= first_deletable
-        out_roles.append(np.where(loose[seg_of[cut]], INDEX | PROBE, INDEX))
-    else:
-        out_keys.append(full[probe])
-        out_roles.append(np.full(int(probe.sum()), PROBE))
-        cut = loose[seg_of]
-        out_roles.append(np.full(int(cut.sum()), PROBE))
-    out_keys.append(mix(sums[seg_of[cut]] - mixed[cut] + salt[seg_of[cut]]))
-    return np.concatenate(out_keys), np.concatenate(out_roles)
+@lru_cache(100_000)
+def schemes(n: int, percent: int) -> tuple[tuple[int, int, int, int], ...]:
+    """(band, segments, first deletable segment, sum of (e_i + 1) that probes must reach) of a set of ``n``, its own band first."""
+    low = bands(1 << max(8, int(n).bit_length() + 1))
+    b = int(np.searchsorted(low, n, side="right")) - 1
+    out = []
+    for at in range(b, -1, -1):
+        if at < b and -(-percent * n // 100) >= low[at + 1]:
+            break
+        m = n_segments(low[at], low[at + 1], percent)
+        out.append((at, m, m - max(min(m, 3), m // DELETABLE), differences(n, min(n, low[at + 1] - 1), percent) + 1))
+    return tuple(out)
+
+
+def packed_keys(tokens: np.ndarray, percent: int = PERCENT) -> bytes:
+    """Keys of a set by scheme (each segment's subset, then subsets without one shingle), and the sizes of deletable segments."""
+    keys, sizes = [], []
+    mixed_all = mix(tokens)
+    for band, m, first, _ in schemes(len(tokens), percent):
+        segment = ((tokens >> np.uint64(9)) % np.uint64(m)).astype(np.int64)
+        order = np.argsort(segment, kind="stable")
+        count = np.bincount(segment, minlength=m)
+        stop = np.cumsum(count)
+        mixed = mixed_all[order]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed, dtype=np.uint64)])
+        sums = total[stop] - total[stop - count]
+        salt = mix(np.arange(m, dtype=np.uint64) + np.uint64((band + 1) << 32))
+        cut = int(stop[first - 1]) if first else 0
+        of = segment[order[cut:]]
+        keys += [mix(sums + salt), mix(sums[of] - mixed[cut:] + salt[of])]
+        sizes.append(count[first:])
+    return np.concatenate(keys).tobytes() + np.concatenate(sizes).astype(np.uint16).tobytes()
+
+
+#: A unit is a scheme's number, a mark of subsets without one shingle, and a segment.
+SEGMENT_BITS, SCHEME_SHIFT = 24, 25
+
+
+def unpacked_keys(n: int, packed: bytes, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, units) of a set of ``n`` shingles."""
+    plan = schemes(n, percent)
+    room = 2 * sum(m - first for _, m, first, _ in plan)
+    keys, sizes = np.frombuffer(packed[: len(packed) - room], np.uint64), np.frombuffer(packed[len(packed) - room :], np.uint16)
+    units, at = [], 0
+    for k, (_, m, first, _) in enumerate(plan):
+        of = np.repeat(np.arange(first, m), sizes[at : at + m - first])
+        at += m - first
+        units += [np.arange(m) | k << SCHEME_SHIFT, of | 1 << SEGMENT_BITS | k << SCHEME_SHIFT]
+    return keys, np.concatenate(units).astype(np.int32)
 
 
 def keys_of(tokens: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """All index and probe keys of a set; the two lowest bits hold the role."""
-    n = len(tokens)
-    if not n:
+    """All index and possible probe keys of a set; the two lowest bits hold the role."""
+    if not len(tokens):
         return np.empty(0, np.uint64)
-    low = bands(1 << max(8, int(n).bit_length() + 1))
-    b = int(np.searchsorted(low, n, side="right")) - 1
-    parts = [_scheme_keys(tokens, b, n_segments(low[b], low[b + 1], percent), differences(n, n, percent) + 1, True)]
-    at = b - 1
-    while at >= 0 and -(-percent * n // 100) < low[at + 1]:
-        parts.append(_scheme_keys(tokens, at, n_segments(low[at], low[at + 1], percent), differences(n, low[at + 1] - 1, percent) + 1, False))
-        at -= 1
-    keys, roles = (np.concatenate(x) for x in zip(*parts))
-    return (keys & ~np.uint64(3)) | roles.astype(np.uint64)
+    keys, units = unpacked_keys(len(tokens), packed_keys(tokens, percent), percent)
+    return (keys & ~np.uint64(3)) | np.where(units < 1 << SCHEME_SHIFT, INDEX | PROBE, PROBE).astype(np.uint64)
+
+
+def allocated(n: int, units: np.ndarray, cost: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which of a set's shared keys it probes; ``cost``: index entries of other sets under each, units not named meet none.
+
+    A segment pays one difference for its subset and one more for its subsets without a shingle; each scheme buys the sum it
+    needs where that meets fewest entries.
+    """
+    chosen = np.zeros(len(units), bool)
+    for k, (_, m, first, need) in enumerate(schemes(n, percent)):
+        mine = np.flatnonzero(units >> SCHEME_SHIFT == k)
+        segment, loose = units[mine] & ((1 << SEGMENT_BITS) - 1), (units[mine] >> SEGMENT_BITS & 1).astype(bool)
+        price = np.zeros((2, m))
+        np.add.at(price, (loose.astype(int), segment), cost[mine])
+        price[1, :first] = np.inf
+        price[1] = np.maximum(price[1], price[0])  # taken only beside the whole subset
+        order = np.argsort(price.ravel(), kind="stable")[:need]
+        taken = np.zeros(2 * m, bool)
+        taken[order] = True
+        chosen[mine] = taken.reshape(2, m)[loose.astype(int), segment] & (cost[mine] > 0)
+    return chosen
 
 
 def _signed(it: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -149,47 +190,66 @@ def _signed(it: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[
         for at in range(0, b.num_rows, 2000):
             part = b.slice(at, 2000)
             n, digest, keys = [], [], []
-            for text in as_bytes(part.column(1)):
-                tokens = shingle_set(text, width)
+            for tokens in shingle_sets(as_bytes(part.column(1)), width):
                 n.append(len(tokens))
                 digest.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
-                keys.append(keys_of(tokens, percent).tobytes())
+                keys.append(packed_keys(tokens, percent) if len(tokens) else None)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "digest", "keys"])
 
 
-def _exploded(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        for at in range(0, b.num_rows, 500):
-            part = b.slice(at, 500)
-            raw = [np.frombuffer(k, np.uint64) for k in part.column(1).to_pylist()]
-            packed = np.concatenate(raw) if raw else np.empty(0, np.uint64)
-            rep = np.repeat(np.array(part.column(0).to_pylist(), np.int64), [len(r) for r in raw])
-            yield pa.RecordBatch.from_arrays([pa.array((packed >> np.uint64(2)).astype(np.int64)), pa.array(rep), pa.array((packed & np.uint64(3)).astype(np.int8))], names=["key", "rep", "role"])
-
-
-def _ties(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Ties (member, smallest indexed member) under keys where a probe meets another set's index entry."""
-    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in it]
-    if not parts:
-        return
-    key, rep, role = (np.concatenate(c) for c in zip(*parts))
-    del parts
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order][1:] == key[order][:-1])
-    keep = np.zeros(len(key), bool)
-    keep[same] = keep[same + 1] = True
-    order = order[keep]
-    key, rep, role = key[order], rep[order], role[order]
-    if not len(key):
-        return
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, len(key)])
-    none = np.iinfo(np.int64).max
-    hub = np.minimum.reduceat(np.where(role & INDEX, rep, none), start)
-    probes = np.add.reduceat((role & PROBE > 0).astype(np.int64), start)
-    good = np.repeat((hub != none) & (probes > 0), size) & (rep != np.repeat(hub, size))
-    pairs = np.unique(np.c_[rep[good], np.repeat(hub, size)[good]], axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], names=["a", "b"])
+def _exploded(percent: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                found = [unpacked_keys(n, k, percent) for n, k in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
+                if found:
+                    rep = np.repeat(np.array(part.column(0).to_pylist(), np.int64), [len(k) for k, _ in found])
+                    keys, units = (np.concatenate(c) for c in zip(*found))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(rep), pa.array(units)], names=["key", "rep", "unit"])
+
+    return run
+
+
+def _allocate(percent: int):
+    """The shared keys that each set probes, of its ``meets``: unit, key and index entries."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            keys, reps = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            sizes = b.column(1).to_pylist()
+            lists = b.column(2)
+            stop = lists.value_lengths().to_numpy().cumsum()
+            flat = lists.flatten()
+            unit, key, entries = (flat.field(i).to_numpy() for i in range(3))
+            for rep, n, a, z in zip(b.column(0).to_pylist(), sizes, [0, *stop[:-1].tolist()], stop.tolist()):
+                units = unit[a:z]
+                take = allocated(n, units, entries[a:z] - (units < 1 << SCHEME_SHIFT), percent)  # its own entry is no cost
+                keys.append(key[a:z][take])
+                reps.append(np.full(int(take.sum()), rep))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(reps))], names=["key", "rep"])
+
+    return run
+
+
+def family_ties(reps: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: a set and the smallest indexed set under a key that one of them chose to probe; ``reps``: rep, n, keys."""
+    keys = reps.mapInArrow(_exploded(percent), "key long, rep long, unit int")
+    own = F.col("unit") < 1 << SCHEME_SHIFT
+    shared = keys.groupBy("key").agg(F.count("*").alias("rows"), F.count_if(own).alias("entries")).where("rows > 1 AND entries > 0").select("key", "entries")
+    shared = stored(shared, "shared-keys")
+    release(reps.sparkSession)
+    met = stored(keys.join(shared, "key").select("key", "rep", "unit", "entries"), "meetings")
+    release(reps.sparkSession)
+    meets = met.groupBy("rep").agg(F.collect_list(F.struct("unit", "key", "entries")).alias("meets"))
+    probes = stored(meets.join(reps.select("rep", "n"), "rep").select("rep", "n", "meets").mapInArrow(_allocate(percent), "key long, rep long"), "probes")
+    index = met.where(own).join(probes.select("key").distinct(), "key", "left_semi").select("key", "rep")
+    hubs = index.groupBy("key").agg(F.min("rep").alias("hub"))
+    ties = probes.unionByName(index).join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    ties = stored(ties, "ties")
+    unstore(shared, met, probes)
+    release(reps.sparkSession)
+    return ties
 
 
 def _sets(width: int):
@@ -197,7 +257,7 @@ def _sets(width: int):
         for b in it:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingle_set(t, width).tobytes() for t in as_bytes(part.column(1))], pa.binary())], names=["id", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in shingle_sets(as_bytes(part.column(1)), width)], pa.binary())], names=["id", "tokens"])
 
     return run
 
@@ -296,12 +356,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     total = signed.agg(F.sum(F.octet_length("keys").cast("long"))).first()[0] or 0
     parts = max(spark.sparkContext.defaultParallelism, -(-total // 8 // KEYS_PER_PARTITION))
     sig = stored(signed.select("doc_id", "n_shingles", "digest"), "set-digests")
-    first = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("rep"))
-    reps = stored(first.select("rep", "keys"), "representatives")
+    first = signed.where("doc_id IS NOT NULL AND digest IS NOT NULL").groupBy("digest").agg(F.min_by("keys", "doc_id").alias("keys"), F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    reps = stored(first.select("rep", "n", "keys"), "representatives")
     unstore(signed)
     release(spark)
-    keys = reps.mapInArrow(_exploded, "key long, rep long, role byte")
-    ties = stored(keys.repartition(parts, "key").mapInArrow(_ties, "a long, b long").distinct(), "ties")
+    ties = family_ties(reps, percent)
     unstore(reps)
     release(spark)
 
