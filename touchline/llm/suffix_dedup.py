@@ -51,7 +51,7 @@ BATCH = 4096
 #: Neighbours that a suffix passes in an array before the strings of its gram are sorted instead of paired.
 CROWD = 24
 #: Occurrences of a gram beyond which its strings are grouped by their hashes instead of entering a shard.
-HEAVY = 20_000
+HEAVY = 1_000
 #: Digests of surroundings that a task remembers.
 SEEN = 1_000_000
 NO_ID = -(1 << 63)
@@ -220,34 +220,45 @@ def _surroundings(least: int):
     return run
 
 
-STRINGS = "key binary, d long, th long, s long"
+STRINGS = "key binary, d long, th long, s long, e long"
 
 
 def _heavy_strings(least: int):
-    """A row for every string of marked runs: hash and place; the hash is null if this task has met the string before."""
-    schema = pa.schema([("key", pa.binary()), ("d", pa.int64()), ("th", pa.int64()), ("s", pa.int64())])
+    """Strings of marked runs: hash and place of each that is new to this task, and without a hash the spans that are not."""
+    schema = pa.schema([("key", pa.binary()), ("d", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = _First()
+        runs, strings = _First(), _First()
         for b in it:
             for d, th, text, places in zip(*(b.column(i).to_pylist() for i in range(2)), as_bytes(b.column(2)), b.column(3).to_pylist()):
                 rows = []
                 for place in sorted(places):
-                    for s in range(place >> 16, (place >> 16) + (place & 255) + 1):
+                    first, last = place >> 16, (place >> 16) + (place & 255)
+                    if not runs.new(xxhash.xxh3_128_digest(text[first : last + least])):
+                        rows.append((None, d, th, first, last + least))
+                        continue
+                    met = None  # the span of strings met before that ends here
+                    for s in range(first, last + 1):
                         key = xxhash.xxh3_128_digest(text[s : s + least])
-                        rows.append((key if met.new(key) else None, d, th, s))
+                        if strings.new(key):
+                            rows.append((key, d, th, s, s + least))
+                            met = None
+                        elif met is None:
+                            met = len(rows)
+                            rows.append((None, d, th, s, s + least))
+                        else:
+                            rows[met] = (*rows[met][:4], s + least)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return run
 
 
-def heavy_spans(texts: DataFrame, runs: DataFrame, least: int, parts: int) -> DataFrame:
+def heavy_spans(texts: DataFrame, runs: DataFrame, least: int) -> DataFrame:
     """``d, th, s, e`` of repeated strings among ``runs(d, th, places)`` of heavy grams."""
     strings = stored(texts.join(runs.hint("merge"), ["d", "th"]).select("d", "th", "text", "places").sortWithinPartitions("d", "th").mapInArrow(_heavy_strings(least), STRINGS), "heavy-strings")
-    place = F.struct("d", "th", "s")
-    groups = strings.where("key IS NOT NULL").repartition(parts, "key").groupBy("key").agg(F.sort_array(F.collect_set(place)).alias("at")).where("size(at) > 1")
+    groups = strings.where("key IS NOT NULL").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("d", "th", "s", "e"))).alias("at")).where("size(at) > 1")
     later = groups.select(F.explode(F.slice("at", 2, F.size("at") - 1)).alias("p")).select("p.*")
-    return strings.where("key IS NULL").drop("key").unionByName(later).withColumn("e", F.col("s") + least)
+    return strings.where("key IS NULL").drop("key").unionByName(later)
 
 
 class Suffixes:
@@ -493,7 +504,7 @@ def repeated_spans(texts: DataFrame, total_bytes: int, least: int = MIN_MATCH, o
     spans = spread(around, n, "bytes IS NULL").mapInArrow(_shard(least, gram), "d long, th long, s long, e long")
     if not heavy.isEmpty():
         crowd = marked.join(heavy, "h", "left_semi").groupBy("d", "th").agg(F.collect_set("place").alias("places"))
-        spans = spans.unionByName(heavy_spans(every, crowd, least, n))
+        spans = spans.unionByName(heavy_spans(every, crowd, least))
     if older is not None:
         spans = spans.join(texts.select("d", "th"), ["d", "th"], "left_semi")
     spans = stored(spans.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
