@@ -1,17 +1,20 @@
 """Robust multivariate outliers: minimum-covariance-determinant estimates per language and source.
 
 ``document_stats`` counts a document's words, symbols, repeated lines and repeated five-word windows in one Arrow pass.
-``outlier_verdicts`` turns the counts into six transformed statistics, fits location and scatter of every
-(language, source) group by concentration steps from three deterministic starts, takes the start of least
-determinant, and rejects rows whose Mahalanobis distance is beyond ``cutoff``.
+``outlier_verdicts`` turns the counts into six transformed statistics and fits location and scatter of every (language,
+source) group: concentration steps from three deterministic starts until the determinants settle, the start of least
+determinant, its scatter made consistent for the normal law, then one reweighting step over the rows within the 0.975
+quantile.  A row is rejected beyond the 0.9999 quantile of its squared Mahalanobis distance.  That quantile is the
+chi-square law's, or, where a group's own distances have heavier tails, the one that their quartiles give: cube roots of
+chi-square distances are nearly normal, so median and quartile range of the cube roots extend to the quantile.
 
 Scale: the texts are read once; the steps run over a table of a few numbers per row.  A step is two map-side combined
 aggregations keyed by group and start, so a group holding a third of all rows costs no more than any other.  Parameters
 (one row per group) are written and joined back; Spark broadcasts them only if their written size is below its threshold.
 
 Defined results: null text counts as no text; null language or source is a group of its own value; groups under
-``min_group`` rows are pooled by language, then altogether, and a pool still too small gives no verdict (all kept);
-empty tables give empty results; repeated rows are judged alike; extra columns are ignored.
+``min_group`` rows are pooled by language, then altogether; rows of a pool still too small are judged by an estimate over all
+rows; empty tables give empty results; repeated rows are judged alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +36,25 @@ MAX_REPEAT_PERCENT = 20
 MIN_GROUP = 200
 #: Share of rows in the concentrated half.
 H_SHARE = 0.75
-STEPS = 5
-#: Squared distance beyond which a row is rejected.
-CUTOFF = 100.0
+#: Most concentration steps, and the change of all log-determinants below which they have settled.
+STEPS = 20
+SETTLED = 1e-3
+#: Quantiles of the chi-square law with six degrees of freedom: 0.9999 (beyond it a row is rejected) and 0.975 (reweighting).
+CUTOFF = 27.856
+REWEIGHTED = 14.449
+#: Consistency factors of the scatter of the rows within the 0.75 and the 0.975 quantile: share / chi-square law with eight degrees there.
+CONSISTENT_H = 0.75 / 0.5509
+CONSISTENT_REWEIGHTED = 0.975 / 0.9293
+#: The normal law's 0.9999 quantile, and its quartile range.
+NORMAL_9999, NORMAL_RANGE = 3.719, 1.349
 #: Median of the chi-square law with six degrees of freedom.
 CHI2_6_MEDIAN = 5.348
 #: Characters of pseudo-count by which shares of short texts are drawn to zero.
 PRIOR_CHARS = 200.0
 #: Least standard deviation of each transformed statistic.
 FLOORS = (0.04, 0.02, 0.03, 0.02, 0.05, 0.05)
+#: The group of all rows.
+EVERY = "every"
 FEATURES = tuple(f"x{i}" for i in range(len(FLOORS)))
 P = len(FEATURES)
 
@@ -147,7 +160,11 @@ def _grouped(stats: DataFrame, min_group: int) -> DataFrame:
 _PARAMS = "grp string, start int, logdet double, " + ", ".join([f"m{i} double" for i in range(P)] + [f"q{i}_{j} double" for i in range(P) for j in range(i, P)])
 
 
-def _inverted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _inverter(consistent: float):
+    return lambda it: _inverted(it, consistent)
+
+
+def _inverted(it: Iterator[pd.DataFrame], consistent: float) -> Iterator[pd.DataFrame]:
     """Mean, inverse covariance and log-determinant from one row of moments per group and start."""
     floor = np.diag(np.square(FLOORS))
     for moments in it:
@@ -159,16 +176,16 @@ def _inverted(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for i in range(P):
                 for j in range(i, P):
                     cov[i, j] = cov[j, i] = getattr(r, f"s{i}_{j}") / n - mean[i] * mean[j]
-            cov += floor
+            cov = consistent * cov + floor
             inv = np.linalg.inv(cov)
             out.append((r.grp, r.start, float(np.linalg.slogdet(cov)[1]), *mean, *(inv[i, j] for i in range(P) for j in range(i, P))))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARAMS.split(", ")])
 
 
-def _params_of(rows: DataFrame) -> DataFrame:
+def _params_of(rows: DataFrame, consistent: float = 1.0) -> DataFrame:
     x = [F.col(f) for f in FEATURES]
     sums = [F.count("*").cast("double").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(P)), *(F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P))]
-    return rows.groupBy("grp", "start").agg(*sums).mapInPandas(_inverted, _PARAMS)
+    return rows.groupBy("grp", "start").agg(*sums).mapInPandas(_inverter(consistent), _PARAMS)
 
 
 def _with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
@@ -188,38 +205,64 @@ def _starts(rows: DataFrame) -> DataFrame:
     return picks[0].unionAll(picks[1]).unionAll(_params_of(rows.withColumn("start", F.lit(2))))
 
 
+def _moved(before: DataFrame, after: DataFrame) -> float:
+    """Largest change of a log-determinant; one row per group and start on either side."""
+    both = before.select("grp", "start", F.col("logdet").alias("old")).join(after.select("grp", "start", "logdet"), ["grp", "start"])
+    return both.agg(F.max(F.abs(F.col("old") - F.col("logdet")))).first()[0] or 0.0
+
+
 def mcd(rows: DataFrame, h_share: float = H_SHARE, steps: int = STEPS) -> DataFrame:
-    """Per group the parameters of least determinant, with ``scale`` that brings the median distance to the normal law's."""
+    """Reweighted estimates per group, with ``scale`` that brings the median distance to the normal law's and ``cutoff``.
+
+    Steps end when all determinants have settled; after ``steps`` the estimates stand as they are.
+    """
     params = stored(_starts(rows), "mcd")
     for _ in range(steps):
         far = _with_distance(rows, params)
         cut = far.groupBy("grp", "start").agg(F.percentile_approx("d2", h_share, 2000).alias("cut"))
         near = far.join(cut, ["grp", "start"]).where("d2 <= cut")
-        nxt = stored(_params_of(near), "mcd")
+        nxt = stored(_params_of(near, CONSISTENT_H), "mcd")
+        moved = _moved(params, nxt)
         unstore(params)
         params = nxt
+        if moved < SETTLED:
+            break
     best = params.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     best = stored(params.join(best, ["grp", "start"]), "mcd")
-    scale = _with_distance(rows, best).groupBy("grp").agg(F.greatest(F.lit(1.0), F.percentile_approx("d2", 0.5, 2000) / CHI2_6_MEDIAN).alias("scale"))
-    return best.join(scale, "grp")
+    within = _with_distance(rows, best).where(F.col("d2") <= REWEIGHTED)
+    again = stored(best.select("grp").join(_params_of(within, CONSISTENT_REWEIGHTED), "grp"), "mcd")
+    few = best.join(again.select("grp"), "grp", "left_anti")  # no row of the group lies within: the raw estimate stands
+    best = stored(again.unionByName(few), "mcd")
+    quartiles = _with_distance(rows, best).groupBy("grp").agg(F.percentile_approx("d2", F.array(*map(F.lit, (0.25, 0.5, 0.75))), 2000).alias("q"))
+    root = lambda k: F.cbrt(F.col("q")[k] / F.col("scale"))
+    tail = F.pow(root(1) + NORMAL_9999 / NORMAL_RANGE * (root(2) - root(0)), 3)
+    scaled = quartiles.withColumn("scale", F.greatest(F.lit(1.0), F.col("q")[1] / CHI2_6_MEDIAN))
+    return best.join(scaled.select("grp", "scale", tail.alias("cutoff")), "grp")
 
 
 def outlier_verdicts(stats: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, also: tuple[str, ...] = ()) -> DataFrame:
-    """``stats`` with ``base_failed``, ``distance`` (null where no group is large enough), ``kept`` and the columns ``also``."""
+    """``stats`` with ``base_failed``, ``distance``, ``kept`` and the columns ``also``; ``cutoff`` is the least one of a group."""
     stats = with_features(with_base_rule(stats))
     fit_rows = _grouped(stats.where("NOT base_failed"), min_group)
     fit_rows = stored(fit_rows.select("doc_id", "lang", "source", "grp", *FEATURES), "features")
-    sizes = fit_rows.groupBy("grp").count().where(F.col("count") >= min_group).select("grp")
-    params = stored(mcd(fit_rows).join(sizes, "grp", "left_semi"), "mcd-final")
-    groups = stored(fit_rows.select("lang", "source", "grp").distinct(), "groups")
+    sizes = stored(fit_rows.groupBy("grp").agg(F.count("*").alias("n")), "pool-sizes")
+    groups = fit_rows.select("lang", "source", "grp").distinct().join(sizes, "grp")
+    groups = stored(groups.select("lang", "source", F.when(F.col("n") >= min_group, F.col("grp")).otherwise(F.lit(EVERY)).alias("grp")), "groups")
+    large = sizes.where(F.col("n") >= min_group).select("grp")
+    mine = fit_rows.join(large, "grp")
+    if not groups.where(F.col("grp") == EVERY).isEmpty():
+        mine = mine.unionByName(fit_rows.withColumn("grp", F.lit(EVERY)))
+        mine = stored(mine, "features")
+    params = stored(mcd(mine), "mcd-final")
     per_group = groups.join(params, "grp", "left").withColumnsRenamed({"lang": "g_lang", "source": "g_source"})
     per_group = stored(per_group, "group-parameters")
-    unstore(fit_rows)
+    unstore(fit_rows, sizes, groups)
     joined = stats.join(per_group, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), "left")
     d = [F.col(FEATURES[i]) - F.col(f"m{i}") for i in range(P)]
     terms = [d[i] * d[j] * F.col(f"q{i}_{j}") * (1.0 if i == j else 2.0) for i in range(P) for j in range(i, P)]
     judged = joined.withColumn("distance", sum(terms[1:], terms[0]) / F.col("scale"))
-    return judged.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).select(
+    near = F.coalesce(F.col("distance") <= F.greatest(F.lit(cutoff), F.col("cutoff")), F.lit(True))  # no distance: all rows of its group failed the base rule
+    return judged.withColumn("kept", ~F.col("base_failed") & near).select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept", *also
     )
 
