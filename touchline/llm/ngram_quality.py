@@ -1,9 +1,11 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of byte n-grams trained on trusted text.
 
 Trusted text is that of documents whose label rows all say quality 1.  One in ``FOLDS`` trusted documents is held out of
-training; the perplexities of those give every language its threshold, the ``QUANTILE`` of their logarithms plus ``MARGIN``.
-A document is kept unless its perplexity is beyond its language's threshold.  Perplexities of short texts are drawn to the
-language's median as if ``PRIOR_BYTES`` more bytes had it.
+training; those give every language its threshold, the ``QUANTILE`` of their losses (negative log-probability per byte).
+Few bytes have scattered losses, so for the quantile and the verdict a text's loss is averaged with its language's median
+loss at the weight of ``PRIOR_BYTES`` bytes.  ``perplexity`` is the document's own, ``threshold`` the perplexity that a text of
+its language and length may have: the language's quantile, and beyond it what the prior allows to short texts.  A document
+is kept unless its perplexity is beyond its threshold.
 
 Scale: documents are dealt by a hash of the id into chunks of bounded size.  A chunk reports the distinct n-grams it holds
 with their trusted counts, so what is shuffled grows with distinct n-grams, not with text.  Counts, continuation counts,
@@ -12,8 +14,9 @@ count tables sharded by language and n-gram.  They go back to the chunks that as
 
 Defined results: null text is empty (its end is scored); null language is a language of its own; a language with too little
 trusted held-out text has its median plus the pooled excess of all such text over its languages' medians as threshold; with
-too little altogether there are no thresholds, all are kept and perplexities are null; null ids are untrusted; repeated rows score
-alike; empty tables give empty results; extra columns are ignored.
+too little altogether there are no thresholds, all are kept and perplexities are null; null ids are untrusted, as are ids
+with a label row that has no quality; trusted documents in training are scored by the model that knows them; repeated rows
+score alike; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +33,6 @@ from .base import as_bytes, release, stored, unstore
 ORDER = 5
 FOLDS = 5
 QUANTILE = 0.99
-MARGIN = 0.05
 PRIOR_BYTES = 200.0
 MIN_HELD_OUT = 10
 CHUNK_BYTES = 32 << 20
@@ -68,13 +70,16 @@ def chunked(docs: DataFrame, labels: DataFrame, chunk_bytes: int) -> tuple[DataF
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n = max(rows.sparkSession.sparkContext.defaultParallelism, -(-int(total) // chunk_bytes))
-    chunk = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("chunk")
-    return rows.select(chunk, "doc_id", "lang", "text").repartition(n, "chunk"), trusted_ids(labels).where("NOT held_out").select(chunk, "doc_id").repartition(n, "chunk")
+    chunk = lambda key: F.pmod(key, F.lit(n)).cast("int").alias("chunk")
+    by_id = F.xxhash64("doc_id")
+    dealt = rows.select(chunk(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(by_id)), "doc_id", "lang", "text")  # rows without id are never trusted
+    known = trusted_ids(labels).where("NOT held_out").select(chunk(by_id), "doc_id")
+    return dealt.repartition(2 * n, "chunk"), known.repartition(2 * n, "chunk")
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """``doc_id, held_out`` of the documents whose label rows all say quality 1."""
-    ids = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).where("quality = 1")
+    ids = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.coalesce("quality", F.lit(0))).alias("quality")).where("quality = 1")
     return ids.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)) == 0).alias("held_out"))
 
 
@@ -117,8 +122,9 @@ def with_discount(table: DataFrame) -> DataFrame:
     """``table`` with the modified Kneser-Ney discount of each row's count, from its language's counts of counts."""
     n = [F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
     stats = table.groupBy(F.col("lang").alias("d_lang")).agg(*n)
-    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
-    d = [F.coalesce(F.least(F.greatest(k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0)), F.lit(0.1)), F.lit(k - 0.1)), F.lit(0.5)) for k in (1, 2, 3)]
+    y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0))
+    raw = [k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0)) for k in (1, 2, 3)]
+    d = [F.when(r.isNull(), 0.5).otherwise(F.least(F.greatest(r, F.lit(0.1)), F.lit(k - 0.1))) for k, r in enumerate(raw, 1)]
     stats = stored(stats.select("d_lang", *(x.alias(f"d{k}") for k, x in enumerate(d, 1))), "discounts")
     joined = table.join(stats, F.col("lang") == F.col("d_lang"))
     return joined.select("lang", "code", "c", F.when(F.col("c") == 1, F.col("d1")).when(F.col("c") == 2, F.col("d2")).otherwise(F.col("d3")).alias("d"))
@@ -201,19 +207,21 @@ def scored(docs: DataFrame, labels: DataFrame, chunk_bytes: int = CHUNK_BYTES) -
     return out
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """``doc_id, lang, n_bytes, log10_prob, perplexity, threshold, kept`` of every document row."""
     scores = scored(docs, labels)
-    per_byte = -F.col("log10_prob") / F.col("n_bytes")
-    middle = stored(scores.groupBy(F.col("lang").alias("m_lang")).agg(F.percentile_approx(per_byte, 0.5, 10_000).alias("middle")), "medians")
+    loss = -F.col("log10_prob") / F.col("n_bytes")
+    middle = stored(scores.groupBy(F.col("lang").alias("m_lang")).agg(F.percentile_approx(loss, 0.5, 10_000).alias("middle")), "medians")
     drawn = scores.join(middle, F.col("lang") == F.col("m_lang")).drop("m_lang")
-    drawn = drawn.withColumn("bits", (-F.col("log10_prob") + PRIOR_BYTES * F.col("middle")) / (F.col("n_bytes") + PRIOR_BYTES))
+    drawn = drawn.withColumn("loss", loss).withColumn("drawn", (-F.col("log10_prob") + PRIOR_BYTES * F.col("middle")) / (F.col("n_bytes") + PRIOR_BYTES))
     held = drawn.join(trusted_ids(labels).where("held_out"), "doc_id", "left_semi")
-    limit = lambda c: F.when(F.count("*") >= MIN_HELD_OUT, F.percentile_approx(c, quantile, 10_000) + F.lit(margin))
-    own = held.groupBy(F.col("lang").alias("t_lang")).agg(limit("bits").alias("own"))
-    pooled = held.agg(limit(F.col("bits") - F.col("middle")).alias("excess"))
+    limit = lambda c: F.when(F.count("*") >= MIN_HELD_OUT, F.percentile_approx(c, quantile, 10_000))
+    own = held.groupBy(F.col("lang").alias("t_lang")).agg(limit("drawn").alias("own"))
+    pooled = held.agg(limit(F.col("drawn") - F.col("middle")).alias("excess"))
     limits = middle.crossJoin(F.broadcast(pooled)).join(own, F.col("m_lang") == F.col("t_lang"), "left")  # one row is broadcast
     limits = limits.select(F.col("m_lang").alias("t_lang"), F.coalesce("own", F.col("middle") + F.col("excess")).alias("limit"))
-    out = drawn.drop("middle").join(stored(limits, "thresholds"), F.col("lang") == F.col("t_lang"), "left")
-    perplexity = F.when(F.col("limit").isNotNull(), F.pow(F.lit(10.0), F.col("bits")))
-    return out.select("doc_id", "lang", "n_bytes", "log10_prob", perplexity.alias("perplexity"), F.pow(F.lit(10.0), F.col("limit")).alias("threshold"), (F.col("limit").isNull() | (F.col("bits") <= F.col("limit"))).alias("kept"))
+    out = drawn.join(stored(limits, "thresholds"), F.col("lang") == F.col("t_lang"), "left")
+    allowed = F.col("limit") + (F.col("limit") - F.col("middle")) * PRIOR_BYTES / F.col("n_bytes")  # where drawn = limit
+    perplexity = F.when(F.col("limit").isNotNull(), F.pow(F.lit(10.0), F.col("loss")))
+    kept = F.col("limit").isNull() | (F.col("drawn") <= F.col("limit"))
+    return out.select("doc_id", "lang", "n_bytes", "log10_prob", perplexity.alias("perplexity"), F.pow(F.lit(10.0), allowed).alias("threshold"), kept.alias("kept"))
