@@ -8,9 +8,10 @@ lists whose distance is within ``QUERY_RATIO`` of the nearest, and more until th
 
 Scale: centroids are bounded (``MAX_LISTS``), so the index that is sent to tasks is a few MB at any size.  A list longer
 than ``LIST_ROWS`` is split by a hash of the id (a hot vector's copies too).  Lists are packed into shards of bounded
-size; queries meet shards in blocks of bounded size and each meeting gives at most ``k`` rows a query.
+size; a query goes to the shards of its lists only, a shard is sent again only for every further ``QUERY_BLOCK`` queries, and
+each meeting gives at most ``k`` rows a query.  Beyond ``MAX_LISTS * LIST_TARGET`` vectors lists grow with the table.
 
-Defined results: vectors that are null, zero, of another than the commonest length, or hold null or non-finite components
+Defined results: vectors that are null, zero, of another length than most candidates, or hold null or non-finite components
 take no part, nor do null ids; rows with a query's own id are no candidates; a repeated id counts once, by its best score;
 ties go to the smaller id; empty tables give empty results; extra columns are ignored.
 """
@@ -44,14 +45,19 @@ NEIGHBOURS = 24
 TIE = 1e-9
 
 
-def valid(vectors: DataFrame) -> DataFrame:
-    """``vec_id, embedding`` of the rows that take part."""
+def finite(vectors: DataFrame) -> DataFrame:
+    """``vec_id, embedding`` of the rows whose vectors are vectors."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("vec_id IS NOT NULL AND size(embedding) > 0")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
-    rows = rows.where(~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1)
-    dim = sizes.first()
-    return rows.where(F.size("embedding") == (dim["dim"] if dim else 0))
+    return rows.where(~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
+
+
+def valid(vectors: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of both that take part: those of the length that is commonest among the vectors."""
+    rows, asking = finite(vectors), finite(queries)
+    dim = rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
+    mine = F.size("embedding") == (dim["dim"] if dim else 0)
+    return rows.where(mine), asking.where(mine)
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -188,20 +194,18 @@ def _indexed(index: Index):
     return run
 
 
-def _sharded(index: Index, blocks: int):
-    """Posting rows with their shard, one for each block of queries."""
+def _sharded(index: Index):
+    """Posting rows with the shard of their list's piece."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids = b.column(1).to_numpy()
-            shard = [index.pieces[c][(v * 0x9E3779B1 >> 7) % len(index.pieces[c])] for c, v in zip(b.column(0).to_pylist(), ids.tolist())]
-            for block in range(blocks):
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), pa.array(np.full(len(ids), block, np.int32)), *b.columns], names=["shard", "block", "list", "vec_id", "embedding"])
+            shard = [index.pieces[c][(v * 0x9E3779B1 >> 7) % len(index.pieces[c])] for c, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *b.columns], names=["shard", "list", "vec_id", "embedding"])
 
     return run
 
 
-def _routed(index: Index, blocks: int, k: int):
+def _routed(index: Index, k: int):
     """A query row for each shard that holds a piece of its lists."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,10 +216,10 @@ def _routed(index: Index, blocks: int, k: int):
                 for c in index.search(q, k):
                     for shard in index.pieces.get(c, ()):
                         by_shard.setdefault(shard, set()).add(c)
-                rows += [(shard, v % blocks, v, e, sorted(lists)) for shard, lists in by_shard.items()]
+                rows += [(shard, v, e, sorted(lists)) for shard, lists in by_shard.items()]
             if rows:
-                types = (pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["shard", "block", "query_id", "query", "lists"])
+                types = (pa.int32(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["shard", "query_id", "query", "lists"])
 
     return run
 
@@ -272,16 +276,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, list_target: in
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every valid query (vec_id, embedding)."""
     spark = vectors.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
-    rows, asking = stored(valid(vectors), "vectors"), stored(valid(queries), "queries")
+    rows, asking = (stored(x, name) for x, name in zip(valid(vectors, queries), ("vectors", "queries")))
     if rows.isEmpty() or asking.isEmpty():
         return spark.createDataFrame([], out)
     index = fit(rows, list_target)
     postings = stored(rows.mapInArrow(_indexed(index), "list int, vec_id long, embedding array<float>"), "postings")
     sizes = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # one row a list, at most MAX_LISTS
     shards = index.pack(sizes, 2 * spark.sparkContext.defaultParallelism)
-    blocks = max(1, -(-asking.count() // QUERY_BLOCK))
-    left = postings.mapInArrow(_sharded(index, blocks), "shard int, block int, list int, vec_id long, embedding array<float>")
-    right = asking.repartition(shards).mapInArrow(_routed(index, blocks, k), "shard int, block int, query_id long, query array<float>, lists array<int>")
+    left = postings.mapInArrow(_sharded(index), "shard int, list int, vec_id long, embedding array<float>")
+    right = stored(asking.repartition(shards).mapInArrow(_routed(index, k), "shard int, query_id long, query array<float>, lists array<int>"), "routed")
+    # a shard that very many queries ask for is searched in several blocks of them; others are sent once
+    blocks = right.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+    left = left.join(stored(blocks, "query-blocks"), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = right.join(stored(blocks, "query-blocks"), "shard").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).drop("blocks")
     met = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(_searched(k), "query_id long, vec_id long, score double")
     once = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     ranked = once.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))

@@ -18,9 +18,11 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; a temporary one only if unset."""
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``; a temporary one only in a local session."""
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="touchline-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return root.rstrip("/")

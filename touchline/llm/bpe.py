@@ -1,8 +1,9 @@
 """Byte-pair encoding and decoding by batched numpy merge rounds.
 
 The symbols of many words lie in one flat array.  A round finds each pair's rank by binary search over the sorted pair
-keys, takes every word's lowest rank, merges that pair everywhere in the word, and drops finished words.  Words already
-seen by the worker are remembered (the memory is emptied at ``MEMO_WORDS``), so rounds run over new words only.
+keys, takes every word's lowest rank, merges that pair everywhere in the word, and drops finished words.  Rounds grow with
+a word's length, so words beyond ``LONG`` letters are merged one by one from a heap over linked symbols.  Words already seen
+by the worker are remembered (the memory is emptied at ``MEMO_WORDS`` words or ``MEMO_LETTERS`` letters), so only new words are merged.
 
 Scale: one map over the texts, no shuffle; the vocabulary is a file every machine has.  Memory is bounded by one Arrow
 batch, the memo and one block of new words.  Defined results: null text is empty and has no tokens; repeated rows and
@@ -12,6 +13,7 @@ null ids are carried as they are; empty tables give no rows; extra columns are i
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -26,6 +28,9 @@ from pyspark.sql import functions as F
 from .base import as_text
 
 MEMO_WORDS = 250_000
+MEMO_LETTERS = 8_000_000
+#: Letters beyond which a word is merged by itself.
+LONG = 512
 DOCS_AT_ONCE = 256
 #: Symbols of new words merged together in one flat array.
 FLAT_SYMBOLS = 1_000_000
@@ -67,6 +72,8 @@ class MergeRounds:
             self.tokens[i] = t
         self.token_bytes = [t.encode() for t in self.tokens]
         self.number = [str(i).encode() for i in range(size)]
+        self.by_pair: dict[int, int] = {}
+        self.letters = 0  # of the words remembered
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         """Ids of words given as bytes; each word ends with its end-of-word symbol."""
@@ -105,6 +112,31 @@ class MergeRounds:
             sym, word = sym[keep], word[keep]
         return out
 
+    def merge_long(self, word: bytes) -> list[int]:
+        """Ids of one long word: the lowest rank first, the leftmost of equal ones, in n log n steps."""
+        if not self.by_pair:
+            self.by_pair = dict(zip(self.keys.tolist(), self.ranks.tolist()))
+        raw = np.frombuffer(word, np.uint8)
+        sym = self.inner[raw].tolist()
+        sym[-1] = int(self.last[raw[-1]])
+        n, rank, merged = len(sym), self.by_pair.get, self.merged
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := rank((sym[i] << SHIFT) | sym[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            j = after[i]
+            if sym[i] < 0 or j >= n or rank((sym[i] << SHIFT) | sym[j]) != r:
+                continue  # one of the two has been merged since
+            sym[i], sym[j], after[i] = int(merged[r]), -1, after[j]
+            if after[j] < n:
+                before[after[j]] = i
+                if (q := rank((sym[i] << SHIFT) | sym[after[j]])) is not None:
+                    heapq.heappush(heap, (q, i))
+            if before[i] >= 0 and (q := rank((sym[before[i]] << SHIFT) | sym[i])) is not None:
+                heapq.heappush(heap, (q, before[i]))
+        return [x for x in sym if x >= 0]
+
     def pre_tokens(self, word: str) -> list[bytes]:
         """Pre-tokens of a word without white space."""
         if not word.isascii():
@@ -126,6 +158,9 @@ class MergeRounds:
         block: list[bytes] = []
         held = 0
         for t in dict.fromkeys(t for ts in cut for t in ts):
+            if len(t) > LONG:
+                ids[t] = self.merge_long(t)
+                continue
             block.append(t)
             held += len(t)
             if held >= FLAT_SYMBOLS:
@@ -142,13 +177,15 @@ class MergeRounds:
         return [[i for w in words for i in memo[w]] for words in cut]
 
     def new_words(self, texts: list[str], memo: dict) -> list[list[str]]:
-        if len(memo) > MEMO_WORDS:
+        if len(memo) > MEMO_WORDS or self.letters > MEMO_LETTERS:
             memo.clear()
+            self.letters = 0
         cut, new = [self.words_of(t) for t in texts], {}
         for words in cut:
             new.update(dict.fromkeys(filterfalse(memo.__contains__, words)))
         if new:
             self.learn(list(new), memo)
+            self.letters += sum(map(len, new))
         return cut
 
     def decode(self, ids: list[int]) -> str:

@@ -1,6 +1,6 @@
 """Content-defined line chunks: repeated multi-line chunks are removed, whatever lines were put in before them.
 
-Every line is hashed; a rolling hash over ``WINDOW`` consecutive line hashes ends a chunk where it is divisible by
+Every line is hashed; a rolling hash over a line's hash and the one before ends a chunk where it is divisible by
 ``DIVISOR``, so boundaries depend on nearby lines only and move with them.  A chunk with two lines of content or more that
 occurs earlier (smaller doc_id, or earlier in the same document) is removed.  Chunks meet by a 64-bit hash first; those
 that meet are grouped by their bytes, so equal hashes alone remove nothing.  DataFrame functions only.
@@ -10,7 +10,7 @@ Scale: hashes are shuffled for all chunks, texts of chunks only where a hash rep
 
 Defined results: null text stays null with no lines; an empty text is one line without content; a null id sorts first;
 rows with equal id and text are one document and keep or lose the same chunks; empty tables give empty results; other
-columns pass through, except those named like the three counts, which are replaced.
+columns pass through, whatever their names, except those named like the three counts, which are replaced.
 """
 
 from __future__ import annotations
@@ -69,7 +69,8 @@ def removed_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     again = keys.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     wanted = keys.join(again, "h", "left_semi").groupBy("d", "th").agg(F.collect_set("k").alias("ks"))
     met = docs.join(wanted.hint("merge"), ["d", "th"])
-    chunks = met.select("d", "th", "ks", F.posexplode(chunks_of(F.col("text"), divisor)).alias("k", "lines")).where(F.array_contains("ks", F.col("k")))
+    picked = let(chunks_of(F.col("text"), divisor), lambda cs: F.transform("ks", lambda k: F.struct(k.alias("k"), F.get(cs, k).alias("lines"))))
+    chunks = met.select("d", "th", F.explode(picked).alias("c")).select("d", "th", "c.k", "c.lines")
     chunks = stored(chunks.select("d", "th", "k", F.array_join("lines", "\n").alias("chunk")).withColumn("h", F.xxhash64("chunk")), "chunk-texts")
     place = F.struct("d", "th", "k")
     first = chunks.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -80,29 +81,32 @@ def removed_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 def line_dedup(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """``docs`` with repeated chunks cut from ``text``, and the three counts."""
     passed = [c for c in docs.columns if c not in COUNTS]
-    keyed = docs.select(*passed, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("th"))
-    gone = stored(removed_chunks(keyed.select("d", "th", "text"), divisor), "chunks-gone")
-    joined = keyed.join(gone.hint("merge"), ["d", "th"], "left")
-    numbered = let(chunks_of(F.col("text"), divisor), lambda cs: F.transform(cs, lambda c, k: F.struct(c.alias("lines"), F.array_contains("gone", k).alias("out"))))
+    d, th, gone = (F.col(f"__line_{x}") for x in ("d", "th", "gone"))
+    keyed = docs.select(*(F.col(f"`{c}`") for c in passed), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__line_d"), F.xxhash64("text").alias("__line_th"))
+    removed = stored(removed_chunks(keyed.select(d.alias("d"), th.alias("th"), "text"), divisor), "chunks-gone")
+    removed = removed.select(F.col("d").alias("__line_of_d"), F.col("th").alias("__line_of_th"), F.col("gone").alias("__line_gone"))
+    joined = keyed.join(removed.hint("merge"), (d == F.col("__line_of_d")) & (th == F.col("__line_of_th")), "left")
+    places = lambda cs: F.array_except(F.transform(cs, lambda c, k: k), gone)
+    lines = lambda cs, ks: F.flatten(F.transform(ks, lambda k: F.get(cs, k)))
     cut = let(
-        numbered,
+        chunks_of(F.col("text"), divisor),
         lambda cs: F.struct(
-            F.array_join(F.flatten(F.transform(F.filter(cs, lambda c: ~c["out"]), lambda c: c["lines"])), "\n").alias("text"),
-            F.array_size(F.flatten(F.transform(cs, lambda c: c["lines"]))).alias("n_lines"),
-            F.array_size(F.flatten(F.transform(F.filter(cs, lambda c: c["out"]), lambda c: c["lines"]))).alias("n_removed_lines"),
+            F.array_join(lines(cs, places(cs)), "\n").alias("text"),
+            F.array_size(F.flatten(cs)).alias("n_lines"),
+            F.array_size(lines(cs, gone)).alias("n_removed_lines"),
         ),
     )
     untouched = F.struct(
         F.col("text"), F.coalesce(F.array_size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"), F.lit(0).alias("n_removed_lines")
     )
-    out = joined.withColumn("cut", F.when(F.col("gone").isNull(), untouched).otherwise(cut))
-    rest = [F.col(c) for c in passed if c != "text"]
+    out = joined.withColumn("__line_cut", F.when(gone.isNull(), untouched).otherwise(cut))
+    rest = [F.col(f"`{c}`") for c in passed if c != "text"]
     return out.select(
         *rest,
-        F.col("cut.text").alias("text"),
-        F.col("cut.n_lines").cast("long").alias("n_lines"),
-        F.col("cut.n_removed_lines").cast("long").alias("n_removed_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed_chunks"),
+        F.col("__line_cut.text").alias("text"),
+        F.col("__line_cut.n_lines").cast("long").alias("n_lines"),
+        F.col("__line_cut.n_removed_lines").cast("long").alias("n_removed_lines"),
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed_chunks"),
     )
 
 

@@ -4,10 +4,13 @@
 that fill a sequence need no search.  The others are dealt by a hash into shards of about ``SHARD_ITEMS``; every shard is
 evolved on several islands.  A crossover injects whole well-filled bins of one parent into the other, removes bins that
 hold a duplicate, and places displaced pieces by best fit.  Between rounds each island's elite moves to the next island of
-its shard.  A shard at its lower bound (total length over capacity) stops at once.
+its shard.  A shard at its lower bound (total length over capacity) stops at once, others when ``GENERATIONS`` children in a
+row were no better than the best.  The emptiest bins of all shards are then opened, and their pieces packed in the same way
+until they fit one shard.
 
-Scale: one text pass, one shuffle of piece rows; shard size is constant, so at most one partly filled sequence per shard
-is lost, whatever the corpus.  No key is shared between pieces, so there is no skew; state tables are written between rounds.
+Scale: one text pass, one shuffle of piece rows; shard size is constant, and what shards leave part-filled meets in ever fewer
+shards, so few sequences are lost, whatever the corpus.  Rows are dealt with their place in the table, so repeated rows
+spread like others; state tables are written between rounds.
 
 Defined results: null text is empty (the closing id alone); repeated rows are packed each; null ids are carried; empty
 tables give no pieces; extra columns are ignored.
@@ -32,10 +35,13 @@ from .base import as_text, stored, unstore
 
 CAPACITY = 2048
 SHARD_ITEMS = 4096
-ISLANDS = 2
+ISLANDS = 4
 ROUNDS = 2
-POPULATION = 4
-GENERATIONS = 6
+POPULATION = 6
+#: Children without progress after which an island stops.
+GENERATIONS = 8
+#: Bins of a shard that are opened again, while there are several shards.
+OPENED = 2
 #: Fill from which a bin counts as well filled.
 WELL_FILLED = 0.995
 #: Words kept by a worker before its memory of encoded words is emptied.
@@ -200,7 +206,7 @@ def crossover(a: Packing, b: Packing, rng: random.Random) -> Packing:
 
 
 def evolve(sizes: list[int], population: list[np.ndarray], capacity: int, seed: int, generations: int = GENERATIONS) -> list[np.ndarray]:
-    """A population after some generations, best first; steady state, the worst gives way."""
+    """A population, best first, after ``generations`` children in a row that were no better; the worst gives way."""
     rng, n = random.Random(seed), len(sizes)
     if not n:
         return [np.empty(0, np.int32)]
@@ -214,14 +220,15 @@ def evolve(sizes: list[int], population: list[np.ndarray], capacity: int, seed:
         if len(first.bins) == least:
             break
     people.sort(key=Packing.fitness, reverse=True)
-    for _ in range(generations if len(people) > 1 else 0):
-        if len(people[0].bins) == least:
-            break
+    idle = 0
+    while idle < generations and len(people) > 1 and len(people[0].bins) > least:
         a, b = rng.sample(people, 2)
         child = crossover(a, b, rng)
+        best = people[0].fitness()
         if child.fitness() > people[-1].fitness():
             people[-1] = child
             people.sort(key=Packing.fitness, reverse=True)
+        idle = 0 if people[0].fitness() > best else idle + 1
     return [p.labels() for p in people[:POPULATION]]
 
 
@@ -243,25 +250,42 @@ def _evolver(capacity: int, round_no: int):
     return run
 
 
-def _placed(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in it:
-        for r in frame.itertuples(index=False):
-            items = pd.DataFrame(list(r.items), columns=list(ITEM_COLUMNS))
-            items["bin"] = np.frombuffer(r.population[0], np.int32)
-            items = items.sort_values(["bin", "doc_id", "piece"], kind="stable", na_position="last")
-            items["offset"] = items.groupby("bin")["length"].cumsum() - items["length"]
-            items["sequence_id"] = 2 * ((int(r.shard) << 32) + items["bin"].astype("int64"))
-            yield items[[*ITEM_COLUMNS, "sequence_id", "offset"]].astype({"doc_id": "Int64"})
+def _placer(level: int, opened: int):
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Pieces of each shard with sequence and offset; those of its ``opened`` emptiest bins with neither."""
+        for frame in it:
+            for r in frame.itertuples(index=False):
+                items = pd.DataFrame(list(r.items), columns=list(ITEM_COLUMNS))
+                items["bin"] = np.frombuffer(r.population[0], np.int32)
+                items = items.sort_values(["bin", "doc_id", "piece"], kind="stable", na_position="last")
+                items["offset"] = items.groupby("bin")["length"].cumsum() - items["length"]
+                items["sequence_id"] = 2 * ((level << 56) + (int(r.shard) << 32) + items["bin"].astype("int64"))
+                emptiest = items.groupby("bin")["length"].sum().sort_values(kind="stable").index[:opened]
+                items.loc[items["bin"].isin(emptiest), ["sequence_id", "offset"]] = None
+                yield items[[*ITEM_COLUMNS, "sequence_id", "offset"]].astype({"doc_id": "Int64", "sequence_id": "Int64", "offset": "Int64"})
+
+    return run
 
 
-def packed(pieces: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, rounds: int = ROUNDS) -> DataFrame:
+def packed(pieces: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS, rounds: int = ROUNDS, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """Every piece with its ``sequence_id`` and gapless ``offset``.  ``pieces``: a written table, read several times."""
-    spark = pieces.sparkSession
     full = pieces.where(F.col("length") == capacity).select(*ITEM_COLUMNS, (2 * F.monotonically_increasing_id() + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    loose = pieces.where(F.col("length") < capacity)
-    shards = max(1, -(-loose.count() // SHARD_ITEMS))
+    loose, out, level = pieces.where(F.col("length") < capacity), full, 0
+    while True:
+        shards = max(1, -(-loose.count() // shard_items))
+        placed = stored(_evolved(loose, shards, capacity, islands, rounds, level), "placed")
+        out = out.unionByName(placed.where("sequence_id IS NOT NULL"))
+        if shards == 1:
+            return out
+        loose, level = placed.where("sequence_id IS NULL").select(*ITEM_COLUMNS), level + 1
+
+
+def _evolved(loose: DataFrame, shards: int, capacity: int, islands: int, rounds: int, level: int) -> DataFrame:
+    """One level of packing; with several shards the pieces of each one's emptiest bins come back without a place."""
+    spark = loose.sparkSession
     item = F.struct(*ITEM_COLUMNS)
-    dealt = loose.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).alias("shard")).agg(F.sort_array(F.collect_list(item)).alias("items"))
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards))
+    dealt = loose.withColumn("shard", shard).groupBy("shard").agg(F.sort_array(F.collect_list(item)).alias("items"))
     state = dealt.select("shard", F.explode(F.array(*map(F.lit, range(islands)))).alias("island"), F.lit(0).alias("n_bins"), "items", F.array().cast("array<binary>").alias("population"))
     state = state.repartition(max(1, min(shards * islands, 4 * spark.sparkContext.defaultParallelism)) if shards < 1000 else shards, "shard", "island")
     for k in range(rounds):
@@ -273,8 +297,7 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY, islands: int = ISLANDS,
             elite = made.select("shard", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("population")[0].alias("elite"))
             state = made.join(elite, ["shard", "island"]).withColumn("population", F.concat(F.array("elite"), F.slice("population", 1, POPULATION - 1))).drop("elite")
     best = made.groupBy("shard").agg(F.min_by(F.struct("items", "population"), F.struct("n_bins", "island")).alias("b")).select("shard", "b.items", "b.population")
-    placed = best.mapInPandas(_placed, PIECES + ", sequence_id long, offset long")
-    return full.unionByName(placed)
+    return best.mapInPandas(_placer(level, OPENED if shards > 1 else 0), PIECES + ", sequence_id long, offset long")
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:

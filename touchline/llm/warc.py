@@ -2,16 +2,17 @@
 
 ``write_archives`` writes one whole-file gzip stream per slice of a partition.  ``normalise`` inflates each such stream
 once, rewrites every record as a gzip member of its own, and writes a sidecar index of member offsets beside it.
-``read_members`` opens members by that index.  Files are written under a temporary name and moved, so a task that is run
+``read_index`` reads the sidecars and ``read_members`` opens members by them.  Files are written under a temporary name and moved, so a task that is run
 again or twice leaves the same file.
 
-Scale: an archive holds about ``ARCHIVE_BYTES`` of payload, so files, tasks and memory do not grow with the table.
+Scale: an archive holds about ``ARCHIVE_BYTES`` of payload and is streamed, so memory does not grow with it; reading splits
+an archive at every ``READ_BYTES``.
 Duplicate payloads are found on digests; only digests seen more than once are joined back (Spark broadcasts them only if
 their size is known to be small, and splits a hot digest otherwise).
 
 Defined results: a null payload is empty; a null URL gives a record without target; of rows with equal payloads those
-with the largest id are responses, rows with a null id never are unless all ids are null; empty tables write nothing;
-extra columns are ignored.
+with the largest id are responses, rows with a null id never are unless all ids are null; repeated rows that are responses
+are all written in full, under one record id; empty tables write nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ from urllib.parse import quote
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .base import as_bytes, scratch_path, stored
 
 #: Payload bytes of an archive before the next one is begun.
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES = 512 << 20
+#: Bytes of an archive that one task reads.
+READ_BYTES = 64 << 20
 LEVEL = 3
 INFLATE_STEP = 1 << 20
 PROFILE = b"http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -194,6 +197,12 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
     return stored(archives.select("archive").distinct().mapInArrow(_normaliser(folder), INDEX), "warc-index")
 
 
+def read_index(spark: SparkSession, folder: str) -> DataFrame:
+    """The sidecar indexes of a folder of normalised archives, as ``normalise`` returned them."""
+    lines = spark.read.schema("offset long, length long, record_id string, record_type string").csv(f"{folder}/*.idx", sep="\t", quote="")
+    return lines.select(F.regexp_replace(F.col("_metadata.file_path"), r"\.idx$", "").alias("archive"), *lines.columns)
+
+
 def parsed(whole: bytes) -> tuple[int | None, int, str, str, int | None, bytes | None]:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, payload) of a record; a response's digest is checked."""
     end = whole.index(b"\r\n\r\n")
@@ -215,16 +224,22 @@ def _reader(with_payload: bool):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, stream = None, None
-        for b in it:
-            rows = []
-            for uri, offset, length in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if uri != opened:
-                    fs, path = file_system(uri)
-                    opened, stream = uri, fs.open_input_file(path)
-                row = parsed(zlib.decompress(stream.read_at(length, offset), 31))
-                rows.append(row if with_payload else (*row[:5], None))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        try:
+            for b in it:
+                rows = []
+                for uri, offset, length in zip(*(b.column(i).to_pylist() for i in range(3))):
+                    if uri != opened:
+                        if stream is not None:
+                            stream.close()
+                        fs, path = file_system(uri)
+                        opened, stream = uri, fs.open_input_file(path)
+                    row = parsed(zlib.decompress(stream.read_at(length, offset), 31))
+                    rows.append(row if with_payload else (*row[:5], None))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+        finally:
+            if stream is not None:
+                stream.close()
 
     return run
 
@@ -238,5 +253,11 @@ def warc_round_trip(pages: DataFrame, folder: str | None = None, min_bytes: int
     """Write pages to monolithic archives, normalise them, and read every record back by the index."""
     folder = folder or scratch_path(pages.sparkSession, "warc")
     archives = write_archives(with_roles(pages, min_bytes), f"{folder}/monolithic")
-    index = normalise(archives.repartition(max(1, archives.count()), "archive"), f"{folder}/members")
-    return read_members(index, with_payload)
+    n = archives.count()
+    if not n:
+        return pages.sparkSession.createDataFrame([], RECORDS)
+    members = normalise(archives.repartition(n, "archive"), f"{folder}/members")
+    parts = members.agg(F.sum("length")).first()[0] // READ_BYTES + n
+    index = read_index(pages.sparkSession, f"{folder}/members")
+    dealt = index.repartition(int(parts), "archive", F.floor(F.col("offset") / READ_BYTES)).sortWithinPartitions("archive", "offset")
+    return read_members(dealt, with_payload)
