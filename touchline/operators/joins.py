@@ -23,9 +23,13 @@ def _type(df: DataFrame, columns: list[str]) -> str:
     return "struct<" + ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in df.select(*columns).schema.fields) + ">"
 
 
-def nearest_within(left: DataFrame, right: DataFrame, keys: list[str], distance: Column, limit: Column, left_id: str, order: list[Column]) -> DataFrame:
-    """For each left row the right row of its keys that comes first by ``order`` among those within ``limit``."""
-    met = left.join(right, keys, "left").where(limit | distance.isNull())
+def nearest_day(left: DataFrame, right: DataFrame, keys: list[str], left_day: str, right_day: str, reach: int, left_id: str, order: list[Column]) -> DataFrame:
+    """For each left row the right row of its keys, at most ``reach`` days off, that comes first by ``order``; none without one.
+
+    A left row asks once for each day within reach, so it meets the right rows of those days only, not its keys' whole history.
+    """
+    days = F.explode(F.transform(F.sequence(F.lit(-reach), F.lit(reach)), lambda k: F.date_add(left_day, k)))
+    met = left.withColumn("_day", days).join(right.withColumn("_day", F.col(right_day)), [*keys, "_day"]).drop("_day")
     first = Window.partitionBy(left_id).orderBy(*order)
     return met.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
 

@@ -1,9 +1,10 @@
-"""Names to known entities: by folded key, by unique alias, then by similarity to every known key."""
+"""Names to known entities: by folded key, then by similarity to every known key."""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from pyspark.sql.types import DoubleType
 from ..functions.strings import folded_key
 
 THRESHOLD = 0.8
+#: Letters and digits of folded keys.
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789"
+#: Names, and keys, that one task compares.
+BLOCK = 5000
 
 
 @F.pandas_udf(DoubleType())
@@ -20,19 +25,54 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
 
 
+def _letters(keys: list[str]) -> np.ndarray:
+    """How often each letter or digit occurs in each key."""
+    out = np.zeros((len(keys), len(ALPHABET)), np.int16)
+    for i, k in enumerate(keys):
+        for c in k:
+            out[i, ALPHABET.index(c)] += 1
+    return out
+
+
+def _best_of_block(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+    """The best key of a block for each name, the smaller entity on ties.
+
+    Twice the shared letters over all letters bounds a ratio, so keys are compared from the highest bound down to the best ratio.
+    """
+    known = known.sort_values("entity", kind="stable")
+    others, entities = known["other"].tolist(), known["entity"].tolist()
+    counts, lengths = _letters(others), np.array([len(o) for o in others])
+    rows = []
+    for name, key, mine in zip(asked["name"], asked["key"], _letters(asked["key"].tolist())):
+        bound = 2 * np.minimum(counts, mine).sum(1) / np.maximum(lengths + len(key), 1)
+        best = (-1.0, 0)
+        for i in np.argsort(-bound, kind="stable").tolist():
+            if bound[i] < best[0] - 1e-12:
+                break
+            best = max(best, (SequenceMatcher(None, key, others[i]).ratio(), -i))
+        rows.append((name, entities[-best[1]], best[0]))
+    return pd.DataFrame(rows, columns=["name", "entity", "score"])
+
+
 def resolve(names: DataFrame, entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``name, entity, score, step`` for distinct names; ``entities``: entity, alias.  Unmatched names keep their best score.
 
-    Keys that several entities share match none.  Names left over are compared with every key, so best scores are exact.
+    Keys that several entities share match none.  Names left over are the queries of an exact search over all keys, in blocks of
+    both: a task compares at most ``BLOCK`` names with at most ``BLOCK`` keys.
     """
     known = entities.select("entity", folded_key(F.col("alias")).alias("key")).distinct()
     unique = known.groupBy("key").agg(F.count("*").alias("n"), F.min("entity").alias("entity")).where("n = 1").drop("n")
     asked = names.select("name").distinct().withColumn("key", folded_key(F.col("name")))
     exact = asked.join(unique, "key").select("name", "entity", F.lit(1.0).alias("score"), F.lit("key").alias("step"))
     left = asked.join(unique, "key", "left_anti")
-    pairs = left.where("key IS NOT NULL").crossJoin(known.where("key IS NOT NULL").withColumnRenamed("key", "other"))
-    scored = pairs.select("name", "entity", similarity("key", "other").alias("score"))
-    scored = scored.unionByName(left.select("name", F.lit(0.0).alias("score")), allowMissingColumns=True)  # names that meet no key
+    queries, keys = left.where("key IS NOT NULL"), known.where("key IS NOT NULL").withColumnRenamed("key", "other")
+    over, slices = (max(1, -(-x.count() // BLOCK)) for x in (keys, queries))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = queries.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int")).withColumn("block", every(over))
+    keys = keys.withColumn("block", F.pmod(F.xxhash64("other"), F.lit(over)).cast("int")).withColumn("part", every(slices))
+    kind = dict(keys.dtypes)["entity"]
+    met = queries.groupBy("block", "part").cogroup(keys.groupBy("block", "part")).applyInPandas(lambda a, k: _best_of_block(a, k) if len(a) and len(k) else pd.DataFrame({"name": [], "entity": [], "score": []}), f"name string, entity {kind}, score double")
+    scored = met.unionByName(left.select("name", F.lit(0.0).alias("score")), allowMissingColumns=True)  # names that meet no key
     best = scored.groupBy("name").agg(F.max_by(F.struct("entity", "score"), F.struct(F.col("score"), -F.col("entity"))).alias("b"))
     fuzzy = best.select("name", F.when(F.col("b.score") >= threshold, F.col("b.entity")).alias("entity"), "b.score", F.when(F.col("b.score") >= threshold, "fuzzy").otherwise("staged").alias("step"))
     return exact.unionByName(fuzzy)

@@ -191,11 +191,24 @@ c AS (SELECT market, g, count(*) AS n FROM s WHERE r < 0 GROUP BY market, g) SEL
     ("matches", "bets"),
 )
 def longest_losing_streak(spark, sf_dir):
-    """Pushes break a streak too."""
-    order = ("day", "bet_id")
+    """Pushes break a streak too.  A day is folded first, so only a row a day and market meets its neighbours."""
     lost = F.col("r") < 0
-    group = F.row_number().over(Window.partitionBy("market").orderBy(*order)) - F.row_number().over(Window.partitionBy("market", lost).orderBy(*order))
-    return settled(spark, sf_dir).withColumn("g", group).where(lost).groupBy("market", "g").agg(F.count("*").alias("n")).groupBy("market").agg(F.max("n").alias("streak"))
+    day = Window.partitionBy("market", "day")
+    marked = settled(spark, sf_dir).select("market", "day", "bet_id", lost.alias("lost"), F.row_number().over(day.orderBy("bet_id")).alias("k"), F.count("*").over(day).alias("bets"))
+    runs = marked.where("lost").withColumn("g", F.col("k") - F.row_number().over(day.orderBy("bet_id")))
+    runs = runs.groupBy("market", "day", "bets", "g").agg(F.count("*").alias("n"), F.min("k").alias("first"), F.max("k").alias("last"))
+    of_day = runs.groupBy("market", "day").agg(
+        F.max("n").alias("best"), F.max(F.when(F.col("first") == 1, F.col("n")).otherwise(0)).alias("head"), F.max(F.when(F.col("last") == F.col("bets"), F.col("n")).otherwise(0)).alias("tail"), (F.max("n") == F.max("bets")).alias("whole")
+    )
+    every = marked.select("market", "day").distinct().join(of_day.withColumnRenamed("market", "m").withColumnRenamed("day", "d"), (F.col("market") == F.col("m")) & F.col("day").eqNullSafe(F.col("d")), "left")
+    days = every.select("market", "day", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("best", "head", "tail")), F.coalesce("whole", F.lit(False)).alias("whole"))
+    over = Window.partitionBy("market").orderBy("day")
+    # a block is a day that is not lost whole and the lost days after it
+    blocks = days.withColumn("g", F.sum(F.when(F.col("whole"), 0).otherwise(1)).over(over)).groupBy("market", "g").agg(
+        F.max("best").alias("best"), F.sum(F.when(F.col("whole"), F.col("best")).otherwise(F.col("tail"))).alias("run"), F.max(F.when(~F.col("whole"), F.col("head"))).alias("head")
+    )
+    joined = blocks.withColumn("through", F.coalesce(F.lag("run").over(Window.partitionBy("market").orderBy("g")), F.lit(0)) + F.coalesce("head", F.lit(0)))
+    return joined.groupBy("market").agg(F.max(F.greatest("best", "run", "through")).alias("streak")).where("streak > 0")
 
 
 @query(
@@ -216,13 +229,19 @@ def bankroll_compounding(spark, sf_dir):
     ("matches", "bets"),
 )
 def cumulative_pnl(spark, sf_dir):
-    order = Window.partitionBy("market", "season").orderBy(F.asc_nulls_last("day"), "bet_id").rowsBetween(Window.unboundedPreceding, 0)
-    return settled(spark, sf_dir).select("bet_id", "market", F.round(F.sum("pnl").over(order), 4).alias("running"))
+    """Sums of earlier days from a table of days, and the day's own running sum."""
+    key = ("market", "season")
+    rows = settled(spark, sf_dir).select("bet_id", *key, "day", "pnl")
+    before = Window.partitionBy(*key).orderBy(F.asc_nulls_last("day")).rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(*key, "day").agg(F.sum("pnl").alias("own")).select(*(F.col(c).alias(f"d_{c}") for c in (*key, "day")), F.coalesce(F.sum("own").over(before), F.lit(0.0)).alias("carried"))
+    within = Window.partitionBy(*key, "day").orderBy("bet_id").rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(c).eqNullSafe(F.col(f"d_{c}")) for c in (*key, "day")]
+    return rows.withColumn("own", F.sum("pnl").over(within)).join(days, same).select("bet_id", "market", F.round(F.col("carried") + F.col("own"), 4).alias("running"))
 
 
 @query(
     "walk_forward_splits",
-    """WITH s AS (SELECT min(match_date) AS lo, max(match_date) AS hi FROM matches), k AS (SELECT unnest(range(0, 40)) AS i),
+    """WITH s AS (SELECT min(match_date) AS lo, max(match_date) AS hi FROM matches), k AS (SELECT unnest(range(0, (SELECT CAST(date_diff('month', min(match_date), max(match_date)) // 6 + 1 AS BIGINT) FROM matches))) AS i),
 t AS (SELECT i, lo, CAST(lo + to_months(CAST(24 + 6 * i AS INT)) AS DATE) AS a, CAST(lo + to_months(CAST(30 + 6 * i AS INT)) AS DATE) AS b, hi FROM s, k)
 SELECT CAST(i AS INT) AS fold, count(*) FILTER (WHERE match_date < a) AS train, count(*) FILTER (WHERE match_date >= a AND match_date < b) AS test FROM t JOIN matches ON match_date < b WHERE b <= hi GROUP BY i""",
     ("matches",),
@@ -231,8 +250,8 @@ def walk_forward_splits(spark, sf_dir):
     """Expanding training window from two years on, half-open tests of six months."""
     matches = domain(spark, sf_dir, "matches")
     span = matches.agg(F.min("match_date").alias("lo"), F.max("match_date").alias("hi"))
-    folds = span.select("hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(39))).alias("fold"))
+    folds = span.select("hi", "lo", F.explode(F.sequence(F.lit(0), F.floor(F.months_between("hi", "lo") / 6).cast("int"))).alias("fold"))
     folds = folds.select("fold", F.add_months("lo", 24 + 6 * F.col("fold")).alias("a"), F.add_months("lo", 30 + 6 * F.col("fold")).alias("b"), "hi").where("b <= hi")
     by_day = matches.groupBy("match_date").count()
-    met = by_day.join(F.broadcast(folds), F.col("match_date") < F.col("b"))  # forty rows at most are broadcast
+    met = by_day.join(F.broadcast(folds), F.col("match_date") < F.col("b"))  # a row for each half-year is broadcast
     return met.groupBy("fold").agg(F.sum(F.when(F.col("match_date") < F.col("a"), F.col("count")).otherwise(0)).alias("train"), F.sum(F.when(F.col("match_date") >= F.col("a"), F.col("count")).otherwise(0)).alias("test"))

@@ -9,6 +9,15 @@ from ..operators import upsert as U
 from ..projection import domain
 from ..registry import query
 
+NEAREST_SQL = """WITH b AS (SELECT match_id AS bet_id, home, away, CAST(match_date + CAST(match_id % 3 - 1 AS INT) AS DATE) AS day FROM matches),
+r AS (SELECT bet_id, m.match_id, row_number() OVER (PARTITION BY bet_id ORDER BY CASE WHEN m.match_id % 6 = 0 THEN 1 ELSE 0 END, abs(date_diff('day', day, m.match_date)), m.match_id) AS k
+  FROM b JOIN matches m ON b.home = m.home AND b.away = m.away AND abs(date_diff('day', day, m.match_date)) <= 1)
+SELECT bet_id, match_id FROM r WHERE k = 1"""
+RANGE_SQL = """WITH p AS (SELECT quote_id, match_id, CAST(epoch_us(observed_at) // 1000000 AS BIGINT) AS moment FROM quotes), w AS (SELECT match_id, moment AS low, moment + 7200 AS high, quote_id AS w_id FROM p)
+SELECT w_id, count(*) AS n FROM p JOIN w ON p.match_id = w.match_id AND moment >= low AND moment < high GROUP BY w_id"""
+REST_SQL = """WITH a AS (SELECT home AS team, match_date FROM matches UNION SELECT away, match_date FROM matches), d AS (SELECT team, match_date, lag(match_date) OVER (PARTITION BY team ORDER BY match_date) AS last FROM a)
+SELECT m.match_id, CAST(date_diff('day', last, m.match_date) AS INT) AS rest FROM matches m JOIN d ON d.team = m.home AND d.match_date = m.match_date"""
+
 
 @query(
     "as_of_quote",
@@ -27,31 +36,21 @@ def as_of_quote(spark, sf_dir):
 
 @query(
     "nearest_result_within_a_day",
-    """WITH b AS (SELECT match_id AS bet_id, home, away, CAST(match_date + CAST(match_id % 3 - 1 AS INT) AS DATE) AS day FROM matches WHERE match_id % 4 = 0),
-r AS (SELECT bet_id, m.match_id, row_number() OVER (PARTITION BY bet_id ORDER BY CASE WHEN m.match_id % 6 = 0 THEN 1 ELSE 0 END, abs(date_diff('day', day, m.match_date)), m.match_id) AS k
-  FROM b JOIN matches m ON b.home = m.home AND b.away = m.away AND abs(date_diff('day', day, m.match_date)) <= 1)
-SELECT bet_id, match_id FROM r WHERE k = 1""",
+    NEAREST_SQL,
     ("matches",),
 )
 def nearest_result_within_a_day(spark, sf_dir):
-    """The asking side of the SQL is one match in four; ``nearest_result_of_every_match`` asks for all."""
+    """Rows with a result win over nearer rows without; one match in six stands for those without."""
     m = domain(spark, sf_dir, "matches")
-    return _nearest_results(m, m.where("match_id % 4 = 0"))
+    bets = m.select(F.col("match_id").alias("bet_id"), "home", "away", F.date_add("match_date", (F.col("match_id") % 3 - 1).cast("int")).alias("day"))
+    order = [F.when(F.col("match_id") % 6 == 0, 1).otherwise(0), F.abs(F.date_diff("match_date", "day")), F.col("match_id")]
+    return J.nearest_day(bets, m.select("match_id", "home", "away", "match_date"), ["home", "away"], "day", "match_date", 1, "bet_id", order).select("bet_id", "match_id")
 
 
-@query("nearest_result_of_every_match")
+@query("nearest_result_of_every_match", NEAREST_SQL, ("matches",))
 def nearest_result_of_every_match(spark, sf_dir):
-    """Tested by brute force."""
-    m = domain(spark, sf_dir, "matches")
-    return _nearest_results(m, m)
-
-
-def _nearest_results(m, asked):
-    """Rows with a result win over nearer rows without; one match in six stands for those without."""
-    bets = asked.select(F.col("match_id").alias("bet_id"), "home", "away", F.date_add("match_date", (F.col("match_id") % 3 - 1).cast("int")).alias("day"))
-    gap = F.abs(F.date_diff("match_date", "day"))
-    order = [F.when(F.col("match_id") % 6 == 0, 1).otherwise(0), gap, F.col("match_id")]
-    return J.nearest_within(bets, m.select("match_id", "home", "away", "match_date"), ["home", "away"], gap, gap <= 1, "bet_id", order).where("match_id IS NOT NULL").select("bet_id", "match_id")
+    """The same answer under its earlier name."""
+    return nearest_result_within_a_day(spark, sf_dir)
 
 
 @query(
@@ -70,26 +69,20 @@ def three_pass_odds_ladder(spark, sf_dir):
 
 @query(
     "range_join_windows",
-    """WITH p AS (SELECT quote_id, match_id, CAST(epoch_us(observed_at) // 1000000 AS BIGINT) AS moment FROM quotes), w AS (SELECT match_id, moment AS low, moment + 7200 AS high, quote_id AS w_id FROM p WHERE quote_id % 5 = 0)
-SELECT w_id, count(*) AS n FROM p JOIN w ON p.match_id = w.match_id AND moment >= low AND moment < high GROUP BY w_id""",
+    RANGE_SQL,
     ("quotes",),
 )
 def range_join_windows(spark, sf_dir):
-    """The SQL opens a window at every fifth quote; ``range_join_windows_of_every_quote`` at each."""
-    return _two_hours(spark, sf_dir, F.col("quote_id") % 5 == 0)
+    """Quotes within the two hours from each quote of their match."""
+    p = domain(spark, sf_dir, "quotes").select("quote_id", "match_id", F.unix_seconds(F.col("observed_at").cast("timestamp")).alias("at"))
+    w = p.select("match_id", F.col("at").alias("low"), (F.col("at") + 7200).alias("high"), F.col("quote_id").alias("w_id"))
+    return J.within_bands(p, w, "match_id", "at", "low", "high", 7200).groupBy("w_id").agg(F.count("*").alias("n"))
 
 
-@query("range_join_windows_of_every_quote")
+@query("range_join_windows_of_every_quote", RANGE_SQL, ("quotes",))
 def range_join_windows_of_every_quote(spark, sf_dir):
-    """Tested by brute force."""
-    return _two_hours(spark, sf_dir, F.lit(True))
-
-
-def _two_hours(spark, sf_dir, opens):
-    """Quotes within the two hours from each quote of their match that opens a window."""
-    p = domain(spark, sf_dir, "quotes").select("quote_id", "match_id", F.unix_seconds(F.col("observed_at").cast("timestamp")).alias("at"))
-    w = p.where(opens).select("match_id", F.col("at").alias("low"), (F.col("at") + 7200).alias("high"), F.col("quote_id").alias("w_id"))
-    return J.within_bands(p, w, "match_id", "at", "low", "high", 7200).groupBy("w_id").agg(F.count("*").alias("n"))
+    """The same answer under its earlier name."""
+    return range_join_windows(spark, sf_dir)
 
 
 @query(
@@ -138,31 +131,26 @@ def match_dedup_range(spark, sf_dir):
     new = m.where("match_id % 2 = 1").select("match_id", "home", "away", "comp", "match_date")
     old = m.where("match_id % 2 = 0").select(F.col("match_id").alias("same_as"), "home", "away", "comp", F.col("match_date").alias("old_date"))
     gap = F.abs(F.date_diff("match_date", "old_date"))
-    return J.nearest_within(new, old, ["home", "away", "comp"], gap, gap <= 1, "match_id", [gap, F.col("same_as")]).where("same_as IS NOT NULL").select("match_id", "same_as")
+    return J.nearest_day(new, old, ["home", "away", "comp"], "match_date", "old_date", 1, "match_id", [gap, F.col("same_as")]).select("match_id", "same_as")
 
 
 @query(
     "rest_lookup_as_of",
-    """WITH a AS (SELECT home AS team, match_date FROM matches UNION ALL SELECT away, match_date FROM matches), f AS (SELECT match_id, home, match_date AS day FROM matches WHERE match_id % 9 = 0)
-SELECT f.match_id, CAST(date_diff('day', max(a.match_date), any_value(day)) AS INT) AS rest FROM f LEFT JOIN a ON a.team = f.home AND a.match_date < day GROUP BY f.match_id""",
+    REST_SQL,
     ("matches",),
 )
 def rest_lookup_as_of(spark, sf_dir):
-    """The SQL asks for one match in nine; ``rest_lookup_of_every_match`` for all."""
-    return _rest(domain(spark, sf_dir, "matches"), F.col("match_id") % 9 == 0)
+    """Days since the home side's last earlier match, for every match."""
+    m = domain(spark, sf_dir, "matches")
+    played = m.select(F.explode(F.array("home", "away")).alias("team"), F.date_add("match_date", 1).alias("from"), F.col("match_date").alias("last"), F.unix_date("match_date").alias("n")).distinct()
+    asked = m.select("match_id", F.col("home").alias("team"), F.col("match_date").alias("day"))
+    return J.as_of(asked, played, "team", "day", "from", ["last"], "n").select("match_id", F.date_diff("day", "last").alias("rest"))
 
 
-@query("rest_lookup_of_every_match")
+@query("rest_lookup_of_every_match", REST_SQL, ("matches",))
 def rest_lookup_of_every_match(spark, sf_dir):
-    """Tested by brute force."""
-    return _rest(domain(spark, sf_dir, "matches"), F.lit(True))
-
-
-def _rest(m, asks):
-    """Days since the home side's last earlier match, for the matches that ask."""
-    played = m.select(F.explode(F.array("home", "away")).alias("team"), F.date_add("match_date", 1).alias("from"), F.col("match_date").alias("last"), F.unix_date("match_date").alias("n")).distinct()
-    asked = m.where(asks).select("match_id", F.col("home").alias("team"), F.col("match_date").alias("day"))
-    return J.as_of(asked, played, "team", "day", "from", ["last"], "n").select("match_id", F.date_diff("day", "last").alias("rest"))
+    """The same answer under its earlier name."""
+    return rest_lookup_as_of(spark, sf_dir)
 
 
 @query(

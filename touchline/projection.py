@@ -5,6 +5,8 @@ Each projection is one SQL text that Spark and DuckDB read alike; everything abo
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: (source tables, SQL) by domain table.
@@ -105,8 +107,8 @@ def with_tables(sql: str, names: tuple[str, ...]) -> str:
 
 
 def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A domain table as a DataFrame."""
+    """A domain table as a DataFrame; the session's own views stay as they are."""
     sources, sql = TABLES[name]
     for t in sources:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(sql)
+        sql = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", sql)
+    return spark.sql(sql, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in sources})

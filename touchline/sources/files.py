@@ -15,8 +15,8 @@ from ..functions.strings import parse_score, squeeze
 #: Columns of season files.
 TEXT_COLUMNS = ("Div", "Date", "Time", "HomeTeam", "AwayTeam", "FTR", "HTR")
 COUNT_COLUMNS = ("FTHG", "FTAG", "HTHG", "HTAG", "HS", "AS", "HST", "AST", "HC", "AC")
-PRICE_COLUMNS = ("B365H", "B365D", "B365A", "AvgH", "AvgD", "AvgA", "MaxH", "MaxD", "MaxA", "PSH", "PSD", "PSA", "PSCH", "PSCD", "PSCA", "B365>2.5", "B365<2.5", "AHh", "B365AHH", "B365AHA")
-RENAMED = {"B365>2.5": "B365_O25", "B365<2.5": "B365_U25"}
+PRICE_COLUMNS = ("B365H", "B365D", "B365A", "AvgH", "AvgD", "AvgA", "MaxH", "MaxD", "MaxA", "PSH", "PSD", "PSA", "PSCH", "PSCD", "PSCA", "B365>2.5", "B365<2.5", "Avg>2.5", "Avg<2.5", "Max>2.5", "Max<2.5", "AHh", "B365AHH", "B365AHA", "AvgAHH", "AvgAHA", "MaxAHH", "MaxAHA")
+RENAMED = {f"{family}{sign}2.5": f"{family}_{side}25" for family in ("B365", "Avg", "Max") for sign, side in ((">", "O"), ("<", "U"))}
 FEED_SCHEMA = "fixtures struct<firstUnplayedMatch:int, allMatches:array<struct<id:string, round:string, home:struct<name:string>, away:struct<name:string>, status:struct<utcTime:string, finished:boolean, cancelled:boolean, scoreStr:string>>>>"
 ODDS_FEED_SCHEMA = "events array<struct<id:string, date:string, competitions:array<struct<competitors:array<struct<homeAway:string, team:struct<displayName:string>>>, odds:array<struct<homeTeamOdds:struct<moneyLine:int>, awayTeamOdds:struct<moneyLine:int>, drawOdds:struct<moneyLine:int>>>>>>>"
 
@@ -63,7 +63,7 @@ def fixtures_csv(spark: SparkSession, path: str, division: str) -> DataFrame:
     day = day_first(F.trim("Date"))
     clock = F.when(F.col("Time").rlike(r"^\d{1,2}:\d{2}$"), F.lpad("Time", 5, "0"))
     prices = {RENAMED.get(c, c): F.col(RENAMED.get(c, c)).try_cast("double") for c in PRICE_COLUMNS}
-    return raw.withColumns(prices | {"Date": day, "Kickoff": uk_to_utc(day, clock)}).where("Date IS NOT NULL").orderBy("Kickoff", "HomeTeam")
+    return raw.withColumns(prices | {"Date": day, "Kickoff": uk_to_utc(day, clock)}).where("Date IS NOT NULL")
 
 
 def league_feed(spark: SparkSession, path: str, finished: bool) -> DataFrame:
