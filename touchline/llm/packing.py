@@ -261,8 +261,9 @@ def _placer(level: int, opened: int):
                 items["offset"] = items.groupby("bin")["length"].cumsum() - items["length"]
                 items["sequence_id"] = 2 * ((level << 56) + (int(r.shard) << 32) + items["bin"].astype("int64"))
                 emptiest = items.groupby("bin")["length"].sum().sort_values(kind="stable").index[:opened]
-                items.loc[items["bin"].isin(emptiest), ["sequence_id", "offset"]] = None
-                yield items[[*ITEM_COLUMNS, "sequence_id", "offset"]].astype({"doc_id": "Int64", "sequence_id": "Int64", "offset": "Int64"})
+                items = items.astype({"doc_id": "Int64", "sequence_id": "Int64", "offset": "Int64"})
+                items.loc[items["bin"].isin(emptiest), ["sequence_id", "offset"]] = pd.NA
+                yield items[[*ITEM_COLUMNS, "sequence_id", "offset"]]
 
     return run
 
