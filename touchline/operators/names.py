@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -34,24 +35,27 @@ def _letters(keys: list[str]) -> np.ndarray:
     return out
 
 
-def _best_of_block(asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+def _best_of_block(asked: pa.Table, known: pa.Table) -> pa.Table:
     """The best key of a block for each name, the smaller entity on ties.
 
     Twice the shared letters over all letters bounds a ratio, so keys are compared from the highest bound down to the best ratio.
     """
-    known = known.sort_values("entity", kind="stable")
-    others, entities = known["other"].tolist(), known["entity"].tolist()
+    known = known.sort_by("entity")
+    others = known.column("other").to_pylist()
+    names, keys = asked.column("name").to_pylist(), asked.column("key").to_pylist()
     counts, lengths = _letters(others), np.array([len(o) for o in others])
-    rows = []
-    for name, key, mine in zip(asked["name"], asked["key"], _letters(asked["key"].tolist())):
+    at, scores = [], []
+    for key, mine in zip(keys if others else [], _letters(keys)):
         bound = 2 * np.minimum(counts, mine).sum(1) / np.maximum(lengths + len(key), 1)
         best = (-1.0, 0)
         for i in np.argsort(-bound, kind="stable").tolist():
             if bound[i] < best[0] - 1e-12:
                 break
             best = max(best, (SequenceMatcher(None, key, others[i]).ratio(), -i))
-        rows.append((name, entities[-best[1]], best[0]))
-    return pd.DataFrame(rows, columns=["name", "entity", "score"])
+        at.append(-best[1])
+        scores.append(best[0])
+    found = known.column("entity").combine_chunks().take(pa.array(at, pa.int64()))
+    return pa.table([pa.array(names[: len(at)], pa.string()), found, pa.array(scores, pa.float64())], names=["name", "entity", "score"])
 
 
 def resolve(names: DataFrame, entities: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -71,7 +75,7 @@ def resolve(names: DataFrame, entities: DataFrame, threshold: float = THRESHOLD)
     queries = queries.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(slices)).cast("int")).withColumn("block", every(over))
     keys = keys.withColumn("block", F.pmod(F.xxhash64("other"), F.lit(over)).cast("int")).withColumn("part", every(slices))
     kind = dict(keys.dtypes)["entity"]
-    met = queries.groupBy("block", "part").cogroup(keys.groupBy("block", "part")).applyInPandas(lambda a, k: _best_of_block(a, k) if len(a) and len(k) else pd.DataFrame({"name": [], "entity": [], "score": []}), f"name string, entity {kind}, score double")
+    met = queries.groupBy("block", "part").cogroup(keys.groupBy("block", "part")).applyInArrow(_best_of_block, f"name string, entity {kind}, score double")
     scored = met.unionByName(left.select("name", F.lit(0.0).alias("score")), allowMissingColumns=True)  # names that meet no key
     best = scored.groupBy("name").agg(F.max_by(F.struct("entity", "score"), F.struct(F.col("score"), -F.col("entity"))).alias("b"))
     fuzzy = best.select("name", F.when(F.col("b.score") >= threshold, F.col("b.entity")).alias("entity"), "b.score", F.when(F.col("b.score") >= threshold, "fuzzy").otherwise("staged").alias("step"))

@@ -13,8 +13,6 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 WATERMARK = "3 days"
-#: How long a day's exposure is kept after its last bet.
-KEPT_MS = 7 * 24 * 3600 * 1000
 
 
 def quote_stream(spark: SparkSession, path: str, files_a_batch: int | None = 10) -> DataFrame:
@@ -38,13 +36,10 @@ def signals_once(quotes: DataFrame, least: float = 4.5) -> DataFrame:
 def exposure_stream(bets: DataFrame, cap: float = 0.05) -> DataFrame:
     """Accept stakes of a day (``day, bet_id, stake_pct``) while its cap lasts; the used share is the state.
 
-    A day's state goes when nothing has come for ``KEPT_MS`` milliseconds.
+    State is one number a day and stays, so bets of any day may come late; a timeout would drop them.
     """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         used = state.get[0] if state.exists else 0.0
         rows = pd.concat(list(batches)).sort_values("bet_id")  # a day's rows of one micro-batch
         taken = []
@@ -53,10 +48,9 @@ def exposure_stream(bets: DataFrame, cap: float = 0.05) -> DataFrame:
             used += s if ok else 0.0
             taken.append(ok)
         state.update((used,))
-        state.setTimeoutDuration(KEPT_MS)
         yield pd.DataFrame({"day": rows["day"], "bet_id": rows["bet_id"], "accepted": taken})
 
-    return bets.groupBy("day").applyInPandasWithState(fold, "day date, bet_id long, accepted boolean", "used double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return bets.groupBy("day").applyInPandasWithState(fold, "day date, bet_id long, accepted boolean", "used double", "append", GroupStateTimeout.NoTimeout)
 
 
 def _folder(spark: SparkSession, name: str) -> str:
