@@ -35,7 +35,7 @@ def stream_signals_once(spark, sf_dir):
 def stream_exposure(spark, sf_dir):
     """Stakes accepted by a stateful fold; tested against a replay."""
     bets = domain(spark, sf_dir, "bets").select("day", "bet_id", capped_kelly(F.col("p_model"), F.col("odds")).alias("stake_pct")).where("stake_pct > 0")
-    source = jobs._folder(spark, "bets")
+    source = jobs.shared_folder(spark, "bets")
     bets.write.parquet(source)
     return jobs.run_to_table(jobs.exposure_stream(spark.readStream.schema(bets.schema).parquet(source)), "exposure")
 

@@ -53,7 +53,7 @@ def exposure_stream(bets: DataFrame, cap: float = 0.05) -> DataFrame:
     return bets.groupBy("day").applyInPandasWithState(fold, "day date, bet_id long, accepted boolean", "used double", "append", GroupStateTimeout.NoTimeout)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
+def shared_folder(spark: SparkSession, name: str) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
@@ -65,7 +65,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now and read its result; complete results replace the table batch by batch."""
     spark = stream.sparkSession
-    out, log = _folder(spark, name), _folder(spark, f"{name}-log")
+    out, log = shared_folder(spark, name), shared_folder(spark, f"{name}-log")
     writer = stream.writeStream.option("checkpointLocation", log).trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").outputMode("append").option("path", out).start()
