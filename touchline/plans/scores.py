@@ -111,13 +111,18 @@ def corner_handicap(spark, sf_dir):
     return c.groupBy("comp").agg(F.round(F.sum(F.when(F.col("x") - F.col("y") > 1.5, F.col("w")).otherwise(0.0)) / F.sum("w"), 8).alias("cover"))
 
 
-@query("negative_binomial_tail")
+@query(
+    "negative_binomial_tail",
+    """WITH r AS (SELECT comp, avg(hc + ac) AS rate FROM matches GROUP BY comp), k AS (SELECT unnest(range(10, 41)) AS k)
+SELECT comp, round(sum(exp(lgamma(k + 10) - lgamma(k + 1) - lgamma(10) + 10 * ln(10 / (10 + rate)) + k * ln(rate / (10 + rate)))), 8) AS over95 FROM r, k GROUP BY comp""",
+    ("matches",),
+)
 def negative_binomial_tail(spark, sf_dir):
-    """Tail beyond nine and a half corners under negative-binomial counts; tested against a direct sum."""
+    """Tail beyond nine and a half corners under negative-binomial counts."""
     m = domain(spark, sf_dir, "matches")
     rate = m.groupBy("comp").agg(F.avg(F.col("hc") + F.col("ac")).alias("rate"), F.lit(0.1).alias("dispersion"))
     masses = rate.withColumn("p", S.negative_binomial(F.col("rate"), F.col("dispersion"), 40))
-    return masses.select("comp", F.aggregate(F.slice("p", 11, 31), F.lit(0.0), lambda a, x: a + x).alias("over95"))
+    return masses.select("comp", F.round(F.aggregate(F.slice("p", 11, 31), F.lit(0.0), lambda a, x: a + x), 8).alias("over95"))
 
 
 @query("fit_team_strengths")

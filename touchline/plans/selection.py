@@ -90,12 +90,20 @@ def new_team_gate(spark, sf_dir):
     return rows.groupBy("comp").agg(F.count_if(gated).alias("gated"), F.count("*").alias("n"))
 
 
-@query("greedy_exposure")
+@query(
+    "greedy_exposure",
+    """WITH RECURSIVE c AS (SELECT bet_id, day, comp, CAST(substr(comp, 1, 1) AS INT) AS lg, least(least(greatest((p_model * odds - 1) / (odds - 1), 0), 1) * 0.1e0, 0.01e0) AS s, row_number() OVER (PARTITION BY day ORDER BY bet_id) AS k FROM bets b JOIN (SELECT match_id, comp FROM matches) m ON b.match_id = m.match_id),
+f AS (SELECT day AS d, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS bet_id, CAST(NULL AS VARCHAR) AS comp, CAST(0 AS DOUBLE) AS s, FALSE AS ok, CAST(0 AS DOUBLE) AS total, [0e0, 0e0, 0e0, 0e0, 0e0] AS used FROM (SELECT DISTINCT day FROM c) t
+UNION ALL SELECT d, k, x.bet_id, x.comp, x.s, x.ok, total + CASE WHEN x.ok THEN x.s ELSE 0 END, list_transform(used, lambda v, i: v + CASE WHEN x.ok AND i = lg THEN x.s ELSE 0 END)
+FROM (SELECT f.d, f.total, f.used, c.*, c.s > 0 AND f.total + c.s <= 0.05e0 + 1e-12 AND f.used[c.lg] + c.s <= 0.03e0 + 1e-12 AS ok FROM f JOIN c ON c.day = f.d AND c.k = f.n + 1) x)
+SELECT bet_id, d AS day, comp, round(s, 8) AS stake_pct, ok AS accepted FROM f WHERE n > 0""",
+    ("bets", "matches"),
+)
 def greedy_exposure(spark, sf_dir):
-    """Stakes accepted in order against the caps of day and league: a fold, which SQL can't express; tested by replay."""
+    """Stakes accepted in order against the caps of day and league."""
     comps = domain(spark, sf_dir, "matches").select("match_id", "comp")
     rows = legs(spark, sf_dir).join(comps, "match_id").withColumn("stake_pct", capped_kelly(F.col("p_model"), F.col("odds"))).select("bet_id", "day", "comp", "stake_pct")
-    return S.exposure_fold(rows, "day", "comp", ["bet_id"], "stake_pct")
+    return S.exposure_fold(rows, "day", "comp", ["bet_id"], "stake_pct").withColumn("stake_pct", F.round("stake_pct", 8))
 
 
 @query(

@@ -31,9 +31,16 @@ def stream_signals_once(spark, sf_dir):
     return table.select("match_id", "book", F.col("day").cast("timestamp_ntz").alias("day"))
 
 
-@query("stream_exposure")
+@query(
+    "stream_exposure",
+    """WITH RECURSIVE c AS (SELECT bet_id, day, s, row_number() OVER (PARTITION BY day ORDER BY bet_id) AS k FROM (SELECT bet_id, day, least(least(greatest((p_model * odds - 1) / (odds - 1), 0), 1) * 0.1e0, 0.01e0) AS s FROM bets) b WHERE s > 0),
+f AS (SELECT day AS d, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS bet_id, FALSE AS ok, CAST(0 AS DOUBLE) AS total FROM (SELECT DISTINCT day FROM c) t
+UNION ALL SELECT d, k, c.bet_id, total + s <= 0.05e0 + 1e-12, total + CASE WHEN total + s <= 0.05e0 + 1e-12 THEN s ELSE 0 END FROM f JOIN c ON c.day = f.d AND c.k = f.n + 1)
+SELECT d AS day, bet_id, ok AS accepted FROM f WHERE n > 0""",
+    ("bets",),
+)
 def stream_exposure(spark, sf_dir):
-    """Stakes accepted by a stateful fold; tested against a replay."""
+    """Stakes accepted by a stateful fold."""
     bets = domain(spark, sf_dir, "bets").select("day", "bet_id", capped_kelly(F.col("p_model"), F.col("odds")).alias("stake_pct")).where("stake_pct > 0")
     source = jobs.shared_folder(spark, "bets")
     bets.write.parquet(source)
