@@ -36,9 +36,11 @@ MAX_REPEAT_PERCENT = 20
 MIN_GROUP = 200
 #: Share of rows in the concentrated half.
 H_SHARE = 0.75
-#: Most concentration steps, and the change of all log-determinants below which they have settled.
-STEPS = 20
-SETTLED = 1e-3
+#: Most concentration steps, and the change of all log-determinants below which they have settled (quantiles are approximate).
+STEPS = 12
+SETTLED = 1e-2
+#: Tasks that invert matrices, one row each for a group and start.
+INVERTING = 16
 #: Quantiles of the chi-square law with six degrees of freedom: 0.9999 (beyond it a row is rejected) and 0.975 (reweighting).
 CUTOFF = 27.856
 REWEIGHTED = 14.449
@@ -185,7 +187,7 @@ def _inverted(it: Iterator[pd.DataFrame], consistent: float) -> Iterator[pd.Data
 def _params_of(rows: DataFrame, consistent: float = 1.0) -> DataFrame:
     x = [F.col(f) for f in FEATURES]
     sums = [F.count("*").cast("double").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(P)), *(F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P))]
-    return rows.groupBy("grp", "start").agg(*sums).mapInPandas(_inverter(consistent), _PARAMS)
+    return rows.groupBy("grp", "start").agg(*sums).coalesce(INVERTING).mapInPandas(_inverter(consistent), _PARAMS)
 
 
 def _with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
