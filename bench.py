@@ -12,7 +12,7 @@ CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINE = (
     "settlement_by_market", "expected_value_and_kelly", "devig_multiplicative", "odds_family_coalesce", "closing_line_value", "backtest_summary", "calibration_by_market", "reliability_table",
     "rolling_stats_skip_missing", "rolling_form", "match_density", "point_in_time_imputation", "equity_curve", "max_drawdown", "longest_losing_streak", "as_of_quote", "nearest_result_within_a_day",
-    "three_pass_odds_ladder", "best_leg_per_match", "daily_slots", "score_matrix_1x2", "over_under_masses", "fair_total_line", "fit_team_strengths", "greedy_exposure",
+    "three_pass_odds_ladder", "best_leg_per_match", "daily_slots", "score_matrix_1x2", "over_under_masses", "fair_total_line", "fit_team_strengths", "greedy_exposure", "team_profile",
 )
 
 
