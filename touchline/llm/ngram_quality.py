@@ -131,7 +131,7 @@ def with_discount(table: DataFrame) -> DataFrame:
 
 
 def probabilities(asked: DataFrame, tables: dict[int, DataFrame]) -> DataFrame:
-    """``lang, code, p`` of asked n-grams of the highest order, by joins from the lowest order up."""
+    """``lang, code, p`` of asked n-grams of the highest order, by joins from the lowest order up; uses up ``tables``."""
     below = None
     for n in range(1, ORDER + 1):
         want = asked.select("lang", _suffix(F.col("code"), n).alias("code")).distinct() if n < ORDER else asked.select("lang", "code")
@@ -145,7 +145,9 @@ def probabilities(asked: DataFrame, tables: dict[int, DataFrame]) -> DataFrame:
             lower = F.col("q")
         own = F.coalesce((F.col("c") - F.col("d")) / F.col("total"), F.lit(0.0))
         p = own + F.coalesce(F.col("mass") / F.col("total"), F.lit(1.0)) * lower
-        below = stored(joined.select("lang", "code", p.alias("p")), "probabilities")
+        made = stored(joined.select("lang", "code", p.alias("p")), "probabilities")
+        unstore(*([below] if below is not None else []), tables[n])  # read by this order only
+        below = made
     return below
 
 
@@ -198,7 +200,7 @@ def scored(docs: DataFrame, labels: DataFrame, chunk_bytes: int = CHUNK_BYTES) -
     asked = stored(pre.select("lang", "code").distinct(), "asked")
     p = probabilities(asked, count_tables(counts))
     answers = stored(pre.select("chunk", "lang", "code").join(p, ["lang", "code"]).select("chunk", "lang", "code", F.log10("p").alias("log10_p")), "answers")
-    unstore(pre, asked)
+    unstore(pre, asked, p)
     release(spark)
     out = rows.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score, SCORES)
     out = stored(out, "scores")
