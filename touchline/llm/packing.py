@@ -142,9 +142,9 @@ class Packing:
         self.by_room[self.room[k]].append(k)
         self.mask |= 1 << self.room[k]
 
-    def add_bin(self, items: list[int]) -> None:
+    def add_bin(self, items: list[int], room: int | None = None) -> None:
         self.bins.append(list(items))
-        self.room.append(self.capacity - sum(self.sizes[i] for i in items))
+        self.room.append(self.capacity - sum(self.sizes[i] for i in items) if room is None else room)
         self._shelve(len(self.bins) - 1)
 
     def best_fit(self, items) -> None:
@@ -183,26 +183,26 @@ def from_labels(labels: np.ndarray, sizes: list[int], capacity: int) -> Packing:
 def crossover(a: Packing, b: Packing, rng: random.Random) -> Packing:
     """``a`` with half of ``b``'s well-filled bins injected; bins with duplicates go, displaced items are best-fitted."""
     good = [k for k, r in enumerate(b.room) if r <= b.capacity * (1 - WELL_FILLED)] or list(range(len(b.bins)))
-    chosen = [b.bins[k] for k in good if rng.random() < 0.5]
-    taken = {i for items in chosen for i in items}
-    child, loose = Packing(a.sizes, a.capacity), []
-    for items in a.bins:
+    chosen = [k for k in good if rng.random() < 0.5]
+    taken = {i for k in chosen for i in b.bins[k]}
+    bins, rooms, loose = [], [], []
+    for items, room in zip(a.bins, a.room):
         if taken.isdisjoint(items):
-            child.add_bin(items)
+            bins.append(items)
+            rooms.append(room)
         else:
             loose += [i for i in items if i not in taken]
-    for items in chosen:
-        child.add_bin(items)
-    worst = sorted(range(len(child.bins)), key=lambda k: -child.room[k])[: max(1, len(child.bins) // 50)]  # the emptiest bins open again
-    reopened = set(worst)
-    final = Packing(a.sizes, a.capacity)
-    for k, items in enumerate(child.bins):
+    bins += [b.bins[k] for k in chosen]
+    rooms += [b.room[k] for k in chosen]
+    reopened = set(sorted(range(len(bins)), key=lambda k: -rooms[k])[: max(1, len(bins) // 50)])  # the emptiest bins open again
+    child = Packing(a.sizes, a.capacity)
+    for k, (items, room) in enumerate(zip(bins, rooms)):
         if k in reopened:
             loose += items
         else:
-            final.add_bin(items)
-    final.best_fit(sorted(loose, key=lambda i: -a.sizes[i]))
-    return final
+            child.add_bin(items, room)
+    child.best_fit(sorted(loose, key=lambda i: -a.sizes[i]))
+    return child
 
 
 def evolve(sizes: list[int], population: list[np.ndarray], capacity: int, seed: int, generations: int = GENERATIONS) -> list[np.ndarray]:
