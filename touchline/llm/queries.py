@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup
+from . import filter_audit, line_dedup, source_divergence
 from .base import table
 
 
@@ -84,6 +84,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the words that a mix of weighted sources takes of each."""
+    from .mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source of all documents, in every order."""
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of all sources' words from those of other sources, and the terms that stand out most."""
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_line_dedup": op2_line_dedup,
@@ -95,10 +112,15 @@ QUERIES = {
     "op8_nearest_neighbours": op8_nearest_neighbours,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_bpe": op10_bpe,
+    "op11_source_mix": op11_source_mix,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op2_line_dedup": line_dedup.ORACLE,
+    "op12_filter_audit": filter_audit.ORACLE,
+    "op13_source_divergence": source_divergence.ORACLE,
     "op3_warc": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
