@@ -43,13 +43,13 @@ def nearest_sum(sizes: list[int], counts: list[int], budget: int) -> list[int]:
     chosen = [0] * len(sizes)
     if budget <= 0 or not any(counts):
         return chosen
-    most = budget + min(budget, min(s for s, c in zip(sizes, counts) if c))  # nothing beyond is nearer than what fits below
+    most = min(2 * budget, sum(s * c for s, c in zip(sizes, counts)))  # nothing is nearer than a sum beyond
     reach, by = np.zeros(most + 1, bool), np.full(most + 1, -1, np.int32)
     reach[0] = True
     pieces: list[tuple[int, int]] = []
     for i in sorted(range(len(sizes)), key=sizes.__getitem__):
         left, part = min(counts[i], most // sizes[i]), 1
-        while left and not reach[budget]:
+        while left and not (budget <= most and reach[budget]):
             k = min(part, left)
             new = np.flatnonzero(reach[: most + 1 - k * sizes[i]] & ~reach[k * sizes[i] :]) + k * sizes[i]
             reach[new], by[new] = True, len(pieces)
