@@ -1,18 +1,18 @@
 """Source divergence audit: how each source's use of words differs from its language and from every other source of it.
 
-First pass: documents of an input partition are taken in blocks of ``BLOCK_BYTES``, and each block tells the terms of its
-documents with exact document frequencies; summed, these give the kept terms of every language.  Second pass: a block's texts,
-reduced to terms between single delimiters, meet those of its own terms that are kept; an Aho-Corasick automaton of these terms,
-each padded with the delimiter on both sides, recounts their occurrences by source.  So an automaton never holds more than the
-terms of a block, however large the vocabulary.  Both passes deal rows to blocks alike; every block carries its number of bytes
-from the first pass, and the second one fails rather than count a different block.
+Documents are dealt into blocks of about ``BLOCK_BYTES``, each of one language and source.  First pass: a block tells the terms of
+its documents with exact document frequencies; summed, these give the kept terms of every language.  Second pass: a block's
+texts, reduced to terms between single delimiters, meet those of its own terms that are kept; an Aho-Corasick automaton of these
+terms, each padded with the delimiter on both sides, recounts their occurrences.  So an automaton never holds more than the terms
+of a block, however large the vocabulary.  Rows are dealt by their place in the table, alike in both passes; every block carries
+its number of bytes from the first pass, and the second one fails rather than count a different block.
 
 Counts stay sparse.  A term that a group never uses has one share for the group, so the sum over all kept terms for two groups
 is: kept terms times the value of two unused terms; plus, for each group, a correction for its own terms against the other's
 unused share, by number of terms of equal share; plus a correction for the terms both use, summed inside tasks over the
 postings of whole terms.  All arithmetic is in integers; shares are found by long division, so counts may pass 2^63 / 10^9.
 
-Scale: texts move once, in pass two; counts are summed before they move.  The pairs of sources of a language are the result
+Scale: texts move once in each pass, a hot source in many blocks; a block's counts are summed before they move.  The pairs of sources of a language are the result
 itself.  Ranks of terms keep ``TOP`` rows a group and task before they move.
 
 Defined results: null text, language and source are the empty string; a document is a row, so repeated rows count each time; a
@@ -29,27 +29,25 @@ from operator import itemgetter
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import as_bytes, stored, unstore
+from .base import as_bytes, release, stored, unstore
 
 LEAST_DOCS = 3
 TOP = 200
 SCALE_DIGITS = 3  # shares are parts of 10^9, found three digits at a time, three times
-#: Text bytes of a block; a longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
+#: Text bytes of a block, about, and most partitions that blocks are dealt to.
+BLOCK_BYTES = 16 << 20
+MAX_PARTITIONS = 100_000
 #: Pairs of postings that are in memory at once.
 PAIRS = 1 << 19
 
 #: Every byte of a text: a letter in lower case, a byte of a non-ASCII letter, or the delimiter.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-_TERMS = pa.schema([("block", pa.string()), ("lang", pa.string()), ("term", pa.string()), ("n", pa.int64())])
-TERMS = "block string, lang string, term string, n long"
-_TEXTS = pa.schema([("block", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("text", pa.large_binary())])
-TEXTS = "block string, lang string, source string, text binary"
+_TERMS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("slot", pa.int32()), ("term", pa.string()), ("n", pa.int64())])
+TERMS = "lang string, source string, slot int, term string, n long"
 _COUNTS = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64())])
 COUNTS = "lang string, source string, term string, n long"
 _MET = pa.schema([("lang", pa.string()), ("source", pa.string()), ("other", pa.string()), ("value", pa.int64())])
@@ -61,75 +59,70 @@ def terms_of(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[tuple[str, str, list[bytes]]]]]:
-    """(block, [(language, source, terms)]) of an input partition, from batches of (lang, source, text)."""
-    here, number, held, size = TaskContext.get().partitionId(), 0, [], 0
-    for b in batches:
-        for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), as_bytes(b.column(2))):
-            if held and size + len(text) > BLOCK_BYTES:
-                yield f"{here}-{number}", held
-                number, held, size = number + 1, [], 0
-            held.append((lang, source, terms_of(text)))
-            size += len(text)
-    if held:
-        yield f"{here}-{number}", held
-
-
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Document frequencies by block and language; the null term has the bytes of the block's terms."""
-    for block, rows in _blocks(batches):
-        found: dict[str, Counter] = {}
-        sizes: Counter = Counter()
-        for lang, _, terms in rows:
-            found.setdefault(lang, Counter()).update(set(terms))
-            sizes[lang] += sum(map(len, terms))
-        for lang, docs in found.items():
-            terms = [*(t.decode() for t in docs), None]
-            n = [*docs.values(), sizes[lang]]
-            yield pa.RecordBatch.from_arrays([pa.array([block] * len(n)), pa.array([lang] * len(n)), pa.array(terms, pa.string()), pa.array(n, pa.int64())], schema=_TERMS)
-
-
-def _padded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of a block by language and source: terms with one delimiter before, between and after."""
-    for block, rows in _blocks(batches):
-        joined: dict[tuple[str, str], list[bytes]] = {}
-        for lang, source, terms in rows:
-            joined.setdefault((lang, source), []).extend(terms)
-        keys = list(joined)
-        texts = [b" %s " % b" ".join(joined[k]) for k in keys]
-        yield pa.RecordBatch.from_arrays([pa.array([block] * len(keys)), pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array(texts, pa.large_binary())], schema=_TEXTS)
+    """Document frequencies of the blocks of a partition; a block's null term has the bytes of its terms."""
+    found: dict[tuple[str, str, int], Counter] = {}
+    sizes: Counter = Counter()
+    for b in batches:
+        for *block, text in zip(*(b.column(i).to_pylist() for i in range(3)), as_bytes(b.column(3))):
+            terms, key = terms_of(text), tuple(block)
+            found.setdefault(key, Counter()).update(set(terms))
+            sizes[key] += sum(map(len, terms))
+    for key, docs in found.items():
+        names = [*(t.decode() for t in docs), None]
+        n = [*docs.values(), sizes[key]]
+        block = [pa.array([x], t).take(pa.array(np.zeros(len(n), np.int32))) for x, t in zip(key, _TERMS.types)]
+        yield pa.RecordBatch.from_arrays([*block, pa.array(names, pa.string()), pa.array(n, pa.int64())], schema=_TERMS)
 
 
 def _recount(texts: pa.Table, kept: pa.Table) -> pa.Table:
-    """Occurrences of the kept terms of one block and language, by source."""
-    automaton, expected, rows = ahocorasick.Automaton(), 0, []
+    """Occurrences of the kept terms of one block."""
+    automaton, expected, counts = ahocorasick.Automaton(), 0, Counter()
     for term, n in zip(kept.column("term").to_pylist(), kept.column("n").to_pylist()):
         if term is None:
             expected = n
         else:
             automaton.add_word(f" {term} ", term)
-    raw = texts.column("text").to_pylist()
-    if sum(len(t) - t.count(b" ") for t in raw) != expected:
-        raise RuntimeError("a block holds other texts than in the first pass")
     if len(automaton):
         automaton.make_automaton()
-        for lang, source, text in zip(texts.column("lang").to_pylist(), texts.column("source").to_pylist(), raw):
-            rows += [(lang, source, term, n) for term, n in Counter(map(itemgetter(1), automaton.iter(text.decode()))).items()]
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, _COUNTS.types)], schema=_COUNTS)
+    size = 0
+    for chunk in texts.column("text").chunks:
+        padded = [b" %s " % b" ".join(terms_of(t)) for t in as_bytes(chunk)]
+        size += sum(len(t) - t.count(b" ") for t in padded)
+        if len(automaton):
+            counts.update(map(itemgetter(1), automaton.iter(b"".join(padded).decode())))
+    if size != expected:
+        raise RuntimeError("a block holds other texts than in the first pass")
+    at = pa.array(np.zeros(len(counts), np.int32))
+    block = [texts.column(c).combine_chunks().slice(0, 1).take(at) for c in ("lang", "source")]
+    return pa.Table.from_arrays([*block, pa.array(counts, pa.string()), pa.array(counts.values(), pa.int64())], schema=_COUNTS)
+
+
+def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(``lang, source, slot, text`` of every row, number of blocks)."""
+    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
+    sizes = docs.select(*named).groupBy("lang", "source").agg(F.sum(F.octet_length("text").cast("long")).alias("bytes"))
+    sizes = stored(sizes.select("lang", "source", F.greatest(F.ceil(F.col("bytes") / BLOCK_BYTES), F.lit(1)).cast("int").alias("slots")), "group-sizes")
+    rows = docs.select(*named, F.xxhash64(F.monotonically_increasing_id()).alias("place")).join(sizes.where("slots > 1"), ["lang", "source"], "left")
+    slot = F.coalesce(F.pmod("place", F.col("slots")), F.lit(0)).cast("int").alias("slot")
+    return rows.select("lang", "source", slot, "text"), sizes.agg(F.sum("slots")).first()[0] or 1
 
 
 def kept_terms(docs: DataFrame, least: int = LEAST_DOCS) -> tuple[DataFrame, DataFrame]:
     """(``lang, term`` in at least ``least`` documents of the language; ``lang, source, term, n`` > 0 of every group)."""
-    named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    rows = docs.select(*named)
-    by_block = stored(rows.mapInArrow(_frequencies, TERMS), "block-terms")
+    rows, blocks = dealt(docs)
+    block = ("lang", "source", "slot")
+    n = min(max(int(blocks), docs.sparkSession.sparkContext.defaultParallelism), MAX_PARTITIONS)
+    by_block = stored(rows.repartition(n, *block).mapInArrow(_frequencies, TERMS), "block-terms")
+    release(docs.sparkSession)
     frequent = by_block.where("term IS NOT NULL").groupBy("lang", "term").agg(F.sum("n").alias("docs")).where(F.col("docs") >= least)
     kept = stored(frequent.select("lang", "term"), "kept-terms")
     wanted = by_block.join(kept, ["lang", "term"], "left_semi").unionByName(by_block.where("term IS NULL"))
-    met = rows.mapInArrow(_padded, TEXTS).groupBy("block", "lang").cogroup(wanted.select("block", "lang", "term", "n").groupBy("block", "lang"))
+    met = rows.groupBy(*block).cogroup(wanted.select(*block, "term", "n").groupBy(*block))
     counts = met.applyInArrow(_recount, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
     counts = stored(counts, "postings")
     unstore(by_block)
+    release(docs.sparkSession)
     return kept, counts
 
 
