@@ -18,8 +18,12 @@ Whole copies of an earlier text are settled before, on digests, so hot groups of
 Scale: one pass hashes the texts; one shuffle of (gram hash, place) rows, about one for 30 bytes, finds repeated grams; a
 join by document cuts out their surroundings, and one shuffle deals those into shards of bounded size.  Hot grams are split
 before they move: a task sends one row of a gram it has seen twice and spreads the others, and one row of equal
-surroundings, the later ones being settled there; strings of grams that occur more than ``HEAVY`` times do not enter a
-shard but are grouped by a 128-bit hash, one row a task for equal ones.
+surroundings, the later ones being settled there by their bytes.  A gram that occurs more than ``HEAVY`` times becomes
+longer grams: strings that have their anchor at nearly the same offset share more bytes than the gram, so runs are cut into
+pieces of ``WIDTHS`` offsets and the bytes that all strings of a piece have to share are its gram.  Pieces whose gram is still
+heavy are cut again, down to single strings, of which a task sends one.  All pieces enter the suffix arrays of a shard.
+
+Equality is by bytes, but for whole copies, which are known by their SHA-256.
 
 Defined results: null text is empty; a null id sorts first; rows equal in id and text are one document and lose the same
 bytes; different texts with one id are ordered by a hash of the text; empty tables give empty results; extra columns pass,
@@ -50,10 +54,12 @@ PARTITION_BYTES = 12 << 20
 BATCH = 4096
 #: Neighbours that a suffix passes in an array before the strings of its gram are sorted instead of paired.
 CROWD = 24
-#: Occurrences of a gram beyond which its strings are grouped by their hashes instead of entering a shard.
+#: Occurrences of a gram beyond which its runs are cut into pieces with longer grams.
 HEAVY = 1_000
-#: Digests of surroundings that a task remembers.
-SEEN = 1_000_000
+#: Offsets of a piece, cut after cut.
+WIDTHS = (16, 4, 1)
+#: Surroundings that a task remembers.
+SEEN = 400_000
 NO_ID = -(1 << 63)
 
 _POS = np.uint64((1 << POSITION_BITS) - 1)
@@ -185,14 +191,15 @@ SPAN = pa.schema([("d", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("e"
 
 
 class _First(set):
-    """Digests of what a task has met; emptied at ``SEEN``, which only makes it say again that something is new."""
+    """Surroundings that a task has met; emptied at ``SEEN``, which only makes it say again that something is new."""
 
-    def new(self, digest: bytes) -> bool:
-        if digest in self:
+    def new(self, around: bytes, offset: int) -> bool:
+        key = around + bytes([offset])
+        if key in self:
             return False
         if len(self) >= SEEN:
             self.clear()
-        self.add(digest)
+        self.add(key)
         return True
 
 
@@ -212,53 +219,55 @@ def _surroundings(least: int):
                     for place, h in sorted(zip(places, hs)):
                         first = place >> 16
                         around = text[first : first + (place & 255) + least]
-                        digest = xxhash.xxh3_128_digest(around, h & 0xFFFFFFFF) + bytes([(place >> 8) & 255])
-                        rows.append((h, d, th, place, around if met.new(digest) else None))
+                        rows.append((h, d, th, place, around if met.new(around, (place >> 8) & 255) else None))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["h", "d", "th", "place", "bytes"])
 
     return run
 
 
-STRINGS = "key binary, d long, th long, s long, e long"
+def pieces(h: int, place: int, around: bytes, least: int, width: int) -> Iterator[tuple[int, int, bytes]]:
+    """(gram, place, bytes) of the pieces of a run: its strings by offset of the anchor, ``width`` offsets together."""
+    first, offset, more = place >> 16, (place >> 8) & 255, place & 255
+    for low in range((offset - more) // width * width, offset + 1, width):
+        least_offset, most_offset = max(low, offset - more), min(low + width - 1, offset)
+        begin, n = offset - most_offset, most_offset - least_offset
+        shared = around[offset - low : offset + max(least - low - width + 1, 1)]  # in all strings of these offsets
+        longer = xxhash.xxh3_64_intdigest(shared, seed=(h ^ low) & 0xFFFFFFFF)
+        yield longer - (1 << 63), (first + begin) << 16 | most_offset << 8 | n, around[begin : begin + n + least]
 
 
-def _heavy_strings(least: int):
-    """Strings of marked runs: hash and place of each that is new to this task, and without a hash the spans that are not."""
-    schema = pa.schema([("key", pa.binary()), ("d", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
+def _pieces(least: int, width: int):
+    """Rows ``AROUND`` of the pieces of runs that come in order; null bytes for those this task has met before."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, strings = _First(), _First()
+        met = _First()
         for b in it:
-            for d, th, text, places in zip(*(b.column(i).to_pylist() for i in range(2)), as_bytes(b.column(2)), b.column(3).to_pylist()):
+            for at in range(0, b.num_rows, 2000):
                 rows = []
-                for place in sorted(places):
-                    first, last = place >> 16, (place >> 16) + (place & 255)
-                    if not runs.new(xxhash.xxh3_128_digest(text[first : last + least])):
-                        rows.append((None, d, th, first, last + least))
-                        continue
-                    met = None  # the span of strings met before that ends here
-                    for s in range(first, last + 1):
-                        key = xxhash.xxh3_128_digest(text[s : s + least])
-                        if strings.new(key):
-                            rows.append((key, d, th, s, s + least))
-                            met = None
-                        elif met is None:
-                            met = len(rows)
-                            rows.append((None, d, th, s, s + least))
-                        else:
-                            rows[met] = (*rows[met][:4], s + least)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                for h, d, th, place, around in zip(*(c.to_pylist() for c in b.slice(at, 2000).columns)):
+                    for longer, where, part in pieces(h, place, around, least, width):
+                        rows.append((longer, d, th, where, part if met.new(part, (where >> 8) & 255) else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["h", "d", "th", "place", "bytes"])
 
     return run
 
 
-def heavy_spans(texts: DataFrame, runs: DataFrame, least: int) -> DataFrame:
-    """``d, th, s, e`` of repeated strings among ``runs(d, th, places)`` of heavy grams."""
-    strings = stored(texts.join(runs.hint("merge"), ["d", "th"]).select("d", "th", "text", "places").sortWithinPartitions("d", "th").mapInArrow(_heavy_strings(least), STRINGS), "heavy-strings")
-    groups = strings.where("key IS NOT NULL").groupBy("key").agg(F.sort_array(F.collect_set(F.struct("d", "th", "s", "e"))).alias("at")).where("size(at) > 1")
-    later = groups.select(F.explode(F.slice("at", 2, F.size("at") - 1)).alias("p")).select("p.*")
-    return strings.where("key IS NULL").drop("key").unionByName(later)
+def cut_runs(around: DataFrame, least: int) -> DataFrame:
+    """Rows ``AROUND`` of the pieces of runs of heavy grams; pieces whose gram occurs once are left out."""
+    out = []
+    for width in WIDTHS:
+        open_rows = around.where("bytes IS NOT NULL").sortWithinPartitions("d", "th", "place")
+        cut_now = stored(open_rows.mapInArrow(_pieces(least, width), AROUND), "pieces")
+        out += [around.where("bytes IS NULL"), cut_now.where("bytes IS NULL")] if width == WIDTHS[0] else [cut_now.where("bytes IS NULL")]
+        fresh = cut_now.where("bytes IS NOT NULL")
+        counts = stored(fresh.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "piece-grams")
+        most = HEAVY if width != WIDTHS[-1] else None
+        out.append(fresh.join(counts.where(F.col("n") <= most) if most else counts, "h", "left_semi"))
+        if not most or counts.where(F.col("n") > most).isEmpty():
+            break
+        around = fresh.join(counts.where(F.col("n") > most), "h", "left_semi")
+    return _union(around.sparkSession, out)
 
 
 class Suffixes:
@@ -498,13 +507,15 @@ def repeated_spans(texts: DataFrame, total_bytes: int, least: int = MIN_MATCH, o
     release(spark)
     heavy = stored(marked.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > HEAVY).select("h"), "heavy-grams")
     every = texts if older is None else older[0].unionByName(texts)
-    light = marked.join(heavy, "h", "left_anti")
-    per_doc = light.groupBy("d", "th").agg(F.collect_list(F.struct("h", "place")).alias("runs")).select("d", "th", F.col("runs.h").alias("hs"), F.col("runs.place").alias("places"))
-    around = every.join(per_doc.hint("merge"), ["d", "th"]).select("d", "th", "text", "hs", "places").sortWithinPartitions("d", "th").mapInArrow(_surroundings(least), AROUND)
-    spans = spread(around, n, "bytes IS NULL").mapInArrow(_shard(least, gram), "d long, th long, s long, e long")
+
+    def cut_out(grams: DataFrame) -> DataFrame:
+        per_doc = grams.groupBy("d", "th").agg(F.collect_set(F.struct("h", "place")).alias("runs")).select("d", "th", F.col("runs.h").alias("hs"), F.col("runs.place").alias("places"))
+        return every.join(per_doc.hint("merge"), ["d", "th"]).select("d", "th", "text", "hs", "places").sortWithinPartitions("d", "th").mapInArrow(_surroundings(least), AROUND)
+
+    around = cut_out(marked.join(heavy, "h", "left_anti"))
     if not heavy.isEmpty():
-        crowd = marked.join(heavy, "h", "left_semi").groupBy("d", "th").agg(F.collect_set("place").alias("places"))
-        spans = spans.unionByName(heavy_spans(every, crowd, least))
+        around = around.unionByName(cut_runs(stored(cut_out(marked.join(heavy, "h", "left_semi")), "heavy-runs"), least))
+    spans = spread(around, n, "bytes IS NULL").mapInArrow(_shard(least, gram), "d long, th long, s long, e long")
     if older is not None:
         spans = spans.join(texts.select("d", "th"), ["d", "th"], "left_semi")
     spans = stored(spans.groupBy("d", "th").agg(F.collect_list(F.struct("s", "e")).alias("spans")), "spans")
