@@ -96,6 +96,9 @@ def test_quality_odd_rows(spark, odd):
     assert len(rows) == 10 and {r.n_words for r in rows if r.doc_id in (1, 2)} == {0}
     assert quality_rules.quality_rules(odd.limit(0)).count() == 0
     assert quality_rules.keep_good(odd).columns == odd.columns
+    extra = odd.selectExpr("*", *(f"n_words AS {c}" for c in ("kept_doc_id", "_kept_doc_id", "Kept_Lang", "kept_source", "kept_text_key", "text_key", "grp", "kept")))
+    got = quality_rules.keep_good(extra)
+    assert got.columns == extra.columns and got.count() == quality_rules.keep_good(odd).count()
 
 
 # -- line dedup
@@ -128,6 +131,9 @@ def test_line_dedup_equals_brute_force_and_sql(spark, docs):
     got = {r.doc_id: r for r in queries.op2_line_dedup(spark, SMALL).collect()}
     want = brute_line_dedup({k: v.decode() for k, v in texts_of(docs).items()})
     assert {k: r.text for k, r in got.items()} == want
+    names = ("line_d", "_line_d", "LINE_TH", "line_of_d", "line_of_th", "line_gone", "line_cut", "d", "th", "k", "h", "chunk", "gone", "__line_d")
+    extra = line_dedup.line_dedup(docs.select("doc_id", "text", *(F.lit(1).alias(n) for n in names)))
+    assert {r.doc_id: r.text for r in extra.collect()} == want and set(names) <= set(extra.columns)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SMALL}/documents.parquet')")
     assert {r[0]: r[1] for r in con.execute(line_dedup.ORACLE).fetchall()} == want
@@ -447,7 +453,8 @@ def test_classifier_on_held_out_labels(spark):
 def test_classifier_odd_rows(spark, odd):
     labels = spark.createDataFrame([(4, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     rows = ngram_quality.quality_classifier(odd, labels).collect()
-    assert len(rows) == 10 and all(r.kept and r.perplexity is None for r in rows)
+    assert len(rows) == 10 and all(r.perplexity > 1 and r.n_bytes > 0 for r in rows)  # the model tells it, however few are trusted
+    assert all(r.kept for r in rows if r.threshold is None)
     assert ngram_quality.quality_classifier(odd.limit(0), labels).count() == 0
 
 

@@ -86,6 +86,17 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.6)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with underscores before it until no column of ``df`` has it, in either case."""
+    there, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in there:
+            name = "_" + name
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

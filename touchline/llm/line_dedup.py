@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import stored
+from .base import stored, unused
 
 DIVISOR = 3
 MODULUS = 2147483647
@@ -81,11 +81,12 @@ def removed_chunks(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
 def line_dedup(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     """``docs`` with repeated chunks cut from ``text``, and the three counts."""
     passed = [c for c in docs.columns if c not in COUNTS]
-    d, th, gone = (F.col(f"__line_{x}") for x in ("d", "th", "gone"))
-    keyed = docs.select(*(F.col(f"`{c}`") for c in passed), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("__line_d"), F.xxhash64("text").alias("__line_th"))
+    d_name, th_name, of_d, of_th, gone_name, cut_name = unused(docs, "line_d", "line_th", "line_of_d", "line_of_th", "line_gone", "line_cut")
+    d, th, gone = map(F.col, (d_name, th_name, gone_name))
+    keyed = docs.select(*(F.col(f"`{c}`") for c in passed), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias(d_name), F.xxhash64("text").alias(th_name))
     removed = stored(removed_chunks(keyed.select(d.alias("d"), th.alias("th"), "text"), divisor), "chunks-gone")
-    removed = removed.select(F.col("d").alias("__line_of_d"), F.col("th").alias("__line_of_th"), F.col("gone").alias("__line_gone"))
-    joined = keyed.join(removed.hint("merge"), (d == F.col("__line_of_d")) & (th == F.col("__line_of_th")), "left")
+    removed = removed.select(F.col("d").alias(of_d), F.col("th").alias(of_th), F.col("gone").alias(gone_name))
+    joined = keyed.join(removed.hint("merge"), (d == F.col(of_d)) & (th == F.col(of_th)), "left")
     places = lambda cs: F.array_except(F.transform(cs, lambda c, k: k), gone)
     lines = lambda cs, ks: F.flatten(F.transform(ks, lambda k: F.get(cs, k)))
     cut = let(
@@ -99,13 +100,13 @@ def line_dedup(docs: DataFrame, divisor: int = DIVISOR) -> DataFrame:
     untouched = F.struct(
         F.col("text"), F.coalesce(F.array_size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"), F.lit(0).alias("n_removed_lines")
     )
-    out = joined.withColumn("__line_cut", F.when(gone.isNull(), untouched).otherwise(cut))
+    out = joined.withColumn(cut_name, F.when(gone.isNull(), untouched).otherwise(cut))
     rest = [F.col(f"`{c}`") for c in passed if c != "text"]
     return out.select(
         *rest,
-        F.col("__line_cut.text").alias("text"),
-        F.col("__line_cut.n_lines").cast("long").alias("n_lines"),
-        F.col("__line_cut.n_removed_lines").cast("long").alias("n_removed_lines"),
+        F.col(f"{cut_name}.text").alias("text"),
+        F.col(f"{cut_name}.n_lines").cast("long").alias("n_lines"),
+        F.col(f"{cut_name}.n_removed_lines").cast("long").alias("n_removed_lines"),
         F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed_chunks"),
     )
 

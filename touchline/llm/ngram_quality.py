@@ -217,13 +217,13 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, quantile: float = QUA
     drawn = scores.join(middle, F.col("lang") == F.col("m_lang")).drop("m_lang")
     drawn = drawn.withColumn("loss", loss).withColumn("drawn", (-F.col("log10_prob") + PRIOR_BYTES * F.col("middle")) / (F.col("n_bytes") + PRIOR_BYTES))
     held = drawn.join(trusted_ids(labels).where("held_out"), "doc_id", "left_semi")
-    limit = lambda c: F.when(F.count("*") >= MIN_HELD_OUT, F.percentile_approx(c, quantile, 10_000))
-    own = held.groupBy(F.col("lang").alias("t_lang")).agg(limit("drawn").alias("own"))
+    limit = lambda c: F.percentile_approx(c, quantile, 10_000)
+    own = held.groupBy(F.col("lang").alias("t_lang")).agg(F.when(F.count("*") >= MIN_HELD_OUT, limit("drawn")).alias("own"))
     pooled = held.agg(limit(F.col("drawn") - F.col("middle")).alias("excess"))
     limits = middle.crossJoin(F.broadcast(pooled)).join(own, F.col("m_lang") == F.col("t_lang"), "left")  # one row is broadcast
     limits = limits.select(F.col("m_lang").alias("t_lang"), F.coalesce("own", F.col("middle") + F.col("excess")).alias("limit"))
     out = drawn.join(stored(limits, "thresholds"), F.col("lang") == F.col("t_lang"), "left")
     allowed = F.col("limit") + (F.col("limit") - F.col("middle")) * PRIOR_BYTES / F.col("n_bytes")  # where drawn = limit
-    perplexity = F.when(F.col("limit").isNotNull(), F.pow(F.lit(10.0), F.col("loss")))
+    perplexity = F.pow(F.lit(10.0), F.col("loss"))
     kept = F.col("limit").isNull() | (F.col("drawn") <= F.col("limit"))
     return out.select("doc_id", "lang", "n_bytes", "log10_prob", perplexity.alias("perplexity"), F.pow(F.lit(10.0), allowed).alias("threshold"), kept.alias("kept"))

@@ -2,15 +2,17 @@
 
 ``document_stats`` counts a document's words, symbols, repeated lines and repeated five-word windows in one Arrow pass.
 ``outlier_verdicts`` turns the counts into six transformed statistics and fits location and scatter of every (language,
-source) group: concentration steps from three deterministic starts until the determinants settle, the start of least
-determinant, its scatter made consistent for the normal law, then one reweighting step over the rows within the 0.975
-quantile.  A row is rejected beyond the 0.9999 quantile of its squared Mahalanobis distance.  That quantile is the
-chi-square law's, or, where a group's own distances have heavier tails, the one that their quartiles give: cube roots of
+source) group.  As usual for this estimate, concentration first runs to its end on a subset of each group, from three starts;
+its best solutions then start concentration steps over all rows of the group until the determinants settle.  The solution of
+least determinant is made consistent for the normal law and reweighted once over the rows within the 0.975 quantile.  A row is
+rejected beyond the 0.9999 quantile of its squared Mahalanobis distance (column ``cutoff``).  That quantile is the chi-square
+law's, or, where a group's own distances have heavier tails, the one that their quartiles give (``own_cutoff``): cube roots of
 chi-square distances are nearly normal, so median and quartile range of the cube roots extend to the quantile.
 
-Scale: the texts are read once; the steps run over a table of a few numbers per row.  A step is two map-side combined
-aggregations keyed by group and start, so a group holding a third of all rows costs no more than any other.  Parameters
-(one row per group) are written and joined back; Spark broadcasts them only if their written size is below its threshold.
+Scale: the texts are read once; the steps run over a table of a few numbers per row.  Subsets are bounded and only start the
+steps.  A step is two map-side combined aggregations keyed by group and start, so a group holding a third of all rows costs no
+more than any other; solutions that have settled leave the next step.  Parameters (one row per group) are written and joined
+back; Spark broadcasts them only if their written size is below its threshold.
 
 Defined results: null text counts as no text; null language or source is a group of its own value; groups under
 ``min_group`` rows are pooled by language, then altogether; rows of a pool still too small are judged by an estimate over all
@@ -20,14 +22,15 @@ rows; empty tables give empty results; repeated rows are judged alike; extra col
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import as_bytes, stored, unstore
+from .base import as_bytes, stored, unstore, unused
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -36,9 +39,16 @@ MAX_REPEAT_PERCENT = 20
 MIN_GROUP = 200
 #: Share of rows in the concentrated half.
 H_SHARE = 0.75
-#: Most concentration steps, and the change of all log-determinants below which they have settled (quantiles are approximate).
-STEPS = 12
-SETTLED = 1e-2
+#: Most concentration steps over all rows, and the change of a log-determinant below which it has settled.
+STEPS = 20
+SETTLED = 1e-3
+#: Rows of a group on which concentration starts, and how many of its solutions go on to all rows.
+SUBSET = 2000
+SOLUTIONS = 2
+#: Rows that a subset must have; groups below (whose rows repeat) start from their plain moments.
+LEAST_SUBSET = 30
+#: Steps on a subset.
+SUBSET_STEPS = 200
 #: Tasks that invert matrices, one row each for a group and start.
 INVERTING = 16
 #: Quantiles of the chi-square law with six degrees of freedom: 0.9999 (beyond it a row is rejected) and 0.975 (reweighting).
@@ -159,7 +169,7 @@ def _grouped(stats: DataFrame, min_group: int) -> DataFrame:
     return stats.join(named, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))).drop("g_lang", "g_source")
 
 
-_PARAMS = "grp string, start int, logdet double, " + ", ".join([f"m{i} double" for i in range(P)] + [f"q{i}_{j} double" for i in range(P) for j in range(i, P)])
+_PARAMS = "grp string, start int, logdet double, moved double, " + ", ".join([f"m{i} double" for i in range(P)] + [f"q{i}_{j} double" for i in range(P) for j in range(i, P)])
 
 
 def _inverter(consistent: float):
@@ -180,13 +190,18 @@ def _inverted(it: Iterator[pd.DataFrame], consistent: float) -> Iterator[pd.Data
                     cov[i, j] = cov[j, i] = getattr(r, f"s{i}_{j}") / n - mean[i] * mean[j]
             cov = consistent * cov + floor
             inv = np.linalg.inv(cov)
-            out.append((r.grp, r.start, float(np.linalg.slogdet(cov)[1]), *mean, *(inv[i, j] for i in range(P) for j in range(i, P))))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in _PARAMS.split(", ")])
+            logdet = float(np.linalg.slogdet(cov)[1])
+            out.append((r.grp, r.start, logdet, abs(logdet - r.before), *mean, *(inv[i, j] for i in range(P) for j in range(i, P))))
+        yield pd.DataFrame(out, columns=_NAMES)
+
+
+_NAMES = [c.split()[0] for c in _PARAMS.split(", ")]
 
 
 def _params_of(rows: DataFrame, consistent: float = 1.0) -> DataFrame:
+    """Parameters by group and start; ``moved`` is the change of the log-determinant that the rows come with."""
     x = [F.col(f) for f in FEATURES]
-    sums = [F.count("*").cast("double").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(P)), *(F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P))]
+    sums = [F.max("logdet").alias("before"), F.count("*").cast("double").alias("n"), *(F.sum(x[i]).alias(f"s{i}") for i in range(P)), *(F.sum(x[i] * x[j]).alias(f"s{i}_{j}") for i in range(P) for j in range(i, P))]
     return rows.groupBy("grp", "start").agg(*sums).coalesce(INVERTING).mapInPandas(_inverter(consistent), _PARAMS)
 
 
@@ -194,56 +209,89 @@ def _with_distance(rows: DataFrame, params: DataFrame) -> DataFrame:
     joined = rows.join(params, "grp")
     d = [F.col(FEATURES[i]) - F.col(f"m{i}") for i in range(P)]
     terms = [d[i] * d[j] * F.col(f"q{i}_{j}") * (1.0 if i == j else 2.0) for i in range(P) for j in range(i, P)]
-    return joined.withColumn("d2", sum(terms[1:], terms[0])).select("doc_id", "grp", "start", *FEATURES, "d2")
+    return joined.withColumn("d2", sum(terms[1:], terms[0])).select("grp", "start", "logdet", *FEATURES, "d2")
 
 
-def _starts(rows: DataFrame) -> DataFrame:
-    """Three starts: medians, lower quartiles (both with quartile scales) and plain moments."""
-    q = rows.groupBy("grp").agg(*(F.percentile_approx(f, F.array(*map(F.lit, (0.25, 0.5, 0.75))), 1000).alias(f) for f in FEATURES))
-    picks = []
-    for start, at in enumerate((1, 0)):
-        prec = {f"q{i}_{j}": (F.pow(F.pow((F.col(f"x{i}")[2] - F.col(f"x{i}")[0]) / 1.349, 2) + FLOORS[i] ** 2, -1.0) if i == j else F.lit(0.0)) for i in range(P) for j in range(i, P)}
-        picks.append(q.select("grp", F.lit(start).alias("start"), F.lit(0.0).alias("logdet"), *(F.col(f"x{i}")[at].alias(f"m{i}") for i in range(P)), *(v.alias(k) for k, v in prec.items())))
-    return picks[0].unionAll(picks[1]).unionAll(_params_of(rows.withColumn("start", F.lit(2))))
+def subset_solutions(x: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
+    """(log-determinant, mean, inverse scatter) of the best distinct solutions on a subset, least determinant first.
+
+    Starts: medians and lower quartiles, both with quartile scales, and plain moments.
+    """
+    floor, h = np.diag(np.square(FLOORS)), max(int(np.ceil(H_SHARE * len(x))), 1)
+    low, mid, high = np.quantile(x, (0.25, 0.5, 0.75), axis=0)
+    spread = np.diag(((high - low) / NORMAL_RANGE) ** 2) + floor
+    found: list[tuple[float, np.ndarray, np.ndarray]] = []
+    for mean, cov in ((mid, spread), (low, spread), (x.mean(0), np.cov(x.T, bias=True) + floor)):
+        last = np.inf
+        for _ in range(SUBSET_STEPS):
+            d = x - mean
+            near = x[np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov), d), kind="stable")[:h]]
+            mean, cov = near.mean(0), CONSISTENT_H * np.cov(near.T, bias=True) + floor
+            logdet = float(np.linalg.slogdet(cov)[1])
+            if abs(last - logdet) < 1e-9:
+                break
+            last = logdet
+        if all(abs(logdet - f[0]) > SETTLED for f in found):
+            found.append((logdet, mean, np.linalg.inv(cov)))
+    return sorted(found, key=lambda f: f[0])[:SOLUTIONS]
+
+
+def _subset_params(rows: pd.DataFrame) -> pd.DataFrame:
+    if len(rows) < LEAST_SUBSET:
+        return pd.DataFrame([], columns=_NAMES)
+    upper = [(i, j) for i in range(P) for j in range(i, P)]
+    found = subset_solutions(rows[list(FEATURES)].to_numpy(float))
+    out = [(rows["grp"].iloc[0], k, logdet, np.inf, *mean, *(inv[i, j] for i, j in upper)) for k, (logdet, mean, inv) in enumerate(found)]
+    return pd.DataFrame(out, columns=_NAMES)
 
 
-def _moved(before: DataFrame, after: DataFrame) -> float:
-    """Largest change of a log-determinant; one row per group and start on either side."""
-    both = before.select("grp", "start", F.col("logdet").alias("old")).join(after.select("grp", "start", "logdet"), ["grp", "start"])
-    return both.agg(F.max(F.abs(F.col("old") - F.col("logdet")))).first()[0] or 0.0
+def _starts(rows: DataFrame) -> DataFrame:
+    """Solutions on a subset of at most ``SUBSET`` rows of each group, by hash."""
+    sizes = rows.groupBy("grp").agg(F.count("*").alias("size"))
+    draw = F.xxhash64("doc_id", *FEATURES)
+    drawn = rows.withColumn("draw", draw).join(sizes, "grp").where(F.pmod("draw", F.lit(1 << 20)) * F.col("size") < 3 * SUBSET * (1 << 20))
+    k = F.row_number().over(Window.partitionBy("grp").orderBy("draw", "doc_id", *FEATURES))
+    subset = drawn.withColumn("k", k).where(F.col("k") <= SUBSET).select("grp", *FEATURES)
+    solved = stored(subset.groupBy("grp").applyInPandas(_subset_params, _PARAMS), "mcd")
+    other = rows.join(solved.select("grp"), "grp", "left_anti").select("grp", F.lit(0).alias("start"), F.lit(float("inf")).alias("logdet"), *FEATURES)
+    return solved.unionByName(_params_of(other))
 
 
 def mcd(rows: DataFrame, h_share: float = H_SHARE, steps: int = STEPS) -> DataFrame:
-    """Reweighted estimates per group, with ``scale`` that brings the median distance to the normal law's and ``cutoff``.
-
-    Steps end when all determinants have settled; after ``steps`` the estimates stand as they are.
-    """
-    params = stored(_starts(rows), "mcd")
+    """Reweighted estimates per group, with ``scale`` that brings the median distance to the normal law's, ``cutoff``, and
+    ``settled``: whether the group's best solution settled within ``steps``."""
+    active = stored(_starts(rows), "mcd")
+    made, ended = [active], []
     for _ in range(steps):
-        far = _with_distance(rows, params)
-        cut = far.groupBy("grp", "start").agg(F.percentile_approx("d2", h_share, 2000).alias("cut"))
+        far = _with_distance(rows, active)
+        cut = far.groupBy("grp", "start").agg(F.percentile_approx("d2", h_share, 10_000).alias("cut"))
         near = far.join(cut, ["grp", "start"]).where("d2 <= cut")
         nxt = stored(_params_of(near, CONSISTENT_H), "mcd")
-        moved = _moved(params, nxt)
-        unstore(params)
-        params = nxt
-        if moved < SETTLED:
+        made.append(nxt)
+        ended.append(nxt.where(F.col("moved") < SETTLED))
+        active = nxt.where(F.col("moved") >= SETTLED)
+        if active.isEmpty():
             break
+    params = reduce(DataFrame.unionByName, ended, active)
     best = params.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     best = stored(params.join(best, ["grp", "start"]), "mcd")
+    unstore(*made)
     within = _with_distance(rows, best).where(F.col("d2") <= REWEIGHTED)
     again = stored(best.select("grp").join(_params_of(within, CONSISTENT_REWEIGHTED), "grp"), "mcd")
     few = best.join(again.select("grp"), "grp", "left_anti")  # no row of the group lies within: the raw estimate stands
+    raw = best
     best = stored(again.unionByName(few), "mcd")
     quartiles = _with_distance(rows, best).groupBy("grp").agg(F.percentile_approx("d2", F.array(*map(F.lit, (0.25, 0.5, 0.75))), 2000).alias("q"))
     root = lambda k: F.cbrt(F.col("q")[k] / F.col("scale"))
     tail = F.pow(root(1) + NORMAL_9999 / NORMAL_RANGE * (root(2) - root(0)), 3)
     scaled = quartiles.withColumn("scale", F.greatest(F.lit(1.0), F.col("q")[1] / CHI2_6_MEDIAN))
-    return best.join(scaled.select("grp", "scale", tail.alias("cutoff")), "grp")
+    settled = raw.select("grp", (F.col("moved") < SETTLED).alias("settled"))
+    return best.join(scaled.select("grp", "scale", tail.alias("cutoff")), "grp").join(settled, "grp")
 
 
 def outlier_verdicts(stats: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP, also: tuple[str, ...] = ()) -> DataFrame:
-    """``stats`` with ``base_failed``, ``distance``, ``kept`` and the columns ``also``; ``cutoff`` is the least one of a group."""
+    """``stats`` with ``base_failed``, ``distance``, ``cutoff``, ``own_cutoff``, ``settled``, ``kept`` and the columns ``also``;
+    ``cutoff`` is the least one of a group."""
     stats = with_features(with_base_rule(stats))
     fit_rows = _grouped(stats.where("NOT base_failed"), min_group)
     fit_rows = stored(fit_rows.select("doc_id", "lang", "source", "grp", *FEATURES), "features")
@@ -263,9 +311,10 @@ def outlier_verdicts(stats: DataFrame, cutoff: float = CUTOFF, min_group: int =
     d = [F.col(FEATURES[i]) - F.col(f"m{i}") for i in range(P)]
     terms = [d[i] * d[j] * F.col(f"q{i}_{j}") * (1.0 if i == j else 2.0) for i in range(P) for j in range(i, P)]
     judged = joined.withColumn("distance", sum(terms[1:], terms[0]) / F.col("scale"))
-    near = F.coalesce(F.col("distance") <= F.greatest(F.lit(cutoff), F.col("cutoff")), F.lit(True))  # no distance: all rows of its group failed the base rule
+    judged = judged.withColumn("own_cutoff", F.col("cutoff") > cutoff).withColumn("cutoff", F.greatest(F.lit(cutoff), F.col("cutoff")))
+    near = F.coalesce(F.col("distance") <= F.col("cutoff"), F.lit(True))  # no distance: all rows of its group failed the base rule
     return judged.withColumn("kept", ~F.col("base_failed") & near).select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "kept", *also
+        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", "cutoff", "own_cutoff", "settled", "kept", *also
     )
 
 
@@ -280,7 +329,8 @@ def keep_good(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROU
     A verdict follows from language, source and text, so these find a row's own verdict also if its id is null or shared.
     """
     kept = outlier_verdicts(stored(document_stats(docs), "doc-stats"), cutoff, min_group, ("text_key",)).where("kept")
-    kept = kept.select(*(F.col(c).alias(f"_kept_{c}") for c in ("doc_id", "lang", "source", "text_key"))).distinct()
+    names = dict(zip(("doc_id", "lang", "source", "text_key"), unused(docs, "kept_doc_id", "kept_lang", "kept_source", "kept_text_key")))
+    kept = kept.select(*(F.col(c).alias(to) for c, to in names.items())).distinct()
     own = {"doc_id": F.col("doc_id").cast("long"), "lang": F.col("lang").cast("string"), "source": F.col("source").cast("string"), "text_key": _text_key()}
-    same = [v.eqNullSafe(F.col(f"_kept_{c}")) for c, v in own.items()]
+    same = [v.eqNullSafe(F.col(names[c])) for c, v in own.items()]
     return docs.join(kept, same, "left_semi")
