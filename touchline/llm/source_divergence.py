@@ -38,8 +38,10 @@ LEAST_DOCS = 3
 TOP = 200
 SCALE_DIGITS = 3  # shares are parts of 10^9, found three digits at a time, three times
 #: Text bytes of a block, about, and most partitions that blocks are dealt to.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 MAX_PARTITIONS = 100_000
+#: Texts that an automaton reads at once.
+AT_ONCE = 256
 #: Pairs of postings that are in memory at once.
 PAIRS = 1 << 19
 
@@ -54,9 +56,13 @@ _MET = pa.schema([("lang", pa.string()), ("source", pa.string()), ("other", pa.s
 MET = "lang string, source string, other string, value long"
 
 
-def terms_of(text: bytes) -> list[bytes]:
-    """Terms of a UTF-8 text, A-Z lower-cased."""
-    return text.translate(_FOLD).split()
+def folded(text: bytes) -> bytes:
+    """Terms of a UTF-8 text, A-Z lower-cased, with delimiters around and between them."""
+    return b" %s " % text.translate(_FOLD)
+
+
+def term_bytes(text: bytes) -> int:
+    return len(text) - text.count(b" ")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,9 +71,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sizes: Counter = Counter()
     for b in batches:
         for *block, text in zip(*(b.column(i).to_pylist() for i in range(3)), as_bytes(b.column(3))):
-            terms, key = terms_of(text), tuple(block)
-            found.setdefault(key, Counter()).update(set(terms))
-            sizes[key] += sum(map(len, terms))
+            terms, key = folded(text), tuple(block)
+            found.setdefault(key, Counter()).update(set(terms.split()))
+            sizes[key] += term_bytes(terms)
     for key, docs in found.items():
         names = [*(t.decode() for t in docs), None]
         n = [*docs.values(), sizes[key]]
@@ -87,10 +93,11 @@ def _recount(texts: pa.Table, kept: pa.Table) -> pa.Table:
         automaton.make_automaton()
     size = 0
     for chunk in texts.column("text").chunks:
-        padded = [b" %s " % b" ".join(terms_of(t)) for t in as_bytes(chunk)]
-        size += sum(len(t) - t.count(b" ") for t in padded)
-        if len(automaton):
-            counts.update(map(itemgetter(1), automaton.iter(b"".join(padded).decode())))
+        for at in range(0, len(chunk), AT_ONCE):
+            some = b"".join(map(folded, as_bytes(chunk.slice(at, AT_ONCE))))
+            size += term_bytes(some)
+            if len(automaton):
+                counts.update(map(itemgetter(1), automaton.iter(some.decode())))
     if size != expected:
         raise RuntimeError("a block holds other texts than in the first pass")
     at = pa.array(np.zeros(len(counts), np.int32))
@@ -148,33 +155,35 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     number: dict[tuple[str, str], int] = {}
     sums: Counter = Counter()
 
-    def add(lang: str, at: list[list[tuple[int, int, int]]]) -> None:
-        deg = np.array([len(x) for x in at])
-        g, p, unused = np.array([y for x in at for y in x], np.int64).T
-        start = np.cumsum(deg) - deg
-        left = np.repeat(np.arange(deg.sum()), np.repeat(deg, deg))
-        right = np.arange(len(left)) - np.repeat(np.cumsum(deg * deg) - deg * deg, deg * deg)
-        right = right % np.repeat(deg, deg * deg) + np.repeat(start, deg * deg)
+    def add(deg: np.ndarray, g: np.ndarray, p: np.ndarray, unused: np.ndarray) -> None:
+        start, square = np.cumsum(deg) - deg, deg * deg
+        left = np.repeat(np.arange(len(g)), np.repeat(deg, deg))
+        right = np.arange(len(left)) - np.repeat(np.cumsum(square) - square, square)
+        right = right % np.repeat(deg, square) + np.repeat(start, square)
         apart = left != right
         left, right = left[apart], right[apart]
         both = _values(p[left], p[right]) - _values(p[left], unused[right]) - _values(unused[left], p[right]) + _values(unused[left], unused[right])
-        pair = g[left] << 32 | g[right]
-        order = np.argsort(pair, kind="stable")
-        ends = np.flatnonzero(np.diff(pair[order], prepend=-1))
-        for k, v in zip(pair[order][ends].tolist(), np.add.reduceat(both[order], ends).tolist() if len(ends) else []):
+        pair, back = np.unique(g[left] << 32 | g[right], return_inverse=True)
+        total = np.zeros(len(pair), np.int64)
+        np.add.at(total, back, both)
+        for k, v in zip(pair.tolist(), total.tolist()):
             sums[k] += v
 
-    held: dict[str, list[list[tuple[int, int, int]]]] = {}
-    weight: Counter = Counter()
     for b in batches:
-        for lang, postings in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            held.setdefault(lang, []).append([(number.setdefault((lang, x["source"]), len(number)), x["p"], x["unused"]) for x in postings])
-            weight[lang] += len(postings) ** 2
-            if weight[lang] >= PAIRS:
-                add(lang, held.pop(lang))
-                weight[lang] = 0
-    for lang, at in held.items():
-        add(lang, at)
+        if not b.num_rows:
+            continue
+        postings, lang = b.column(1).flatten(), b.column(0).dictionary_encode()
+        deg = np.diff(b.column(1).offsets.to_numpy())
+        source = postings.field("source").dictionary_encode()
+        place = np.repeat(lang.indices.to_numpy(), deg).astype(np.int64) << 32 | source.indices.to_numpy()
+        known, back = np.unique(place, return_inverse=True)
+        names = [(lang.dictionary[k >> 32].as_py(), source.dictionary[k & 0xFFFFFFFF].as_py()) for k in known.tolist()]
+        g = np.array([number.setdefault(k, len(number)) for k in names], np.int64)[back]
+        p, unused = (postings.field(c).to_numpy() for c in ("p", "unused"))
+        end, work = np.cumsum(deg), np.cumsum(deg * deg) // PAIRS
+        for rows in np.split(np.arange(len(deg)), np.flatnonzero(np.diff(work)) + 1):
+            own = slice(end[rows[0]] - deg[rows[0]], end[rows[-1]])
+            add(deg[rows], g[own], p[own], unused[own])
     names = list(number)
     rows = [(names[k >> 32][0], names[k >> 32][1], names[k & 0xFFFFFFFF][1], v) for k, v in sums.items()]
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, _MET.types)], schema=_MET)
