@@ -1,12 +1,13 @@
 """Readers on small files, streams against batches."""
 
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
 
 from touchline.sources import files as R
 from touchline.sources import sinks
-from touchline.streaming import jobs
+from touchline.streaming import settlement
 
 
 def test_season_csv(spark, tmp_path):
@@ -54,11 +55,14 @@ def test_sinks(spark, tmp_path):
 
 
 def test_stream_settlement_is_idempotent(spark, tmp_path):
-    bets = spark.createDataFrame([(1, 7, "OU", "Over", 2.5, 2.0, 10.0), (2, 8, "1X2", "H", None, 3.0, 10.0)], "bet_id long, match_id long, market string, selection string, line double, odds double, stake double")
+    day = dt.datetime(2024, 1, 1)
+    rows = [(1, 7, "OU", "Over", 2.5, 2.0, 10.0), (2, 8, "1X2", "H", None, 3.0, 10.0)]
+    bets = spark.createDataFrame([(*r, day, day) for r in rows], "bet_id long, match_id long, market string, selection string, line double, odds double, stake double, placed_at timestamp, kickoff timestamp")
     bets.write.parquet(str(tmp_path / "bets"))
-    spark.createDataFrame([(7, 2, 1), (8, 0, 0)], "match_id long, fthg int, ftag int").write.parquet(str(tmp_path / "results"))
+    results = spark.createDataFrame([(m, day + dt.timedelta(hours=3), "FINISHED", h, a, None, None) for m, h, a in ((7, 2, 1), (8, 0, 0))], "match_id long, known_at timestamp, status string, fthg long, ftag long, hc long, ac long")
+    results.write.parquet(str(tmp_path / "results"))
     for _ in range(2):
-        stream = spark.readStream.schema(bets.schema).parquet(str(tmp_path / "bets"))
-        jobs.settle_batches(stream, str(tmp_path / "results"), str(tmp_path / "journal"), str(tmp_path / "log")).awaitTermination()
-    got = {r.bet_id: r.pnl for r in spark.read.parquet(str(tmp_path / "journal")).collect()}
-    assert got == {1: 10.0, 2: -10.0}
+        streams = [spark.readStream.schema(t.schema).parquet(str(tmp_path / n)) for n, t in (("bets", bets), ("results", results))]
+        settlement.settle_to(settlement.settled(settlement.paired(*streams, buckets=2)), str(tmp_path / "journal"), str(tmp_path / "log"))
+    got = sorted((r.bet_id, r.pnl) for r in spark.read.parquet(str(tmp_path / "journal")).collect())
+    assert got == [(1, 10.0), (2, -10.0)]

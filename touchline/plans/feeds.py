@@ -11,7 +11,7 @@ from ..functions import strings as S
 from ..projection import domain
 from ..registry import query
 from ..sources import files, sinks
-from ..streaming import jobs
+from ..streaming import jobs, settlement
 from .columns import SETTLED_SQL
 from .inference import listed, sql_list
 
@@ -47,13 +47,65 @@ def appended_history(spark, sf_dir):
 
 @query("settled_batches", f"WITH {SETTLED_SQL.strip()} SELECT bet_id, round(pnl, 4) AS pnl FROM priced WHERE r IS NOT NULL", ("matches", "bets"))
 def settled_batches(spark, sf_dir):
-    """A stream of bets against results, settled by micro-batch into a journal."""
-    bets = domain(spark, sf_dir, "bets").select("bet_id", "match_id", "market", "selection", "line", "odds", "stake")
-    source, results, journal, log = (jobs.shared_folder(spark, x) for x in ("bets", "results", "journal", "log"))
-    bets.write.parquet(source)
-    domain(spark, sf_dir, "matches").select("match_id", "fthg", "ftag").write.parquet(results)
-    jobs.settle_batches(spark.readStream.schema(bets.schema).parquet(source), results, journal, log).awaitTermination()
-    return spark.read.parquet(journal).where("r IS NOT NULL").select("bet_id", F.round("pnl", 4).alias("pnl"))
+    """A stream of bets against a stream of results that is there before them, settled into a journal."""
+    return _replayed(spark, sf_dir, F.lit(False), "0 hours", None).select("bet_id", F.round("pnl", 4).alias("pnl"))
+
+
+PATIENCE_DAYS = 20
+
+
+def _replayed(spark, sf_dir, missing, grace, patience):
+    """All bets settled by two runs of one stream, over what was known by the middle of the table's time and over the rest.
+
+    Results become known an hour after the end of the day's matches, every third match's five days later; ``missing`` ones never.
+    """
+    m = domain(spark, sf_dir, "matches").withColumn("kickoff", F.col("match_date").cast("timestamp") + F.make_dt_interval(hours=F.lit(15)))
+    hours = lambda n: F.make_dt_interval(hours=n)
+    after = F.when(F.col("match_id") % 3 == 0, 120).when(F.col("match_id") % 7 == 0, 1).otherwise(3)
+    none = F.lit(None).cast("long")
+    results = m.where(~missing).select("match_id", (F.col("kickoff") + hours(after)).alias("known_at"), F.lit("FINISHED").alias("status"), F.col("fthg").cast("long").alias("fthg"), F.col("ftag").cast("long").alias("ftag"), none.alias("hc"), none.alias("ac"))
+    bets = domain(spark, sf_dir, "bets").join(m.select("match_id", "kickoff"), "match_id")
+    bets = bets.select("bet_id", "match_id", (F.col("kickoff") - hours(F.lit(24))).alias("placed_at"), "kickoff", "market", "selection", "line", "odds", F.col("stake").cast("double").alias("stake"))
+    priced = lambda *cs: F.map_filter(F.map_from_arrays(F.array(*map(F.lit, "HDA")), F.array(*map(F.col, cs))), lambda _, v: v > 1)
+    odds = domain(spark, sf_dir, "odds").join(m.select("match_id", "kickoff"), "match_id")
+    quote = lambda minutes, *cs: odds.select("match_id", (F.col("kickoff") - F.make_dt_interval(mins=F.lit(minutes))).alias("observed_at"), "kickoff", F.lit("1X2").alias("market"), F.lit(None).cast("double").alias("line"), priced(*cs).alias("prices")).where("size(prices) > 0")
+    quotes = quote(360, "b365h", "b365d", "b365a").unionByName(quote(10, "psch", "pscd", "psca"))
+    tables = {"bets": (bets, "placed_at"), "results": (results, "known_at"), "quotes": (quotes, "observed_at")}
+    paths = {k: jobs.shared_folder(spark, k) for k in (*tables, "journal", "log")}
+    middle = m.agg(F.timestamp_seconds((F.unix_seconds(F.min("kickoff")) + F.unix_seconds(F.max("kickoff"))) / 2).alias("middle"))
+    for early in (True, False):
+        for name, (rows, known) in tables.items():
+            part = rows.join(F.broadcast(middle), (F.col(known) <= F.col("middle")) == F.lit(early)).drop("middle")  # one row
+            part.write.mode("append").parquet(paths[name])
+        streams = [spark.readStream.schema(rows.schema).parquet(paths[name]) for name, (rows, _) in tables.items()]
+        settlement.settle_to(settlement.settled(settlement.paired(*streams, grace=grace, patience=patience)), paths["journal"], paths["log"])
+    return spark.read.parquet(paths["journal"])
+
+
+@query(
+    "settled_late_results",
+    f"""WITH k AS (SELECT *, CAST(match_date AS TIMESTAMP) + INTERVAL 15 HOUR AS kickoff FROM matches),
+g AS (SELECT *, CASE WHEN match_id % 10 = 0 THEN NULL ELSE kickoff + to_hours(CASE WHEN match_id % 3 = 0 THEN 120 WHEN match_id % 7 = 0 THEN 1 ELSE 3 END) END AS known FROM k),
+w AS (SELECT greatest(max(known), max(kickoff) - INTERVAL 10 MINUTE) - INTERVAL 1 HOUR AS clock FROM g),
+c AS (SELECT o.match_id, CASE WHEN psch > 1 THEN [psch, pscd, psca] ELSE [b365h, b365d, b365a] END AS o FROM odds o),
+s AS (SELECT b.*, g.known, g.kickoff, fthg, ftag, c.o[CASE selection WHEN 'H' THEN 1 WHEN 'D' THEN 2 WHEN 'A' THEN 3 END] AS price,
+    CASE WHEN c.o[1] > 1 THEN 1 / c.o[1] + 1 / c.o[2] + 1 / c.o[3] ELSE 1 END AS total, w.clock
+  FROM bets b JOIN g USING (match_id) JOIN c USING (match_id) CROSS JOIN w),
+r AS (SELECT *, CASE market
+    WHEN '1X2' THEN CASE WHEN selection = CASE WHEN fthg > ftag THEN 'H' WHEN fthg < ftag THEN 'A' ELSE 'D' END THEN 2 ELSE -2 END
+    WHEN 'OU' THEN CAST((sign(fthg + ftag - floor(line * 2) / 2) + sign(fthg + ftag - ceil(line * 2) / 2)) * CASE selection WHEN 'Over' THEN 1 ELSE -1 END AS INT)
+    ELSE CAST(sign((fthg - ftag) * CASE selection WHEN 'Home' THEN 1 ELSE -1 END + floor(line * 2) / 2) + sign((fthg - ftag) * CASE selection WHEN 'Home' THEN 1 ELSE -1 END + ceil(line * 2) / 2) AS INT) END AS rank FROM s)
+SELECT bet_id, CASE WHEN known IS NULL THEN 'VOID' ELSE ['LOST', 'HALF_LOSS', 'VOID', 'HALF_WIN', 'WON'][rank + 3] END AS status,
+  round(CASE WHEN known IS NULL THEN 0 WHEN rank > 0 THEN stake * (odds - 1) * rank / 2e0 ELSE stake * rank / 2e0 END, 4) AS pnl,
+  round(CASE WHEN known IS NOT NULL AND market = '1X2' AND price > 1 AND odds > 1 THEN ln(odds / (price * total)) END, 6) AS clv,
+  CASE WHEN known IS NULL THEN kickoff + INTERVAL {PATIENCE_DAYS} DAY ELSE greatest(known, kickoff + INTERVAL 2 HOUR) END AS settled_at
+FROM r WHERE CASE WHEN known IS NULL THEN clock >= kickoff + INTERVAL {PATIENCE_DAYS} DAY ELSE greatest(clock, known) >= kickoff + INTERVAL 2 HOUR END""",
+    ("matches", "odds", "bets"),
+)
+def settled_late_results(spark, sf_dir):
+    """Bets settled by results that come late or never, with closing-line value; those without a result are void in the end."""
+    done = _replayed(spark, sf_dir, F.col("match_id") % 10 == 0, "2 hours", f"{PATIENCE_DAYS} days")
+    return done.select("bet_id", "status", F.round("pnl", 4).alias("pnl"), F.round("clv", 6).alias("clv"), F.col("settled_at").cast("timestamp_ntz").alias("settled_at"))
 
 
 @query("folded_names", f"SELECT match_id, CASE c WHEN 'FC Köln' THEN 'koln' WHEN 'Málaga  CF' THEN 'malagacf' WHEN 'AFC Ajax' THEN 'ajax' WHEN 'Real & Sociedad' THEN 'realsociedad' WHEN 'Twin' THEN 'twin' ELSE 'saopaulosc' END AS key, CASE c WHEN 'FC Köln' THEN 'koln_M' WHEN 'Málaga  CF' THEN 'malaga_M' WHEN 'AFC Ajax' THEN 'ajax_M' WHEN 'Real & Sociedad' THEN 'real-and-sociedad_M' WHEN 'Twin' THEN 'twin_M' ELSE 'sao-paulo_M' END AS scoped FROM (SELECT match_id, {sql_list(CLUBS)} AS c FROM matches) t", ("matches",))

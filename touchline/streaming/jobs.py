@@ -1,4 +1,4 @@
-"""Streaming forms of the workers: price windows, signals once a key, exposure by day, settled bets by micro-batch."""
+"""Streaming forms of the workers: price windows, signals once a key, exposure by day."""
 
 from __future__ import annotations
 
@@ -73,16 +73,3 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
         query = writer.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
-
-
-def settle_batches(stream: DataFrame, results_path: str, journal_path: str, log_path: str):
-    """Join each micro-batch of bets to results and append what settles; the batch number makes a rerun harmless."""
-    from ..functions.pricing import profit, rank_of_bet
-
-    def settle(batch: DataFrame, number: int) -> None:
-        results = batch.sparkSession.read.parquet(results_path)
-        rows = batch.join(results, "match_id").withColumn("r", rank_of_bet(*(F.col(c) for c in ("market", "selection", "line", "fthg", "ftag"))))
-        done = rows.select("bet_id", "match_id", "r", profit(F.col("r"), F.col("odds"), F.col("stake")).alias("pnl"), F.lit(number).alias("batch"))
-        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(journal_path)
-
-    return stream.writeStream.option("checkpointLocation", log_path).trigger(availableNow=True).foreachBatch(settle).start()
