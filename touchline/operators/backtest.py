@@ -1,6 +1,8 @@
 """Walk-forward backtest: strengths fitted before each fold, fixtures priced, gated, staked by day and settled.
 
-Folds are few and known from the first and last date, so each is one branch of the plan; inside a fold everything is joins and aggregations.
+Folds are rows.  Sums by pair of teams are kept by the half-year in which their matches lie and scaled to one origin, so the sums
+before every fold are a running total over half-years, decayed to the fold's last training day; one plan fits all folds and
+competitions, however many years there are.
 Stakes of a day are shares of the bankroll at its opening, so the bankroll is a running product over days.
 """
 
@@ -8,6 +10,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,17 +48,56 @@ def folds_of(matches: DataFrame, train_years: int = 2, months: int = 6) -> list[
     return windows + ([(begin, plus(first, 12 * train_years + months * (len(windows) + 1)))] if last >= begin else [])
 
 
-def priced_fold(matches: DataFrame, begin: dt.date, end: dt.date) -> DataFrame:
-    """Outcome probabilities of a fold's matches by strengths of the matches before it."""
-    fit = models.fit_strengths(matches.where(F.col("match_date") < F.lit(begin)))
-    test = matches.where((F.col("match_date") >= F.lit(begin)) & (F.col("match_date") < F.lit(end)))
-    side = lambda k: fit.select("comp", F.col("team").alias(k), F.col("att").alias(f"{k}_att"), F.col("def").alias(f"{k}_def"), F.col("advantage").alias(f"{k}_adv"))
-    pairs = test.select("comp", "home", "away").distinct().join(side("home"), ["comp", "home"]).join(side("away").drop("away_adv"), ["comp", "away"])
-    pairs = pairs.select("comp", "home", "away", F.exp(F.col("home_att") - F.col("away_def") + F.col("home_adv")).alias("lh"), F.exp(F.col("away_att") - F.col("home_def")).alias("la"))
-    cells = score_matrix.scores(pairs)
+SUMS = ("w", "gh", "ga", "n00", "n01", "n10", "n11")
+
+
+def fold_of(matches: DataFrame, windows: list[tuple[dt.date, dt.date]]) -> DataFrame:
+    """``matches`` with ``fold``: 0 before the first test window, then the window's number; later matches go."""
+    spark = matches.sparkSession
+    begins = spark.createDataFrame([(b,) for b, _ in windows], "begin date").agg(F.sort_array(F.collect_list("begin")).alias("begins"), F.lit(windows[-1][1]).alias("end"))
+    rows = matches.crossJoin(F.broadcast(begins))  # one row
+    return rows.where(F.col("match_date") < F.col("end")).withColumn("fold", F.size(F.filter("begins", lambda b: b <= F.col("match_date")))).drop("begins", "end")
+
+
+def fold_statistics(dated: DataFrame, last: int, decay: float = models.DECAY) -> DataFrame:
+    """``comp, home, away, fold`` and decayed sums over all matches before the fold, for folds 1 to ``last``."""
+    origin = dated.agg(F.min("match_date").alias("origin"))
+    rows = dated.where("fthg IS NOT NULL AND ftag IS NOT NULL AND fold < " + str(last)).crossJoin(F.broadcast(origin))  # one row
+    grown = rows.withColumn("g", F.exp(decay * F.date_diff("match_date", "origin")))
+    cell = lambda x, y: F.sum(F.when((F.col("fthg") == x) & (F.col("ftag") == y), F.col("g")).otherwise(0.0)).alias(f"n{x}{y}")
+    pair = ("comp", "home", "away")
+    sums = grown.groupBy(*pair, "fold").agg(F.sum("g").alias("w"), F.sum(F.col("fthg") * F.col("g")).alias("gh"), F.sum(F.col("ftag") * F.col("g")).alias("ga"), cell(0, 0), cell(0, 1), cell(1, 0), cell(1, 1))
+    sums = sums.withColumn("fold", F.col("fold") + 1)  # a half-year's matches count from the next fold on
+    later = lambda t, *by: t.groupBy(*by).agg(F.min("fold").alias("first")).select(*by, F.explode(F.sequence("first", F.lit(last))).alias("fold"))
+    before = lambda *by: Window.partitionBy(*by).orderBy("fold")
+    running = later(sums, *pair).join(sums, [*pair, "fold"], "left").select(*pair, "fold", *(F.sum(F.coalesce(c, F.lit(0.0))).over(before(*pair)).alias(c) for c in SUMS))
+    ends = rows.groupBy("comp", (F.col("fold") + 1).alias("fold")).agg(F.max(F.date_diff("match_date", "origin")).alias("end"))
+    ends = later(ends, "comp").join(ends, ["comp", "fold"], "left").select("comp", "fold", F.exp(-decay * F.max("end").over(before("comp"))).alias("shrink"))
+    return running.join(ends, ["comp", "fold"]).select(*pair, "fold", *((F.col(c) * F.col("shrink")).alias(c) for c in SUMS))
+
+
+def _fit_fold(stats: pd.DataFrame) -> pd.DataFrame:
+    return models.fit_group(stats).assign(fold=int(stats["fold"].iloc[0]))
+
+
+def fit_folds(matches: DataFrame, windows: list[tuple[dt.date, dt.date]], decay: float = models.DECAY) -> DataFrame:
+    """Strengths by competition and fold, from all matches before the fold."""
+    return fold_statistics(fold_of(matches, windows), len(windows), decay).groupBy("comp", "fold").applyInPandas(_fit_fold, models.FIT + ", fold int")
+
+
+def priced_folds(matches: DataFrame, windows: list[tuple[dt.date, dt.date]]) -> DataFrame:
+    """Matches of all folds with outcome probabilities by strengths of the matches before their fold."""
+    dated = fold_of(matches, windows)
+    fit = fold_statistics(dated, len(windows)).groupBy("comp", "fold").applyInPandas(_fit_fold, models.FIT + ", fold int")
+    test = dated.where("fold > 0")
+    side = lambda k: fit.select("comp", "fold", F.col("team").alias(k), F.col("att").alias(f"{k}_att"), F.col("def").alias(f"{k}_def"), F.col("advantage").alias(f"{k}_adv"), F.col("rho").alias(f"{k}_rho"))
+    of = ["comp", "fold"]
+    pairs = test.select(*of, "home", "away").distinct().join(side("home"), [*of, "home"]).join(side("away").drop("away_adv", "away_rho"), [*of, "away"])
+    pairs = pairs.select(*of, "home", "away", F.exp(F.col("home_att") - F.col("away_def") + F.col("home_adv")).alias("lh"), F.exp(F.col("away_att") - F.col("home_def")).alias("la"), F.col("home_rho").alias("rho"))
+    cells = score_matrix.scores(pairs, F.col("rho"))
     part = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0.0)) / F.sum("w")
-    probs = cells.groupBy("comp", "home", "away").agg(part(F.col("x") > F.col("y")).alias("ph"), part(F.col("x") == F.col("y")).alias("pd"), part(F.col("x") < F.col("y")).alias("pa"))
-    return test.join(probs, ["comp", "home", "away"])
+    probs = cells.groupBy(*of, "home", "away").agg(part(F.col("x") > F.col("y")).alias("ph"), part(F.col("x") == F.col("y")).alias("pd"), part(F.col("x") < F.col("y")).alias("pa"))
+    return test.join(probs, [*of, "home", "away"])
 
 
 def candidates(priced: DataFrame, odds: DataFrame) -> DataFrame:
@@ -77,8 +119,5 @@ def ledger(bets: DataFrame, bankroll: float = 10_000.0) -> DataFrame:
 
 
 def walk_forward(matches: DataFrame, odds: DataFrame, windows: list[tuple[dt.date, dt.date]]) -> DataFrame:
-    out = None
-    for begin, end in windows:
-        fold = candidates(priced_fold(matches, begin, end), odds)
-        out = fold if out is None else out.unionByName(fold)
-    return out
+    """Bets of all test windows."""
+    return candidates(priced_folds(matches, windows), odds)

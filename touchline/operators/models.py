@@ -15,9 +15,15 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quasi_newton import bounded_minimum
+
 DECAY = 0.0018
 STRENGTH_LIMIT = 3.0
-RHO_GRID = tuple(-0.2 + 0.01 * i for i in range(31))
+#: Bounds of the home advantage and of the low-score parameter; their starts.
+ADVANTAGE, RHO = (0.0, 1.5), (-0.2, 0.1)
+ADVANTAGE_START, RHO_START = 0.25, -0.05
+#: Least value of a low-score factor under the logarithm.
+LEAST_FACTOR = 1e-10
 MIN_CALIBRATION = 80
 FIT = "comp string, team int, att double, def double, advantage double, rho double, n double"
 
@@ -31,29 +37,59 @@ def pair_statistics(matches: DataFrame, home: str, away: str, by: str = "comp",
     return rows.groupBy(by, "home", "away").agg(F.sum("w").alias("w"), F.sum(F.col(home) * F.col("w")).alias("gh"), F.sum(F.col(away) * F.col("w")).alias("ga"), cell(0, 0), cell(0, 1), cell(1, 0), cell(1, 1))
 
 
+class PairLikelihood:
+    """Weighted log-likelihood of goals from sums by pair of teams, with the low-score factor inside.
+
+    Parameters: attacks, defences but the last (defences sum to zero), home advantage, low-score parameter.
+    """
+
+    def __init__(self, stats: pd.DataFrame):
+        self.teams = np.array(sorted(set(stats["home"]) | set(stats["away"])))
+        self.h, self.a = np.searchsorted(self.teams, stats["home"]), np.searchsorted(self.teams, stats["away"])
+        self.w, self.gh, self.ga, self.n00, self.n01, self.n10, self.n11 = (stats[c].to_numpy(float) for c in ("w", "gh", "ga", "n00", "n01", "n10", "n11"))
+
+    def unpacked(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        n = len(self.teams)
+        return x[:n], np.r_[x[n : 2 * n - 1], -x[n : 2 * n - 1].sum()], x[-2], x[-1]
+
+    def loss(self, x: np.ndarray) -> tuple[float, np.ndarray]:
+        """Negative log-likelihood (without factorials) and its gradient."""
+        att, dfn, adv, rho = self.unpacked(x)
+        log_h, log_a = att[self.h] - dfn[self.a] + adv, att[self.a] - dfn[self.h]
+        lh, la = np.exp(log_h), np.exp(log_a)
+        cells = ((self.n00, -lh * la, 1, 1), (self.n01, lh, 1, 0), (self.n10, la, 0, 1), (self.n11, -np.ones_like(lh), 0, 0))  # factor 1 + rho * slope
+        value = (self.gh * log_h - self.w * lh + self.ga * log_a - self.w * la).sum()
+        d_h, d_a, d_rho = self.gh - self.w * lh, self.ga - self.w * la, 0.0
+        for count, slope, of_h, of_a in cells:
+            factor = np.maximum(1 + rho * slope, LEAST_FACTOR)
+            value += (count * np.log(factor)).sum()
+            part = np.where(1 + rho * slope > LEAST_FACTOR, count * slope / factor, 0.0)
+            d_rho += part.sum()
+            d_h, d_a = d_h + of_h * rho * part, d_a + of_a * rho * part
+        n = len(self.teams)
+        total = lambda i, v: np.bincount(i, weights=v, minlength=n)
+        g_att, g_dfn = total(self.h, d_h) + total(self.a, d_a), -total(self.a, d_h) - total(self.h, d_a)
+        return -value, -np.r_[g_att, g_dfn[:-1] - g_dfn[-1], d_h.sum(), d_rho]
+
+    def fitted(self, rho: tuple[float, float] = RHO) -> tuple[np.ndarray, float]:
+        """Parameters of greatest likelihood within their bounds, and the negative log-likelihood."""
+        n = len(self.teams)
+        low = np.r_[np.full(2 * n - 1, -STRENGTH_LIMIT), ADVANTAGE[0], rho[0]]
+        high = np.r_[np.full(2 * n - 1, STRENGTH_LIMIT), ADVANTAGE[1], rho[1]]
+        return bounded_minimum(self.loss, np.r_[np.zeros(2 * n - 1), ADVANTAGE_START, RHO_START], low, high)
+
+
+def _fit(stats: pd.DataFrame, rho: tuple[float, float]) -> pd.DataFrame:
+    """Strengths, home advantage and low-score parameter of one competition, all at once, by greatest likelihood."""
+    like = PairLikelihood(stats)
+    x, _ = like.fitted(rho)
+    att, dfn, adv, low = like.unpacked(x)
+    n = np.bincount(like.h, weights=like.w, minlength=len(like.teams)) + np.bincount(like.a, weights=like.w, minlength=len(like.teams))
+    return pd.DataFrame({"comp": stats["comp"].iloc[0], "team": like.teams, "att": att, "def": dfn, "advantage": adv, "rho": low, "n": n})
+
+
 def fit_group(stats: pd.DataFrame) -> pd.DataFrame:
-    """Strengths of one competition by proportional fitting, then the low-score parameter by its profile likelihood."""
-    teams = np.array(sorted(set(stats["home"]) | set(stats["away"])))
-    h, a = np.searchsorted(teams, stats["home"]), np.searchsorted(teams, stats["away"])
-    w, gh, ga = (stats[c].to_numpy(float) for c in ("w", "gh", "ga"))
-    n = len(teams)
-    total = lambda i, v: np.bincount(i, weights=v, minlength=n)
-    att, defence, adv = np.ones(n), np.ones(n), 1.0
-    for _ in range(200):
-        before = att.copy()
-        att = (total(h, gh) + total(a, ga) + 1e-9) / (total(h, w * adv / defence[a]) + total(a, w / defence[h]) + 1e-9)
-        defence = (total(a, w * att[h] * adv) + total(h, w * att[a]) + 1e-9) / (total(a, gh) + total(h, ga) + 1e-9)
-        adv = float(np.clip((gh.sum() + 1e-9) / ((w * att[h] / defence[a]).sum() + 1e-9), 1.0, np.exp(1.5)))
-        scale = np.exp(np.log(defence).mean())
-        att, defence = att / scale, defence / scale
-        if np.abs(att - before).max() < 1e-10:
-            break
-    lh, la = att[h] * adv / defence[a], att[a] / defence[h]
-    cells = [(stats["n00"].to_numpy(float), lambda r: 1 - lh * la * r), (stats["n01"].to_numpy(float), lambda r: 1 + lh * r), (stats["n10"].to_numpy(float), lambda r: 1 + la * r), (stats["n11"].to_numpy(float), lambda r: np.full(len(lh), 1 - r))]
-    like = lambda r: sum((c * np.log(np.maximum(f(r), 1e-12))).sum() for c, f in cells)
-    rho = max((r for r in RHO_GRID if r <= 0.1 + 1e-9), key=like)
-    cut = lambda x: np.clip(np.log(x), -STRENGTH_LIMIT, STRENGTH_LIMIT)
-    return pd.DataFrame({"comp": stats["comp"].iloc[0], "team": teams, "att": cut(att), "def": cut(defence), "advantage": np.log(adv), "rho": rho, "n": total(h, w) + total(a, w)})
+    return _fit(stats, RHO)
 
 
 def fit_strengths(matches: DataFrame, decay: float = DECAY) -> DataFrame:
@@ -62,8 +98,53 @@ def fit_strengths(matches: DataFrame, decay: float = DECAY) -> DataFrame:
 
 
 def fit_counts(matches: DataFrame) -> DataFrame:
-    """The same log-linear fit for corner counts, unweighted."""
-    return pair_statistics(matches, "hc", "ac", "comp", 0.0).groupBy("comp").applyInPandas(fit_group, FIT)
+    """The same log-linear fit for corner counts, unweighted and without low-score factors."""
+    return pair_statistics(matches, "hc", "ac", "comp", 0.0).groupBy("comp").applyInPandas(lambda stats: _fit(stats, (0.0, 0.0)), FIT)
+
+
+COUNTS = "comp string, home int, away int, rate_home double, rate_away double, dispersion double"
+
+
+def log_linear(h: np.ndarray, a: np.ndarray, w: np.ndarray, y: np.ndarray, steps: int = 200) -> np.ndarray:
+    """Fitted means by pair of a Poisson model on the factors home and away side, from sums ``y`` over ``w`` matches.
+
+    Iteratively reweighted least squares; a side without any count gets means that tend to zero.
+    """
+    n_h, n_a = h.max() + 1, a.max() + 1
+    x = np.zeros((len(h), n_h + n_a - 1))
+    x[np.arange(len(h)), h] = 1.0
+    later = a > 0  # the first away side is the base
+    x[np.flatnonzero(later), n_h + a[later] - 1] = 1.0
+    eta = np.log(np.maximum(y / w, 0.1))
+    for _ in range(steps):
+        mu = np.exp(np.clip(eta, -30.0, 30.0))
+        weight = w * mu
+        z = eta + (y - weight) / np.maximum(weight, 1e-12)
+        beta = np.linalg.lstsq(x * np.sqrt(weight)[:, None], z * np.sqrt(weight), rcond=1e-12)[0]
+        new = np.clip(x @ beta, -30.0, 30.0)
+        moved, eta = np.abs(new - eta).max(), new
+        if moved < 1e-10:
+            break
+    return np.exp(eta)
+
+
+def count_group(stats: pd.DataFrame) -> pd.DataFrame:
+    """Rates by pair from one model for each side's counts, and the dispersion of totals around the fitted ones."""
+    homes, h = np.unique(stats["home"], return_inverse=True)
+    aways, a = np.unique(stats["away"], return_inverse=True)
+    w, yh, ya, squares = (stats[c].to_numpy(float) for c in ("w", "gh", "ga", "squares"))
+    home, away = log_linear(h, a, w, yh), log_linear(h, a, w, ya)
+    mu, total = home + away, yh + ya
+    excess = (squares - 2 * mu * total + w * mu**2 - w * mu).sum()
+    alpha = float(np.clip(excess / (w * mu**2).sum(), 0.0, 1.0)) if w.sum() >= 2 else 0.0
+    return pd.DataFrame({"comp": stats["comp"].iloc[0], "home": homes[h], "away": aways[a], "rate_home": home, "rate_away": away, "dispersion": alpha})
+
+
+def count_rates(matches: DataFrame, home: str = "hc", away: str = "ac") -> DataFrame:
+    """Poisson rates of both sides' counts by competition and pair, with the negative-binomial dispersion of their total."""
+    rows = matches.where(F.col(home).isNotNull() & F.col(away).isNotNull())
+    sums = rows.groupBy("comp", "home", "away").agg(F.count("*").alias("w"), F.sum(home).alias("gh"), F.sum(away).alias("ga"), F.sum(F.pow(F.col(home) + F.col(away), 2)).alias("squares"))
+    return sums.groupBy("comp").applyInPandas(count_group, COUNTS)
 
 
 def dispersion(matches: DataFrame, column: str, by: str) -> DataFrame:

@@ -18,13 +18,13 @@ def poisson(k: Column, rate: Column) -> Column:
     return F.exp(-rate) * F.pow(rate, k) / F.factorial(k.cast("int"))
 
 
-def low_score_factor(x: Column, y: Column, lh: Column, la: Column, rho: float) -> Column:
+def low_score_factor(x: Column, y: Column, lh: Column, la: Column, rho: Column | float) -> Column:
     """The four-cell correction of low scores."""
     return (
         F.when((x == 0) & (y == 0), 1 - lh * la * rho)
         .when((x == 0) & (y == 1), 1 + lh * rho)
         .when((x == 1) & (y == 0), 1 + la * rho)
-        .when((x == 1) & (y == 1), F.lit(1 - rho))
+        .when((x == 1) & (y == 1), F.lit(1.0) - rho)
         .otherwise(1.0)
     )
 
@@ -40,7 +40,7 @@ def rates(fixtures: DataFrame, strengths: DataFrame, advantage: float = HOME_ADV
     return pairs.select("home", "away", lh.alias("lh"), la.alias("la"))
 
 
-def scores(pairs: DataFrame, rho: float = RHO, top: int = MAX_GOALS) -> DataFrame:
+def scores(pairs: DataFrame, rho: Column | float = RHO, top: int = MAX_GOALS) -> DataFrame:
     """``home, away, x, y, w``: unnormalised mass of each score."""
     goals = F.sequence(F.lit(0), F.lit(top))
     cells = pairs.select("*", F.explode(goals).alias("x")).select("*", F.explode(goals).alias("y"))

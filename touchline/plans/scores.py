@@ -152,3 +152,29 @@ def outcome_classifier(spark, sf_dir):
     rows = m.select("match_id", "ftr").join(form, "match_id")
     model = L.outcome_classifier(rows, ["gf5", "ga5"], "ftr")
     return model.transform(rows.select("match_id", F.col("gf5").cast("double"), F.col("ga5").cast("double"))).select("match_id", F.col("prediction").cast("int").alias("best"))
+
+
+@query(
+    "corner_rates_by_side",
+    """WITH m2 AS (SELECT comp, home, away, hc, ac FROM matches WHERE hc IS NOT NULL AND ac IS NOT NULL)
+SELECT comp, 'home' AS side, home AS team, CAST(count(*) AS BIGINT) AS n, round(CAST(sum(hc) AS DOUBLE), 3) AS corners_for, round(CAST(sum(ac) AS DOUBLE), 3) AS corners_against FROM m2 GROUP BY comp, home
+UNION ALL SELECT comp, 'away', away, CAST(count(*) AS BIGINT), round(CAST(sum(ac) AS DOUBLE), 3), round(CAST(sum(hc) AS DOUBLE), 3) FROM m2 GROUP BY comp, away""",
+    ("matches",),
+)
+def corner_rates_by_side(spark, sf_dir):
+    """Corners that the fitted Poisson models of each side expect by team: greatest likelihood makes them the observed totals."""
+    m = domain(spark, sf_dir, "matches")
+    rates = L.count_rates(m)
+    played = m.where("hc IS NOT NULL AND ac IS NOT NULL").groupBy("comp", "home", "away").agg(F.count("*").alias("n"))
+    expected = played.join(rates, ["comp", "home", "away"])
+    total = lambda rate: F.round(F.sum(F.col("n") * F.col(rate)), 3)
+    one = lambda side, mine, its: expected.groupBy("comp", F.lit(side).alias("side"), F.col(side).alias("team")).agg(F.sum("n").alias("n"), total(mine).alias("corners_for"), total(its).alias("corners_against"))
+    return one("home", "rate_home", "rate_away").unionByName(one("away", "rate_away", "rate_home"))
+
+
+@query("corner_dispersion_around_rates")
+def corner_dispersion_around_rates(spark, sf_dir):
+    """Over-dispersion of total corners around their fitted rates, and the chance of more than nine; tested against direct least squares."""
+    rates = L.count_rates(domain(spark, sf_dir, "matches"))
+    masses = rates.withColumn("p", S.negative_binomial(F.col("rate_home") + F.col("rate_away"), F.col("dispersion"), 40))
+    return masses.select("comp", "home", "away", "rate_home", "rate_away", "dispersion", F.aggregate(F.slice("p", 11, 31), F.lit(0.0), lambda a, x: a + x).alias("over95"))
