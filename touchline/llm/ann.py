@@ -1,10 +1,14 @@
 """Nearest neighbours by largest inner product over balanced posting lists with replicated boundary vectors.
 
-Inner products become distances by one more coordinate (the norm missing to the largest norm).  Centroids are fitted by
-size-penalised k-means on at most ``SAMPLE`` vectors chosen by a hash of their ids; the whole table is indexed.  A vector
-enters its nearest list and, if it lies near a boundary, up to ``REPLICAS`` lists whose centroids are almost as near and
-not shadowed by one already taken.  A query walks an in-memory neighbour graph of the centroids best first and takes the
-lists whose distance is within ``QUERY_RATIO`` of the nearest, and more until they surely hold enough vectors.
+Vectors are dealt into bands of norm, each at most a square root of two wide (the last holds all smaller ones).  In a band, inner
+products become distances by one more coordinate, the norm missing to the band's largest.  A band's centroids are fitted by
+k-means with a price on full lists, on at most ``SAMPLE`` vectors chosen by a hash of their ids; the whole table is indexed.  Prices
+belong to the distance from then on, for vectors and queries alike, so lists stay near one size; a list that is still beyond
+``CAPACITY`` times the mean gives up replicas, then gives its excess to the next list of each vector.  A vector enters its nearest list and, if it lies
+near a boundary, up to ``REPLICAS`` lists that are almost as near and not shadowed by one already taken.  A query leaves out the
+bands whose norms can't reach the k-th best of some ``PROBES`` long vectors.  In the others it walks an in-memory neighbour graph
+of the centroids best first and takes the lists whose distance is within ``QUERY_RATIO`` of the nearest; all bands together must
+hold enough vectors.
 
 Scale: centroids are bounded (``MAX_LISTS``), so the index that is sent to tasks is a few MB at any size.  A list longer
 than ``LIST_ROWS`` is split by a hash of the id (a hot vector's copies too).  Lists are packed into shards of bounded
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .base import stored
+from .base import stored, unstore
 
 SAMPLE = 20_000
 LIST_TARGET = 256
@@ -43,11 +47,21 @@ QUERY_RATIO = 1.15
 SHADOW = 0.3
 NEIGHBOURS = 24
 TIE = 1e-9
+#: Bands of norm; lists beyond so many times the mean size give rows away.
+BANDS = 16
+CAPACITY = 1.3
+#: Standard deviations by which members of a list may lie nearer to a query than the list's spread says.
+DEVIATIONS = 2.3
+#: Lists of a band within the ratio that a query takes in any case.
+NEAREST = 12
+#: Long vectors of the sample by which queries leave out bands.
+PROBES = 2048
 
 
 def finite(vectors: DataFrame) -> DataFrame:
     """``vec_id, embedding`` of the rows whose vectors are vectors."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).where("vec_id IS NOT NULL AND size(embedding) > 0")
+    kind = "array<float>" if dict(vectors.dtypes)["embedding"] == "array<float>" else "array<double>"  # others lose nothing as doubles
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding")).where("vec_id IS NOT NULL AND size(embedding) > 0")
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     return rows.where(~F.exists("embedding", bad) & F.exists("embedding", lambda x: x != 0))
 
@@ -66,30 +80,38 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def balanced_kmeans(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Centroids whose lists are kept near one size by a price on full lists."""
+def balanced_kmeans(points: np.ndarray, k: int, rounds: int = 15, settling: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids and prices such that lists by squared distance plus price are near one size."""
     rng = np.random.default_rng(11)
     centre = points[rng.choice(len(points), k, replace=False)].copy()
-    price = np.zeros(k)
+    price, even = np.zeros(k), len(points) / k
     scale = np.var(points, 0).sum()
-    for _ in range(rounds):
-        d = (centre**2).sum(1) - 2 * points @ centre.T + price
-        own = d.argmin(1)
+    for i in range(rounds + settling):
+        own = ((centre**2).sum(1) - 2 * points @ centre.T + price).argmin(1)
         n = np.bincount(own, minlength=k)
-        price += 0.05 * scale * (n / (len(points) / k) - 1).clip(-1, 1)
+        if i >= rounds and n.max() <= 1.2 * even:
+            break
+        price += (0.05 if i < rounds else 0.1 / (1 + 0.2 * (i - rounds))) * scale * (n / even - 1).clip(-1, 1)
         price -= price.min()
-        sums = np.zeros_like(centre)
-        np.add.at(sums, own, points)
-        centre[n > 0] = sums[n > 0] / n[n > 0, None]
-    return centre
+        if i < rounds:  # then only the prices settle
+            sums = np.zeros_like(centre)
+            np.add.at(sums, own, points)
+            centre[n > 0] = sums[n > 0] / n[n > 0, None]
+            if i < rounds - 3:  # the emptiest lists move into the fullest
+                order = np.argsort(n, kind="stable")
+                for poor, rich in zip(order, order[::-1]):
+                    if n[poor] > 0.4 * even or n[rich] < 1.6 * even:
+                        break
+                    centre[poor], price[poor] = points[rng.choice(np.flatnonzero(own == rich))], price[rich]
+    return centre, price
 
 
-class Index:
-    """Bounded part of the index: centroids, their neighbour graph, sizes and shards of lists."""
+class Band:
+    """Centroids, prices and neighbour graph of the lists of one band; lists are numbered from ``first``."""
 
-    def __init__(self, centre: np.ndarray, longest: float):
-        self.centre, self.longest = centre, longest
-        d = ((centre[:, None] - centre[None]) ** 2).sum(2) if len(centre) <= 512 else (centre**2).sum(1)[:, None] + (centre**2).sum(1) - 2 * centre @ centre.T
+    def __init__(self, centre: np.ndarray, price: np.ndarray, longest: float, first: int, spread: float = 0.0):
+        self.centre, self.price, self.longest, self.first, self.spread = centre, price, longest, first, spread
+        d = (centre**2).sum(1)[:, None] + (centre**2).sum(1) - 2 * centre @ centre.T
         near = np.argsort(d, 1, kind="stable")[:, 1 : NEIGHBOURS + 1]
         edges = {(a, int(b)) for a, row in enumerate(near) for b in row} | {(a, a + 1) for a in range(len(centre) - 1)}  # the chain connects all
         links: list[set[int]] = [set() for _ in centre]
@@ -97,19 +119,16 @@ class Index:
             links[a].add(b)
             links[b].add(a)
         self.near = [np.array(sorted(x), np.int64) for x in links]
-        self.between = d
-        self.entry = int(((centre - centre.mean(0)) ** 2).sum(1).argmin())
-        self.size = np.zeros(len(centre), np.int64)
-        self.pieces: dict[int, list[int]] = {}
+        self.entry = int((((centre - centre.mean(0)) ** 2).sum(1) + price).argmin())
 
     def lifted(self, x: np.ndarray, query: bool) -> np.ndarray:
         missing = np.zeros(len(x)) if query else np.sqrt(np.maximum(self.longest**2 - (x**2).sum(1), 0))
         return np.c_[x, missing]
 
-    def lists_of(self, x: np.ndarray) -> list[list[int]]:
-        """Lists of each vector: the nearest, and those almost as near that no taken list shadows."""
+    def lists_of(self, x: np.ndarray) -> list[tuple[list[int], int]]:
+        """(lists of each vector: the nearest, and those almost as near that no taken list shadows; the next list)."""
         p = self.lifted(x, False)
-        d = np.sqrt(np.maximum((p**2).sum(1)[:, None] + (self.centre**2).sum(1) - 2 * p @ self.centre.T, 0))
+        d = np.sqrt(np.maximum((p**2).sum(1)[:, None] + (self.centre**2).sum(1) - 2 * p @ self.centre.T + self.price, 0))
         many = min(len(self.centre), 4 * REPLICAS)
         at = np.argpartition(d, many - 1, 1)[:, :many]
         out = []
@@ -117,40 +136,85 @@ class Index:
             row = row[np.argsort(d[i, row], kind="stable")]
             taken: list[int] = []
             for c in row[d[i, row] <= REPLICA_RATIO * d[i, row[0]] + 1e-12].tolist():
-                if all(self.between[c, t] > (SHADOW * d[i, c]) ** 2 for t in taken):
+                if all(((self.centre[c] - self.centre[t]) ** 2).sum() > (SHADOW * d[i, c]) ** 2 for t in taken):
                     taken.append(c)
                     if len(taken) == REPLICAS:
                         break
-            out.append(taken)
+            spare = next((c for c in row.tolist() if c not in taken), taken[0])
+            out.append(([c + self.first for c in taken], spare + self.first))
         return out
 
-    def search(self, q: np.ndarray, k: int) -> list[int]:
-        """Lists for a lifted query, by best-first walk over the graph."""
-        dist = lambda c: np.sqrt(((self.centre[c] - q) ** 2).sum(-1))
+    def reach(self, norm: float, sure: float) -> float:
+        """Squared distance from a query within which centroids have members with an inner product of ``sure``: members lie
+        about ``spread`` around their centroid, of which ``DEVIATIONS`` of the standard deviation may point to the query."""
+        if not np.isfinite(sure):
+            return np.inf
+        need = max(self.longest**2 + norm**2 - 2 * sure, 0.0)  # of a vector with that inner product
+        lean = DEVIATIONS * np.sqrt(self.spread / (self.centre.shape[1] - 1))
+        return (lean + np.sqrt(max(lean**2 + need - self.spread, 0.0))) ** 2
+
+    def search(self, q: np.ndarray) -> list[tuple[float, int]]:
+        """(distance, list) of the lists met for a lifted query by a best-first walk over the graph, nearest first."""
+        dist = lambda c: np.sqrt(((self.centre[c] - q) ** 2).sum(-1) + self.price[c])
         seen = np.zeros(len(self.centre), bool)
         seen[self.entry] = True
-        first = float(dist(self.entry))
-        open_, best, met = [(first, self.entry)], first, []
+        best = float(dist(self.entry))
+        open_, met = [(best, self.entry)], []
         while open_:
             d, c = heapq.heappop(open_)
             if d > 1.15 * QUERY_RATIO * best and len(met) > NEIGHBOURS:
                 break
-            met.append((d, c))
+            met.append((d, c + self.first))
             fresh = self.near[c][~seen[self.near[c]]]
             seen[fresh] = True
             for x, n in zip(dist(fresh).tolist(), fresh.tolist()):
                 best = min(best, x)
                 heapq.heappush(open_, (x, n))
-        met.sort()
-        out, held = [], 0
-        for d, c in met:
-            if d > QUERY_RATIO * best and held >= (k + 1) * REPLICAS:
+        return sorted(met)
+
+
+class Index:
+    """Bounded part of the index: the bands, long vectors of the sample, sizes and shards of lists."""
+
+    def __init__(self, bands: list[Band], longest: float, probe_ids: np.ndarray, probes: np.ndarray):
+        self.bands, self.longest, self.probe_ids, self.probes = bands, longest, probe_ids, probes
+        self.size = np.zeros(sum(len(b.centre) for b in bands), np.int64)
+        self.pieces: dict[int, list[int]] = {}
+
+    def band_of(self, x: np.ndarray) -> np.ndarray:
+        norm = np.sqrt((x**2).sum(1))
+        return np.clip(np.floor(2 * np.log2(self.longest / norm)), 0, BANDS - 1).astype(int)
+
+    def lists_of(self, x: np.ndarray) -> list[tuple[list[int], int]]:
+        band, out = self.band_of(x), [None] * len(x)
+        for b in np.unique(band).tolist():
+            at = np.flatnonzero(band == b)
+            for i, found in zip(at.tolist(), self.bands[b].lists_of(x[at])):
+                out[i] = found
+        return out
+
+    def search(self, query_id: int, q: np.ndarray, k: int) -> list[int]:
+        """Lists for a query: in each band that can hold one of its ``k`` nearest, those near the band's nearest list."""
+        seen = np.sort((self.probes @ q)[self.probe_ids != query_id])
+        sure = seen[-k] if len(seen) >= k else -np.inf  # the k-th best of all is no less
+        norm = float(np.sqrt((q**2).sum()))
+        out, held, left = [], 0, []
+        for b, band in enumerate(self.bands):
+            if b and band.longest * norm < sure - TIE * max(1.0, abs(sure)):
+                break  # nor can shorter vectors
+            met, far = band.search(band.lifted(q[None], True)[0]), band.reach(norm, sure)
+            for i, (d, c) in enumerate(met):
+                if d <= QUERY_RATIO * met[0][0] and (i < NEAREST or d * d - band.price[c - band.first] <= far):
+                    out.append(c)
+                    held += self.size[c]
+                else:
+                    left.append((d, c))
+        for _, c in sorted(left):
+            if held >= (k + 1) * REPLICAS:
                 break
             out.append(c)
             held += self.size[c]
-        if held < (k + 1) * REPLICAS:
-            return list(range(len(self.centre)))
-        return out
+        return out if held >= (k + 1) * REPLICAS else list(range(len(self.size)))
 
     def pack(self, sizes: dict[int, int], least_shards: int) -> int:
         """Cut long lists and deal the pieces to shards, largest first; returns the number of shards."""
@@ -174,12 +238,27 @@ def fit(rows: DataFrame, list_target: int = LIST_TARGET) -> Index:
     """Fit centroids on a bounded sample; ``rows``: a stored table."""
     stats = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))).alias("sq")).first()
     share = min(1.0, SAMPLE / max(1, stats["n"]))
-    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow().column("embedding").combine_chunks()
-    x = matrix(picked)
-    index = Index(np.zeros((1, x.shape[1] + 1)), float(np.sqrt(stats["sq"])))
-    points = np.unique(index.lifted(x, False), axis=0)
-    k = int(min(MAX_LISTS, max(1, stats["n"] // list_target), max(1, len(points) // 8)))
-    return Index(balanced_kmeans(points, k), index.longest)
+    picked = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toArrow()
+    x, ids = matrix(picked.column("embedding").combine_chunks()), picked.column("vec_id").to_numpy()
+    longest = float(np.sqrt(stats["sq"])) * (1 + 1e-12)
+    norm = (x**2).sum(1)
+    once = np.unique(ids, return_index=True)[1]
+    probes = once[np.argsort(-norm[once], kind="stable")[:PROBES]]
+    index = Index([], longest, ids[probes], x[probes])
+    band, first = index.band_of(x), 0
+    for b in range(BANDS):
+        mine = Band(np.zeros((1, x.shape[1] + 1)), np.zeros(1), longest / 2 ** (b / 2), first)
+        points = np.unique(mine.lifted(x[band == b], False), axis=0)
+        if len(points):
+            expected = (band == b).mean() * stats["n"]
+            most = max(1, int(MAX_LISTS * len(points) / max(1, len(x))))
+            k = int(min(most, max(1, round(expected / list_target)), max(1, len(points) // 8)))
+            centre, price = balanced_kmeans(points, k)
+            own = ((centre**2).sum(1) - 2 * points @ centre.T + price).argmin(1)
+            mine = Band(centre, price, mine.longest, first, float(((points - centre[own]) ** 2).sum(1).mean()))
+        index.bands.append(mine)
+        first += len(mine.centre)
+    return Index(index.bands, longest, index.probe_ids, index.probes)
 
 
 def _indexed(index: Index):
@@ -188,8 +267,39 @@ def _indexed(index: Index):
             for at in range(0, b.num_rows, 1000):
                 part = b.slice(at, 1000)
                 lists = index.lists_of(matrix(part.column(1)))
-                take = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([c for x in lists for c in x], np.int32)), part.column(0).take(take), part.column(1).take(take)], names=["list", "vec_id", "embedding"])
+                take = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x, _ in lists]))
+                cols = [np.array([c for x, _ in lists for c in x], np.int32), np.array([-1 if i else s for x, s in lists for i in range(len(x))], np.int32)]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, cols), part.column(0).take(take), part.column(1).take(take)], names=["list", "next", "vec_id", "embedding"])
+
+    return run
+
+
+def hashed(ids: np.ndarray) -> np.ndarray:
+    """64 mixed bits of ids."""
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def shares_kept(own: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of each list's own vectors and of its replicas that it keeps, from how many of both it has."""
+    total = own + more
+    room = CAPACITY * total.sum() / max(1, (total > 0).sum())
+    return np.minimum(1.0, room / np.maximum(own, 1)), np.clip((room - own) / np.maximum(more, 1), 0.0, 1.0)
+
+
+def overflowed(keep: tuple[np.ndarray, np.ndarray], lists: np.ndarray, spare: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The list of each posting.  Of lists beyond their capacity, replicas (``spare`` -1) go first, to no list (-1), then own
+    vectors to their next list."""
+    share = np.where(spare < 0, keep[1][lists], keep[0][lists])
+    return np.where((hashed(ids) >> np.uint64(40)).astype(float) / (1 << 24) >= share, spare, lists)
+
+
+def _moved(keep: tuple[np.ndarray, np.ndarray]):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            lists = overflowed(keep, b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy())
+            held = pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int32)), b.column(2), b.column(3)], names=["list", "vec_id", "embedding"])
+            yield held.filter(pa.array(lists >= 0))
 
     return run
 
@@ -211,14 +321,14 @@ def _routed(index: Index, k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             rows = []
-            for v, q, e in zip(b.column(0).to_pylist(), index.lifted(matrix(b.column(1)), True), b.column(1).to_pylist()):
+            for v, q, e in zip(b.column(0).to_pylist(), matrix(b.column(1)), b.column(1).to_pylist()):
                 by_shard: dict[int, set[int]] = {}
-                for c in index.search(q, k):
+                for c in index.search(v, q, k):
                     for shard in index.pieces.get(c, ()):
                         by_shard.setdefault(shard, set()).add(c)
                 rows += [(shard, v, e, sorted(lists)) for shard, lists in by_shard.items()]
             if rows:
-                types = (pa.int32(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.int32()))
+                types = (pa.int32(), pa.int64(), b.schema.field(1).type, pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["shard", "query_id", "query", "lists"])
 
     return run
@@ -258,6 +368,8 @@ def _searched(k: int):
         if not found[0]:
             return schema.empty_table()
         i, j = np.concatenate(found[0]), np.concatenate(found[1])
+        if not len(i):
+            return schema.empty_table()
         score = np.concatenate([(q[i[at : at + 50_000]] * x[j[at : at + 50_000]]).sum(1) for at in range(0, len(i), 50_000)])
         order = np.lexsort((ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
@@ -279,12 +391,18 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, list_target: in
     rows, asking = (stored(x, name) for x, name in zip(valid(vectors, queries), ("vectors", "queries")))
     if rows.isEmpty() or asking.isEmpty():
         return spark.createDataFrame([], out)
-    index = fit(rows, list_target)
-    postings = stored(rows.mapInArrow(_indexed(index), "list int, vec_id long, embedding array<float>"), "postings")
-    sizes = {r["list"]: r["count"] for r in postings.groupBy("list").count().collect()}  # one row a list, at most MAX_LISTS
-    shards = index.pack(sizes, 2 * spark.sparkContext.defaultParallelism)
-    left = postings.mapInArrow(_sharded(index), "shard int, list int, vec_id long, embedding array<float>")
-    right = stored(asking.repartition(shards).mapInArrow(_routed(index, k), "shard int, query_id long, query array<float>, lists array<int>"), "routed")
+    index, kind = fit(rows, list_target), dict(rows.dtypes)["embedding"]
+    of_list = lambda t: {r["list"]: r["count"] for r in t.groupBy("list").count().collect()}  # noqa: E731  one row a list, at most MAX_LISTS and a band each
+    placed = stored(rows.mapInArrow(_indexed(index), f"list int, next int, vec_id long, embedding {kind}"), "placed")
+    held = np.zeros((2, len(index.size)), np.int64)
+    for which, part in enumerate(("next >= 0", "next < 0")):
+        for c, n in of_list(placed.where(part)).items():
+            held[which, c] = n
+    postings = stored(placed.mapInArrow(_moved(shares_kept(*held)), f"list int, vec_id long, embedding {kind}"), "postings")
+    unstore(placed)
+    shards = index.pack(of_list(postings), 2 * spark.sparkContext.defaultParallelism)
+    left = postings.mapInArrow(_sharded(index), f"shard int, list int, vec_id long, embedding {kind}")
+    right = stored(asking.repartition(shards).mapInArrow(_routed(index, k), f"shard int, query_id long, query {dict(asking.dtypes)['embedding']}, lists array<int>"), "routed")
     # a shard that very many queries ask for is searched in several blocks of them; others are sent once
     blocks = right.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
     left = left.join(stored(blocks, "query-blocks"), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
