@@ -124,3 +124,45 @@ def test_count_rates_equal_direct_least_squares(spark):
         total = total + np.exp(eta)
     y = (rows["hc"] + rows["ac"]).to_numpy(float)
     assert got["dispersion"].iloc[0] == pytest.approx(min(1.0, max(0.0, ((y - total) ** 2 - total).sum() / (total**2).sum())), abs=1e-9)
+
+
+def interacting(spark, n=3000, seed=4):
+    """Results that hang on the product of two features, of which a linear model sees nothing."""
+    rng = np.random.default_rng(seed)
+    a, b, c = rng.normal(size=(3, n))
+    home = 1 / (1 + np.exp(-3 * np.sign(a * b)))
+    draw = 0.2
+    u = rng.random(n)
+    label = np.where(u < draw, "D", np.where(u < draw + (1 - draw) * home, "H", "A"))
+    rows = [(int(i), dt.date(2020, 1, 1) + dt.timedelta(int(i) // 10), str(x), float(p), float(q), float(r) if i % 9 else None) for i, (x, p, q, r) in enumerate(zip(label, a, b, c))]
+    return spark.createDataFrame(rows, "match_id long, match_date date, ftr string, a double, b double, c double")
+
+
+def log_loss(rows):
+    return -np.mean([np.log({"H": r.ph, "D": r.pd, "A": r.pa}[r.ftr]) for r in rows])
+
+
+def test_boosted_outcomes_beat_a_linear_model_on_interactions(spark):
+    data = interacting(spark)
+    fit, held = data.where("match_id < 2400"), data.where("match_id >= 2400")
+    model = L.boosted_outcomes(fit, ["a", "b", "c"])
+    got = model.transform(held).collect()
+    assert all(r.ph + r.pd + r.pa == pytest.approx(1.0) for r in got) and len(got) == 600
+    linear = L.outcome_classifier(fit, ["a", "b", "c"], "ftr").transform(held).select("ftr", "probability").collect()
+    assert log_loss(got) < -np.mean([np.log(r.probability["HDA".index(r.ftr)]) for r in linear]) - 0.1
+    weights = {(r.outcome, r.feature): r.importance for r in model.importances(spark).collect()}
+    assert sum(v for (o, _), v in weights.items() if o == "H") == pytest.approx(1.0)
+    assert weights["H", "c"] < min(weights["H", "a"], weights["H", "b"])
+
+
+def test_no_row_after_the_split_reaches_the_trees(spark):
+    data = interacting(spark, 800)
+    model = L.boosted_outcomes(data, ["a", "b", "c"], trees=3)
+    changed = data.withColumn("late", F.datediff("match_date", F.lit("1970-01-01")) > model.split)
+    changed = changed.withColumn("a", F.when(F.col("late"), -F.col("a") * 5 + 1).otherwise(F.col("a"))).withColumn("c", F.when(F.col("late"), 99.0).otherwise(F.col("c")))
+    again = L.boosted_outcomes(changed, ["a", "b", "c"], trees=3)
+    grown = lambda x: [t.toDebugString.partition("\n")[2] for t in x.trees]
+    assert grown(model) == grown(again)
+    assert [c.coefficients for c in model.calibrators] != [c.coefficients for c in again.calibrators]
+    with pytest.raises(ValueError):
+        L.boosted_outcomes(data.where("ftr <> 'D'"), ["a", "b"])

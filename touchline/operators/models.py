@@ -9,8 +9,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,3 +177,63 @@ def outcome_classifier(rows: DataFrame, features: list[str], label: str):
     filled = [f"{c}_filled" for c in features]
     stages = [Imputer(inputCols=features, outputCols=filled), VectorAssembler(inputCols=filled, outputCol="features"), LogisticRegression(maxIter=30, family="multinomial")]
     return Pipeline(stages=stages).fit(ok)
+
+
+#: Classes of a result by label, and the share of days, oldest first, on which trees are grown; the rest calibrates them.
+OUTCOMES = ("H", "D", "A")
+GROWN_SHARE = 0.75
+TREES, DEPTH = 20, 3
+
+
+class BoostedOutcomes:
+    """One boosted model a class, each calibrated on later days than it was grown on, normalised to one."""
+
+    def __init__(self, split, features: list[str], imputer, trees: list, calibrators: list):
+        self.split, self.features, self.imputer, self.trees, self.calibrators = split, features, imputer, trees, calibrators
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with ``ph, pd, pa``."""
+        kept = rows.columns
+        out = self.imputer.transform(rows.select("*", *(F.col(c).cast("double").alias(f"boosted_{c}") for c in self.features)))
+        for k, (grown, calibrator) in enumerate(zip(self.trees, self.calibrators)):
+            margin = _margin(grown, out, f"boosted_margin_{k}")
+            out = calibrator.setProbabilityCol(f"boosted_p_{k}").setRawPredictionCol(f"boosted_raw_{k}").setPredictionCol(f"boosted_y_{k}").setFeaturesCol(f"boosted_margin_{k}").transform(margin)
+        p = [vector_to_array(f"boosted_p_{k}")[1] for k in range(len(OUTCOMES))]
+        total = sum(p[1:], p[0])
+        return out.select(*kept, *((x / total).alias(n) for x, n in zip(p, ("ph", "pd", "pa"))))
+
+    def importances(self, spark) -> DataFrame:
+        """``outcome, feature, importance``, the weights of each class's model, which sum to one."""
+        rows = [(o, f, float(v)) for o, grown in zip(OUTCOMES, self.trees) for f, v in zip(self.features, grown.featureImportances.toArray())]
+        return spark.createDataFrame(rows, "outcome string, feature string, importance double")
+
+
+def _margin(grown, rows: DataFrame, name: str) -> DataFrame:
+    """A boosted model's margin for its class, as a vector of one."""
+    raw = grown.setRawPredictionCol("boosted_raw").setPredictionCol("boosted_y").setProbabilityCol("boosted_p").transform(rows)
+    return raw.withColumn(name, array_to_vector(F.array(vector_to_array("boosted_raw")[1]))).drop("boosted_raw", "boosted_y", "boosted_p")
+
+
+def boosted_outcomes(rows: DataFrame, features: list[str], label: str = "ftr", day: str = "match_date", share: float = GROWN_SHARE, trees: int = TREES, depth: int = DEPTH) -> BoostedOutcomes:
+    """Boosted trees for each outcome against the others, grown on the oldest ``share`` of rows by day; sigmoids of their margins
+    fitted on the later days.  Missing features take the mean of the grown days.  ``ValueError`` if either slice lacks an outcome.
+    """
+    known = rows.where(F.col(label).isin(*OUTCOMES)).select(F.datediff(day, F.lit("1970-01-01")).alias("boosted_day"), F.col(label).alias("boosted_label"), *(F.col(c).cast("double").alias(f"boosted_{c}") for c in features))
+    split = known.agg(F.percentile_approx("boosted_day", share, 10_000)).first()[0]
+    early = known.where(F.col("boosted_day") <= F.lit(split))
+    late = known.where(F.col("boosted_day") > F.lit(split))
+    for part in (early, late):
+        if {r[0] for r in part.select("boosted_label").distinct().collect()} != set(OUTCOMES):  # three values
+            raise ValueError("each slice must hold every outcome")
+    names = [f"boosted_{c}" for c in features]
+    stages = [Imputer(inputCols=names, outputCols=[f"{n}_filled" for n in names]), VectorAssembler(inputCols=[f"{n}_filled" for n in names], outputCol="boosted_features")]
+    imputer = Pipeline(stages=stages).fit(early)
+    filled, after = (imputer.transform(x).select("boosted_features", "boosted_label") for x in (early, late))
+    grown, sigmoids = [], []
+    for outcome in OUTCOMES:
+        target = (F.col("boosted_label") == outcome).cast("double").alias("boosted_target")
+        model = GBTClassifier(featuresCol="boosted_features", labelCol="boosted_target", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=42).fit(filled.select("boosted_features", target))
+        margins = _margin(model, after.select("boosted_features", target), "boosted_margin")
+        grown.append(model)
+        sigmoids.append(LogisticRegression(featuresCol="boosted_margin", labelCol="boosted_target", maxIter=50).fit(margins))
+    return BoostedOutcomes(split, features, imputer, grown, sigmoids)

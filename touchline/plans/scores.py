@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import push_adjusted, settlement_ev, stake_at_risk
@@ -178,3 +179,26 @@ def corner_dispersion_around_rates(spark, sf_dir):
     rates = L.count_rates(domain(spark, sf_dir, "matches"))
     masses = rates.withColumn("p", S.negative_binomial(F.col("rate_home") + F.col("rate_away"), F.col("dispersion"), 40))
     return masses.select("comp", "home", "away", "rate_home", "rate_away", "dispersion", F.aggregate(F.slice("p", 11, 31), F.lit(0.0), lambda a, x: a + x).alias("over95"))
+
+
+def _form_rows(spark, sf_dir):
+    m = domain(spark, sf_dir, "matches")
+    side = lambda at_home, name: W.team_rows(m).select("match_id", "at_home", W.mean_last(F.col("gf"), 5, True).alias(f"{name}_for"), W.mean_last(F.col("ga"), 5, True).alias(f"{name}_against")).where(F.col("at_home") == at_home).drop("at_home")
+    return m.select("match_id", "match_date", "ftr").join(side(1, "home"), "match_id").join(side(0, "away"), "match_id")
+
+
+FORM = ["home_for", "home_against", "away_for", "away_against"]
+
+
+@query("boosted_outcome_probabilities")
+def boosted_outcome_probabilities(spark, sf_dir):
+    """Outcome probabilities of every match by boosted trees over both sides' form, calibrated on the later quarter of days."""
+    rows = _form_rows(spark, sf_dir)
+    return L.boosted_outcomes(rows, FORM).transform(rows.select("match_id", *FORM)).select("match_id", "ph", "pd", "pa")
+
+
+@query("boosted_feature_importances")
+def boosted_feature_importances(spark, sf_dir):
+    """Features by their weight in each outcome's trees, heaviest first."""
+    weights = L.boosted_outcomes(_form_rows(spark, sf_dir), FORM).importances(spark)
+    return weights.withColumn("rank", F.row_number().over(Window.partitionBy("outcome").orderBy(F.desc("importance"), "feature")))
