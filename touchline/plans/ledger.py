@@ -9,6 +9,7 @@ from ..functions import scaling as X
 from ..functions.pricing import capped_kelly, devig_multiplicative, settlement_kelly
 from ..operators import score_matrix as S
 from ..operators import windows as W
+from ..operators import snapshots
 from ..projection import domain
 from ..registry import query
 from .columns import RANK_SQL, settled
@@ -154,3 +155,49 @@ def season_profit_table(spark, sf_dir):
 def stake_policy_compare(spark, sf_dir):
     p, o = F.col("p_model"), F.col("odds")
     return domain(spark, sf_dir, "bets").groupBy("market").agg(F.round(F.sum(capped_kelly(p, o)), 6).alias("capped"), F.round(F.sum(capped_kelly(p, o, cap=1.0)), 6).alias("fractional"))
+
+
+def _odds_payloads(spark, sf_dir):
+    """Odds as payloads of six shapes, by match."""
+    o, c = domain(spark, sf_dir, "odds"), F.col
+    h, d, a, over, under = c("b365h"), c("b365d"), c("b365a"), c("b365_o25"), c("b365_u25")
+    names = lambda *ks: F.struct(*(x.alias(k) for k, x in zip(ks, (h, d, a))))
+    ident, k = c("match_id").cast("string"), c("match_id") % 6
+    text = lambda x: x.cast("string")
+    shapes = [
+        F.struct(ident.alias("match_id"), F.array(F.struct(F.lit("B365").alias("bookmaker"), *(x.alias(n) for n, x in zip(("home", "draw", "away"), (h, d, a))))).alias("odds")),
+        F.struct(ident.alias("canonical_match_id"), F.lit("B365").alias("source"), F.array(F.struct(F.lit("1X2").alias("market"), F.struct(text(h).alias("H"), text(d).alias("X"), text(a).alias("2")).alias("odds"))).alias("odds")),
+        F.struct(ident.alias("fixture_id"), F.array(F.struct(F.lit("B365").alias("name"), F.struct(names("H", "D", "A").alias("1X2"), F.struct(over.alias("Over"), under.alias("U")).alias("OU")).alias("markets"))).alias("bookmakers")),
+        F.struct(ident.alias("match_id"), F.array(F.struct(F.lit("B365").alias("bookmaker"), F.array(F.struct(F.lit("1X2").alias("market_type"), names("1", "draw_odds", "odds_away").alias("odds"))).alias("markets"))).alias("bookmakers")),
+        F.struct(ident.alias("match_id"), F.lit("B365").alias("bookmaker"), F.struct(names("home", "draw", "away").alias("1X2")).alias("markets")),
+        F.struct(ident.alias("match_id"), F.lit("B365").alias("source"), h.alias("odds_home"), d.alias("odds_draw"), a.alias("odds_away"), F.lit(2.5).alias("line"), F.lit(True).alias("H")),
+    ]
+    payload = F.coalesce(*(F.when(k == i, F.to_json(s)) for i, s in enumerate(shapes)))
+    return o.select("match_id", payload.alias("payload"), h.alias("b365h"))
+
+
+@query(
+    "payload_quotes",
+    """WITH p AS (SELECT match_id, unnest(['H', 'D', 'A']) AS selection, unnest([b365h, b365d, b365a]) AS price FROM odds
+UNION ALL SELECT match_id, unnest(['over', 'under']), unnest([b365_o25, b365_u25]) FROM odds WHERE match_id % 6 = 2)
+SELECT match_id, 'B365' AS bookmaker, CASE WHEN selection IN ('over', 'under') THEN 'OU' ELSE '1X2' END AS market, selection, round(price, 6) AS price FROM p WHERE price > 1""",
+    ("odds",),
+)
+def payload_quotes(spark, sf_dir):
+    """Quotes out of payloads of every nesting, read without a schema."""
+    q = snapshots.quotes_of(_odds_payloads(spark, sf_dir))
+    return q.select(F.col("match_id").cast("long").alias("match_id"), "bookmaker", "market", "selection", F.round("price", 6).alias("price"))
+
+
+@query(
+    "payload_closing_prices",
+    """SELECT match_id, CASE WHEN b365h > 1 THEN round(b365h, 6) END AS home, CASE WHEN b365h > 1 THEN round(b365h * (1 / b365h + 1 / b365d + 1 / b365a), 6) END AS fair
+FROM odds WHERE match_id % 6 = 4""",
+    ("odds",),
+)
+def payload_closing_prices(spark, sf_dir):
+    """Closing home price, and without its margin, from payloads that nest the market under its name."""
+    rows, args = _odds_payloads(spark, sf_dir).where("match_id % 6 = 4"), (F.col("payload"), F.lit("1X2"), F.lit("Home"))
+    priced = rows.select("match_id", snapshots.closing_price(*args).alias("home"), snapshots.closing_prices(*args).alias("all"))
+    margin = F.aggregate("all", F.lit(0.0), lambda t, x: t + 1.0 / x)
+    return priced.select("match_id", F.round("home", 6).alias("home"), F.round(F.col("home") * margin, 6).alias("fair"))
