@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.pricing import xg_strict
+from ..operators import enrich as E
 from ..operators import windows as W
 from ..projection import domain
 from ..registry import query
@@ -255,3 +257,29 @@ def walk_forward_splits(spark, sf_dir):
     by_day = matches.groupBy("match_date").count()
     met = by_day.join(F.broadcast(folds), F.col("match_date") < F.col("b"))  # a row for each half-year is broadcast
     return met.groupBy("fold").agg(F.sum(F.when(F.col("match_date") < F.col("a"), F.col("count")).otherwise(0)).alias("train"), F.sum(F.when(F.col("match_date") >= F.col("a"), F.col("count")).otherwise(0)).alias("test"))
+
+
+_SIDE = """SELECT bet_id, x.rest, x.n, x.xg FROM asked JOIN looked x ON asked.{side} = x.team AND asked.match_date = x.day"""
+
+
+@query(
+    "bets_enriched",
+    f"""WITH t AS (SELECT home AS team, match_date AS day, match_id, hs * 0.1e0 + hst * 0.3e0 AS xg FROM matches UNION ALL SELECT away, match_date, match_id, aws * 0.1e0 + awst * 0.3e0 FROM matches),
+asked AS (SELECT bet_id, home, away, match_date FROM bets JOIN matches USING (match_id)),
+days AS (SELECT DISTINCT team, day FROM t),
+h AS (SELECT team, list({{'day': day, 'xg': xg}} ORDER BY day, match_id) AS past FROM t GROUP BY team),
+e AS (SELECT days.team, days.day, list_filter(past, lambda x: x.day < days.day) AS before FROM days JOIN h USING (team)),
+looked AS (SELECT team, day, date_diff('day', before[-1].day, day) AS rest, len(list_filter(before, lambda x: x.day >= e.day - 14)) AS n, list_avg(list_transform(list_filter(before, lambda x: x.xg IS NOT NULL)[-5:], lambda x: x.xg)) AS xg FROM e),
+h1 AS ({_SIDE.format(side="home")}), a1 AS ({_SIDE.format(side="away")})
+SELECT bet_id, CAST(h1.rest AS INT) AS home_rest_days, CAST(a1.rest AS INT) AS away_rest_days, CAST(h1.n AS BIGINT) AS home_n, CAST(a1.n AS BIGINT) AS away_n, round(h1.xg, 8) AS home_xg, round(a1.xg, 8) AS away_xg,
+  h1.n >= 3 AS home_risk, CASE WHEN h1.rest IS NULL THEN '' WHEN h1.n >= 3 THEN 'busy' WHEN h1.rest <= 3 THEN 'short rest' ELSE 'fresh' END || ' / ' || CASE WHEN a1.rest IS NULL THEN '' WHEN a1.n >= 3 THEN 'busy' WHEN a1.rest <= 3 THEN 'short rest' ELSE 'fresh' END AS fatigue
+FROM h1 JOIN a1 USING (bet_id)""",
+    ("matches", "bets"),
+)
+def bets_enriched(spark, sf_dir):
+    """Rest, density, measured form and rotation risk of both sides of every bet, in one merge with all history."""
+    m = domain(spark, sf_dir, "matches")
+    history = E.team_history(m, xg_strict(F.col("hs"), F.col("hst")), xg_strict(F.col("aws"), F.col("awst")))
+    bets = domain(spark, sf_dir, "bets").select("bet_id", "match_id").join(m.select("match_id", "home", "away", F.col("match_date").alias("day")), "match_id")
+    r = E.enriched(bets, history)
+    return r.select("bet_id", "home_rest_days", "away_rest_days", F.col("home_matches_in_lookback").alias("home_n"), F.col("away_matches_in_lookback").alias("away_n"), F.round("home_rolling_xg", 8).alias("home_xg"), F.round("away_rolling_xg", 8).alias("away_xg"), F.col("home_rotation_risk").alias("home_risk"), "fatigue")

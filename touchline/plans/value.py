@@ -9,12 +9,13 @@ from ..functions import scaling as X
 from ..functions.pricing import capped_kelly, expected_value
 from ..operators import backtest as B
 from ..operators import names as N
+from ..operators import recommend as R
 from ..operators import score_matrix as S
 from ..operators import windows as W
 from ..projection import domain
 from ..registry import query
 from .columns import first_family, settled
-from .scores import CELLS_SQL
+from .scores import CELLS_SQL, mass_sql
 
 
 @query(
@@ -158,3 +159,57 @@ def team_profile(spark, sf_dir):
 def strength_table(spark, sf_dir):
     net = F.round(F.col("att") + F.col("def"), 8)
     return domain(spark, sf_dir, "strengths").select("team", net.alias("net"), F.rank().over(Window.orderBy(F.desc(F.col("att") + F.col("def")))).alias("place"))
+
+
+def _priced_fixtures(spark, sf_dir):
+    """Fixtures with the prices of one book; a handicap needs both its prices, a total too."""
+    c = F.col
+    odds = domain(spark, sf_dir, "odds").select("match_id", c("b365h").alias("h"), c("b365d").alias("d"), c("b365a").alias("a"), F.when(c("b365_o25").isNotNull(), 2.5).alias("total"), c("b365_o25").alias("over"), c("b365_u25").alias("under"), c("ahh").alias("handicap"), c("b365ahh").alias("ah_home"), c("b365aha").alias("ah_away"))
+    return domain(spark, sf_dir, "matches").select("match_id", "match_date", "comp", "home", "away").join(odds, "match_id")
+
+
+def _leg_sql():
+    """Masses of every leg of the priced fixtures, as a chain of common table expressions ending in ``legs``."""
+    totals = mass_sql("(x + y)", "2.5e0", 1).replace("lines AS", "t_lines AS").replace("cells, lines)", "cells, t_lines)").replace(", r AS (", ", t_r AS (").replace("FROM r GROUP", "FROM t_r GROUP").replace("masses AS", "t AS")
+    margins = mass_sql("(x - y)", "-1.5e0", 13).split(", lines AS", 1)[1].replace("FROM cells, lines)", "FROM cells, m_lines)").replace(", r AS (", ", m_r AS (").replace("FROM r GROUP", "FROM m_r GROUP").replace("masses AS", "m AS")
+    return f"""{totals}, m_lines AS{margins},
+o AS (SELECT home, away, sum(CASE WHEN x > y THEN w ELSE 0 END) / sum(w) AS ph, sum(CASE WHEN x = y THEN w ELSE 0 END) / sum(w) AS pd, sum(CASE WHEN x < y THEN w ELSE 0 END) / sum(w) AS pa FROM cells GROUP BY home, away),
+f AS (SELECT match_id, home, away, odds.* EXCLUDE (match_id) FROM matches JOIN odds USING (match_id)),
+legs AS (SELECT match_id, 'H' AS leg, NULL::DOUBLE AS line, b365h AS price, ph AS win, 0e0 AS half_win, 0e0 AS half_loss, 1 - ph AS lose FROM f JOIN o USING (home, away)
+UNION ALL SELECT match_id, 'D', NULL, b365d, pd, 0e0, 0e0, 1 - pd FROM f JOIN o USING (home, away)
+UNION ALL SELECT match_id, 'A', NULL, b365a, pa, 0e0, 0e0, 1 - pa FROM f JOIN o USING (home, away)
+UNION ALL SELECT match_id, 'Over', 2.5e0, b365_o25, win, half_win, half_loss, lose FROM f JOIN t USING (home, away) WHERE b365_o25 IS NOT NULL
+UNION ALL SELECT match_id, 'Under', 2.5e0, b365_u25, lose, half_loss, half_win, win FROM f JOIN t USING (home, away) WHERE b365_o25 IS NOT NULL
+UNION ALL SELECT match_id, 'AH home', ahh, b365ahh, win, half_win, half_loss, lose FROM f JOIN m ON f.home = m.home AND f.away = m.away AND m.line = -f.ahh
+UNION ALL SELECT match_id, 'AH away', -ahh, b365aha, lose, half_loss, half_win, win FROM f JOIN m ON f.home = m.home AND f.away = m.away AND m.line = -f.ahh),
+v AS (SELECT *, (win + half_win / 2) / (win + half_win / 2 + lose + half_loss / 2) AS p, win * (price - 1) + half_win * (price - 1) / 2 - half_loss / 2 - lose AS ev FROM legs WHERE price > 1)"""
+
+
+@query(
+    "priced_legs",
+    f"""WITH RECURSIVE {_leg_sql()}, s AS (SELECT match_id, leg, price - 1 AS b, win, half_win, half_loss, lose, 0e0 AS lo, 1 - 1e-9 AS hi, 0 AS k FROM v WHERE line IS NOT NULL AND ev > 0
+  UNION ALL SELECT match_id, leg, b, win, half_win, half_loss, lose, CASE WHEN d > 0 THEN m ELSE lo END, CASE WHEN d > 0 THEN hi ELSE m END, k + 1 FROM (
+    SELECT *, win * b / (1 + m * b) + half_win * b / 2 / (1 + m * b / 2) - half_loss * 0.5e0 / (1 - m * 0.5e0) - lose / (1 - m) AS d FROM (SELECT *, (lo + hi) / 2 AS m FROM s WHERE k < 50) t) u)
+SELECT v.match_id, v.leg, line, round(price, 6) AS price, round(p, 8) AS p, round(ev, 8) AS ev, round(1 / p, 6) AS fair,
+  round(CASE WHEN line IS NULL THEN least(least(greatest((p * price - 1) / (price - 1), 0), 1) * 0.1e0, 0.01e0) ELSE least(coalesce((lo + hi) / 2, 0) * 0.1e0, 0.01e0) END, 7) AS stake, ev >= 0.05e0 AS recommended
+FROM v LEFT JOIN (SELECT match_id, leg, lo, hi FROM s WHERE k = 50) z ON z.match_id = v.match_id AND z.leg = v.leg""",
+    ("matches", "odds", "strengths"),
+)
+def priced_legs(spark, sf_dir):
+    """Seven legs of every fixture with probability, value, fair price, stake and flag."""
+    fixtures = _priced_fixtures(spark, sf_dir)
+    rates = S.rates(fixtures, domain(spark, sf_dir, "strengths")).select("home", "away", "lh", "la", F.lit(S.RHO).alias("rho"), F.lit(False).alias("is_new"))
+    legs = R.priced_legs(fixtures, rates, ["home", "away"])
+    r = lambda c, n: F.round(c, n).alias(c)
+    return legs.select("match_id", "leg", (F.col("line") + 0.0).alias("line"), r("price", 6), r("p", 8), r("ev", 8), r("fair", 6), r("stake", 7), "recommended")
+
+
+@query("legs_by_fitted_version")
+def legs_by_fitted_version(spark, sf_dir):
+    """Legs of every fixture after the first year by the newest half-yearly fit that began before it; a fit has no SQL."""
+    matches = domain(spark, sf_dir, "matches")
+    windows = B.folds_of(matches, 1, 6)
+    begins = spark.createDataFrame([(k, b) for k, (b, _) in enumerate(windows, 1)], "fold int, version date")
+    bundle = B.fit_folds(matches, windows).join(begins, "fold").drop("fold")
+    fixtures = R.versions_as_of(_priced_fixtures(spark, sf_dir), bundle).where("version IS NOT NULL")
+    return R.priced_legs(fixtures, R.rates_of(fixtures, bundle), ["comp", "version", "home", "away"])
