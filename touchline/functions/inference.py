@@ -25,6 +25,8 @@ COMPETITIONS = (
     (r"(?i)champions\s*league\s*women|uwcl|women.?s\s*champions", "UWCL"),
     (r"(?i)women.?s\s*super\s*league|\bwsl\b", "WSL"),
 )
+#: A country's short name behind a team's, and the address of a team's page.
+COUNTRY = r"\s*\([A-Za-z]{2,4}\)\s*$"
 TEAM_PAGE = r"(?i)^(?:https?://)?(?:www\.)?[a-z0-9-]+\.[a-z.]+/team/([a-z0-9_-]+)/([a-z0-9]+)(?:/(?:results?)?)?/?(?:\?[^#\s]*)?(?:#\S*)?\s*$"
 
 
@@ -56,7 +58,7 @@ def competition_code(label: Column, other: str) -> Column:
 
 def without_country(name: Column) -> Column:
     """``Ulsan (Kor)`` reads ``Ulsan``."""
-    return F.trim(F.regexp_replace(F.trim(name), r"\s*\([A-Za-z]{2,4}\)\s*$", ""))
+    return F.trim(F.regexp_replace(F.trim(name), COUNTRY, ""))
 
 
 def versus(slug: Column) -> Column:

@@ -126,15 +126,16 @@ def snapshot_flatten(spark, sf_dir):
 @query(
     "upcoming_features",
     """WITH t AS (SELECT home AS team, match_id, match_date, fthg AS gf FROM matches UNION ALL SELECT away, match_id, match_date, ftag FROM matches), r AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY match_date DESC, match_id DESC) AS k FROM t)
-SELECT team, round(avg(gf) FILTER (WHERE k <= 5), 8) AS gf5, CAST(date_diff('day', max(match_date), DATE '2001-08-15') AS INT) AS rest, count(*) FILTER (WHERE match_date >= DATE '2001-08-01') AS n14 FROM r GROUP BY team""",
+SELECT team, round(avg(gf) FILTER (WHERE k <= 5), 8) AS gf5, CAST(date_diff('day', max(match_date), max(day)) AS INT) AS rest, count(*) FILTER (WHERE match_date >= day - 14) AS n14 FROM r, (SELECT max(match_date) + 10 AS day FROM matches) d GROUP BY team""",
     ("matches",),
 )
 def upcoming_features(spark, sf_dir):
     """The features a fixture of a later day would see, from each team's last rows."""
     k = F.row_number().over(Window.partitionBy("team").orderBy(F.desc("match_date"), F.desc("match_id")))
-    rows = W.team_rows(domain(spark, sf_dir, "matches")).withColumn("k", k)
-    day = F.lit("2001-08-15").cast("date")
-    return rows.groupBy("team").agg(F.round(F.avg(F.when(F.col("k") <= 5, F.col("gf"))), 8).alias("gf5"), F.date_diff(day, F.max("match_date")).alias("rest"), F.count_if(F.col("match_date") >= F.date_sub(day, 14)).alias("n14"))
+    m = domain(spark, sf_dir, "matches")
+    fixture = m.agg(F.date_add(F.max("match_date"), 10).alias("day"))
+    rows, day = W.team_rows(m).withColumn("k", k).crossJoin(F.broadcast(fixture)), F.col("day")  # one row is broadcast
+    return rows.groupBy("team").agg(F.round(F.avg(F.when(F.col("k") <= 5, F.col("gf"))), 8).alias("gf5"), F.date_diff(F.max(day), F.max("match_date")).alias("rest"), F.count_if(F.col("match_date") >= F.date_sub(day, 14)).alias("n14"))
 
 
 @query(

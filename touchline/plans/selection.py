@@ -142,13 +142,20 @@ def hot_signals(spark, sf_dir):
     return hot.groupBy("match_id").agg(F.min("quote_id").alias("quote_id"))
 
 
+def since_last(matches, days):
+    """Matches from so many days before the newest one on."""
+    newest = matches.agg(F.date_sub(F.max("match_date"), days).alias("since"))
+    return matches.join(F.broadcast(newest), F.col("match_date") >= F.col("since")).drop("since")  # one row is broadcast
+
+
 @query(
     "fixture_list",
-    "SELECT match_date, comp, home, away, match_id FROM matches WHERE match_date >= DATE '2001-07-01' ORDER BY match_date, comp, home, match_id",
+    "SELECT match_date, comp, home, away, match_id FROM matches WHERE match_date >= (SELECT max(match_date) - 31 FROM matches) ORDER BY match_date, comp, home, match_id",
     ("matches",),
 )
 def fixture_list(spark, sf_dir):
-    return domain(spark, sf_dir, "matches").where("match_date >= DATE'2001-07-01'").select("match_date", "comp", "home", "away", "match_id").orderBy("match_date", "comp", "home", "match_id")
+    """Fixtures of the table's last month, sorted for display."""
+    return since_last(domain(spark, sf_dir, "matches"), 31).select("match_date", "comp", "home", "away", "match_id").orderBy("match_date", "comp", "home", "match_id")
 
 
 @query("market_price_top3", "WITH r AS (SELECT match_id, selection, quote_id, row_number() OVER (PARTITION BY match_id, selection ORDER BY price DESC, quote_id) AS k FROM quotes) SELECT match_id, selection, quote_id, CAST(k AS INT) AS k FROM r WHERE k <= 3", ("quotes",))

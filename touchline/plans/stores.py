@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..operators import score_matrix as S
 from ..projection import domain
 from ..registry import query
+from ..sources import sinks
+from ..streaming import jobs
+from .selection import since_last
 
 DRIFT_DAYS, MISSING_ALERT, DROP_ALERT = 180, 0.005, 0.15
 PRIOR_MATCHES = 40.0
@@ -23,9 +26,12 @@ def journal_without_deleted(spark, sf_dir):
 
 @query("history_cleared", "SELECT bet_id, market FROM bets WHERE market = 'OU'", ("bets",))
 def history_cleared(spark, sf_dir):
-    """One market's history replaced by nothing, the others by themselves, then the first put back: the empty table keeps its columns."""
-    b = domain(spark, sf_dir, "bets").select("bet_id", "market")
-    return b.limit(0).unionByName(b.where("market = 'OU'"))
+    """A written history replaced by an empty one, which keeps its columns, then one market put back."""
+    b, path = domain(spark, sf_dir, "bets").select("bet_id", "market"), jobs.shared_folder(spark, "history")
+    sinks.replace_table(b, path)
+    sinks.replace_table(b.limit(0), path)
+    sinks.append_rows(b.where("market = 'OU'"), path)
+    return spark.read.parquet(path)
 
 
 @query("snapshots_appended", "SELECT day, count(*) AS n, round(sum(p_model), 4) AS p FROM (SELECT day, p_model FROM bets WHERE bet_id % 2 = 0 UNION ALL SELECT day, p_model FROM bets WHERE bet_id % 5 = 0) t GROUP BY day", ("bets",))
@@ -35,10 +41,14 @@ def snapshots_appended(spark, sf_dir):
     return b.where("bet_id % 2 = 0").unionByName(b.where("bet_id % 5 = 0")).groupBy("day").agg(F.count("*").alias("n"), F.round(F.sum("p_model"), 4).alias("p"))
 
 
-@query("competitions_upserted", "SELECT comp, CASE WHEN comp = '1-URGENT' THEN 0.9e0 ELSE 1e0 END AS weight FROM matches GROUP BY comp UNION ALL SELECT 'NEW', 0.5e0", ("matches",))
+@query("competitions_upserted", "SELECT comp, CASE WHEN count(*) > (SELECT count(*) / count(DISTINCT comp) FROM matches) THEN 0.9e0 ELSE 1e0 END AS weight FROM matches GROUP BY comp UNION ALL SELECT DISTINCT c_mktsegment, 0.5e0 FROM customer", ("matches",))
 def competitions_upserted(spark, sf_dir):
-    old = domain(spark, sf_dir, "matches").select("comp").distinct().withColumn("weight", F.lit(1.0))
-    new = spark.createDataFrame([("1-URGENT", 0.9), ("NEW", 0.5)], "comp string, new_weight double")
+    """Competitions that grew beyond the mean get a new weight, those not known yet come in with their own."""
+    sizes = domain(spark, sf_dir, "matches").groupBy("comp").agg(F.count("*").alias("n"))
+    old = sizes.select("comp", F.lit(1.0).alias("weight"))
+    grown = sizes.join(F.broadcast(sizes.agg(F.avg("n").alias("mean"))), F.col("n") > F.col("mean")).select("comp", F.lit(0.9).alias("new_weight"))  # one row is broadcast
+    unknown = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_mktsegment").alias("comp")).distinct().withColumn("new_weight", F.lit(0.5))
+    new = grown.unionByName(unknown)
     return old.join(new, "comp", "full").select("comp", F.coalesce("new_weight", "weight").alias("weight"))
 
 
@@ -77,11 +87,12 @@ def teams_by_code(spark, sf_dir):
     return asked.join(n, (asked["code"] == n["code"]) & ((F.col("match_id") % 2 == 0) | (F.col("scope") < 3)), "left").select("match_id", "team")
 
 
-@query("fresh_leagues", "SELECT comp, count(*) AS n FROM bets b JOIN matches m ON b.match_id = m.match_id WHERE comp NOT IN ('2-HIGH', '5-LOW') GROUP BY comp", ("bets", "matches"))
+@query("fresh_leagues", "WITH j AS (SELECT comp, day FROM bets b JOIN matches m ON b.match_id = m.match_id) SELECT comp, count(*) AS n FROM j GROUP BY comp HAVING max(day) = (SELECT max(day) FROM j)", ("bets", "matches"))
 def fresh_leagues(spark, sf_dir):
-    """Bets of leagues whose feed is not stale; a star among the stale ones drops all."""
-    stale = spark.createDataFrame([("2-HIGH",), ("5-LOW",)], "comp string")
+    """Bets of leagues whose newest bet is of the newest day of all; a star among the stale ones drops all."""
     rows = domain(spark, sf_dir, "bets").join(domain(spark, sf_dir, "matches").select("match_id", "comp"), "match_id").where("trim(comp) <> ''")
+    newest = rows.groupBy("comp").agg(F.max("day").alias("day"))
+    stale = newest.join(F.broadcast(newest.agg(F.max("day").alias("newest"))), F.col("day") < F.col("newest")).select("comp")  # one row is broadcast
     starred = stale.agg(F.count_if(F.col("comp") == "*").alias("stars"))
     kept = rows.join(stale, "comp", "left_anti").crossJoin(F.broadcast(starred)).where("stars = 0")  # one row is broadcast
     return kept.groupBy("comp").agg(F.count("*").alias("n"))
@@ -109,10 +120,10 @@ def earliest_unpriced(spark, sf_dir):
     return domain(spark, sf_dir, "matches").join(odds, "match_id").withColumn("k", F.row_number().over(order)).where("k <= 10").select("match_id", "match_date")
 
 
-@query("pooled_upcoming", "SELECT comp, match_id, match_date FROM matches WHERE comp IN ('1-URGENT', '3-MEDIUM') AND match_date >= DATE '2001-01-01'", ("matches",))
+@query("pooled_upcoming", "SELECT comp, match_id, match_date FROM matches WHERE comp IN ('1-URGENT', '3-MEDIUM') AND match_date >= (SELECT max(match_date) - 200 FROM matches)", ("matches",))
 def pooled_upcoming(spark, sf_dir):
     """Several competitions' fixtures as one table."""
-    m = domain(spark, sf_dir, "matches").where("match_date >= DATE'2001-01-01'").select("comp", "match_id", "match_date")
+    m = since_last(domain(spark, sf_dir, "matches"), 200).select("comp", "match_id", "match_date")
     return m.where("comp = '1-URGENT'").unionByName(m.where("comp = '3-MEDIUM'"))
 
 
@@ -212,9 +223,9 @@ def weighted_rates(spark, sf_dir):
     return rates.select("home", "away", F.round(F.col("lh") * weight, 8).alias("lh"))
 
 
-@query("synthetic_matches", "SELECT i AS match_id, CAST(DATE '2020-01-01' + CAST(i * 3 % 700 AS INT) AS DATE) AS match_date, CAST(i * 7 % 20 AS INT) AS home, CAST((i * 7 + 1 + i % 19) % 20 AS INT) AS away, CASE WHEN i % 10 < 5 THEN 'A' WHEN i % 10 < 8 THEN 'B' ELSE 'X' END AS tier FROM range(0, 2000) t(i)")
+@query("synthetic_matches", "SELECT i AS match_id, CAST(DATE '2020-01-01' + CAST(i * 3 % 700 AS INT) AS DATE) AS match_date, CAST(i * 7 % 20 AS INT) AS home, CAST((i * 7 + 1 + i % 19) % 20 AS INT) AS away, CASE WHEN i % 10 < 5 THEN 'A' WHEN i % 10 < 8 THEN 'B' ELSE 'X' END AS tier FROM (SELECT o_orderkey AS i FROM orders) t")
 def synthetic_matches(spark, sf_dir):
-    """Matches made from their number alone, in three bands of quality."""
-    i = F.col("id")
+    """Matches made from the number of an order alone, in three bands of quality."""
+    i = F.col("o_orderkey")
     tier = F.when(i % 10 < 5, "A").when(i % 10 < 8, "B").otherwise("X")
-    return spark.range(2000).select(i.alias("match_id"), F.date_add(F.lit("2020-01-01").cast("date"), (i * 3 % 700).cast("int")).alias("match_date"), (i * 7 % 20).cast("int").alias("home"), ((i * 7 + 1 + i % 19) % 20).cast("int").alias("away"), tier.alias("tier"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(i.alias("match_id"), F.date_add(F.lit("2020-01-01").cast("date"), (i * 3 % 700).cast("int")).alias("match_date"), (i * 7 % 20).cast("int").alias("home"), ((i * 7 + 1 + i % 19) % 20).cast("int").alias("away"), tier.alias("tier"))

@@ -131,12 +131,14 @@ def tiered_ensemble(spark, sf_dir):
 
 @query(
     "upcoming_within_days",
-    "SELECT comp, count(*) AS n FROM matches WHERE match_date >= DATE '2001-06-01' AND match_date <= DATE '2001-06-01' + 14 AND comp NOT IN ('3-MEDIUM') GROUP BY comp",
+    "SELECT comp, count(*) AS n FROM matches WHERE match_date >= (SELECT max(match_date) - 60 FROM matches) AND match_date <= (SELECT max(match_date) - 46 FROM matches) AND comp NOT IN ('3-MEDIUM') GROUP BY comp",
     ("matches",),
 )
 def upcoming_within_days(spark, sf_dir):
-    """A closed range of days, without leagues whose feed is stale."""
-    m = domain(spark, sf_dir, "matches").where("match_date BETWEEN DATE'2001-06-01' AND date_add(DATE'2001-06-01', 14)")
+    """A closed range of fourteen days, seen from sixty days before the newest match, without leagues whose feed is stale."""
+    matches = domain(spark, sf_dir, "matches")
+    today = matches.agg(F.date_sub(F.max("match_date"), 60).alias("today"))
+    m = matches.join(F.broadcast(today), F.col("match_date").between(F.col("today"), F.date_add("today", 14)))  # one row is broadcast
     return m.where(~F.col("comp").isin("3-MEDIUM")).groupBy("comp").agg(F.count("*").alias("n"))
 
 
