@@ -73,7 +73,7 @@ f AS (SELECT day AS d, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS obs_id, '
 UNION ALL SELECT d, n + 1, id, why, CASE WHEN why = 'ok' THEN s ELSE 0 END, total + CASE WHEN why = 'ok' THEN s ELSE 0 END, list_transform(used, lambda x, i: CASE WHEN i = lg AND why = 'ok' THEN x + s ELSE x END), CASE WHEN why = 'ok' THEN list_append(opened, pred_id) ELSE opened END
 FROM (SELECT *, CASE WHEN s <= 0 THEN 'zero' WHEN s > 0.05e0 - total + 1e-15 THEN 'day cap' WHEN s > 0.03e0 - used[lg] + 1e-15 THEN 'league cap' ELSE 'ok' END AS why
   FROM (SELECT f.d, f.n, f.total, f.used, f.opened, c.obs_id AS id, c.lg, c.pred_id, least(c.scaled * CASE WHEN list_contains(f.opened, c.pred_id) THEN 0.7e0 ELSE 1e0 END, 0.01e0) AS s FROM f JOIN c ON c.day = f.d AND c.at = f.n + 1) x) y)
-SELECT g.obs_id, g.selection, coalesce(f.why, g.gate) AS gate, round(coalesce(f.stake, 0), 8) AS stake FROM g LEFT JOIN f ON f.obs_id = g.obs_id""",
+SELECT g.obs_id, g.selection, coalesce(f.why, g.gate) AS gate, round(coalesce(f.stake, 0), 9) AS stake FROM g LEFT JOIN f ON f.obs_id = g.obs_id""",
     ("predictions", "odds"),
 )
 def paper_trades(spark, sf_dir):
@@ -88,4 +88,4 @@ def paper_trades(spark, sf_dir):
     source, journal, log = (jobs.shared_folder(spark, x) for x in ("observations", "trades", "log"))
     rows.unionByName(after, allowMissingColumns=True).write.parquet(source)
     settle_to(paper.paper_trades(spark.readStream.schema(rows.schema).parquet(source)), journal, log)
-    return spark.read.schema(paper.DECIDED).parquet(journal).select("obs_id", "selection", "gate", F.round("stake", 8).alias("stake"))
+    return spark.read.schema(paper.DECIDED).parquet(journal).select("obs_id", "selection", "gate", F.round("stake", 9).alias("stake"))
