@@ -10,7 +10,7 @@ from ..functions import scaling as X
 from ..functions import strings as S
 from ..projection import domain
 from ..registry import query
-from ..sources import files, sinks
+from ..sources import events, files, sinks
 from ..streaming import jobs, settlement
 from .columns import SETTLED_SQL
 from .inference import listed, sql_list
@@ -146,3 +146,44 @@ def value_units(spark, sf_dir):
     """Values per cent and as fractions in one unit, and tiers by score."""
     raw = F.when(F.col("bet_id") % 2 == 0, F.col("p_model")).otherwise(F.col("p_model") * 250)
     return domain(spark, sf_dir, "bets").select("bet_id", F.round(X.ev_fraction(raw), 8).alias("ev"), X.quality_tier(F.col("p_model") * 100).alias("tier"))
+
+
+EVENTS_A_FILE = 300
+
+
+def _feed_folder(spark, sf_dir):
+    """All matches as event feeds, of which every fifth is still to be played; a competition's section begins each file's part."""
+    m, c = domain(spark, sf_dir, "matches"), F.col
+    seconds = F.unix_seconds(c("match_date").cast("timestamp")) + 54_000
+    played = c("match_id") % 5 != 0
+    field = lambda k, v: F.concat(F.lit(f"{k}÷"), v.cast("string"), F.lit("¬"))
+    goals = F.when(played, F.concat(field("AG", c("fthg")), field("AH", c("ftag")))).otherwise("")
+    section = F.concat(field("AA", c("match_id")), field("AD", seconds), field("AB", F.when(played, 3).otherwise(1)), field("AE", F.concat(F.lit("Team "), c("home"), F.lit(" (Eng)"))), field("AF", F.concat(F.lit("Team "), c("away"))), goals)
+    files = m.agg(F.greatest(F.ceil(F.count("*") / EVENTS_A_FILE), F.lit(1)).cast("int")).first()[0]
+    parts = m.select(c("comp"), F.pmod(F.xxhash64("match_id"), F.lit(files)).cast("int").alias("part"), section.alias("s"))
+    texts = parts.groupBy("part", "comp").agg(F.concat_ws("~", F.collect_list("s")).alias("s")).select("part", F.concat(F.lit("ZA÷"), c("comp"), F.lit("¬~"), c("s")).alias("value"))
+    path = jobs.shared_folder(spark, "event-feeds")
+    texts.repartitionByRange(files, "part").select("value").write.option("lineSep", "~").text(path)
+    return path
+
+
+@query(
+    "feed_results",
+    "SELECT CAST(match_id AS VARCHAR) AS event_id, match_date + INTERVAL 15 HOUR AS kickoff, 'Team ' || home AS home, 'Team ' || away AS away, fthg, ftag, comp AS competition FROM matches WHERE match_id % 5 <> 0",
+    ("matches",),
+)
+def feed_results(spark, sf_dir):
+    """Finished events read back from delimited feeds, with the competitions that their files name."""
+    found = events.team_results(spark, _feed_folder(spark, sf_dir))
+    return found.select("event_id", F.col("kickoff").cast("timestamp_ntz").alias("kickoff"), "home", "away", "fthg", "ftag", "competition")
+
+
+@query(
+    "feed_fixtures_streamed",
+    "SELECT comp AS competition, count(*) AS n, CAST(min(match_date) + INTERVAL 15 HOUR AS TIMESTAMP) AS first FROM matches WHERE match_id % 5 = 0 GROUP BY comp",
+    ("matches",),
+)
+def feed_fixtures_streamed(spark, sf_dir):
+    """Events still to be played from the same feeds, read as a stream of files."""
+    streamed = jobs.run_to_table(events.events(events.feed_files(spark, _feed_folder(spark, sf_dir), stream=True), False), "fixtures")
+    return streamed.groupBy("competition").agg(F.count("*").alias("n"), F.min("kickoff").cast("timestamp_ntz").alias("first"))

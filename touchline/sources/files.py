@@ -66,12 +66,13 @@ def fixtures_csv(spark: SparkSession, path: str, division: str) -> DataFrame:
     return raw.withColumns(prices | {"Date": day, "Kickoff": uk_to_utc(day, clock)}).where("Date IS NOT NULL")
 
 
-def league_feed(spark: SparkSession, path: str, finished: bool) -> DataFrame:
+def league_feed(spark: SparkSession, path: str, finished: bool, with_file: bool = False) -> DataFrame:
     """Rows of a league feed: finished matches with goals, or the schedule from its first unplayed index on."""
     raw = spark.read.schema(FEED_SCHEMA).option("multiLine", True).json(path)
-    rows = raw.select(F.col("fixtures.firstUnplayedMatch").alias("first"), F.posexplode("fixtures.allMatches").alias("i", "m"))
+    file = [F.col("_metadata.file_path").alias("file")] if with_file else []
+    rows = raw.select(*file, F.col("fixtures.firstUnplayedMatch").alias("first"), F.posexplode("fixtures.allMatches").alias("i", "m"))
     h, a = parse_score(F.col("m.status.scoreStr"))
-    out = rows.select("i", "first", F.col("m.id").alias("id"), F.col("m.home.name").alias("home"), F.col("m.away.name").alias("away"), F.col("m.round").alias("round"), F.try_to_timestamp("m.status.utcTime").alias("kickoff"), h.alias("fthg"), a.alias("ftag"), F.coalesce("m.status.finished", F.lit(False)).alias("finished"), F.coalesce("m.status.cancelled", F.lit(False)).alias("cancelled"))
+    out = rows.select(*(["file"] if with_file else []), "i", "first", F.col("m.id").alias("id"), F.col("m.home.name").alias("home"), F.col("m.away.name").alias("away"), F.col("m.round").alias("round"), F.try_to_timestamp("m.status.utcTime").alias("kickoff"), h.alias("fthg"), a.alias("ftag"), F.coalesce("m.status.finished", F.lit(False)).alias("finished"), F.coalesce("m.status.cancelled", F.lit(False)).alias("cancelled"))
     kept = out.where("finished AND fthg IS NOT NULL") if finished else out.where("NOT finished AND NOT cancelled AND i >= coalesce(first, 0)")
     return kept.drop("i", "first", "finished", "cancelled")
 
