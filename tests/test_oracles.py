@@ -10,7 +10,6 @@ from touchline import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"devig_shin"}
 
 
 def plain(v):
@@ -34,7 +33,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, duck, name):
     df = registry.QUERIES[name](spark, DATA)
     got = rows_of([tuple(r) for r in df.collect()], df.columns)
