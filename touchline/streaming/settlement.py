@@ -26,7 +26,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions import pricing as P
 
 #: States of a match that is over, and of one whose bets are void.
-FINISHED = ("FINISHED", "FT", "AET", "PEN", "COMPLETED")
+FINISHED = ("FINISHED", "FT", "FULL_TIME", "COMPLETE", "COMPLETED", "SETTLED", "CLOSED")
 VOIDED = ("POSTPONED", "PST", "ABANDONED", "ABD", "CANCELLED", "CANCELED", "CANC", "VOID")
 #: Labels of settled bets by rank, worst first.
 LABELS = ("LOST", "HALF_LOSS", "VOID", "HALF_WIN", "WON")
