@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import inference as I
 from ..functions import markets as M
+from ..functions import strings as S
 from ..projection import domain
 from ..registry import query
 
@@ -19,6 +20,14 @@ PAGES = ("https://www.scores.example/team/vissel-kobe/698tGI9q/", "scores.exampl
 LEAGUES = ("E0, sp1,E0", "sp1", " D1 ,d1,E0,, ", "")
 
 
+def parts(spark, sf_dir):
+    """Part names, types, brands and sizes: the text columns that names, labels and codes are put together from."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("part"), "p_name", "p_type", "p_brand", F.col("p_size").cast("string").alias("size"))
+
+
+PARTS_SQL = "(SELECT p_partkey AS part, p_name, p_type, p_brand, CAST(p_size AS VARCHAR) AS size FROM part) parts"
+
+
 def listed(values, key="match_id"):
     """The value that a row's id picks."""
     return F.get(F.array(*map(F.lit, values)), (F.col(key) % len(values)).cast("int"))
@@ -133,3 +142,51 @@ def bookmaker_labels(spark, sf_dir):
 def row_payloads(spark, sf_dir):
     """A row as JSON, missing values left out."""
     return domain(spark, sf_dir, "matches").select("match_id", F.to_json(F.struct("match_id", "hs", "aws", "ftr")).alias("payload"))
+
+
+@query("part_cup_rounds", f"SELECT part, size <> '16' AND p_name NOT LIKE '%final%' AND p_name NOT LIKE '%semi%' AS early FROM {PARTS_SQL}")
+def part_cup_rounds(spark, sf_dir):
+    """Rounds named after every part: those of sixteen are late."""
+    return parts(spark, sf_dir).select("part", I.early_cup_round(F.concat("p_name", F.lit(" Round of "), "size")).alias("early"))
+
+
+@query("part_amateur_sides", f"SELECT part, length(size) = 2 AS amateur FROM {PARTS_SQL}")
+def part_amateur_sides(spark, sf_dir):
+    """Sides named after every part and an age of two digits are youth sides."""
+    return parts(spark, sf_dir).select("part", I.amateur(F.concat("p_name", F.lit(" U"), "size", F.lit(" Select"))).alias("amateur"))
+
+
+@query("part_competition_genders", f"SELECT part, CASE WHEN p_name LIKE 'w%' THEN 'W' ELSE 'M' END AS gender FROM {PARTS_SQL}")
+def part_competition_genders(spark, sf_dir):
+    """Codes of every part's type and the first letter of its name."""
+    return parts(spark, sf_dir).select("part", I.gender(F.concat("p_type", F.lit("_"), F.upper(F.substring("p_name", 1, 1)))).alias("gender"))
+
+
+@query("part_competition_codes", f"SELECT part, CASE WHEN size IN ('1', '2', '3') THEN 'J' || size ELSE p_brand END AS code FROM {PARTS_SQL}")
+def part_competition_codes(spark, sf_dir):
+    """Labels of every part's name and size; what no rule knows keeps its brand."""
+    known = I.competition_code(F.concat("p_name", F.lit(": J"), "size", F.lit(" League")), "OTHER")
+    return parts(spark, sf_dir).select("part", F.when(known == "OTHER", F.col("p_brand")).otherwise(known).alias("code"))
+
+
+@query("customer_names_without_country", "SELECT c_custkey AS customer, c_name AS name FROM customer")
+def customer_names_without_country(spark, sf_dir):
+    """Every customer's name with a short country behind it, and without again."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    spelt = F.concat(F.lit(" "), "c_name", F.lit(" ("), F.substring("c_mktsegment", 1, 3), F.lit(")"))
+    return c.select(F.col("c_custkey").alias("customer"), I.without_country(spelt).alias("name"))
+
+
+@query("part_versus_slugs", f"SELECT part, p_name AS home, p_type || ' ' || p_brand AS away FROM {PARTS_SQL}")
+def part_versus_slugs(spark, sf_dir):
+    """Slugs of two sides put together from every part's columns, taken apart again."""
+    slug = F.concat(F.translate("p_name", " ", "_"), F.lit("_VS_"), "p_type", F.lit("_"), "p_brand")
+    return parts(spark, sf_dir).select("part", I.versus(slug).alias("p")).select("part", "p.home", "p.away")
+
+
+@query("folded_customer_names", "SELECT c_custkey AS customer, regexp_replace(lower(c_name || c_mktsegment), '[^a-z0-9]', '', 'g') AS key FROM customer")
+def folded_customer_names(spark, sf_dir):
+    """Keys of every customer's name and segment under a club word and accents."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    accented = F.translate(F.concat("c_name", F.lit("  "), F.lower("c_mktsegment")), "eu", "éü")
+    return c.select(F.col("c_custkey").alias("customer"), S.folded_key(F.concat(F.lit("FC "), accented)).alias("key"))
