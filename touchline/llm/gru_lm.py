@@ -45,6 +45,8 @@ START_ID = END_ID + 1
 CLASSES = HEAD_CLASSES + TAIL + 1
 WINDOW = 16
 STREAMS = 64
+#: Places that are scored at once.
+AT_ONCE = 1024
 SCORE_STREAMS = 768
 ROUNDS = 4
 RATE = 0.01
@@ -212,16 +214,23 @@ class Model:
 
     def log_probs(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target's class and, for head words, of the word in it."""
+        if len(target) > AT_ONCE:  # what stays in a core's cache
+            return np.concatenate([self.log_probs(states[i : i + AT_ONCE], target[i : i + AT_ONCE]) for i in range(0, len(target), AT_ONCE)])
         logit = self.wc.T @ states.T  # classes by places
         logit += self.bc[:, None]
         logit -= logit.max(0)
         k = _CLASS_OF[target]
         out = logit[k, np.arange(len(target))]
         out -= np.log(np.exp(logit, out=logit).sum(0))
-        for c, at in _by_head_class(k):
-            inner = states[at] @ self.wh[c] + self.bh[c]
-            peak = inner.max(1, keepdims=True)
-            out[at] += inner[np.arange(len(at)), target[at] % CLASS_WORDS] - peak[:, 0] - np.log(np.exp(inner - peak).sum(1))
+        order, cuts = _by_head_class(k)
+        if len(order):
+            mine, inner = states[order], np.empty((len(order), CLASS_WORDS), states.dtype)
+            for c, i, j in cuts:
+                np.matmul(mine[i:j], self.wh[c], out=inner[i:j])
+            inner += self.bh[k[order]]
+            inner -= inner.max(1, keepdims=True)
+            out[order] += inner[np.arange(len(order)), target[order] % CLASS_WORDS]
+            out[order] -= np.log(np.exp(inner, out=inner).sum(1))
         return out
 
     def gradient(self, x: np.ndarray, target: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -303,12 +312,13 @@ class Model:
         return g.weights, h.T
 
 
-def _by_head_class(k: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(k, kind="stable")
-    edge = np.searchsorted(k[order], np.arange(HEAD_CLASSES + 1))
-    for c in range(HEAD_CLASSES):
-        if edge[c + 1] > edge[c]:
-            yield c, order[edge[c] : edge[c + 1]]
+def _by_head_class(k: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Places of head words in the order of their class, and (class, begin, end) of each class there."""
+    head = np.flatnonzero(k < HEAD_CLASSES)
+    order = head[np.argsort(k[head].astype(np.uint8), kind="stable")]
+    kind_of = k[order]
+    begin = np.flatnonzero(np.r_[True, kind_of[1:] != kind_of[:-1]])[: len(order)]
+    return order, list(zip(kind_of[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)]))
 
 
 def train(model: Model, docs: list[np.ndarray]) -> Model:
