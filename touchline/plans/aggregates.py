@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.pricing import capped_kelly
 from ..operators import metrics as M
 from ..projection import domain
 from ..registry import query
@@ -257,7 +258,6 @@ def point_in_time_leaks(spark, sf_dir):
     ("bets",),
 )
 def exposure_by_day(spark, sf_dir):
-    from ..functions.pricing import capped_kelly
-
-    pct = capped_kelly(F.col("p_model"), F.col("odds"))
-    return domain(spark, sf_dir, "bets").groupBy("day").agg(F.count("*").alias("n"), F.round(F.sum(pct), 6).alias("asked"), F.round(F.least(F.sum(pct), F.lit(0.05)), 6).alias("granted"))
+    """Shares asked and granted by day; they are summed to twenty places, so that a sum beside a tie does not hang on the order of rows."""
+    total = F.sum(capped_kelly(F.col("p_model"), F.col("odds")).cast("decimal(28,20)")).cast("double")
+    return domain(spark, sf_dir, "bets").groupBy("day").agg(F.count("*").alias("n"), F.round(total, 6).alias("asked"), F.round(F.least(total, F.lit(0.05)), 6).alias("granted"))
