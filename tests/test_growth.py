@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from touchline.functions.pricing import settlement_kelly
 from touchline.operators import joins as J
 from touchline.registry import QUERIES
 
@@ -26,3 +27,13 @@ def test_many_rows_of_a_day_are_reduced_before_they_meet(spark):
     first = {(h, d): min((m for m in range(3000) if m % 2 == h and abs(m % 3 - d) <= 1), key=lambda m: (m % 3 == 1, abs(m % 3 - d), m)) for h in (0, 1) for d in (0, 1, 2)}
     assert got == {m: first[m % 2, m % 3] for m in range(3000)}
     assert "Window" not in found._jdf.queryExecution().executedPlan().toString()  # no row number over met pairs
+
+
+def test_kelly_over_batches_has_the_slopes_root_and_no_higher_order_steps(spark):
+    rows = spark.createDataFrame([(0.5, 0.1, 0.1, 0.3, 2.4), (0.2, 0.1, 0.1, 0.6, 2.0), (0.5, 0.0, 0.0, 0.5, None), (None, 0.1, 0.1, 0.3, 2.4), (0.9, 0.0, 0.0, 0.1, 1.5)], "w double, hw double, hl double, lo double, o double")
+    asked = rows.select(settlement_kelly(*(F.col(c) for c in ("w", "hw", "hl", "lo", "o"))).alias("f"))
+    assert "aggregate(" not in asked._jdf.queryExecution().executedPlan().toString()
+    got = [r.f for r in asked.collect()]
+    assert got[1:4] == [0.0, None, 0.0] and abs(got[4] - (0.9 * 1.5 - 1) / 0.5) < 1e-9
+    f = got[0]
+    assert abs(0.5 * 1.4 / (1 + f * 1.4) + 0.1 * 0.7 / (1 + f * 0.7) - 0.1 * 0.5 / (1 - f * 0.5) - 0.3 / (1 - f)) < 1e-9

@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -168,14 +170,24 @@ def xg_strict(shots: Column, on_target: Column) -> Column:
 
 
 def settlement_kelly(win: Column, half_win: Column, half_loss: Column, lose: Column, odds: Column, steps: int = 50) -> Column:
-    """Fraction of greatest expected log growth over the five settlements, by bisection on the slope; zero without an edge."""
-    b = odds - 1.0
-    outcomes = F.array(F.struct(win.alias("m"), b.alias("x")), F.struct(half_win.alias("m"), (b / 2.0).alias("x")), F.struct(half_loss.alias("m"), F.lit(-0.5).alias("x")), F.struct(lose.alias("m"), F.lit(-1.0).alias("x")))
-    slope = lambda o, f: F.aggregate(o, F.lit(0.0), lambda a, e: a + e["m"] * e["x"] / (1.0 + f * e["x"]))
-    start = F.struct(F.lit(0.0).alias("lo"), F.lit(1.0 - 1e-9).alias("hi"))
-
-    def halve(o: Column, s: Column) -> Column:
-        return let((s["lo"] + s["hi"]) / 2.0, lambda mid: let(slope(o, mid) > 0, lambda up: F.struct(F.when(up, mid).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"))))
-
-    solved = lambda o: F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, lambda s, _: halve(o, s), lambda s: (s["lo"] + s["hi"]) / 2.0)
-    return F.when(valid_price(odds), F.when(settlement_ev(win, half_win, half_loss, lose, odds) > 0, let(outcomes, solved)).otherwise(0.0))
+    """Fraction of greatest expected log growth over the five settlements, by bisection on the slope; zero without an edge.
+
+    The steps run over whole Arrow batches, rows without an edge left out; a higher-order function would walk each step row by row.
+    """
+
+    @F.pandas_udf("double")
+    def solved(win: pd.Series, half_win: pd.Series, half_loss: pd.Series, lose: pd.Series, b: pd.Series) -> pd.Series:
+        found, asked = np.zeros(len(b)), np.flatnonzero(b.notna())
+        x = b.to_numpy("float64")[asked]
+        terms = [(m.to_numpy("float64")[asked], v) for m, v in ((win, x), (half_win, x / 2.0), (half_loss, -0.5), (lose, -1.0))]
+        terms = [(m * v, v) for m, v in terms]
+        lo, hi = np.zeros(len(asked)), np.full(len(asked), 1.0 - 1e-9)
+        for _ in range(steps):
+            mid = (lo + hi) / 2.0
+            up = sum(mv / (1.0 + mid * v) for mv, v in terms) > 0
+            lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+        found[asked] = (lo + hi) / 2.0
+        return pd.Series(found)
+
+    edge = F.when(settlement_ev(win, half_win, half_loss, lose, odds) > 0, odds - 1.0)
+    return F.when(valid_price(odds), F.when(edge.isNotNull(), solved(win, half_win, half_loss, lose, edge)).otherwise(0.0))
