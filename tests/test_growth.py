@@ -1,11 +1,15 @@
 """Results and work that must not hang on the order, the copies or the number of rows."""
 
+from types import SimpleNamespace
+
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions.pricing import settlement_kelly
 from touchline.operators import joins as J
 from touchline.registry import QUERIES
+from touchline.streaming.settlement import Settling
 
 
 def test_a_days_exposure_beside_a_tie_is_one_number_however_rows_come(spark, tmp_path):
@@ -37,3 +41,19 @@ def test_kelly_over_batches_has_the_slopes_root_and_no_higher_order_steps(spark)
     assert got[1:4] == [0.0, None, 0.0] and abs(got[4] - (0.9 * 1.5 - 1) / 0.5) < 1e-9
     f = got[0]
     assert abs(0.5 * 1.4 / (1 + f * 1.4) + 0.1 * 0.7 / (1 + f * 0.7) - 0.1 * 0.5 / (1 - f * 0.5) - 0.3 / (1 - f)) < 1e-9
+
+
+def test_a_key_settles_many_waiting_bets_as_columns_with_one_timer_at_a_time():
+    held, timers = {}, []
+    state = SimpleNamespace(get=lambda: held.get("v"), update=lambda v: held.__setitem__("v", v))
+    settling = Settling(0, 1000)
+    settling.init(SimpleNamespace(getValueState=lambda *_: state, registerTimer=timers.append))
+    n = 20_000
+    bets = pd.DataFrame({"kind": "bet", "bet_id": range(n), "match_id": [i // 4 for i in range(n)], "known": 0, "kickoff": range(n), "market": "1X2", "selection": "H", "line": None, "odds": 2.0, "stake": 1.0, "status": None, "fthg": None, "ftag": None, "hc": None, "ac": None, "prices": None})
+    results = bets.loc[: n // 8 - 1].assign(kind="result", match_id=range(n // 8), known=5, status="FT", fthg=1.0, ftag=0.0)
+    (early,) = settling.handleInputRows(("k",), iter([bets, results]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 100))
+    ready = (bets.match_id < n // 8) & (bets.kickoff <= 100)
+    assert set(early.bet_id) == set(bets.bet_id[ready]) and timers == [101]
+    (rest,) = settling.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**6), None)
+    assert len(early) + len(rest) == n and timers == [101] and held["v"][0] is None
+    assert (rest.status == "VOID").sum() == n - n // 2

@@ -52,6 +52,7 @@ def settled_batches(spark, sf_dir):
 
 
 PATIENCE_DAYS = 20
+MATCHES_A_KEY = 5_000
 
 
 def _replayed(spark, sf_dir, missing, grace, patience):
@@ -72,13 +73,14 @@ def _replayed(spark, sf_dir, missing, grace, patience):
     quotes = quote(360, "b365h", "b365d", "b365a").unionByName(quote(10, "psch", "pscd", "psca"))
     tables = {"bets": (bets, "placed_at"), "results": (results, "known_at"), "quotes": (quotes, "observed_at")}
     paths = {k: jobs.shared_folder(spark, k) for k in (*tables, "journal", "log")}
+    buckets = max(settlement.BUCKETS, -(-m.count() // MATCHES_A_KEY))  # a key's state stays as it is when tables grow
     middle = m.agg(F.timestamp_seconds((F.unix_seconds(F.min("kickoff")) + F.unix_seconds(F.max("kickoff"))) / 2).alias("middle"))
     for early in (True, False):
         for name, (rows, known) in tables.items():
             part = rows.join(F.broadcast(middle), (F.col(known) <= F.col("middle")) == F.lit(early)).drop("middle")  # one row
             part.write.mode("append").parquet(paths[name])
         streams = [spark.readStream.schema(rows.schema).parquet(paths[name]) for name, (rows, _) in tables.items()]
-        settlement.settle_to(settlement.settled(settlement.paired(*streams, grace=grace, patience=patience)), paths["journal"], paths["log"])
+        settlement.settle_to(settlement.settled(settlement.paired(*streams, grace=grace, patience=patience, buckets=buckets)), paths["journal"], paths["log"])
     return spark.read.parquet(paths["journal"])
 
 

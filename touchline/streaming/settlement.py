@@ -7,7 +7,8 @@ match settles from kick-off on; with ``patience``, a bet without a result is voi
 wake a key for the last two; ``settled_at`` follows from the rows alone, not from how they came in batches.
 
 Rows carry no event time of their own into the operator, so none is ever late: a copy of each row without its content moves the
-clock.  Only pairing is done in Python; settlement, profit and closing-line value are Column expressions over the pairs.
+clock and goes no further.  A key's rows are settled as whole columns, so ``buckets`` should leave a key some thousands of matches;
+it is fixed for a stream's life.  Only pairing is done in Python; settlement, profit and closing-line value are Column expressions over the pairs.
 
 Defined results: results that are not final, or final without scores, wait for a better one, as do bets on corners for corner
 counts; of several results of a match the newest known counts; an open bet that is sent again counts once; bets without a
@@ -18,7 +19,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -35,33 +38,43 @@ BUCKETS, SLOTS = 32, 2
 LATENESS = "1 hour"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-_BET = "bet_id long, match_id long, placed long, kickoff long, market string, selection string, line double, odds double, stake double"
-_RESULT = "match_id long, known long, status string, fthg long, ftag long, hc long, ac long"
-_QUOTE = "match_id long, market string, line double, apart long, known long, prices string"
+_BET = {"bet_id": "int64", "match_id": "int64", "placed": "int64", "kickoff": "int64", "market": "object", "selection": "object", "line": "float64", "odds": "float64", "stake": "float64"}
+_RESULT = {"match_id": "int64", "known": "int64", "status": "object", "fthg": "float64", "ftag": "float64", "hc": "float64", "ac": "float64"}
+_QUOTE = {"match_id": "int64", "market": "object", "line": "float64", "apart": "int64", "known": "int64", "prices": "object"}
 PAIRED = "bet_id long, match_id long, market string, selection string, line double, odds double, stake double, status string, fthg long, ftag long, hc long, ac long, settled_ms long, closing string"
 _FIELDS = {"kind": "string", "bet_id": "long", "match_id": "long", "known": "long", "kickoff": "long", "market": "string", "selection": "string", "line": "double", "odds": "double", "stake": "double", "status": "string", "fthg": "long", "ftag": "long", "hc": "long", "ac": "long", "prices": "string"}
 
 
-def _none(v):
-    return None if v is None or v != v else v
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
-def _whole(v) -> int | None:
-    return None if _none(v) is None else int(v)
+def _unpacked(held: bytes | None, kinds: dict[str, str]) -> pd.DataFrame:
+    rows = pd.DataFrame(columns=list(kinds)) if held is None else pa.ipc.open_stream(held).read_pandas()
+    return rows.astype(kinds)
+
+
+def _joined(old: pd.DataFrame, new: pd.DataFrame, kinds: dict[str, str]) -> pd.DataFrame:
+    new = new[list(kinds)].astype(kinds)
+    return new.reset_index(drop=True) if old.empty else pd.concat([old, new], ignore_index=True)
 
 
 class Settling(StatefulProcessor):
-    """Pairs of bets with what settles them, for the matches of one key."""
+    """Pairs of bets with what settles them, for the matches of one key; its tables are held as Arrow bytes and treated as columns."""
 
     def __init__(self, grace_ms: int, patience_ms: int | None):
         self.grace, self.patience = grace_ms, patience_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open, self.results, self.quotes = (handle.getListState(n, s) for n, s in (("open", _BET), ("results", _RESULT), ("quotes", _QUOTE)))
+        self.held = handle.getValueState("held", "open binary, results binary, quotes binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        yield self._settle(pd.concat(list(rows)), timerValues.getCurrentWatermarkInMs())
+        yield self._settle(pd.concat(list(rows), ignore_index=True), timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield self._settle(None, timerValues.getCurrentWatermarkInMs())
@@ -69,64 +82,58 @@ class Settling(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _learn(self, rows: pd.DataFrame, results: dict, quotes: dict, bets: dict) -> None:
-        for r in rows.to_dict("records"):
-            if r["kind"] == "result":
-                status, score = str(r["status"] or "").upper(), (_whole(r["fthg"]), _whole(r["ftag"]))
-                if status in VOIDED or (status in FINISHED and None not in score):
-                    new = (int(r["match_id"]), int(r["known"]), status, *score, _whole(r["hc"]), _whole(r["ac"]))
-                    old = results.get(new[0])
-                    if old is None or (new[1], repr(new)) > (old[1], repr(old)):
-                        results[new[0]] = new
-            elif r["kind"] == "quote":
-                key = (int(r["match_id"]), r["market"], _none(r["line"]))
-                new = (*key, abs(int(r["known"]) - int(r["kickoff"])), int(r["known"]), r["prices"])
-                old = quotes.get(key)
-                if old is None or (new[3], -new[4]) < (old[3], -old[4]):
-                    quotes[key] = new
-            elif r["kind"] == "bet":
-                bets.setdefault(int(r["bet_id"]), (int(r["bet_id"]), int(r["match_id"]), int(r["known"]), int(r["kickoff"]), r["market"], r["selection"], _none(r["line"]), float(r["odds"]), float(r["stake"])))
+    def _learnt(self, rows: pd.DataFrame, bets: pd.DataFrame, results: pd.DataFrame, quotes: pd.DataFrame) -> tuple[pd.DataFrame, ...]:
+        new = rows[rows["kind"] == "result"]
+        if len(new):
+            new = new.assign(status=new["status"].fillna("").astype(str).str.upper())
+            new = new[new["status"].isin(VOIDED) | (new["status"].isin(FINISHED) & new["fthg"].notna() & new["ftag"].notna())]
+            results = _joined(results, new, _RESULT)
+            tied = results.duplicated(["match_id", "known"], keep=False)
+            results["tie"] = ""
+            if tied.any():
+                whole = lambda v: None if pd.isna(v) else int(v)
+                results.loc[tied, "tie"] = [repr((r[2], *map(whole, r[3:7]))) for r in results[tied].itertuples(index=False)]
+            results = results.sort_values(["match_id", "known", "tie"]).drop_duplicates("match_id", keep="last")[list(_RESULT)]
+        new = rows[rows["kind"] == "quote"]
+        if len(new):
+            quotes = _joined(quotes, new.assign(apart=(new["known"] - new["kickoff"]).abs()), _QUOTE)
+            quotes = quotes.sort_values(["apart", "known"], ascending=[True, False], kind="stable").drop_duplicates(["match_id", "market", "line"])
+        new = rows[rows["kind"] == "bet"]
+        if len(new):
+            bets = _joined(bets, new.assign(placed=new["known"]), _BET).drop_duplicates("bet_id")
+        return bets, results, quotes
 
     def _settle(self, rows: pd.DataFrame | None, watermark: int) -> pd.DataFrame:
-        results, quotes, bets = {r[0]: r for r in map(tuple, self.results.get())}, {tuple(q[:3]): tuple(q) for q in self.quotes.get()}, {b[0]: b for b in map(tuple, self.open.get())}
-        before = (dict(results), dict(quotes), set(bets))
+        held = self.held.get() or (None, None, None)
+        bets, results, quotes = (_unpacked(x, kinds) for x, kinds in zip(held, (_BET, _RESULT, _QUOTE)))
         if rows is not None:
-            self._learn(rows, results, quotes, bets)
-        out, wake = [], set()
-        for bet in list(bets.values()):
-            _, match, placed, kickoff, market, *_ = bet
-            due = None if self.patience is None else kickoff + self.patience
-            r = results.get(match)
-            if r is not None and r[2] not in VOIDED and market == CORNERS and None in r[5:]:
-                r = None  # final, but without the counts this bet needs
-            if r is not None and due is not None and r[1] > due:
-                r = (match, due, "VOID", None, None, None, None)
-            if r is None and due is not None:
-                ready, r, now = due, (match, due, "VOID", None, None, None, None), watermark
-            elif r is None:
-                continue
-            else:
-                ready = kickoff + (0 if r[2] in VOIDED else self.grace)
-                now = max(watermark, r[1], placed)
-            if now < ready:
-                wake.add(ready)
-                continue
-            close = quotes.get((match, market, bet[6]))
-            out.append((bet[0], match, *bet[4:], "VOID" if r[2] in VOIDED else "FINISHED", *r[3:], max(ready, r[1], placed), close and close[5]))
-            del bets[bet[0]]
-        for at in wake:
-            self.handle.registerTimer(at)
-        for state, now_held, was in ((self.results, results, before[0]), (self.quotes, quotes, before[1])):
-            if now_held != was:
-                state.put(list(now_held.values()))
-        if set(bets) != before[2]:
-            if bets:
-                self.open.put(list(bets.values()))
-            else:
-                self.open.clear()
-        names = [c.split()[0] for c in PAIRED.split(", ")]
-        frame = pd.DataFrame(out, columns=names)
-        return frame.astype({c: "Int64" for c in ("fthg", "ftag", "hc", "ac")})
+            bets, results, quotes = self._learnt(rows, bets, results, quotes)
+        met = bets.merge(results, "left", "match_id")
+        void = met["status"].isin(VOIDED)
+        # final, but without the counts that a bet on corners needs: as if there were none yet
+        there = met["status"].notna() & ~((met["market"] == CORNERS) & ~void & (met["hc"].isna() | met["ac"].isna()))
+        ready = met["kickoff"] + np.where(void, 0, self.grace)
+        known = met["known"].where(there, 0).astype("int64")
+        now = np.maximum(np.maximum(known, met["placed"]), watermark)
+        if self.patience is None:
+            done = there & (now >= ready)
+            asleep = there & ~done
+        else:
+            due = met["kickoff"] + self.patience
+            over = there & (known > due)
+            ready, known = ready.where(there, due).where(~over, met["kickoff"]), known.where(there & ~over, due)
+            done = (np.maximum(np.maximum(known.where(there, watermark), met["placed"].where(there, watermark)), watermark)) >= ready
+            void |= over | ~there
+            met.loc[over | ~there, ["fthg", "ftag", "hc", "ac"]] = np.nan
+            asleep = ~done
+        if asleep.any():  # one timer is enough: it settles all that is ready by then and sets the next one
+            self.handle.registerTimer(int(ready[asleep].min()))
+        if rows is not None or done.any():
+            left = bets[~bets["bet_id"].isin(met.loc[done, "bet_id"])] if done.any() else bets
+            self.held.update((_packed(left) if len(left) else None, held[1] if rows is None else _packed(results), held[2] if rows is None else _packed(quotes)))
+        met = met.assign(settled_ms=np.maximum(np.maximum(ready, known), met["placed"]), status=np.where(void, "VOID", "FINISHED"))[done]
+        met = met.merge(quotes[["match_id", "market", "line", "prices"]], "left", ["match_id", "market", "line"]).rename(columns={"prices": "closing"})
+        return met[[c.split()[0] for c in PAIRED.split(", ")]].astype({c: "Int64" for c in ("fthg", "ftag", "hc", "ac")})
 
 
 def _events(rows: DataFrame, kind: str, known: str, slots: int | None) -> DataFrame:
@@ -149,6 +156,7 @@ def paired(bets: DataFrame, results: DataFrame, quotes: DataFrame | None = None,
     empty = [F.lit("clock").alias("kind") if c == "kind" else F.lit(None).cast(t).alias(c) for c, t in _FIELDS.items() if c != "match_id"]
     both = F.explode(F.array(F.struct(*(F.col(c) for c in _FIELDS if c != "match_id"), F.lit(None).cast("timestamp").alias("at")), F.struct(*empty, F.col("clock").alias("at"))))
     timed = events.select("match_id", "slot", both.alias("e")).select("match_id", "slot", "e.*").withWatermark("at", LATENESS)
+    timed = timed.where("at IS NULL")  # the copies have moved the clock and need not be dealt
     keyed = timed.withColumn("bucket", F.pmod(F.xxhash64("match_id"), F.lit(buckets)).cast("int"))
     ms = lambda span: None if span is None else int(pd.Timedelta(span).total_seconds() * 1000)
     return keyed.groupBy("bucket", "slot").transformWithStateInPandas(statefulProcessor=Settling(ms(grace), ms(patience)), outputStructType=PAIRED, outputMode="Append", timeMode="EventTime")
