@@ -1,5 +1,6 @@
 """Results and work that must not hang on the order, the copies or the number of rows."""
 
+import os
 from types import SimpleNamespace
 
 import pandas as pd
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.pricing import settlement_kelly
 from touchline.operators import joins as J
+from touchline.plans import feeds
 from touchline.registry import QUERIES
 from touchline.streaming.settlement import Settling
 
@@ -57,3 +59,11 @@ def test_a_key_settles_many_waiting_bets_as_columns_with_one_timer_at_a_time():
     (rest,) = settling.handleExpiredTimer(("k",), SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**6), None)
     assert len(early) + len(rest) == n and timers == [101] and held["v"][0] is None
     assert (rest.status == "VOID").sum() == n - n // 2
+
+
+def test_many_feed_files_are_written_by_few_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feeds, "EVENTS_A_FILE", 10)
+    folder = feeds._feed_folder(spark, "/root/testdata/sf0.001").removeprefix("file:").replace("//", "/")
+    names = [n for n in os.listdir(folder) if n.startswith("part-")]
+    assert len(names) > 100 and len({n[:10] for n in names}) <= 4 + 1  # a task's number leads its files' names
+    assert QUERIES["feed_results"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_orderkey % 5 <> 0").count()

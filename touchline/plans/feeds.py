@@ -163,9 +163,10 @@ def _feed_folder(spark, sf_dir):
     section = F.concat(field("AA", c("match_id")), field("AD", seconds), field("AB", F.when(played, 3).otherwise(1)), field("AE", F.concat(F.lit("Team "), c("home"), F.lit(" (Eng)"))), field("AF", F.concat(F.lit("Team "), c("away"))), goals)
     files = m.agg(F.greatest(F.ceil(F.count("*") / EVENTS_A_FILE), F.lit(1)).cast("int")).first()[0]
     parts = m.select(c("comp"), F.pmod(F.xxhash64("match_id"), F.lit(files)).cast("int").alias("part"), section.alias("s"))
-    texts = parts.groupBy("part", "comp").agg(F.concat_ws("~", F.collect_list("s")).alias("s")).select("part", F.concat(F.lit("ZA÷"), c("comp"), F.lit("¬~"), c("s")).alias("value"))
+    texts = parts.groupBy("part", "comp").agg(F.concat_ws("~", F.collect_list("s")).alias("s")).select("part", F.concat(F.lit("ZA÷"), c("comp"), F.lit("¬~"), c("s")).alias("s"))
+    whole = texts.groupBy("part").agg(F.concat_ws("~", F.collect_list("s")).alias("value")).select("value")
     path = jobs.shared_folder(spark, "event-feeds")
-    texts.repartitionByRange(files, "part").select("value").write.option("lineSep", "~").text(path)
+    whole.write.option("lineSep", "~").option("maxRecordsPerFile", 1).text(path)  # a file a row: a task writes many files
     return path
 
 

@@ -27,8 +27,12 @@ TAB = "struct<data:struct<findOddsByEventId:struct<settings:struct<bookmakers:ar
 def _fields(section: Column) -> Column:
     """A section's fields as a map; of repeated keys the last counts."""
     parts = F.transform(F.filter(F.split(section, "¬"), lambda f: F.contains(f, F.lit("÷"))), lambda f: F.struct(F.split_part(f, F.lit("÷"), F.lit(1)).alias("k"), F.split_part(f, F.lit("÷"), F.lit(2)).alias("v")))
-    keys = F.array_distinct(F.transform(parts, lambda e: e["k"]))
-    return F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(parts, lambda e: e["k"] == k), -1)["v"])))
+
+    def mapped(parts: Column) -> Column:
+        last = lambda keys: F.map_from_entries(F.transform(keys, lambda k: F.struct(k, F.element_at(F.filter(parts, lambda e: e["k"] == k), -1)["v"])))
+        return let(F.array_distinct(F.transform(parts, lambda e: e["k"])), lambda keys: F.when(F.size(keys) == F.size(parts), F.map_from_entries(parts)).otherwise(last(keys)))
+
+    return let(parts, mapped)
 
 
 def _with_competition(text: Column) -> Column:
