@@ -1,5 +1,6 @@
 """Results and work that must not hang on the order, the copies or the number of rows."""
 
+import datetime as dt
 import os
 from types import SimpleNamespace
 
@@ -8,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions.pricing import settlement_kelly
+from touchline.operators import enrich as E
 from touchline.operators import joins as J
 from touchline.plans import feeds
 from touchline.registry import QUERIES
@@ -67,3 +69,13 @@ def test_many_feed_files_are_written_by_few_tasks(spark, tmp_path, monkeypatch):
     names = [n for n in os.listdir(folder) if n.startswith("part-")]
     assert len(names) > 100 and len({n[:10] for n in names}) <= 4 + 1  # a task's number leads its files' names
     assert QUERIES["feed_results"](spark, "/root/testdata/sf0.001").count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where("o_orderkey % 5 <> 0").count()
+
+
+def test_days_are_enriched_once_and_repeated_bets_keep_their_own_sides(spark):
+    day = dt.date(2024, 1, 10)
+    frame = spark.createDataFrame([(i, day - dt.timedelta(1 + i // 100), "a", "b", float(i % 100), None) for i in range(300)], "match_id long, match_date date, home string, away string, xh double, xa double")
+    bets = spark.createDataFrame([(1, "a", "b", day), (1, "b", "a", day), (2, "c", "a", day)], "bet_id long, home string, away string, day date")
+    rows = E.enriched(bets, E.team_history(frame, F.col("xh"), F.col("xa")))
+    assert "WindowGroupLimit" in rows._jdf.queryExecution().executedPlan().toString()  # a day's last measured matches only are dealt by team
+    got = {(r.bet_id, r.home): (r.home_matches_in_lookback, r.home_rolling_xg, r.away_rolling_xg, r.home_rest_days) for r in rows.collect()}
+    assert got == {(1, "a"): (300, 97.0, None, 1), (1, "b"): (300, None, 97.0, 1), (2, "c"): (0, None, 97.0, None)}
