@@ -5,7 +5,7 @@ and the bets open on each match.  Observations wait until the clock has passed t
 in that order, so decisions don't depend on how rows come in batches; an observation that comes after the clock has passed it is
 decided on arrival.  A new day starts with nothing used, because a day is a key; the state of a past day is dropped by a timer.
 
-Defined results: an observation without a stake is told with its gate and opens nothing; a bet on a match and selection that is
+Defined results: an observation that fails a gate is told on arrival and opens nothing, so it need not wait; a bet on a match and selection that is
 open stays single; later bets on a match with open ones get ``DISCOUNT`` less; a null league is one of its own.  Caps make a day
 a sequence, so one task decides it, holding sums, open bets and rows that wait.
 """
@@ -83,9 +83,11 @@ class Trading(StatefulProcessor):
         self.waiting, self.used, self.opened = (handle.getListState(n, s) for n, s in (("waiting", _WAITING), ("used", _USED), ("opened", _OPEN)))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        fresh = pd.concat(list(rows))
-        fresh = fresh[fresh["obs_id"].notna()]
-        new = [(int(r["obs_id"]), int(r["match_id"]), int(r["known"]), r["league"], r["market"], r["selection"], r["gate"], 0.0 if pd.isna(r["scaled"]) else float(r["scaled"])) for r in fresh.to_dict("records")]
+        fresh = pd.concat(list(rows), ignore_index=True)
+        fresh = fresh[fresh["obs_id"].notna()].astype({"obs_id": "int64", "match_id": "int64", "known": "int64"}).fillna({"scaled": 0.0})
+        stakes = fresh["gate"] == "ok"
+        yield fresh[~stakes].assign(stake=0.0).rename(columns={"known": "known_ms"})[[c.split()[0] for c in DECIDED.split(", ")]]
+        new = list(zip(*(fresh.loc[stakes, c.split()[0]].tolist() for c in _WAITING.split(", "))))
         yield self._turn(key, new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -128,4 +130,5 @@ def paper_trades(observations: DataFrame, day_cap: float = DAY_CAP, league_cap:
     content = F.struct(*(c(n).cast(t).alias(n) for n, t in kinds.items()), F.lit(None).cast("timestamp").alias("at"))
     ticking = F.struct(*(F.lit(None).cast(t).alias(n) for n, t in kinds.items()), c("clock").alias("at"))  # moves the clock, is never missed
     both = rows.select(F.floor(c("known") / DAY_MS).cast("int").alias("day"), F.explode(F.array(content, ticking)).alias("e")).select("day", "e.*").withWatermark("at", LATENESS)
+    both = both.where("at IS NULL")  # the copies have moved the clock and need not be dealt
     return both.groupBy("day").transformWithStateInPandas(statefulProcessor=Trading(day_cap, league_cap), outputStructType=DECIDED, outputMode="Append", timeMode="EventTime")
