@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from touchline.functions.pricing import settlement_kelly
 from touchline.operators import enrich as E
 from touchline.operators import joins as J
+from touchline.operators.models import boosted_outcomes
 from touchline.plans import feeds
 from touchline.registry import QUERIES
 from touchline.streaming.settlement import Settling
@@ -79,3 +80,17 @@ def test_days_are_enriched_once_and_repeated_bets_keep_their_own_sides(spark):
     assert "WindowGroupLimit" in rows._jdf.queryExecution().executedPlan().toString()  # a day's last measured matches only are dealt by team
     got = {(r.bet_id, r.home): (r.home_matches_in_lookback, r.home_rolling_xg, r.away_rolling_xg, r.home_rest_days) for r in rows.collect()}
     assert got == {(1, "a"): (300, 97.0, None, 1), (1, "b"): (300, None, 97.0, 1), (2, "c"): (0, None, 97.0, None)}
+
+
+def test_boosted_trees_read_their_rows_and_run_no_window_again(spark):
+    rows = spark.range(600).select(F.col("id").alias("match_id"), F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("match_date"), F.element_at(F.array(*map(F.lit, "HDA")), (F.col("id") % 3 + 1).cast("int")).alias("ftr"))
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b.assign(a=b["match_id"] % 7.0)
+
+    fed = rows.mapInPandas(counted, "match_id long, match_date date, ftr string, a double")
+    boosted_outcomes(fed, ["a"], trees=1)
+    assert runs.value == 600

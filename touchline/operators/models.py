@@ -16,6 +16,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..streaming.jobs import shared_folder
 from .quasi_newton import bounded_minimum
 
 DECAY = 0.0018
@@ -219,6 +220,9 @@ def boosted_outcomes(rows: DataFrame, features: list[str], label: str = "ftr", d
     fitted on the later days.  Missing features take the mean of the grown days.  ``ValueError`` if either slice lacks an outcome.
     """
     known = rows.where(F.col(label).isin(*OUTCOMES)).select(F.datediff(day, F.lit("1970-01-01")).alias("boosted_day"), F.col(label).alias("boosted_label"), *(F.col(c).cast("double").alias(f"boosted_{c}") for c in features))
+    folder = shared_folder(known.sparkSession, "boosted")  # every tree reads these rows; their windows are not run again for each
+    known.write.parquet(folder)
+    known = known.sparkSession.read.schema(known.schema).parquet(folder)
     split = known.agg(F.percentile_approx("boosted_day", share, 10_000)).first()[0]
     early = known.where(F.col("boosted_day") <= F.lit(split))
     late = known.where(F.col("boosted_day") > F.lit(split))
