@@ -5,9 +5,13 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from touchline.functions.pricing import settlement_kelly, settlement_kellys
 from touchline.operators import recommend as R
+from touchline.plans import value as V
+from touchline.registry import QUERIES
 
 D = dt.date
+SMALL = "/root/testdata/sf0.001"
 FIX = "match_id long, comp string, match_date date, home int, away int, h double, d double, a double, total double, over double, under double, handicap double, ah_home double, ah_away double"
 BUNDLE = "comp string, version date, team int, att double, def double, advantage double, rho double"
 
@@ -47,3 +51,42 @@ def test_legs_settle_as_their_masses_say(spark):
     assert legs[1, "AH away"].ev == pytest.approx((1 - home - level) * 0.8 + level * 0.4 - home)
     assert all(legs[2, x].stake <= R.NEW_TEAM_CAP for x in ("H", "D", "A", "Over", "AH home"))
     assert all(r.recommended == (r.ev >= R.LEAST_EV) and r.fair == pytest.approx(1 / r.p) for r in legs.values())
+
+
+def test_fits_and_fixtures_are_made_once_and_meet_one_row_a_pair(spark, monkeypatch):
+    runs = {name: spark.sparkContext.accumulator(0) for name in ("fits", "fixtures")}
+
+    def counted(rows, name):
+        def run(batches):
+            for b in batches:
+                runs[name].add(len(b))
+                yield b
+
+        return rows.mapInPandas(run, rows.schema)
+
+    fit_folds, priced_fixtures = V.B.fit_folds, V._priced_fixtures
+    monkeypatch.setattr(V.B, "fit_folds", lambda *a: counted(fit_folds(*a), "fits"))
+    monkeypatch.setattr(V, "_priced_fixtures", lambda *a: counted(priced_fixtures(*a), "fixtures"))
+    legs = QUERIES["legs_by_fitted_version"](spark, SMALL)
+    assert legs.count() > 0
+    matches = spark.read.parquet(f"{SMALL}/orders.parquet")
+    windows = V.B.folds_of(V.domain(spark, SMALL, "matches"), 1, 6)
+    assert runs["fixtures"].value == matches.count() and runs["fits"].value == fit_folds(V.domain(spark, SMALL, "matches"), windows).count()
+    assert legs._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_level_handicaps_and_unlined_fixtures_find_their_masses(spark):
+    fits = bundle(spark, (D(2024, 1, 1), 0.0))
+    rows = [fixture(1, D(2024, 2, 1), handicap=0.0), fixture(2, D(2024, 2, 1), handicap=-0.0), fixture(3, D(2024, 2, 1), total=None, handicap=0.25), fixture(4, D(2024, 2, 1), comp=None)]
+    fixtures = R.versions_as_of(spark.createDataFrame(rows, FIX), fits)
+    keys = ["comp", "version", "home", "away"]
+    legs = {(r.match_id, r.leg): r for r in R.priced_legs(fixtures, R.rates_of(fixtures, fits), keys).collect()}
+    assert len(legs) == 7 + 7 + 5 and all(legs[1, x].p == legs[2, x].p for x in ("AH home", "AH away"))
+
+
+def test_fractions_beyond_the_cap_are_not_solved_and_others_stay_as_they_were(spark):
+    rows = spark.createDataFrame([(w / 40, hw / 40, hl / 40, (36 - w - hw - hl) / 40, o) for w in range(0, 34, 3) for hw, hl in ((0, 0), (2, 0), (0, 2)) for o in (None, -9.0, 1.0, 1.3, 2.0, 2.4, 7.0)], "w double, hw double, hl double, lo double, o double")
+    side = tuple(F.col(c) for c in ("w", "hw", "hl", "lo", "o"))
+    got = rows.select(settlement_kelly(*side).alias("f"), *settlement_kellys([side, (*side[3::-1], side[4])], R.MOST_KELLY)).toDF("f", "g", "back").collect()
+    assert any(r.f and r.f > R.MOST_KELLY for r in got) and any(r.f and 0 < r.f < R.MOST_KELLY for r in got)
+    assert all(r.g == (None if r.f is None else min(r.f, R.MOST_KELLY)) for r in got) and any(r.back for r in got)

@@ -170,24 +170,43 @@ def xg_strict(shots: Column, on_target: Column) -> Column:
 
 
 def settlement_kelly(win: Column, half_win: Column, half_loss: Column, lose: Column, odds: Column, steps: int = 50) -> Column:
-    """Fraction of greatest expected log growth over the five settlements, by bisection on the slope; zero without an edge.
+    """Fraction of greatest expected log growth over the five settlements, by bisection on the slope; zero without an edge."""
+    return settlement_kellys([(win, half_win, half_loss, lose, odds)], steps=steps)[0]
 
-    The steps run over whole Arrow batches, rows without an edge left out; a higher-order function would walk each step row by row.
-    """
 
-    @F.pandas_udf("double")
-    def solved(win: pd.Series, half_win: pd.Series, half_loss: pd.Series, lose: pd.Series, b: pd.Series) -> pd.Series:
-        found, asked = np.zeros(len(b)), np.flatnonzero(b.notna())
-        x = b.to_numpy("float64")[asked]
-        terms = [(m.to_numpy("float64")[asked], v) for m, v in ((win, x), (half_win, x / 2.0), (half_loss, -0.5), (lose, -1.0))]
-        terms = [(m * v, v) for m, v in terms]
-        lo, hi = np.zeros(len(asked)), np.full(len(asked), 1.0 - 1e-9)
-        for _ in range(steps):
-            mid = (lo + hi) / 2.0
-            up = sum(mv / (1.0 + mid * v) for mv, v in terms) > 0
-            lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
-        found[asked] = (lo + hi) / 2.0
-        return pd.Series(found)
-
-    edge = F.when(settlement_ev(win, half_win, half_loss, lose, odds) > 0, odds - 1.0)
-    return F.when(valid_price(odds), F.when(edge.isNotNull(), solved(win, half_win, half_loss, lose, edge)).otherwise(0.0))
+def settlement_kellys(sides: Sequence[tuple[Column, Column, Column, Column, Column]], most: float | None = None, steps: int = 50) -> list[Column]:
+    """``settlement_kelly`` of several sides (masses and odds) of one row, which goes to Python once; at most ``most``, if given.
+
+    The steps run over whole Arrow batches, sides without an edge or beyond ``most`` left out; a higher-order function would walk
+    each step row by row, and conditions on every side as columns make methods that Java leaves uncompiled.
+    """
+    n = len(sides)
+
+    @F.pandas_udf(", ".join(f"f{k} double" for k in range(n)))
+    def solved(*columns: pd.Series) -> pd.DataFrame:
+        out = {}
+        for k in range(n):
+            *masses, odds = (c.to_numpy("float64", na_value=np.nan) for c in columns[5 * k : 5 * k + 5])
+            b = odds - 1.0
+            win, half_win, half_loss, lose = masses
+            found = np.where(odds > 1.0, 0.0, np.nan)  # no number is null
+            edge = (odds > 1.0) & (win * b + half_win * b / 2.0 - half_loss / 2.0 - lose > 0)
+            if most is not None:
+                with np.errstate(all="ignore"):  # prices without an edge may be anything
+                    beyond = edge & (sum(m * v / (1.0 + most * v) for m, v in zip(masses, (b, b / 2.0, -0.5, -1.0))) > 0)
+                found[beyond] = most
+                edge &= ~beyond
+            asked = np.flatnonzero(edge)
+            x = b[asked]
+            terms = [(m[asked] * v, v) for m, v in zip(masses, (x, x / 2.0, -0.5, -1.0))]
+            lo, hi = np.zeros(len(asked)), np.full(len(asked), 1.0 - 1e-9)
+            for _ in range(steps):
+                mid = (lo + hi) / 2.0
+                up = sum(mv / (1.0 + mid * v) for mv, v in terms) > 0
+                lo, hi = np.where(up, mid, lo), np.where(up, hi, mid)
+            found[asked] = (lo + hi) / 2.0
+            out[f"f{k}"] = found
+        return pd.DataFrame(out)
+
+    found = solved(*(c for side in sides for c in (*side[:4], F.when(valid_price(side[4]), side[4]))))
+    return [found[f"f{k}"] for k in range(n)]

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import capped_kelly, expected_value
+from ..streaming.jobs import stored
 from . import models, score_matrix
 
 ODDS_BAND = (1.40, 3.50)
@@ -66,12 +67,12 @@ def fold_statistics(dated: DataFrame, last: int, decay: float = models.DECAY) ->
     grown = rows.withColumn("g", F.exp(decay * F.date_diff("match_date", "origin")))
     cell = lambda x, y: F.sum(F.when((F.col("fthg") == x) & (F.col("ftag") == y), F.col("g")).otherwise(0.0)).alias(f"n{x}{y}")
     pair = ("comp", "home", "away")
-    sums = grown.groupBy(*pair, "fold").agg(F.sum("g").alias("w"), F.sum(F.col("fthg") * F.col("g")).alias("gh"), F.sum(F.col("ftag") * F.col("g")).alias("ga"), cell(0, 0), cell(0, 1), cell(1, 0), cell(1, 1))
-    sums = sums.withColumn("fold", F.col("fold") + 1)  # a half-year's matches count from the next fold on
+    sums = grown.groupBy(*pair, "fold").agg(F.sum("g").alias("w"), F.sum(F.col("fthg") * F.col("g")).alias("gh"), F.sum(F.col("ftag") * F.col("g")).alias("ga"), cell(0, 0), cell(0, 1), cell(1, 0), cell(1, 1), F.max(F.date_diff("match_date", "origin")).alias("end"))
+    sums = stored(sums.withColumn("fold", F.col("fold") + 1), "half-years")  # a half-year's matches count from the next fold on; matches are summed once
     later = lambda t, *by: t.groupBy(*by).agg(F.min("fold").alias("first")).select(*by, F.explode(F.sequence("first", F.lit(last))).alias("fold"))
     before = lambda *by: Window.partitionBy(*by).orderBy("fold")
     running = later(sums, *pair).join(sums, [*pair, "fold"], "left").select(*pair, "fold", *(F.sum(F.coalesce(c, F.lit(0.0))).over(before(*pair)).alias(c) for c in SUMS))
-    ends = rows.groupBy("comp", (F.col("fold") + 1).alias("fold")).agg(F.max(F.date_diff("match_date", "origin")).alias("end"))
+    ends = sums.groupBy("comp", "fold").agg(F.max("end").alias("end"))
     ends = later(ends, "comp").join(ends, ["comp", "fold"], "left").select("comp", "fold", F.exp(-decay * F.max("end").over(before("comp"))).alias("shrink"))
     return running.join(ends, ["comp", "fold"]).select(*pair, "fold", *((F.col(c) * F.col("shrink")).alias(c) for c in SUMS))
 

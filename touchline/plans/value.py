@@ -14,6 +14,7 @@ from ..operators import score_matrix as S
 from ..operators import windows as W
 from ..projection import domain
 from ..registry import query
+from ..streaming.jobs import stored
 from .columns import first_family, settled
 from .scores import CELLS_SQL, mass_sql
 
@@ -199,7 +200,7 @@ FROM v LEFT JOIN (SELECT match_id, leg, lo, hi FROM s WHERE k = 50) z ON z.match
 )
 def priced_legs(spark, sf_dir):
     """Seven legs of every fixture with probability, value, fair price, stake and flag."""
-    fixtures = _priced_fixtures(spark, sf_dir)
+    fixtures = stored(_priced_fixtures(spark, sf_dir), "fixtures")
     rates = S.rates(fixtures, domain(spark, sf_dir, "strengths")).select("home", "away", "lh", "la", F.lit(S.RHO).alias("rho"), F.lit(False).alias("is_new"))
     legs = R.priced_legs(fixtures, rates, ["home", "away"])
     r = lambda c, n: F.round(c, n).alias(c)
@@ -212,6 +213,6 @@ def legs_by_fitted_version(spark, sf_dir):
     matches = domain(spark, sf_dir, "matches")
     windows = B.folds_of(matches, 1, 6)
     begins = spark.createDataFrame([(k, b) for k, (b, _) in enumerate(windows, 1)], "fold int, version date")
-    bundle = B.fit_folds(matches, windows).join(begins, "fold").drop("fold")
-    fixtures = R.versions_as_of(_priced_fixtures(spark, sf_dir), bundle).where("version IS NOT NULL")
-    return R.priced_legs(fixtures, R.rates_of(fixtures, bundle), ["comp", "version", "home", "away"])
+    bundle = stored(B.fit_folds(matches, windows).join(begins, "fold").drop("fold"), "fits")
+    fixtures = stored(R.versions_as_of(_priced_fixtures(spark, sf_dir), bundle).where("version IS NOT NULL"), "fixtures")
+    return R.priced_legs(fixtures, stored(R.rates_of(fixtures, bundle), "rates"), ["comp", "version", "home", "away"])
