@@ -53,3 +53,16 @@ def test_training_by_hand(spark, monkeypatch):
     assert np.allclose(model.weights, seen["model"].weights, atol=1e-5)
     for r in rows:
         assert abs(gru_lm.log10_of(model, [gru_lm._sequence(bytes(r.ids))])[0] + r.tail_score - scores[r.doc_id]) < 1e-3
+
+
+def test_a_step_multiplies_once_for_all_parts_and_negates_no_gate(monkeypatch):
+    """Element-wise numpy calls that a training window makes for each of its steps stay few."""
+    v = gru_lm.Vocabulary([(h, 9) for h in range(40)], {}, 400, 40, 4)
+    docs = [np.r_[gru_lm.START_ID, np.arange(3 * gru_lm.WINDOW) % 40, gru_lm.END_ID].astype(np.int64) for _ in range(4)]
+    calls = {"multiply": 0, "negative": 0, "prod": 0}
+    for name in calls:
+        real = getattr(np, name)
+        monkeypatch.setattr(np, name, lambda *a, _real=real, _name=name, **k: (calls.__setitem__(_name, calls[_name] + 1), _real(*a, **k))[1])
+    gru_lm.train(gru_lm.Model.fresh(v), docs)
+    windows = -(-(len(docs[0]) - 1) // gru_lm.WINDOW)
+    assert calls["negative"] <= windows and calls["prod"] == 0 and calls["multiply"] <= windows * (2 * gru_lm.WINDOW + 4)

@@ -22,6 +22,7 @@ extra columns are ignored.  Words are known by a 64-bit hash.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -161,19 +162,19 @@ class Model:
     """GRU over token classes; all weights in one float32 vector."""
 
     SHAPES = {"gx": (START_ID + 1, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wh": (HEAD_CLASSES, HIDDEN, CLASS_WORDS), "bh": (HEAD_CLASSES, CLASS_WORDS)}
+    ENDS = np.cumsum([math.prod(s) for s in SHAPES.values()]).tolist()
+    PLACES = [(name, shape, slice(end - math.prod(shape), end)) for (name, shape), end in zip(SHAPES.items(), ENDS)]
 
     def __init__(self, weights: np.ndarray):
-        self.weights, at = weights, 0
-        for name, shape in self.SHAPES.items():
-            size = int(np.prod(shape))
-            setattr(self, name, weights[at : at + size].reshape(shape))
-            at += size
+        self.weights = weights
+        for name, shape, place in self.PLACES:
+            setattr(self, name, weights[place].reshape(shape))
 
     @classmethod
     def fresh(cls, v: Vocabulary) -> Model:
         """Random state weights, and output biases that make the class unigram."""
         rng = np.random.default_rng(5)
-        m = cls(np.zeros(sum(int(np.prod(s)) for s in cls.SHAPES.values()), np.float32))
+        m = cls(np.zeros(cls.ENDS[-1], np.float32))
         m.gx[:] = rng.normal(0, 0.3, m.gx.shape)
         m.u[:] = rng.normal(0, 0.2, m.u.shape)
         head = np.zeros(HEAD)
@@ -187,30 +188,40 @@ class Model:
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """(new state, gates) of one token for each stream; states are rows."""
-        new, gates, _, _ = self._step(np.ascontiguousarray(self.gx[x].T), np.ascontiguousarray(self.u.T), np.ascontiguousarray(h.T))
+        new, gates, _, _ = self._step(self.inputs(x[None])[0], self.recurrent(), np.ascontiguousarray(h.T))
         return new.T, gates
 
     @staticmethod
-    def _step(a: np.ndarray, ut: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(new state, gates z and r, candidate, its recurrent part) with a column for each stream."""
+    def _step(a: np.ndarray, ut: np.ndarray, h: np.ndarray, gates: np.ndarray | None = None, n: np.ndarray | None = None, new: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """(new state, gates z and r, candidate, its recurrent part) with a column for each stream, into arrays that are given.
+
+        ``a`` and ``ut`` come from ``inputs`` and ``recurrent``, where the gates' parts are negated once for all steps.
+        """
         pre = ut @ h
-        gates = pre[: 2 * HIDDEN] + a[: 2 * HIDDEN]
-        np.negative(gates, out=gates)
+        gates = np.add(pre[: 2 * HIDDEN], a[: 2 * HIDDEN], out=gates)
         np.exp(gates, out=gates)
         gates += 1
         np.reciprocal(gates, out=gates)
         hn = pre[2 * HIDDEN :]
-        n = gates[HIDDEN:] * hn
+        n = np.multiply(gates[HIDDEN:], hn, out=n)
         n += a[2 * HIDDEN :]
         np.tanh(n, out=n)
-        new = h - n
+        new = np.subtract(h, n, out=new)
         new *= gates[:HIDDEN]
         new += n
         return new, gates, n, hn
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
-        """Input parts of a window's gates: (steps, 3 * hidden, streams)."""
-        return np.ascontiguousarray(np.take(self.gx, x, axis=0).transpose(0, 2, 1))
+        """Input parts of a window's gates, those of z and r negated: (steps, 3 * hidden, streams)."""
+        a = np.ascontiguousarray(np.take(self.gx, x, axis=0).transpose(0, 2, 1))
+        np.negative(a[:, : 2 * HIDDEN], out=a[:, : 2 * HIDDEN])
+        return a
+
+    def recurrent(self) -> np.ndarray:
+        """Recurrent weights by gate, those of z and r negated."""
+        ut = np.ascontiguousarray(self.u.T)
+        ut[: 2 * HIDDEN] *= -1
+        return ut
 
     def log_probs(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log-probability of each target's class and, for head words, of the word in it."""
@@ -240,13 +251,14 @@ class Model:
         kind = self.weights.dtype
         befores, ns, hns, states = (np.empty((steps, HIDDEN, streams), kind) for _ in range(4))
         gates = np.empty((steps, 2 * HIDDEN, streams), kind)
-        a, ut, h = self.inputs(x), np.ascontiguousarray(self.u.T), np.ascontiguousarray(h.T)
+        a, ut, h = self.inputs(x), self.recurrent(), np.ascontiguousarray(h.T)
         whole = live.all(1)
-        for t in range(steps):
+        for t, full in enumerate(whole.tolist()):
             befores[t] = h
-            new, gates[t], ns[t], hns[t] = self._step(a[t], ut, h)
-            h = new if whole[t] else np.where(live[t], new, h)
-            states[t] = h
+            new, _, _, hns[t] = self._step(a[t], ut, h, gates[t], ns[t], states[t])
+            if not full:
+                np.copyto(new, h, where=~live[t])
+            h = new
         flat, ok = target.ravel(), live.ravel()
         by_column = np.ascontiguousarray(states.transpose(1, 0, 2)).reshape(HIDDEN, -1)
         p = self.wc.T @ by_column  # classes by places
@@ -281,7 +293,7 @@ class Model:
                 np.matmul(q[i:j], self.wh[c].T, out=back[i:j])
             g.bh[kind_of[begin]] = np.add.reduceat(q, begin, axis=0)
             d_state[:, order] += back.T
-        d_state = np.ascontiguousarray(d_state.reshape(HIDDEN, steps, streams).transpose(1, 0, 2))
+        d_state = np.ascontiguousarray(d_state.reshape(HIDDEN, steps, streams).transpose(1, 0, 2))  # takes what later steps send back
         zs, rs = gates[:, :HIDDEN], gates[:, HIDDEN:]
         on = 1 - zs
         by_n = on * (1 - ns * ns)
@@ -291,16 +303,20 @@ class Model:
         if not whole.all():
             dead = ~live[:, None, :]
             by_n, by_z, carry = np.where(dead, kind.type(0), by_n), np.where(dead, kind.type(0), by_z), np.where(dead, kind.type(1), zs)
-        pre, d_n = np.empty((steps, 3 * HIDDEN, streams), kind), np.empty((steps, HIDDEN, streams), kind)
-        dh = np.zeros_like(h)
+        by = np.empty((steps, 3, HIDDEN, streams), kind)  # of all three parts, so that a step multiplies once
+        by[:, 0] = by_z
+        np.multiply(by_n, by_r, out=by[:, 1])
+        np.multiply(by_n, rs, out=by[:, 2])
+        pre = np.empty((steps, 3 * HIDDEN, streams), kind)
+        parts = pre.reshape(by.shape)
         for t in range(steps - 1, -1, -1):
-            dh += d_state[t]
-            np.multiply(dh, by_n[t], out=d_n[t])
-            np.multiply(dh, by_z[t], out=pre[t, :HIDDEN])
-            np.multiply(d_n[t], by_r[t], out=pre[t, HIDDEN : 2 * HIDDEN])
-            np.multiply(d_n[t], rs[t], out=pre[t, 2 * HIDDEN :])
-            dh *= carry[t]
-            dh += self.u @ pre[t]
+            dh = d_state[t]
+            if t + 1 < steps:
+                dh += back
+            np.multiply(dh, by[t], out=parts[t])
+            back = self.u @ pre[t]
+            back += dh * carry[t]
+        d_n = d_state * by_n
         before = np.ascontiguousarray(befores.transpose(1, 0, 2)).reshape(HIDDEN, -1)
         by_token = np.ascontiguousarray(pre.transpose(0, 2, 1)).reshape(-1, 3 * HIDDEN)
         g.u[:] = before @ by_token
@@ -340,20 +356,18 @@ def train(model: Model, docs: list[np.ndarray]) -> Model:
         ids = flat[np.minimum(at, len(flat) - 1)]
         live = at[1:] < end
         grad, h = model.gradient(ids[:-1], np.where(live, ids[1:], END_ID), live, h)
-        grad /= max(1, live.sum())
-        grad *= min(1.0, 1.0 / (np.sqrt(float(grad @ grad)) + 1e-9))
+        count = max(1, int(live.sum()))
+        grad *= min(1.0, 1.0 / (math.sqrt(float(grad @ grad)) / count + 1e-9)) / count
         n += 1
-        first *= 0.9
-        first += np.multiply(grad, 0.1, out=own)
+        first *= 0.9  # sums without their factors 0.1 and 0.01, which the constants below hold
+        first += grad
         second *= 0.99
-        np.multiply(grad, grad, out=own)
-        own *= 0.01
-        second += own
+        second += np.multiply(grad, grad, out=own)
         np.sqrt(second, out=own)
-        own *= 1 / np.sqrt(1 - 0.99**n)
-        own += 1e-6
+        spread = math.sqrt(0.01 / (1 - 0.99**n))
+        own += 1e-6 / spread
         np.divide(first, own, out=own)
-        own *= RATE / (1 - 0.9**n)
+        own *= RATE * 0.1 / (1 - 0.9**n) / spread
         w -= own
         place += WINDOW
         done = np.flatnonzero(place >= end - 1)
@@ -432,7 +446,7 @@ def log10_of(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     length = np.fromiter((len(d) - 1 for d in docs), np.int64, len(docs))
     order = np.argsort(-length, kind="stable")
     out = np.zeros(len(docs))
-    ut, ahead = np.ascontiguousarray(model.u.T), np.arange(WINDOW + 1)[:, None]
+    ut, ahead = model.recurrent(), np.arange(WINDOW + 1)[:, None]
     for at in range(0, len(order), SCORE_STREAMS):
         mine = order[at : at + SCORE_STREAMS]
         flat = np.concatenate([docs[i] for i in mine])
@@ -446,8 +460,7 @@ def log10_of(model: Model, docs: list[np.ndarray]) -> np.ndarray:
             ids = flat[np.minimum(place + ahead[: steps + 1], len(flat) - 1)]
             a, states = model.inputs(ids[:-1]), np.empty((steps, HIDDEN, n), h.dtype)
             for t in range(steps):
-                h = model._step(a[t], ut, h)[0]
-                states[t] = h
+                h = model._step(a[t], ut, h, new=states[t])[0]
             live = ahead[:steps] < left
             got = model.log_probs(states.transpose(0, 2, 1)[live], ids[1:][live])
             total[:n] += np.bincount(np.nonzero(live)[1], weights=got, minlength=n)
