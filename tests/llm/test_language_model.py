@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from touchline.llm import gru_lm
@@ -66,3 +67,60 @@ def test_a_step_multiplies_once_for_all_parts_and_negates_no_gate(monkeypatch):
     gru_lm.train(gru_lm.Model.fresh(v), docs)
     windows = -(-(len(docs[0]) - 1) // gru_lm.WINDOW)
     assert calls["negative"] <= windows and calls["prod"] == 0 and calls["multiply"] <= windows * (2 * gru_lm.WINDOW + 4)
+
+
+def test_texts_are_dealt_and_hashed_once(spark, monkeypatch):
+    """Only the report of distinct words reads texts; what is encoded afterwards comes from its places of words."""
+    plans, real = {}, gru_lm.stored
+    monkeypatch.setattr(gru_lm, "stored", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().analyzed().toString()), real(df, name))[1])
+    texts = {0: "a b a", 1: None, 2: "", 3: "B c", 4: "a  z\n", 7: "q"}
+    rows = {r.doc_id: r for r in gru_lm.lm_scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert "text" in plans["chunk-words"] and "text" not in plans["encoded"]
+    assert {k: r.n_tokens for k, r in rows.items()} == {k: len((t or "").split()) + 1 for k, t in texts.items()}
+
+
+def test_training_equals_plain_adam(monkeypatch):
+    """Sums that leave rows without gradient as they are give the same weights as sums that decay at every step."""
+    rng = np.random.default_rng(4)
+    v = gru_lm.Vocabulary([(h, 900 - h) for h in range(gru_lm.HEAD)], {(e, g): (2, 2 + g * 8, 2) for e in range(16) for g in range(3)}, 5000, 60, 9)
+    docs = [np.r_[gru_lm.START_ID, rng.integers(0, gru_lm.END_ID, n) // rng.integers(1, 9), gru_lm.END_ID] for n in rng.integers(0, 90, 90)] + [np.r_[gru_lm.START_ID, rng.integers(0, gru_lm.END_ID, 1500), gru_lm.END_ID]]
+    start = gru_lm.Model(gru_lm.Model.fresh(v).weights.astype(np.float64))
+    w, first, second, steps, real = start.weights.copy(), 0.0, 0.0, 0, gru_lm.Model._gradient
+
+    def spy(self, x, target, live, h, g):
+        nonlocal w, first, second, steps
+        assert np.abs(self.weights - w).max() < 1e-9
+        plain = gru_lm.Model(np.zeros_like(w))
+        ids, of_ids, _ = real(gru_lm.Model(w.copy()), x, target, live, h, plain)
+        plain.gx[ids] = of_ids
+        grad = plain.weights / live.sum()
+        grad *= min(1.0, 1.0 / (np.sqrt(grad @ grad) + 1e-9))
+        first, second, steps = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad * grad, steps + 1
+        w = w - gru_lm.RATE * first / (1 - 0.9**steps) / (np.sqrt(second / (1 - 0.99**steps)) + 1e-6)
+        return real(self, x, target, live, h, g)
+
+    monkeypatch.setattr(gru_lm.Model, "_gradient", spy)
+    got = gru_lm.train(start, docs)
+    assert steps > 64 and np.abs(got.weights - w).max() < 1e-9
+
+
+def test_places_are_read_back_at_every_width():
+    """Counts of distinct words around one and two bytes, and none at all: encoded ids are those of each word's own hash."""
+    rng = np.random.default_rng(6)
+    for words in (0, 1, 2, 256, 257, 65_536, 65_537):
+        drawn = rng.permutation(np.r_[np.arange(words), rng.integers(0, max(words, 1), 99 if words else 0)])
+        texts = [" ".join(f"w{k}" for k in part) for part in np.array_split(drawn, 3)] + [None]
+        docs = pa.table({"chunk": pa.array([5] * 4, pa.int32()), "doc_id": [4, None, 2, 1], "held_out": [False, True, False, False], "text": pa.array(texts, pa.string())})
+        pre = gru_lm._report(docs)
+        assert pre.column("n").to_numpy(zero_copy_only=False)[: words + 1].sum() == len(texts[0].split()) + len(texts[2].split())
+        mine, rows = pre.slice(0, words), pre.slice(words + 1)
+        shuffled = mine.take(pa.array(rng.permutation(words), pa.int64()))
+        answers = pa.table({"h": shuffled.column("h"), "c": shuffled.column("n"), "ending": shuffled.column("ending")})
+        head = [(k, c) for k, c in zip(mine.column("h").to_pylist(), mine.column("n").to_pylist()) if c][: gru_lm.HEAD]
+        v = gru_lm.Vocabulary(head, {}, 100, 10, 3)
+        got = gru_lm._encoder(v)(rows, answers)
+        h, ending, n = gru_lm.hashes_and_endings([(t or "").encode() for t in texts])
+        c = dict(zip(mine.column("h").to_pylist(), mine.column("n").to_pylist()))
+        want = v.ids(h, np.array([c[x] for x in h.tolist()], np.int64), ending)
+        assert np.concatenate([np.frombuffer(x, np.int16) for x in got.column("ids").to_pylist()]).tolist() == want.tolist()
+        assert got.column("n_tokens").to_pylist() == (n + 1).tolist() and got.column("doc_id").to_pylist() == [4, None, 2, 1]

@@ -8,9 +8,9 @@ recurrent state predicts the class.  Untrained, the model is the class unigram;
 (``WINDOW`` steps, state carried on) by Adam on every chunk, with weighted averages of the weights after each round.
 Scoring carries the state through all windows of a document, so the likelihood is that of the complete text.
 
-Scale: documents are dealt into chunks by a hash of id and text; a chunk reports its distinct word hashes, so shuffles grow
-with distinct words; counts return by an equi-join.  Texts become two bytes a token in a written table that training and
-scoring read.  Weights (about 40,000 numbers) are averaged in a tree; a few of them and tables of fixed size are all that
+Scale: documents are dealt into chunks by a hash of id and text, once; a chunk reports its distinct word hashes, so shuffles
+grow with distinct words, and its texts as places among them; counts return by an equi-join.  Texts become two bytes a token
+in a written table that training and scoring read.  Weights (about 40,000 numbers) are averaged in a tree; a few of them and tables of fixed size are all that
 reaches the driver.  Gradient steps take every training document once, in one of ``ROUNDS`` rounds (by a hash of the id);
 counts and scores cover everything.  Chunks depend on the rows alone, and a chunk trains in the order of its ids, so scores
 do not depend on partitions or on the size of the cluster.
@@ -24,6 +24,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import cycle
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import LOWER, as_bytes, crc32_mod, release, stored, unstore, word_hashes, words_in
-from .ngram_quality import Lookup
 
 FOLDS, HELD_OUT = 5, 1
 HIDDEN = 16
@@ -56,6 +57,8 @@ CHUNK_BYTES = 12 << 20
 FAN_IN = 32
 
 _CLASS_OF = np.concatenate([np.arange(HEAD) // CLASS_WORDS, HEAD_CLASSES + np.arange(TAIL + 1)]).astype(np.int64)
+_CLASS_BEGINS = np.arange(HEAD_CLASSES + 1) * CLASS_WORDS
+_SIGN = np.repeat([-1, 1], [2 * HIDDEN, HIDDEN])
 
 
 def hashes_and_endings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,18 +69,30 @@ def hashes_and_endings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     return word_hashes(raw, begin, last).view(np.int64), ending, n
 
 
-PRE = "chunk int, h long, ending int, n long, docs long"
+PRE = "chunk int, h long, ending int, n long, docs long, doc_id long, held_out boolean, places binary"
+
+
+def _width(words: int) -> int:
+    """Bytes that tell so many words apart."""
+    return max(1, -(-(words - 1).bit_length() // 8))
 
 
 def _report(docs: pa.Table) -> pa.Table:
-    """Distinct words of a chunk with their counts in training texts; the row of hash 0 and ending -1 counts training texts."""
+    """Distinct words of a chunk in the order of their hashes, with their counts in training texts; the row of hash 0 and ending
+    -1 counts training texts.  Then a row for each document, with the places of its words in that order, as ``_width`` bytes each."""
     texts, held = as_bytes(docs.column("text")), np.array(docs.column("held_out").to_pylist(), bool)
     h, ending, n = hashes_and_endings(texts)
     word, first, back = np.unique(h, return_index=True, return_inverse=True)
     count = np.bincount(back, weights=np.repeat(~held, n), minlength=len(word)).astype(np.int64)
-    m = len(word) + 1
-    chunk = np.full(m, docs.column("chunk")[0].as_py(), np.int32)
-    return pa.table([pa.array(chunk), pa.array(np.r_[word, 0]), pa.array(np.r_[ending[first], -1].astype(np.int32)), pa.array(np.r_[count, 0]), pa.array(np.r_[np.zeros(m - 1, np.int64), (~held).sum()])], names=["chunk", "h", "ending", "n", "docs"])
+    m, stop = len(word) + 1, np.cumsum(n)
+    flat = back.astype("<i8").view(np.uint8).reshape(-1, 8)[:, : _width(len(word))]
+    places = [flat[a:b].tobytes() for a, b in zip((stop - n).tolist(), stop.tolist())]
+    none = [pa.nulls(len(texts), t) for t in (pa.int64(), pa.int32(), pa.int64(), pa.int64())]
+    names = [c.split()[0] for c in PRE.split(", ")]
+    chunk = docs.column("chunk")[0].as_py()
+    words = [pa.array(np.full(m, chunk, np.int32)), pa.array(np.r_[word, 0]), pa.array(np.r_[ending[first], -1].astype(np.int32)), pa.array(np.r_[count, 0]), pa.array(np.r_[np.zeros(m - 1, np.int64), (~held).sum()]), *(pa.nulls(m, t) for t in (pa.int64(), pa.bool_(), pa.binary()))]
+    rows = [pa.array(np.full(len(texts), chunk, np.int32)), *none, docs.column("doc_id"), docs.column("held_out"), pa.array(places, pa.binary())]
+    return pa.concat_tables([pa.table(words, names=names), pa.table(rows, names=names)])
 
 
 class Vocabulary:
@@ -126,21 +141,23 @@ def _encoder(v: Vocabulary):
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         h, c, ending = (answers.column(k).to_numpy() for k in ("h", "c", "ending"))
-        ids = v.ids(h, c, ending.astype(np.int64)).astype(np.int16)
-        base, tail = v.base_log10(c), v.tail_log10(ids.astype(np.int64), c)
-        find = Lookup(h, np.arange(len(h))) if len(h) else None
+        order, width = np.argsort(h), _width(len(h))  # as in the report
+        c, ids = c[order], v.ids(h, c, ending.astype(np.int64))[order]
+        base, tail = v.base_log10(c), v.tail_log10(ids, c)
+        ids, known = ids.astype(np.int16), (c > 0).astype(np.float64)
         end_base = float(v.base_log10(np.array([v.docs]))[0])
         out = []
-        texts, doc_ids, held = as_bytes(docs.column("text")), docs.column("doc_id").to_pylist(), docs.column("held_out").to_pylist()
-        known = (c > 0).astype(np.float64)
-        chunk = docs.column("chunk")[0].as_py() if len(texts) else None
-        for at in range(0, len(texts), 500):
-            part = texts[at : at + 500]
-            wh, _, n = hashes_and_endings(part)
-            place = find(wh) if find is not None else np.empty(0, np.int64)
+        places, doc_ids, held = (docs.column(k).to_pylist() for k in ("places", "doc_id", "held_out"))
+        chunk = docs.column("chunk")[0].as_py() if len(places) else None
+        for at in range(0, len(places), 500):
+            part = places[at : at + 500]
+            n = np.fromiter(map(len, part), np.int64, len(part)) // width
+            place = np.zeros((int(n.sum()), 8), np.uint8)
+            place[:, :width] = np.frombuffer(b"".join(part), np.uint8).reshape(-1, width)
+            place = place.view("<i8").ravel()
             stop = np.cumsum(n)
-            sums = [_segment_sums(x[place] if len(place) else np.empty(0), n) for x in (base, tail, known)]
-            coded = ids[place] if len(place) else np.empty(0, np.int16)
+            sums = [_segment_sums(x[place], n) for x in (base, tail, known)]
+            coded = ids[place]
             for k, (a, b) in enumerate(zip((stop - n).tolist(), stop.tolist())):
                 out.append((chunk, doc_ids[at + k], held[at + k], int(n[k]) + 1, int(sums[2][k]) + (v.docs > 0), float(sums[0][k]) + end_base, float(sums[1][k]), coded[a:b].tobytes()))
         types = (pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary())
@@ -158,17 +175,29 @@ def _segment_sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
+class Run(NamedTuple):
+    """A window's states (steps + 1, hidden + a row of ones, streams), inverse gates z and r and the candidate's recurrent part
+    (steps, 3 * hidden, streams), and candidates."""
+
+    states: np.ndarray
+    pre: np.ndarray
+    ns: np.ndarray
+
+
 class Model:
     """GRU over token classes; all weights in one float32 vector."""
 
     SHAPES = {"gx": (START_ID + 1, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,), "wh": (HEAD_CLASSES, HIDDEN, CLASS_WORDS), "bh": (HEAD_CLASSES, CLASS_WORDS)}
     ENDS = np.cumsum([math.prod(s) for s in SHAPES.values()]).tolist()
     PLACES = [(name, shape, slice(end - math.prod(shape), end)) for (name, shape), end in zip(SHAPES.items(), ENDS)]
+    #: Class weights and, as one more row, their biases.
+    OUT = slice(ENDS[1], ENDS[3])
 
     def __init__(self, weights: np.ndarray):
         self.weights = weights
         for name, shape, place in self.PLACES:
             setattr(self, name, weights[place].reshape(shape))
+        self.out = weights[self.OUT].reshape(HIDDEN + 1, CLASSES)
 
     @classmethod
     def fresh(cls, v: Vocabulary) -> Model:
@@ -188,160 +217,176 @@ class Model:
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """(new state, gates) of one token for each stream; states are rows."""
-        new, gates, _, _ = self._step(self.inputs(x[None])[0], self.recurrent(), np.ascontiguousarray(h.T))
-        return new.T, gates
-
-    @staticmethod
-    def _step(a: np.ndarray, ut: np.ndarray, h: np.ndarray, gates: np.ndarray | None = None, n: np.ndarray | None = None, new: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
-        """(new state, gates z and r, candidate, its recurrent part) with a column for each stream, into arrays that are given.
-
-        ``a`` and ``ut`` come from ``inputs`` and ``recurrent``, where the gates' parts are negated once for all steps.
-        """
-        pre = ut @ h
-        gates = np.add(pre[: 2 * HIDDEN], a[: 2 * HIDDEN], out=gates)
-        np.exp(gates, out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        hn = pre[2 * HIDDEN :]
-        n = np.multiply(gates[HIDDEN:], hn, out=n)
-        n += a[2 * HIDDEN :]
-        np.tanh(n, out=n)
-        new = np.subtract(h, n, out=new)
-        new *= gates[:HIDDEN]
-        new += n
-        return new, gates, n, hn
+        run = self.run(x[None], h.T)
+        return run.states[1, :HIDDEN].T, 1 / run.pre[0, : 2 * HIDDEN]
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
-        """Input parts of a window's gates, those of z and r negated: (steps, 3 * hidden, streams)."""
-        a = np.ascontiguousarray(np.take(self.gx, x, axis=0).transpose(0, 2, 1))
-        np.negative(a[:, : 2 * HIDDEN], out=a[:, : 2 * HIDDEN])
-        return a
+        """Input parts of the gates, those of z and r negated; the last axis is that of streams."""
+        a = np.take(self.gx, x, axis=0).swapaxes(-1, -2)
+        return np.multiply(a, _SIGN[:, None].astype(a.dtype), out=np.empty(a.shape, a.dtype))
 
-    def recurrent(self) -> np.ndarray:
-        """Recurrent weights by gate, those of z and r negated."""
-        ut = np.ascontiguousarray(self.u.T)
-        ut[: 2 * HIDDEN] *= -1
-        return ut
+    def run(self, x: np.ndarray, h: np.ndarray, keep: bool = True) -> Run:
+        """A window (steps, streams) from the states ``h``, with a column for each stream; without ``keep``, states alone are of use."""
+        steps, streams = x.shape
+        kind = self.weights.dtype
+        states, pre, ns = (np.empty((n, m, streams), kind) for n, m in ((steps + 1, HIDDEN + 1), (steps if keep else 1, 3 * HIDDEN), (steps if keep else 1, HIDDEN)))
+        states[0, :HIDDEN] = h
+        states[:, HIDDEN] = 1
+        # gates' parts are negated before the steps; scoring's many streams take a step's at a time, what stays in a core's cache
+        a = self.inputs(x) if keep else None
+        pairs = zip(a[:, : 2 * HIDDEN], a[:, 2 * HIDDEN :]) if keep else ((b[: 2 * HIDDEN], b[2 * HIDDEN :]) for b in map(self.inputs, x))
+        ut = np.multiply(self.u.T, _SIGN[:, None].astype(kind), order="C")
+        zr, z, r, hn = (pre[:, i * HIDDEN : j * HIDDEN] for i, j in ((0, 2), (0, 1), (1, 2), (2, 3)))
+        own = states[:, :HIDDEN]
+        dot, add, exp, divide, tanh, subtract = np.dot, np.add, np.exp, np.divide, np.tanh, np.subtract
+        for old, new, pre_t, zr_t, z_t, r_t, hn_t, n, (a_zr, a_n) in zip(own, own[1:], *map(cycle, (pre, zr, z, r, hn, ns)), pairs):
+            dot(ut, old, pre_t)
+            add(zr_t, a_zr, zr_t)
+            exp(zr_t, zr_t)
+            add(zr_t, 1, zr_t)
+            divide(hn_t, r_t, n)
+            add(n, a_n, n)
+            tanh(n, n)
+            subtract(old, n, new)
+            divide(new, z_t, new)
+            add(new, n, new)
+        return Run(states, pre, ns)
+
+    def words(self) -> np.ndarray:
+        """Weights of words by class with their biases as one more row."""
+        return np.concatenate([self.wh, self.bh[:, None]], 1)
 
     def log_probs(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Natural log-probability of each target's class and, for head words, of the word in it."""
+        """Natural log-probability of each target's class and, for head words, of the word in it; states are rows."""
+        return self._log_probs(np.concatenate([states, np.ones((len(states), 1), states.dtype)], 1), target, self.words())
+
+    def _log_probs(self, rows: np.ndarray, target: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The same from states with a one at their end and the weights of ``words``."""
         if len(target) > AT_ONCE:  # what stays in a core's cache
-            return np.concatenate([self.log_probs(states[i : i + AT_ONCE], target[i : i + AT_ONCE]) for i in range(0, len(target), AT_ONCE)])
-        logit = self.wc.T @ states.T  # classes by places
-        logit += self.bc[:, None]
-        logit -= logit.max(0)
-        k = _CLASS_OF[target]
-        out = logit[k, np.arange(len(target))]
-        out -= np.log(np.exp(logit, out=logit).sum(0))
-        order, cuts = _by_head_class(k)
-        if len(order):
-            mine, inner = states[order], np.empty((len(order), CLASS_WORDS), states.dtype)
+            return np.concatenate([self._log_probs(rows[i : i + AT_ONCE], target[i : i + AT_ONCE], words) for i in range(0, len(target), AT_ONCE)])
+        order, cuts, m = _by_target(target)
+        mine, goal = np.take(rows, order, axis=0), target[order]
+        logit = _in_range(np.dot(mine, self.out))
+        got = logit.ravel()[_CLASS_OF[goal] + np.arange(len(goal)) * CLASSES]
+        got -= np.log(_powers(logit))
+        if m:
+            inner = np.empty((m, CLASS_WORDS), logit.dtype)
             for c, i, j in cuts:
-                np.matmul(mine[i:j], self.wh[c], out=inner[i:j])
-            inner += self.bh[k[order]]
-            inner -= inner.max(1, keepdims=True)
-            out[order] += inner[np.arange(len(order)), target[order] % CLASS_WORDS]
-            out[order] -= np.log(np.exp(inner, out=inner).sum(1))
+                np.dot(mine[i:j], words[c], inner[i:j])
+            got[:m] += _in_range(inner).ravel()[goal[:m] % CLASS_WORDS + np.arange(m) * CLASS_WORDS]
+            got[:m] -= np.log(_powers(inner))
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def gradient(self, x: np.ndarray, target: np.ndarray, live: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(gradient vector, last state) of a window: arrays (steps, streams); dead places don't count."""
+        """(gradient vector, last state) of a window: arrays (steps, streams).
+
+        Places that are not live don't count.  They come last in their stream, so nothing of them flows back, and the last
+        state of a stream that ends with one is of no use.
+        """
         g = Model(np.zeros_like(self.weights))
+        ids, of_ids, last = self._gradient(x, target, live, h.T, g)
+        g.gx[ids] = of_ids
+        return g.weights, last.T
+
+    def _gradient(self, x: np.ndarray, target: np.ndarray, live: np.ndarray, h: np.ndarray, g: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens read, gradients of their input rows, last state); the other gradients are left in ``g``.  States are columns."""
         steps, streams = x.shape
         kind = self.weights.dtype
-        befores, ns, hns, states = (np.empty((steps, HIDDEN, streams), kind) for _ in range(4))
-        gates = np.empty((steps, 2 * HIDDEN, streams), kind)
-        a, ut, h = self.inputs(x), self.recurrent(), np.ascontiguousarray(h.T)
-        whole = live.all(1)
-        for t, full in enumerate(whole.tolist()):
-            befores[t] = h
-            new, _, _, hns[t] = self._step(a[t], ut, h, gates[t], ns[t], states[t])
-            if not full:
-                np.copyto(new, h, where=~live[t])
-            h = new
-        flat, ok = target.ravel(), live.ravel()
-        by_column = np.ascontiguousarray(states.transpose(1, 0, 2)).reshape(HIDDEN, -1)
-        p = self.wc.T @ by_column  # classes by places
-        p += self.bc[:, None]
-        p -= p.max(0)
-        np.exp(p, out=p)
-        p /= p.sum(0)
-        k = _CLASS_OF[flat]
-        p[k, np.arange(len(flat))] -= 1
-        if not whole.all():
-            p *= ok
-        g.wc[:] = by_column @ p.T
-        g.bc[:] = p.sum(1)
-        d_state = self.wc @ p
-        head = np.flatnonzero(ok & (k < HEAD_CLASSES))
-        if len(head):
-            order = head[np.argsort(k[head].astype(np.uint8), kind="stable")]
-            kind_of = k[order]
-            begin = np.flatnonzero(np.r_[True, kind_of[1:] != kind_of[:-1]])
-            cuts = list(zip(kind_of[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)]))
-            mine = by_column.T[order]
-            q, back = np.empty((len(order), CLASS_WORDS), kind), np.empty((len(order), HIDDEN), kind)
+        whole = bool(live.all())
+        states, inverse, ns = self.run(x, h)
+        rows = np.ascontiguousarray(states.transpose(0, 2, 1))
+        order, cuts, m = _by_target(target.ravel() if whole else np.where(live, target, END_ID).ravel())
+        mine, goal = np.take(rows[1:].reshape(-1, HIDDEN + 1), order, axis=0), target.ravel()[order]
+        p = _in_range(np.dot(mine, self.out))
+        total = _powers(p)
+        p.ravel()[_CLASS_OF[goal] + np.arange(len(goal)) * CLASSES] -= total
+        share = np.reciprocal(total)
+        if not whole:
+            share *= live.ravel()[order]
+        share = share[:, None]
+        g.out[:] = np.dot(p.T, mine * share).T
+        d_rows = np.dot(p, self.wc.T)
+        d_rows *= share
+        g.wh[:], g.bh[:] = 0, 0
+        if m:
+            words, part = self.words(), np.empty((HIDDEN + 1, CLASS_WORDS), kind)
+            q, back = np.empty((m, CLASS_WORDS), kind), np.empty((m, HIDDEN), kind)
             for c, i, j in cuts:
-                np.matmul(mine[i:j], self.wh[c], out=q[i:j])
-            q += self.bh[kind_of]
-            q -= q.max(1, keepdims=True)
-            np.exp(q, out=q)
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(len(order)), flat[order] % CLASS_WORDS] -= 1
+                np.dot(mine[i:j], words[c], q[i:j])
+            q *= np.reciprocal(_powers(_in_range(q)))[:, None]
+            q.ravel()[goal[:m] % CLASS_WORDS + np.arange(m) * CLASS_WORDS] -= 1
             for c, i, j in cuts:
-                np.matmul(mine[i:j].T, q[i:j], out=g.wh[c])
-                np.matmul(q[i:j], self.wh[c].T, out=back[i:j])
-            g.bh[kind_of[begin]] = np.add.reduceat(q, begin, axis=0)
-            d_state[:, order] += back.T
-        d_state = np.ascontiguousarray(d_state.reshape(HIDDEN, steps, streams).transpose(1, 0, 2))  # takes what later steps send back
-        zs, rs = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        on = 1 - zs
-        by_n = on * (1 - ns * ns)
-        by_z = (befores - ns) * zs * on
-        by_r = hns * rs * (1 - rs)
-        carry = zs
-        if not whole.all():
-            dead = ~live[:, None, :]
-            by_n, by_z, carry = np.where(dead, kind.type(0), by_n), np.where(dead, kind.type(0), by_z), np.where(dead, kind.type(1), zs)
+                np.dot(mine[i:j].T, q[i:j], part)
+                g.wh[c], g.bh[c] = part[:HIDDEN], part[HIDDEN]
+                np.dot(q[i:j], self.wh[c].T, back[i:j])
+            d_rows[:m] += back
+        unsorted = np.empty_like(d_rows)
+        unsorted[order] = d_rows
+        d_state = np.ascontiguousarray(unsorted.reshape(steps, streams, HIDDEN).transpose(0, 2, 1))  # takes what later steps send back
+        gates = np.reciprocal(inverse[:, : 2 * HIDDEN])
+        zs, rs, befores = gates[:, :HIDDEN], gates[:, HIDDEN:], states[:-1, :HIDDEN]
         by = np.empty((steps, 3, HIDDEN, streams), kind)  # of all three parts, so that a step multiplies once
-        by[:, 0] = by_z
-        np.multiply(by_n, by_r, out=by[:, 1])
-        np.multiply(by_n, rs, out=by[:, 2])
+        by_z, by_r, by_h = by[:, 0], by[:, 1], by[:, 2]
+        on = 1 - zs
+        by_n = ns * ns
+        np.subtract(1, by_n, out=by_n)
+        by_n *= on
+        on *= zs
+        np.subtract(befores, ns, out=by_z)
+        by_z *= on
+        np.multiply(by_n, rs, out=by_h)
+        np.subtract(1, rs, out=rs)
+        rs *= inverse[:, 2 * HIDDEN :]
+        np.multiply(by_h, rs, out=by_r)
         pre = np.empty((steps, 3 * HIDDEN, streams), kind)
-        parts = pre.reshape(by.shape)
-        for t in range(steps - 1, -1, -1):
-            dh = d_state[t]
-            if t + 1 < steps:
-                dh += back
-            np.multiply(dh, by[t], out=parts[t])
-            back = self.u @ pre[t]
-            back += dh * carry[t]
-        d_n = d_state * by_n
-        before = np.ascontiguousarray(befores.transpose(1, 0, 2)).reshape(HIDDEN, -1)
-        by_token = np.ascontiguousarray(pre.transpose(0, 2, 1)).reshape(-1, 3 * HIDDEN)
-        g.u[:] = before @ by_token
-        by_token[:, 2 * HIDDEN :] = d_n.transpose(0, 2, 1).reshape(-1, HIDDEN)
-        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
-        ids = x.ravel()[order]
-        begin = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        g.gx[ids[begin]] = np.add.reduceat(by_token[order], begin, axis=0)
-        return g.weights, h.T
-
-
-def _by_head_class(k: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Places of head words in the order of their class, and (class, begin, end) of each class there."""
-    head = np.flatnonzero(k < HEAD_CLASSES)
-    order = head[np.argsort(k[head].astype(np.uint8), kind="stable")]
-    kind_of = k[order]
-    begin = np.flatnonzero(np.r_[True, kind_of[1:] != kind_of[:-1]])[: len(order)]
-    return order, list(zip(kind_of[begin].tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)]))
+        back, kept, u = np.zeros((HIDDEN, streams), kind), np.empty((HIDDEN, streams), kind), self.u
+        dot, add, multiply = np.dot, np.add, np.multiply
+        for dh, by_t, parts, pre_t, z_t in zip(d_state[::-1], by[::-1], pre.reshape(by.shape)[::-1], pre[::-1], zs[::-1]):
+            add(dh, back, dh)
+            multiply(dh, by_t, parts)
+            dot(u, pre_t, back)
+            multiply(dh, z_t, kept)
+            add(back, kept, back)
+        by_place = np.ascontiguousarray(pre.transpose(0, 2, 1)).reshape(-1, 3 * HIDDEN)
+        g.u[:] = np.dot(by_place.T, rows[:-1].reshape(-1, HIDDEN + 1)).T[:HIDDEN]
+        d_state *= by_n
+        by_place.reshape(steps, streams, -1)[:, :, 2 * HIDDEN :] = d_state.transpose(0, 2, 1)
+        flat = x.ravel().astype(np.int16)
+        order = np.argsort(flat, kind="stable")
+        ids = flat[order]
+        begin = np.append(0, np.flatnonzero(ids[1:] != ids[:-1]) + 1)
+        pairs = np.take(by_place, order, axis=0).view(np.result_type(kind, np.complex64))  # two numbers are summed as one
+        return ids[begin], np.add.reduceat(pairs, begin, axis=0).view(kind), states[-1, :HIDDEN]
+
+
+def _by_target(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]], int]:
+    """Order of places by target, (class, begin, end) of each head class there, and the number of head words."""
+    order = np.argsort(target.astype(np.int16), kind="stable")
+    cuts = np.searchsorted(target[order], _CLASS_BEGINS).tolist()
+    return order, [(c, i, j) for c, (i, j) in enumerate(zip(cuts, cuts[1:])) if i < j], cuts[-1]
+
+
+def _in_range(logit: np.ndarray) -> np.ndarray:
+    """Logits, from which each row's greatest is taken off in place if exponentials or their sums might leave the range of floats."""
+    if not (logit.max() < 57 and logit[:, 0].min() > -57):
+        logit -= logit.max(1, keepdims=True)
+    return logit
+
+
+def _powers(logit: np.ndarray) -> np.ndarray:
+    """Sums by row of the exponentials, which take the place of the logits."""
+    return np.dot(np.exp(logit, logit), np.ones(logit.shape[1], logit.dtype))
 
 
 def train(model: Model, docs: list[np.ndarray]) -> Model:
     """One pass of truncated backpropagation: ``STREAMS`` documents side by side, each slot taking the next when done."""
     w = model.weights.copy()
-    model = Model(w)
-    first, second, own, n = np.zeros_like(w), np.zeros_like(w), np.empty_like(w), 0
+    model, g = Model(w), Model(np.zeros_like(w))
+    rest = slice(Model.ENDS[0], None)  # all but the rows of input tokens, of which a window reads few
+    first, second, root, own, n = *(Model(np.zeros_like(w)) for _ in range(3)), np.empty_like(w), 0
+    grown, grown2 = 1.0, 1.0  # sums are held times these powers of 1 / 0.9 and 1 / 0.99, so that a row without gradient stays as it is
     if not docs:
         return model
     flat = np.concatenate(docs)
@@ -349,40 +394,51 @@ def train(model: Model, docs: list[np.ndarray]) -> Model:
     starts = np.r_[0, stops[:-1]]
     taken = min(STREAMS, len(docs))
     place, end = starts[:taken].copy(), stops[:taken].copy()
-    h = np.zeros((taken, HIDDEN), w.dtype)
+    h = np.zeros((HIDDEN, taken), w.dtype)
     ahead = np.arange(WINDOW + 1)[:, None]
     while len(place):
         at = place + ahead
         ids = flat[np.minimum(at, len(flat) - 1)]
         live = at[1:] < end
-        grad, h = model.gradient(ids[:-1], np.where(live, ids[1:], END_ID), live, h)
-        count = max(1, int(live.sum()))
-        grad *= min(1.0, 1.0 / (math.sqrt(float(grad @ grad)) / count + 1e-9)) / count
+        rows, of_rows, h = model._gradient(ids[:-1], np.where(live, ids[1:], END_ID), live, h, g)
+        of_rest, count = g.weights[rest], max(1, int(live.sum()))
+        length = math.sqrt(float(np.vdot(of_rows, of_rows)) + float(of_rest @ of_rest)) / count
+        scale = min(1.0, 1.0 / (length + 1e-9)) / count
         n += 1
-        first *= 0.9  # sums without their factors 0.1 and 0.01, which the constants below hold
-        first += grad
-        second *= 0.99
-        second += np.multiply(grad, grad, out=own)
-        np.sqrt(second, out=own)
-        spread = math.sqrt(0.01 / (1 - 0.99**n))
-        own += 1e-6 / spread
-        np.divide(first, own, out=own)
-        own *= RATE * 0.1 / (1 - 0.9**n) / spread
+        grown, grown2 = grown / 0.9, grown2 / 0.99
+        if n % 64 == 0:
+            first.weights *= 1 / grown
+            second.weights *= 1 / grown2
+            root.weights *= 1 / math.sqrt(grown2)
+            grown = grown2 = 1.0
+        for part, mine, to, to2, of2 in ((of_rows, rows, first.gx, second.gx, root.gx), (of_rest, slice(None), first.weights[rest], second.weights[rest], root.weights[rest])):
+            part *= scale * math.sqrt(grown2)
+            squares = to2[mine] + part * part
+            to2[mine], of2[mine] = squares, np.sqrt(squares)
+            part *= grown / math.sqrt(grown2)
+            to[mine] += part
+        spread = math.sqrt(0.01 / (1 - 0.99**n))  # the factors 0.1 and 0.01 of the sums are held by the constants
+        np.add(root.weights, 1e-6 / spread * math.sqrt(grown2), out=own)
+        np.divide(first.weights, own, out=own)
+        own *= RATE * 0.1 / (1 - 0.9**n) / spread * math.sqrt(grown2) / grown
         w -= own
         place += WINDOW
         done = np.flatnonzero(place >= end - 1)
         if len(done):
             more = done[: len(docs) - taken]
             place[more], end[more] = starts[taken : taken + len(more)], stops[taken : taken + len(more)]
-            h[more] = 0
+            h[:, more] = 0
             taken += len(more)
             if len(more) < len(done):
-                place, end, h = (np.delete(v, done[len(more) :], 0) for v in (place, end, h))
+                place, end, h = (np.delete(v, done[len(more) :], -1) for v in (place, end, h))
     return model
 
 
+_START, _END = (np.int16(i).tobytes() for i in (START_ID, END_ID))
+
+
 def _sequence(ids: bytes) -> np.ndarray:
-    return np.r_[START_ID, np.frombuffer(ids, np.int16), END_ID].astype(np.int64)
+    return np.frombuffer(b"".join((_START, ids, _END)), np.int16).astype(np.int64)
 
 
 WEIGHTS = "chunk int, tokens long, weights binary"
@@ -446,7 +502,7 @@ def log10_of(model: Model, docs: list[np.ndarray]) -> np.ndarray:
     length = np.fromiter((len(d) - 1 for d in docs), np.int64, len(docs))
     order = np.argsort(-length, kind="stable")
     out = np.zeros(len(docs))
-    ut, ahead = model.recurrent(), np.arange(WINDOW + 1)[:, None]
+    words, ahead = model.words(), np.arange(WINDOW + 1)[:, None]
     for at in range(0, len(order), SCORE_STREAMS):
         mine = order[at : at + SCORE_STREAMS]
         flat = np.concatenate([docs[i] for i in mine])
@@ -458,12 +514,14 @@ def log10_of(model: Model, docs: list[np.ndarray]) -> np.ndarray:
             h, place, left = h[:, :n], place[:n], left[:n]
             steps = min(WINDOW, int(left[0]))
             ids = flat[np.minimum(place + ahead[: steps + 1], len(flat) - 1)]
-            a, states = model.inputs(ids[:-1]), np.empty((steps, HIDDEN, n), h.dtype)
-            for t in range(steps):
-                h = model._step(a[t], ut, h, new=states[t])[0]
-            live = ahead[:steps] < left
-            got = model.log_probs(states.transpose(0, 2, 1)[live], ids[1:][live])
-            total[:n] += np.bincount(np.nonzero(live)[1], weights=got, minlength=n)
+            states = model.run(ids[:-1], h, keep=False).states
+            h = states[-1, :HIDDEN]
+            at_live = np.flatnonzero(ahead[:steps] < left)
+            rows = np.ascontiguousarray(states[1:].transpose(0, 2, 1)).reshape(-1, HIDDEN + 1)
+            if len(at_live) < len(rows):
+                rows = np.take(rows, at_live, axis=0)
+            got = model._log_probs(rows, ids[1:].ravel()[at_live], words)
+            total[:n] += np.bincount(at_live % n, weights=got, minlength=n)
             place, left = place + WINDOW, left - WINDOW
         out[mine] = total / np.log(10.0)
     return out
@@ -510,7 +568,8 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     asked = pre.where("ending >= 0").select("chunk", "h", "ending")
     answers = asked.join(counts.select("h", "c"), "h", "left").select("chunk", "h", F.coalesce("c", F.lit(0)).alias("c"), "ending")
-    encoded = stored(placed.repartition(2 * n, "chunk").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_encoder(vocabulary), ENCODED), "encoded")
+    texts = pre.where("places IS NOT NULL").select(F.col("chunk").alias("chunk"), "doc_id", "held_out", "places")  # a column of its own beside that of the answers
+    encoded = stored(texts.repartition(2 * n, "chunk").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_encoder(vocabulary), ENCODED), "encoded")
     unstore(pre, counts)
     release(spark)
     model = trained(encoded, vocabulary, n, rounds)
